@@ -9,21 +9,34 @@ from pyspark.sql import functions as F
 
 from rolegrid.functions import patterns as P
 from rolegrid.functions.patterns import jvm
-from rolegrid.functions.text import trim_white
+from rolegrid.functions.text import bind, trim_white
 
 
 def _text(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
+def _mentions(lowered: Column, words) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in words])
+
+
 def work_mode(title: Column, location: Column, description: Column) -> Column:
-    """hybrid, remote or onsite by wording; a stated location alone is onsite."""
+    """hybrid, remote or onsite by wording; a stated location alone is onsite.
+
+    A plain substring test goes first, so that a pattern runs only on rows
+    holding one of its words.
+    """
     text = F.concat(_text(title), F.lit(" "), _text(location), F.lit(" "), _text(description))
-    (first, pattern), *rest = P.MODE_PATTERNS
-    label = F.when(F.rlike(text, F.lit(jvm(pattern))), first)
-    for name, pattern in rest:
-        label = label.when(F.rlike(text, F.lit(jvm(pattern))), name)
-    return label.when(trim_white(_text(location)) != "", "onsite").otherwise("unknown")
+
+    def label(lowered: Column) -> Column:
+        arms = [(name, _mentions(lowered, P.MODE_NEEDLES[name])
+                 & F.rlike(lowered, F.lit(jvm(pattern)))) for name, pattern in P.MODE_PATTERNS]
+        out = F.when(arms[0][1], arms[0][0])
+        for name, test in arms[1:]:
+            out = out.when(test, name)
+        return out.when(trim_white(_text(location)) != "", "onsite").otherwise("unknown")
+
+    return bind(F.lower(text), label)
 
 
 def years_of_experience(description: Column) -> Column:
@@ -32,14 +45,17 @@ def years_of_experience(description: Column) -> Column:
     Each pattern looks at its first match only; a rejected or oversized number
     passes on to the next pattern, not to a later match.
     """
-    found = []
-    for i, pattern in enumerate(P.YEARS_PATTERNS):
-        number = F.nullif(F.regexp_extract(description, jvm(pattern), 1), F.lit(""))
-        number = number.try_cast("long")
-        if i == P.YEARS_REJECTING:
-            number = F.when(F.regexp_extract(description, jvm(pattern), 2) == "", number)
-        found.append(number)
-    return F.coalesce(*found)
+    def read(lowered: Column) -> Column:
+        found = []
+        for i, pattern in enumerate(P.YEARS_PATTERNS):
+            number = F.nullif(F.regexp_extract(lowered, jvm(pattern), 1), F.lit(""))
+            number = number.try_cast("long")
+            if i == P.YEARS_REJECTING:
+                number = F.when(F.regexp_extract(lowered, jvm(pattern), 2) == "", number)
+            found.append(F.when(F.contains(lowered, F.lit(P.YEARS_NEEDLES[i])), number))
+        return F.coalesce(*found)
+
+    return bind(F.lower(description), read)
 
 
 def level_of_years(years: Column) -> Column:
@@ -55,7 +71,8 @@ def experience_level(title: Column, description: Column) -> Column:
         F.when(F.rlike(_text(title), F.lit(jvm(P.LEVEL_PATTERNS[0][1]))),
                P.LEVEL_PATTERNS[0][0]))
     # looking at the years is left to the rows whose title says nothing
-    return F.coalesce(by_title, level_of_years(years_of_experience(_text(description))))
+    by_years = bind(years_of_experience(_text(description)), level_of_years)
+    return F.coalesce(by_title, by_years)
 
 
 def city(location: Column) -> Column:

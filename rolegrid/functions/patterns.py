@@ -26,6 +26,15 @@ MODE_PATTERNS = (
     ("onsite", r"(?i)\bon[\s-]?site\b|\bwfo\b|work from office|kerja di kantor"),
 )
 
+# words of which one must occur for the pattern to match, for a cheap first look
+MODE_NEEDLES = {
+    "hybrid": ("hybrid",),
+    "remote": ("remote", "wfh", "wfa", "work from home", "work from anywhere",
+               "kerja dari rumah", "kerja jarak jauh"),
+    "onsite": ("site", "wfo", "work from office", "kerja di kantor"),
+}
+YEARS_NEEDLES = ("year",) * 6 + ("tahun",) * 4
+
 # seniority words of a title, in order of precedence
 LEVEL_PATTERNS = (
     ("lead", r"(?i)\blead\b"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rolegrid.functions import patterns as P
 from rolegrid.functions.patterns import jvm
-from rolegrid.functions.text import trim_white
+from rolegrid.functions.text import bind, trim_white
 
 
 def _factor(unit: Column) -> Column:
@@ -24,14 +24,16 @@ def _amount(number: Column, unit: Column) -> Column:
     ``.`` and ``,`` group thousands, except that one or two digits after the
     only separator are a fraction when a unit follows (``6,5 jt``).
     """
-    digits = F.regexp_replace(number, "[.,]+\\z", "")
-    groups = F.split(digits, "[.,]", -1)
-    last = F.get(groups, F.size(groups) - 1)
-    fraction = (_factor(unit) > 1) & (F.size(groups) == 2) & (F.length(last) <= 2)
-    value = (F.when(digits.isin("") | F.array_contains(groups, ""), F.lit(None))
-             .when(fraction, F.concat_ws(".", groups))
-             .otherwise(F.array_join(groups, "")))
-    return F.round(value.try_cast("double") * _factor(unit)).try_cast("long")
+    def read(s: Column) -> Column:
+        digits = F.replace(s, F.lit("."), F.lit(""))
+        fraction = ((_factor(unit) > 1) & (F.length(s) - F.length(digits) == 1)
+                    & (F.length(s) - F.instr(s, ".") <= 2))
+        value = (F.when((s == "") | F.contains(s, F.lit("..")), F.lit(None))
+                 .when(fraction, s).otherwise(digits))
+        return F.round(value.try_cast("double") * _factor(unit)).try_cast("long")
+
+    one_sign = F.rtrim(F.replace(number, F.lit(","), F.lit(".")), F.lit("."))
+    return bind(one_sign, read)
 
 
 def with_salary(df: DataFrame, raw: str = "salary_raw", prefix: str = "salary") -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rolegrid.functions.text import bind
+
 
 @dataclass(frozen=True)
 class Alias:
@@ -118,14 +120,21 @@ def _by_token(tokens: Column, tags_of: dict[str, set[str]]) -> Column:
     return F.flatten(F.transform(hits, lambda hit: F.element_at(table, hit)))
 
 
-def _guarded(text: Column, alias: Alias) -> Column:
-    words = "|".join(re.escape(s) for s in _spellings(alias))
+def _substring(alias: Alias, text: Column, lowered: Column) -> Column:
+    return F.contains(lowered, F.lit(alias.alias.lower()))
+
+
+def _guarded(alias: Alias, text: Column, lowered: Column) -> Column:
+    """A word with conditions; the regex runs only if the word occurs at all."""
+    subject = text if alias.kind == "cap" else lowered
+    present = reduce(lambda a, b: a | b, [F.contains(subject, F.lit(s)) for s in _spellings(alias)])
+    spelled = "|".join(re.escape(s) for s in _spellings(alias))
     before = "0-9A-Za-z_" + (re.escape(alias.not_after) if alias.not_after else "")
     after = "(?![0-9A-Za-z_])"
     if alias.not_before:
         after += (r"(?!(?i:[\t\n\f\r -]*" + re.escape(alias.not_before)
                   + "(?![0-9A-Za-z_])))")
-    return F.rlike(text, F.lit(f"(?<![{before}])(?:{words}){after}"))
+    return present & F.rlike(subject, F.lit(f"(?<![{before}])(?:{spelled}){after}"))
 
 
 def text_tags(title: Column, description: Column,
@@ -133,50 +142,29 @@ def text_tags(title: Column, description: Column,
     """Sorted tags of title and description; empty array if none.
 
     A row is tagged where it lies, without explode, join or shuffle: whole-word
-    aliases are one set intersection between the row's distinct tokens and the
-    dictionary, substring aliases are ``contains``, and the few guarded aliases
-    run their regex only on rows that hold the word at all.
+    aliases are one set intersection between the row's tokens and the
+    dictionary, substring aliases are ``contains``, and the few conditional
+    aliases run their regex only on rows that hold the word at all.
     """
-    text = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"),
-                    F.coalesce(description, F.lit("")))
-    lowered = F.lower(text)
-    exact_tokens = F.split(text, "[^0-9A-Za-z_]+")
-    lower_tokens = F.split(lowered, "[^0-9a-z_]+")
-
-    lower_words: dict[str, set[str]] = defaultdict(set)
-    exact_words: dict[str, set[str]] = defaultdict(set)
-    substrings: dict[str, list[str]] = defaultdict(list)
-    guarded: dict[str, list[Alias]] = defaultdict(list)
+    words: dict[str, set[str]] = defaultdict(set)
+    tests: dict[str, list] = defaultdict(list)
     for entry in dictionary:
-        if entry.not_after or entry.not_before:
-            guarded[entry.tag].append(entry)
-        elif entry.kind == "cap":
-            for spelling in _spellings(entry):
-                exact_words[spelling].add(entry.tag)
+        if entry.kind == "cap" or entry.not_after or entry.not_before:
+            tests[entry.tag].append(partial(_guarded, entry))
         elif _plain(entry.alias):
-            lower_words[entry.alias.lower()].add(entry.tag)
+            words[entry.alias.lower()].add(entry.tag)
         else:
-            substrings[entry.tag].append(entry.alias.lower())
-
-    found = []
-    if lower_words:
-        found.append(_by_token(lower_tokens, lower_words))
-    if exact_words:
-        found.append(_by_token(exact_tokens, exact_words))
-    single = []
-    for tag, parts in substrings.items():
-        fires = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(p)) for p in parts])
-        single.append(F.when(fires, F.lit(tag)))
-    for tag, entries in guarded.items():
-        tests = []
-        for entry in entries:
-            subject = text if entry.kind == "cap" else lowered
-            present = reduce(lambda a, b: a | b,
-                             [F.contains(subject, F.lit(s)) for s in _spellings(entry)])
-            tests.append(present & _guarded(subject, entry))
-        single.append(F.when(reduce(lambda a, b: a | b, tests), F.lit(tag)))
-    if single:
-        found.append(F.array_compact(F.array(*single)))
-    if not found:
-        return F.array().cast("array<string>")
-    return F.array_sort(F.array_distinct(F.concat(*found)))
+            tests[entry.tag].append(partial(_substring, entry))
+
+    def found(text: Column, lowered: Column) -> Column:
+        parts = [F.array().cast("array<string>")]
+        if words:
+            parts.append(_by_token(F.split(lowered, "[^0-9a-z_]+"), words))
+        if tests:
+            fired = [F.when(reduce(lambda a, b: a | b, [t(text, lowered) for t in any_of]), F.lit(tag))
+                     for tag, any_of in tests.items()]
+            parts.append(F.array_compact(F.array(*fired)))
+        return F.array_sort(F.array_distinct(F.concat(*parts)))
+
+    both = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(description, F.lit("")))
+    return bind(both, lambda text: bind(F.lower(text), lambda lowered: found(text, lowered)))

@@ -12,21 +12,28 @@ _WIDE = "\\x85\\xA0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WHITE = "\\t-\\r " + _WIDE
 _WHITE_IN_LINE = "\\t\\x0B\\f\\r " + _WIDE
 
-# Marks that stand for tags while text nodes are still apart from each other.
-_BULLET, _BREAK, _OTHER = "\u0001", "\u0002", "\u0003"
-_MARKS = _BULLET + _BREAK + _OTHER
-
-_ATTRS = r"""(?:[\s/](?:[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*|[^>]*))?>"""
-_ANY_TAG = r"""</?[A-Za-z](?:[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*|[^>]*)>|<[!?][^>]*>|</[^A-Za-z>][^>]*>"""
-_COMMENT = r"(?s)<!--.*?(?:-->|\z)"
-_UNSEEN = (r"(?is)<script" + _ATTRS + r".*?(?:</script[^>]*>|\z)"
-           r"|<style" + _ATTRS + r".*?(?:</style[^>]*>|\z)")
-_ITEM = r"(?i)<li" + _ATTRS
-_LINE = (r"(?i)<(?:br|p|div|ul|ol|h[1-6])" + _ATTRS
-         + r"|</(?:p|div|h[1-6])(?:[\s/][^>]*)?>")
+# A tag becomes OPEN + its name, if it moves a line, + CLOSE, so that text nodes
+# stay apart from each other until the white space between tags is settled.
+_OPEN, _CLOSE = "\u0003", "\u0004"
+
+_REST = r"""(?:[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*|[^>]*)>"""
+_TAG = (r"(?is)<!--.*?(?:-->|\z)"
+        r"|<script(?=[\s/>])" + _REST + r".*?(?:</script[^>]*>|\z)"
+        r"|<style(?=[\s/>])" + _REST + r".*?(?:</style[^>]*>|\z)"
+        r"|<(/?(?:li|br|p|div|ul|ol|h[1-6]))(?=[\s/>])" + _REST
+        + r"|</?[a-z]" + _REST
+        + r"|<[!?][^>]*>|</[^a-z>][^>]*>")
+_ITEM = f"(?i){_OPEN}li{_CLOSE}"
+_LINE = f"(?i){_OPEN}(?:br|/?(?:p|div|h[1-6])|ul|ol){_CLOSE}"
+_INLINE = f"{_OPEN}[^{_CLOSE}]*{_CLOSE}"
 _ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim_white(col: Column) -> Column:
     """Trim every kind of Unicode white space (``trim`` drops only U+0020)."""
     return F.regexp_replace(col, f"^[{WHITE}]+|[{WHITE}]+\\z", "")
@@ -59,35 +66,37 @@ def decode_entities(col: Column) -> Column:
     names = common + [n for n in name2codepoint if n not in common]
     table = F.create_map(*[F.lit(x) for n in names for x in (n, chr(name2codepoint[n]))],
                          F.lit("apos"), F.lit("'"))
-    names_found = F.regexp_extract_all(col, F.lit(_ENTITY), F.lit(1))
-    between = F.split(col, _ENTITY, -1)
     decoded = F.zip_with(
-        between, names_found,
+        F.split(col, _ENTITY, -1), F.regexp_extract_all(col, F.lit(_ENTITY), F.lit(1)),
         lambda piece, name: F.concat(
             piece, F.when(name.isNull(), F.lit("")).otherwise(_entity_text(name, table))))
     return F.when(F.contains(col, F.lit("&")), F.array_join(decoded, "")).otherwise(col)
 
 
-def mark_tags(html: Column) -> Column:
-    """Replace tags by one-character marks and drop white-space-only text nodes."""
-    s = F.regexp_replace(html, "[\\t\\n\\f\\r ]+", " ")
-    s = F.regexp_replace(s, "&nbsp;|&#160;|&#[xX][aA]0;", "\u00a0")
-    s = F.regexp_replace(s, _COMMENT, _OTHER)
-    s = F.regexp_replace(s, _UNSEEN, _OTHER)
-    s = F.regexp_replace(s, _ITEM, _BULLET)
-    s = F.regexp_replace(s, _LINE, _BREAK)
-    s = F.regexp_replace(s, _ANY_TAG, _OTHER)
-    return F.regexp_replace(s, f"(?<=^|[{_MARKS}])[{WHITE}]+(?=[{_MARKS}]|\\z)", "")
+def _is_ascii(col: Column) -> Column:
+    return F.octet_length(col) == F.char_length(col)
+
+
+def _settle_nodes(s: Column) -> Column:
+    """Drop text nodes that are only white space."""
+    plain = F.replace(s, F.lit(f"{_CLOSE} {_OPEN}"), F.lit(_CLOSE + _OPEN))
+    wide = F.regexp_replace(s, f"{_CLOSE}[{WHITE}]+{_OPEN}", _CLOSE + _OPEN)
+    return F.when(_is_ascii(s), plain).otherwise(wide)
+
+
+def _settle_lines(s: Column) -> Column:
+    """Collapse white space per line and keep at most one blank line."""
+    plain = F.regexp_replace(s, "[\\t\\x0B\\f\\r ]{2,}|[\\t\\x0B\\f\\r]", " ")
+    wide = F.regexp_replace(s, f"[{_WHITE_IN_LINE}]+", " ")
+    s = F.when(_is_ascii(s), plain).otherwise(wide)
+    s = F.regexp_replace(F.regexp_replace(s, " ?\n ?", "\n"), "\n{3,}", "\n\n")
+    return F.btrim(s, F.lit(" \n"))
 
 
-def marks_to_lines(marked: Column) -> Column:
-    """Turn marks into line breaks and bullets and collapse white space."""
-    s = F.regexp_replace(marked, _BULLET, "\n- ")
-    s = F.translate(s, _BREAK + _OTHER, "\n")
-    s = F.regexp_replace(s, f"[{_WHITE_IN_LINE}]+", " ")
-    s = F.regexp_replace(s, " ?\n ?", "\n")
-    s = F.regexp_replace(s, "\n{3,}", "\n\n")
-    return F.regexp_replace(s, "^[ \n]+|[ \n]+\\z", "")
+def _tags_to_lines(s: Column) -> Column:
+    s = F.regexp_replace(s, _ITEM, "\n- ")
+    s = F.regexp_replace(s, _LINE, "\n")
+    return F.regexp_replace(s, _INLINE, "")
 
 
 def html_to_text(html: Column) -> Column:
@@ -96,7 +105,15 @@ def html_to_text(html: Column) -> Column:
     Items become ``- `` bullets, paragraphs and headings are set apart, script
     and style content vanishes, words split by inline tags are rejoined.
     """
-    return marks_to_lines(decode_entities(mark_tags(F.coalesce(html, F.lit("")))))
+    s = F.coalesce(html, F.lit(""))
+    for space in ("&nbsp;", "&#160;", "&#xa0;", "&#xA0;", "\u00a0"):
+        s = F.replace(s, F.lit(space), F.lit(" "))
+    # a lone blank is left alone, which is most of them
+    s = F.regexp_replace(s, "[\\t-\\r ][\\t-\\r ]+|[\\t-\\r]", " ")
+    s = F.regexp_replace(s, _TAG, f"{_OPEN}$1{_CLOSE}")
+    s = bind(s, lambda x: _settle_nodes(x))
+    s = bind(s, lambda x: decode_entities(x))
+    return bind(_tags_to_lines(s), lambda x: _settle_lines(x))
 
 
 def search_form(col: Column) -> Column:
