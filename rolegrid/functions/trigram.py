@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rolegrid.functions.text import bind
+
 # Fixed value: two titles of one company are the same above this similarity.
 SIMILARITY_TENTHS = 7
 
@@ -18,24 +20,33 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(per_word))
 
 
+# Trigrams of lower-case words are drawn from the blank, 0-9 and a-z.
+BASE = 37
+N_CODES = BASE ** 3
+
+
 def trigram_codes(text: Column) -> Column:
-    """``trigrams`` as integers (three ASCII bytes each) for compact shuffles."""
-    return F.transform(trigrams(text), lambda g: F.conv(F.hex(g), 16, 10).cast("int"))
+    """``trigrams`` as whole numbers below ``N_CODES``, for compact rows."""
+    words = F.filter(F.split(F.lower(text), "[^0-9a-z]+"), lambda w: w != "")
 
+    def digit(padded: Column, i: Column) -> Column:
+        code = F.ascii(F.substring(padded, i, F.lit(1)))
+        return F.when(code >= 97, code - 86).when(code >= 48, code - 47).otherwise(0)
 
-def overlap(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b))
+    def of_padded(p: Column) -> Column:
+        digits = F.transform(F.sequence(F.lit(1), F.length(p)), lambda i: digit(p, i))
+        return bind(digits, lambda d: F.transform(
+            F.sequence(F.lit(0), F.size(d) - 3),
+            lambda i: (F.get(d, i) * BASE + F.get(d, i + 1)) * BASE + F.get(d, i + 2)))
+
+    per_word = F.transform(words, lambda w: bind(F.concat(F.lit("  "), w, F.lit(" ")), of_padded))
+    return F.array_distinct(F.flatten(per_word))
 
 
 def similarity(a: Column, b: Column) -> Column:
     """Shared trigrams over all trigrams of both texts; 0 for empty texts."""
     ta, tb = trigrams(a), trigrams(b)
-    shared = overlap(ta, tb)
+    shared = F.size(F.array_intersect(ta, tb))
     union = F.size(ta) + F.size(tb) - shared
     return F.when(union == 0, F.lit(0.0)).otherwise(shared / union)
 
-
-def is_similar(n_a: Column, n_b: Column, shared: Column,
-               tenths: int = SIMILARITY_TENTHS) -> Column:
-    """similarity > tenths/10 in whole numbers, exact at the threshold."""
-    return (10 + tenths) * shared > tenths * (n_a + n_b)

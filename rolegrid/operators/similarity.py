@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolegrid.functions.trigram import SIMILARITY_TENTHS, trigram_codes, trigrams
+from rolegrid.functions.trigram import N_CODES, SIMILARITY_TENTHS, trigram_codes, trigrams
+from rolegrid.session import stage
+
+_SHIFT = 65536  # above every trigram code
 
 
 def pair_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -21,6 +24,20 @@ def pair_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
     ).drop("__ta", "__tb")
 
 
+def _rarity_classes(texts: DataFrame) -> bytes:
+    """One byte per trigram code: 0 if unseen, else 1 + ceil(log2(frequency)).
+
+    The frequency table has at most ``N_CODES`` (37^3) rows whatever the data,
+    because trigrams are made of 37 characters only.
+    """
+    counts = (texts.select(F.explode_outer("codes").alias("g")).where(F.col("g").isNotNull())
+              .groupBy("g").agg((1 + F.ceil(F.log2(F.count("*")))).cast("int").alias("c")))
+    classes = bytearray(N_CODES)
+    for g, c in counts.collect():
+        classes[g] = c
+    return bytes(classes)
+
+
 def similar_pairs(items: DataFrame, block: str, text: str,
                   tenths: int = SIMILARITY_TENTHS, slice_rows: int = 20_000) -> DataFrame:
     """Distinct texts of one block whose trigram similarity is > tenths/10.
@@ -29,41 +46,41 @@ def similar_pairs(items: DataFrame, block: str, text: str,
     Exact: prefix filtering (Bayardo et al., WWW 2007) with the positional
     bound of Xiao et al. (WWW 2008).
 
-    * Copies collapse first, so a group of copies costs one row.
+    * Copies collapse first, so a group of copies costs one row. The distinct
+      texts are written once and read by the three steps that need them.
     * Trigrams are ordered from rare to frequent. Two sets with similarity
       above the threshold share one of the first ``n - floor(t n)`` of them,
       so only those enter the join, keyed by (block, trigram).
     * A pair is accepted at its first shared trigram only, which makes the
       result distinct without another shuffle; size, position and the exact
       test are part of the join condition, so rejected pairs are never rows.
-    * A trigram that is frequent overall is cut into slices of about
+    * A trigram that is frequent overall is cut into slices of at most
       ``slice_rows`` rows: one side picks a slice, the other visits all of
       them, so a hot block spreads over many tasks and no pair is lost.
-
-    The frequency table has at most 37^3 rows for keys over [a-z0-9]; it is
-    not hinted, so Spark broadcasts it only after seeing its size.
     """
-    texts = (items.select(F.col(block).alias("block"), F.col(text).alias("text"))
-             .where(F.col("text") != "").distinct()
-             .withColumn("codes", trigram_codes(F.col("text")))
-             .where(F.size("codes") > 0))
-    grams = texts.select("block", "text", F.explode("codes").alias("g"))
-    frequency = grams.groupBy("g").agg(F.count("*").alias("f"))
-    ordered = (grams.join(frequency, "g")
-               .groupBy("block", "text")
-               .agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("fg"))
-               .select("block", "text", F.size("fg").alias("n"),
-                       F.transform("fg", lambda x: x["g"]).alias("gs"), "fg"))
-    prefix = F.slice("fg", F.lit(1), F.col("n") - F.floor(F.col("n") * tenths / 10).cast("int"))
-    entries = (ordered
-               .select("block", "text", "n", "gs", F.posexplode(prefix).alias("pos", "x"))
-               .select("block", "text", "n", "gs", "pos", F.col("x.g").alias("g"),
-                       F.ceil(F.col("x.f") / slice_rows).cast("int").alias("slices")))
-    left = (entries.withColumn("slice", F.pmod(F.xxhash64("text"), F.col("slices")).cast("int"))
-            .drop("slices").alias("l"))
-    right = (entries
-             .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-             .drop("slices").alias("r"))
+    texts = stage(
+        items.select(F.col(block).alias("block"), F.col(text).alias("text"))
+        .where(F.col("text") != "").distinct()
+        .withColumn("codes", trigram_codes(F.col("text"))), "texts")
+    # class and code in one number: sorting it sorts by rarity, and equal
+    # numbers are equal trigrams
+    classes = F.lit(_rarity_classes(texts))
+
+    def ranked(code: Column) -> Column:
+        rarity = F.ascii(F.substring(classes, code + 1, F.lit(1)).cast("string"))
+        return rarity * _SHIFT + code
+
+    n = F.coalesce(F.size("gs"), F.lit(0))  # never NULL: no filter repeats the sort
+    entries = (
+        texts.select("block", "text", F.array_sort(F.transform("codes", ranked)).alias("gs"))
+        .select("block", "text", "gs", n.alias("n"),
+                F.posexplode_outer(F.slice("gs", F.lit(1), n - F.floor(n * tenths / 10).cast("int")))
+                .alias("pos", "g"))
+        .where(F.col("g").isNotNull()))
+    frequency = F.pow(F.lit(2), F.floor(F.col("g") / _SHIFT) - 1)
+    slices = F.ceil(frequency / slice_rows).cast("int")
+    left = entries.withColumn("slice", F.pmod(F.xxhash64("text"), slices).cast("int")).alias("l")
+    right = entries.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).alias("r")
     ln, rn = F.col("l.n"), F.col("r.n")
     common = F.array_intersect("l.gs", "r.gs")
     # this trigram and everything after it on the shorter remainder
@@ -76,9 +93,9 @@ def similar_pairs(items: DataFrame, block: str, text: str,
         & ((10 + tenths) * reachable > tenths * (ln + rn))
         & (F.get(common, F.lit(0)) == F.col("l.g"))
         & ((10 + tenths) * F.size(common) > tenths * (ln + rn)))
-    return (left.join(right, condition)
+    # sizes are estimated from the stored texts, which the explode multiplies:
+    # a broadcast chosen on that estimate could not be trusted
+    return (left.join(right.hint("merge"), condition)
             .select(F.col("l.block").alias("block"), F.col("l.text").alias("text_a"),
                     F.col("r.text").alias("text_b"), F.size(common).alias("shared"),
-                    ln.alias("__ln"), rn.alias("__rn"))
-            .withColumn("total", F.col("__ln") + F.col("__rn") - F.col("shared"))
-            .drop("__ln", "__rn"))
+                    (ln + rn - F.size(common)).alias("total")))

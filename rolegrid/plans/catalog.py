@@ -11,7 +11,7 @@ from rolegrid.functions.text import html_to_text, search_form
 from rolegrid.operators import audit, dedup, search, stats, upsert
 from rolegrid.operators.normalize import normalize_postings
 from rolegrid.operators.similarity import pair_similarity, similar_pairs
-from rolegrid.plans.feed import AS_OF, BASE_URL, page_dump, posting_feed, source_table, table
+from rolegrid.plans.feed import AS_OF, BASE_URL, page_dump, posting_feed, source_table, table, text_table
 from rolegrid.schemas import POSTING_CONTENT
 from rolegrid.session import stage
 from rolegrid.sources import pages as page_source
@@ -89,7 +89,7 @@ def normalized_postings(spark, sf_dir):
 @query
 def clean_pages(spark, sf_dir):
     """Readable text of every web page."""
-    return (table(spark, sf_dir, "pages")
+    return (text_table(spark, sf_dir, "pages")
             .select("page_id", F.octet_length("html").cast("long").alias("bytes_in"),
                     html_to_text(F.col("html")).alias("text"))
             .withColumn("bytes_out", F.octet_length("text").cast("long")))
@@ -115,7 +115,7 @@ def salary_profile(spark, sf_dir):
 @query
 def document_tags(spark, sf_dir):
     """Technology tags of the whole text of every document."""
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents").select(
         "doc_id", F.array_join(text_tags(F.lit(""), F.col("text")), ",").alias("tags"))
 
 
@@ -166,7 +166,7 @@ def fingerprint_groups(spark, sf_dir):
 @query
 def document_copies(spark, sf_dir):
     """Fingerprint groups over the whole text of every document."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = text_table(spark, sf_dir, "documents").select(
         "doc_id", fingerprint(company_key(F.col("lang")), title_key(F.col("text"))).alias("fingerprint"))
     return (docs.groupBy("fingerprint")
             .agg(F.count("*").alias("members"), F.min("doc_id").alias("first_doc"))
@@ -176,7 +176,7 @@ def document_copies(spark, sf_dir):
 @query
 def search_tokens(spark, sf_dir):
     """Search token table of the documents, summed up per token."""
-    tokens = search.search_tokens(table(spark, sf_dir, "documents"), "doc_id",
+    tokens = search.search_tokens(text_table(spark, sf_dir, "documents"), "doc_id",
                                   search_form(F.col("text")))
     return tokens.groupBy("token").agg(F.count("*").alias("n"), F.max("pos").cast("long").alias("max_pos"))
 
@@ -342,13 +342,13 @@ def text_search(spark, sf_dir):
     form = search_form(F.col("text"))
     hit = search.text_matches(form, all_of=["the", "of the"], any_of=["that", "with"],
                               none_of=["license"])
-    return table(spark, sf_dir, "documents").where(hit).select("doc_id", "lang", "source")
+    return text_table(spark, sf_dir, "documents").where(hit).select("doc_id", "lang", "source")
 
 
 @query
 def token_search(spark, sf_dir):
     """Documents holding every asked token, by the token table."""
-    tokens = search.search_tokens(table(spark, sf_dir, "documents"), "doc_id",
+    tokens = search.search_tokens(text_table(spark, sf_dir, "documents"), "doc_id",
                                   search_form(F.col("text")))
     return search.search_by_tokens(tokens, ["the", "and", "That"])
 
@@ -412,7 +412,7 @@ def page_titles(spark, sf_dir):
     """Pages as postings: the page title, published by its host."""
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     host = F.regexp_extract("url", "^https?://([^/]+)", 1)
-    return table(spark, sf_dir, "pages").select(
+    return text_table(spark, sf_dir, "pages").select(
         "page_id", host.alias("host"), title_key(title).alias("title_key"))
 
 

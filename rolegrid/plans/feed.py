@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolegrid.session import spread
+
 AS_OF = "2024-02-01 00:00:00"
 BASE_URL = "https://board.example"
 
@@ -117,16 +119,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _run(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
-    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose text is worked on: small files are spread over the cores."""
+    return spread(table(spark, sf_dir, name))
+
+
+def _over_orders(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spark.sql(sql, orders=text_table(spark, sf_dir, "orders"),
+                     customer=table(spark, sf_dir, "customer"))
 
 
 def posting_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, FEED_SQL, "orders", "customer")
+    return _over_orders(spark, sf_dir, FEED_SQL)
 
 
 def source_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, SOURCES_SQL, "nation")
+    return spark.sql(SOURCES_SQL, nation=table(spark, sf_dir, "nation"))
 
 
 def page_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +145,7 @@ def page_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     one. A page gathers the 15 jobs the SQL numbers into it, never more.
     """
     c = F.col
-    jobs = _run(spark, sf_dir, PAGE_JOBS_SQL, "orders", "customer")
+    jobs = _over_orders(spark, sf_dir, PAGE_JOBS_SQL)
     job = F.struct(
         "id", "name", c("company_name").alias("companyName"), F.struct("code").alias("company"),
         "slug", "description", "qualifications", c("base_salary").alias("baseSalary"),
