@@ -13,7 +13,7 @@ and nothing is capped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolegrid.operators.components import connected_components
@@ -143,3 +143,40 @@ def duplicates_of(postings: DataFrame, canonicals: DataFrame | None = None) -> D
     d = (postings.where(F.col("canonical_job_id").isNotNull())
          .withColumnRenamed("canonical_job_id", "canonical_id"))
     return d.join(h, "canonical_id")
+
+
+def related(open_rows: DataFrame, batch: DataFrame) -> DataFrame:
+    """Rows that a batch can match: same company or same fingerprint.
+
+    Canonical postings that no batch row can match keep their state, so an
+    incremental run resolves only the companies it touches.
+    """
+    companies = batch.select("company_id").distinct()
+    prints = batch.select("fingerprint").distinct()
+    by_company = open_rows.join(companies, "company_id", "left_semi")
+    others = open_rows.join(companies, "company_id", "left_anti")
+    return by_company.unionByName(others.join(prints, "fingerprint", "left_semi"))
+
+
+def duplicate_on_arrival(members: DataFrame, span: int = 100_000) -> DataFrame:
+    """Add ``arrived_duplicate``: a preferred posting of the group came before.
+
+    ``members``: component, arrival (0 for postings stored before the batch,
+    else first_seq + 1) and the columns of ``preference``. This is a running
+    minimum in arrival order. A group may hold a third of all rows, so it runs
+    in two steps: within spans of ``span`` arrivals, and over one minimum per
+    span.
+    """
+    m = members.withColumn("__pref", preference()).withColumn(
+        "__span", F.floor(F.col("arrival") / span))
+    per_span = m.groupBy("component", "__span").agg(F.min("__pref").alias("low"))
+    before = Window.partitionBy("component").orderBy("__span").rowsBetween(
+        Window.unboundedPreceding, -1)
+    earlier = per_span.select("component", "__span", F.min("low").over(before).alias("__earlier"))
+    inside = Window.partitionBy("component", "__span").orderBy("arrival", "__pref").rowsBetween(
+        Window.unboundedPreceding, -1)
+    seen = m.withColumn("__inside", F.min("__pref").over(inside)).join(earlier, ["component", "__span"])
+    beaten = (F.coalesce(F.col("__earlier") < F.col("__pref"), F.lit(False))
+              | F.coalesce(F.col("__inside") < F.col("__pref"), F.lit(False)))
+    return seen.withColumn("arrived_duplicate", beaten).drop(
+        "__pref", "__span", "__earlier", "__inside")

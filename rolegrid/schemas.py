@@ -82,6 +82,11 @@ SCRAPE_RUNS = _struct(
     ("started_at", _ts, False), ("finished_at", _ts, True),
 )
 
+RUN_ERRORS = _struct(
+    ("run_id", _str, False), ("ingest_seq", _long, False), ("source_url", _str, True),
+    ("error", _str, False),
+)
+
 ALERTS = _struct(
     ("id", _str, False), ("email", _str, False),
     ("filter_stack", T.ArrayType(_str, False), True), ("filter_salary_min", _long, True),

@@ -12,7 +12,8 @@ from rolegrid import schemas
 
 TABLES: dict[str, T.StructType] = {
     "sources": schemas.SOURCES, "companies": schemas.COMPANIES, "jobs": schemas.POSTINGS,
-    "scrape_runs": schemas.SCRAPE_RUNS, "alerts": schemas.ALERTS,
+    "scrape_runs": schemas.SCRAPE_RUNS, "run_errors": schemas.RUN_ERRORS,
+    "alerts": schemas.ALERTS,
 }
 # jobs are read by "active and canonical" nearly always
 PARTITIONS = {"jobs": ["is_active"]}
