@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +15,13 @@ from rolegrid.operators import audit, dedup, search, stats, upsert
 from rolegrid.operators.normalize import normalize_postings
 from rolegrid.operators.similarity import pair_similarity, similar_pairs
 from rolegrid.plans.feed import AS_OF, BASE_URL, page_dump, posting_feed, source_table, table, text_table
-from rolegrid.schemas import POSTING_CONTENT
-from rolegrid.session import stage
+from rolegrid.plans.ingest import Run, ingest
+from rolegrid.schemas import POSTING_CONTENT, RAW_POSTINGS, seed_sources
+from rolegrid.session import checkpoint_root, stage
 from rolegrid.sources import pages as page_source
 from rolegrid.sources.feeds import union_feeds
+from rolegrid.sources.tables import TABLES, SnapshotStore
+from rolegrid.streaming.ingest import raw_posting_stream, start_ingest
 
 QUERIES = {}
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
@@ -325,9 +331,7 @@ def _orders(spark, sf_dir):
 
 
 def _cursor_date():
-    import datetime
-
-    return datetime.datetime(1997, 3, 4)
+    return dt.datetime(1997, 3, 4)
 
 
 @query
@@ -612,3 +616,56 @@ def posting_audit(spark, sf_dir):
     firms = companies(spark, sf_dir).withColumn("id", F.col("name_normalized")).where(
         F.col("name_normalized") != "customer 7")
     return audit.audit_postings(damaged, firms, source_table(spark, sf_dir))
+
+
+# --- whole runs -----------------------------------------------------------------
+
+def _ingested(spark, sf_dir):
+    """One run of the whole feed into empty tables; every source counts as one."""
+    def build(s, d):
+        feed = posting_feed(s, d).withColumn("title", F.when(
+            F.col("ingest_seq") % 101 == 0, F.concat("title", F.lit("\x00"))).otherwise(F.col("title")))
+        empty = {n: s.createDataFrame([], t) for n, t in TABLES.items()}
+        return ingest(feed, empty["companies"], empty["jobs"],
+                      seed_sources(s, dt.datetime(2024, 1, 1)), Run("feed", 1, AS_OF))
+    key = (spark.sparkContext.applicationId, sf_dir, "ingested")
+    if key not in _STAGED:
+        _STAGED[key] = build(spark, sf_dir)
+    return _STAGED[key]
+
+
+@query
+def ingest_jobs(spark, sf_dir):
+    """Stored postings after a run, with the address of their canonical posting."""
+    jobs = _ingested(spark, sf_dir).jobs
+    to = jobs.select(F.col("id").alias("canonical_job_id"), F.col("source_url").alias("canonical_url"))
+    return jobs.join(to, "canonical_job_id", "left").select(
+        "source_id", "source_url", "title", "canonical_url", "salary_min", "first_seq", "is_active")
+
+
+@query
+def ingest_ledger(spark, sf_dir):
+    """Counters, status and error text of that run."""
+    return _ingested(spark, sf_dir).run.select(
+        "id", "status", "jobs_found", "jobs_new", "jobs_duplicate", "jobs_failed", "error_message")
+
+
+@query
+def ingest_errors(spark, sf_dir):
+    """Rows the run could not store."""
+    return _ingested(spark, sf_dir).errors.select("ingest_seq", "source_url", "error")
+
+
+@query
+def stream_ingest(spark, sf_dir):
+    """The parts of the feed that a stream picks up, ingested batch by batch."""
+    root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    feed = posting_feed(spark, sf_dir)
+    feed.select(*[F.col(f.name).cast(f.dataType) for f in RAW_POSTINGS]).write.parquet(f"{root}/raw")
+    store = SnapshotStore(spark, f"{root}/store")
+    store.write("sources", seed_sources(spark, dt.datetime(2024, 1, 1)))
+    start_ingest(raw_posting_stream(spark, f"{root}/raw"), store, 1, f"feed-{uuid.uuid4().hex}",
+                 lambda: AS_OF).awaitTermination()
+    jobs = store.read("jobs")
+    to = jobs.select(F.col("id").alias("canonical_job_id"), F.col("source_url").alias("canonical_url"))
+    return jobs.join(to, "canonical_job_id", "left").select("source_id", "source_url", "title", "canonical_url")

@@ -420,3 +420,27 @@ UNION ALL SELECT 'required value', 'level', count(*) FROM d WHERE first_seq % 40
 UNION ALL SELECT 'canonical exists', ptr, count(*) FROM d WHERE ptr IS NOT NULL AND ptr NOT IN (SELECT source_url FROM d) GROUP BY 2
 UNION ALL SELECT 'pointer target is not canonical', ptr, count(*) FROM d WHERE ptr IN (SELECT source_url FROM d WHERE ptr IS NOT NULL) GROUP BY 2""",
 }
+
+
+def _run_sql(good: str) -> str:
+    """One run of the feed into empty tables: every posting is first seen at once."""
+    return GROUPS.replace("FROM norm) WHERE rn = 1)", f"FROM norm WHERE {good}) WHERE rn = 1)").replace(
+        "TIMESTAMP '" + AS_OF + "' - to_days(CAST(first_seq % 30 AS INT)) AS first_seen_at",
+        "TIMESTAMP '" + AS_OF + "' AS first_seen_at")
+
+
+_GOOD = "ingest_seq % 101 <> 0"
+ORACLES["ingest_jobs"] = _run_sql(_GOOD) + """ SELECT p.source_id, p.source_url, p.title, nullif(e.canonical_id, p.source_url) AS canonical_url,
+ p.salary_min, p.first_seq, true AS is_active FROM posts p JOIN elected e USING (source_url)"""
+ORACLES["stream_ingest"] = _run_sql("true") + """ SELECT p.source_id, p.source_url, p.title,
+ nullif(e.canonical_id, p.source_url) AS canonical_url FROM posts p JOIN elected e USING (source_url)"""
+ORACLES["ingest_errors"] = f"""WITH feed AS ({FEED}) SELECT ingest_seq, source_url, 'text holds a null character' AS error
+ FROM feed WHERE ingest_seq % 101 = 0"""
+ORACLES["ingest_ledger"] = _run_sql(_GOOD) + """,
+placed AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY posted_at ASC NULLS LAST, first_seq) AS place FROM elected),
+arrived AS (SELECT coalesce(min(place) OVER (PARTITION BY component ORDER BY first_seq
+   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < place, false) AS dup FROM placed),
+c AS (SELECT count(*) FILTER (WHERE NOT dup) AS n FROM arrived),
+f AS (SELECT count(*) AS found, count(*) FILTER (WHERE ingest_seq % 101 = 0) AS failed FROM feed)
+SELECT 'feed' AS id, 'success' AS status, found AS jobs_found, n AS jobs_new, found - failed - n AS jobs_duplicate,
+  failed AS jobs_failed, failed || ' rows failed: text holds a null character' AS error_message FROM c, f"""
