@@ -13,6 +13,7 @@ from rolegrid.functions.tags import text_tags
 from rolegrid.functions.text import html_to_text, search_form
 from rolegrid.operators import audit, dedup, search, stats, upsert
 from rolegrid.operators.normalize import normalize_postings
+from rolegrid.operators.replay import replay
 from rolegrid.operators.similarity import pair_similarity, similar_pairs
 from rolegrid.plans.feed import AS_OF, BASE_URL, page_dump, posting_feed, source_table, table, text_table
 from rolegrid.plans.ingest import Run, ingest
@@ -669,3 +670,17 @@ def stream_ingest(spark, sf_dir):
     jobs = store.read("jobs")
     to = jobs.select(F.col("id").alias("canonical_job_id"), F.col("source_url").alias("canonical_url"))
     return jobs.join(to, "canonical_job_id", "left").select("source_id", "source_url", "title", "canonical_url")
+
+
+def forget_staged() -> None:
+    """Build derived tables anew at their next use (for timing)."""
+    _STAGED.clear()
+
+
+@query
+def replay_pointers(spark, sf_dir):
+    """Pointers that the whole feed leaves when taken one event after the other."""
+    events = normalized(spark, sf_dir).select(
+        F.col("ingest_seq").alias("seq"), F.col("source_url").alias("id"), *dedup.NODE, "posted_at",
+        _as_of().alias("first_seen_at"), F.col("ingest_seq").alias("first_seq"))
+    return replay(events)[1]
