@@ -7,15 +7,18 @@ moment*; the preferred one stays, the others point at it, and their followers
 move along. A posting with a pointer is refreshed but never matched again.
 
 Order matters only within a connected component of matches, so components are
-replayed in parallel. What one task may hold is bounded by cutting the events
-into slices of ``slice_rows`` in arrival order: a slice sees the canonical
-postings left by the slices before it, so the result does not depend on the
-cut, and no group exceeds a slice plus the canonical postings it matches. The
-price is one round per slice; ``dedup.resolve`` is the way for whole tables.
+replayed in parallel, each streamed through a task that holds nothing but the
+component's canonical postings. What one task may have to stream is bounded by
+cutting the events into slices of ``slice_rows`` in arrival order: a slice sees
+the canonical postings left by the slices before it, so the result does not
+depend on the cut. The price is one round per slice; ``dedup.resolve`` is the
+way for whole tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,7 @@ from rolegrid.session import cut
 
 EVENT = ("id", *NODE, "posted_at", "first_seen_at", "first_seq")
 _RESULT = "id string, seq long, winner string, was_inserted boolean, is_duplicate boolean"
+_ORDERED = ("component", "seq", "id", *NODE, "unknown", "posted", "seen", "first_seq")
 
 
 def _grams(title: str) -> frozenset:
@@ -35,58 +39,73 @@ def _grams(title: str) -> frozenset:
     return frozenset(padded[i:i + 3] for i in range(len(title) + 1)) if title else frozenset()
 
 
-def _similar(a: frozenset, b: frozenset) -> bool:
-    return (10 + SIMILARITY_TENTHS) * len(a & b) > SIMILARITY_TENTHS * (len(a) + len(b))
+class _Component:
+    """Canonical postings of one component while its events pass by."""
+
+    def __init__(self):
+        self.canonical: dict[str, tuple] = {}  # id -> preference, fingerprint, company, title
+        self.winner_of: dict[str, str] = {}
+        self.grams: dict[str, frozenset] = {}
+
+    def _same(self, company, title, other_company, other_title) -> bool:
+        if company != other_company:
+            return False
+        for t in (title, other_title):
+            if t not in self.grams:
+                self.grams[t] = _grams(t)
+        a, b = self.grams[title], self.grams[other_title]
+        return (10 + SIMILARITY_TENTHS) * len(a & b) > SIMILARITY_TENTHS * (len(a) + len(b))
+
+    def take(self, seq, key, print_, company, title, preference):
+        """Outcome ``(was_inserted, is_duplicate)`` of an event; stored rows have seq -1."""
+        if key in self.winner_of:
+            return False, True
+        old = self.canonical.get(key)
+        if old is not None:
+            preference = (*preference[:2], *old[0][2:])
+        self.canonical[key] = (preference, print_, company, title)
+        if seq < 0:
+            return None
+        matches = [key] + [
+            k for k, (_, p, c, t) in self.canonical.items()
+            if k != key and (p == print_ or self._same(company, title, c, t))]
+        best = min(matches, key=lambda k: self.canonical[k][0])
+        for loser in matches:
+            if loser != best:
+                self.winner_of[loser] = best
+                del self.canonical[loser]
+        return old is None, best != key
+
+    def pointers(self):
+        for loser, top in self.winner_of.items():
+            while top in self.winner_of:
+                top = self.winner_of[top]
+            yield loser, None, top, None, None
 
 
-def replay_group(group: pd.DataFrame) -> pd.DataFrame:
-    """Take the events of one component in order; stored rows have seq -1.
+def replay_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Take rows sorted by component and seq in order, holding one component's state.
 
     Gives one row per event (its outcome) and one per posting that lost its
     canonical state (seq NULL, its final winner).
     """
-    canonical: dict[str, tuple] = {}
-    winner_of: dict[str, str] = {}
-    outcomes = []
-    group = group.sort_values("seq", kind="stable")
-    dates = group["posted_at"]
-    columns = zip(group["seq"], group["id"], group["fingerprint"], group["company_id"],
-                  group["title_normalized"], dates.isna(), dates, group["first_seen_at"],
-                  group["first_seq"])
-    grams: dict[str, frozenset] = {}
-    for seq, key, print_, company, title, unknown, posted, seen, first in columns:
-        old = canonical.get(key)
-        inserted = old is None and key not in winner_of
-        if old is not None:
-            seen, first = old[0][2], old[0][3]
-        preference = (bool(unknown), None if unknown else posted, seen, first)
-        if seq < 0:
-            canonical[key] = (preference, print_, company, title)
-            continue
-        if key in winner_of:
-            outcomes.append((key, seq, None, False, True))
-            continue
-        if title not in grams:
-            grams[title] = _grams(title)
-        canonical[key] = (preference, print_, company, title)
-        matches = [key]
-        for other, (_, p, c, t) in canonical.items():
-            if other != key and (p == print_ or (c == company and _similar(
-                    grams[title], grams.setdefault(t, _grams(t))))):
-                matches.append(other)
-        best = min(matches, key=lambda k: canonical[k][0])
-        for loser in matches:
-            if loser != best:
-                winner_of[loser] = best
-                del canonical[loser]
-        outcomes.append((key, seq, None, inserted, best != key))
-    for loser in winner_of:
-        top = winner_of[loser]
-        while top in winner_of:
-            top = winner_of[top]
-        outcomes.append((loser, None, top, None, None))
-    out = pd.DataFrame(outcomes, columns=["id", "seq", "winner", "was_inserted", "is_duplicate"])
-    return out.astype({"seq": "Int64", "was_inserted": "boolean", "is_duplicate": "boolean"})
+    def frame(rows):
+        out = pd.DataFrame(rows, columns=["id", "seq", "winner", "was_inserted", "is_duplicate"])
+        return out.astype({"seq": "Int64", "was_inserted": "boolean", "is_duplicate": "boolean"})
+
+    current, state = None, _Component()
+    for batch in batches:
+        rows = []
+        for component, seq, key, print_, company, title, unknown, posted, seen, first in zip(
+                *(batch[c] for c in _ORDERED)):
+            if component != current:
+                rows.extend(state.pointers())
+                current, state = component, _Component()
+            outcome = state.take(seq, key, print_, company, title, (unknown, posted, seen, first))
+            if outcome is not None:
+                rows.append((key, seq, None, *outcome))
+        yield frame(rows)
+    yield frame(list(state.pointers()))
 
 
 def _slice(events: DataFrame, stored: DataFrame) -> DataFrame:
@@ -102,9 +121,13 @@ def _slice(events: DataFrame, stored: DataFrame) -> DataFrame:
     components = connected_components(match_edges(nodes).unionByName(versions))
     placed = rows.join(components, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
-    result = placed.select("component", "seq", *EVENT).groupBy("component").applyInPandas(
-        lambda group: replay_group(group), _RESULT)
-    return cut(result)
+    micros = lambda c: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(0))
+    ordered = (placed
+               .withColumns({"unknown": F.col("posted_at").isNull(), "posted": micros("posted_at"),
+                             "seen": micros("first_seen_at")})
+               .select(*_ORDERED)
+               .repartition("component").sortWithinPartitions("component", "seq"))
+    return cut(ordered.mapInPandas(replay_rows, _RESULT))
 
 
 def _slices(events: DataFrame, slice_rows: int) -> list:
