@@ -106,12 +106,14 @@ def apply_pointers(postings: DataFrame, pointers: DataFrame) -> DataFrame:
 
     ``pointers``: id, canonical_id. Both steps are one lookup: a posting moves
     by its own id if it is canonical so far, else by the id it points at.
+    Adds ``was_moved``.
     """
     p = (pointers.where(F.col("canonical_id").isNotNull())
          .select(F.col("id").alias("__id"), F.col("canonical_id").alias("__to")))
     anchor = F.coalesce(postings["canonical_job_id"], postings["id"])
     return (postings.join(p, anchor == F.col("__id"), "left")
-            .withColumn("canonical_job_id", F.coalesce("__to", "canonical_job_id"))
+            .withColumns({"canonical_job_id": F.coalesce("__to", "canonical_job_id"),
+                          "was_moved": F.col("__to").isNotNull()})
             .drop("__id", "__to"))
 
 
@@ -151,11 +153,10 @@ def related(open_rows: DataFrame, batch: DataFrame) -> DataFrame:
     Canonical postings that no batch row can match keep their state, so an
     incremental run resolves only the companies it touches.
     """
-    companies = batch.select("company_id").distinct()
-    prints = batch.select("fingerprint").distinct()
-    by_company = open_rows.join(companies, "company_id", "left_semi")
-    others = open_rows.join(companies, "company_id", "left_anti")
-    return by_company.unionByName(others.join(prints, "fingerprint", "left_semi"))
+    companies = batch.select("company_id").distinct().withColumn("__c", F.lit(True))
+    prints = batch.select("fingerprint").distinct().withColumn("__f", F.lit(True))
+    return (open_rows.join(companies, "company_id", "left").join(prints, "fingerprint", "left")
+            .where(F.col("__c") | F.col("__f")).select(open_rows.columns))
 
 
 def duplicate_on_arrival(members: DataFrame, span: int = 100_000) -> DataFrame:

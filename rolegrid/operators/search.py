@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolegrid.functions.text import search_form
+from rolegrid.functions.text import bind, search_form
 from rolegrid.schemas import DEFAULT_PAGE_SIZE, EXPERIENCE_LEVELS, MAX_PAGE_SIZE, WORK_MODES
 from rolegrid.session import cut
 
@@ -46,11 +46,14 @@ def text_matches(form: Column, all_of=(), any_of=(), none_of=()) -> Column:
 
     A term of several words is a phrase. Without any term nothing matches.
     """
-    tests = [_term(form, t) for t in all_of]
-    if any_of:
-        tests.append(reduce(lambda a, b: a | b, [_term(form, t) for t in any_of]))
-    tests += [~_term(form, t) for t in none_of]
-    return reduce(lambda a, b: a & b, tests) if tests else F.lit(False)
+    def test(f: Column) -> Column:
+        tests = [_term(f, t) for t in all_of]
+        if any_of:
+            tests.append(reduce(lambda a, b: a | b, [_term(f, t) for t in any_of]))
+        tests += [~_term(f, t) for t in none_of]
+        return reduce(lambda a, b: a & b, tests)
+
+    return bind(form, test) if all_of or any_of or none_of else F.lit(False)
 
 
 def search_tokens(df: DataFrame, doc_id: str, form: Column) -> DataFrame:

@@ -39,6 +39,7 @@ def upsert_companies(target: DataFrame, events: DataFrame, as_of: Column) -> Dat
     """Companies by normalized name: the latest display name wins, ids stay.
 
     ``events``: company_id, company_name, company_normalized, ingest_seq.
+    Adds ``was_touched``: the batch names the company.
     """
     batch = latest_per_key(
         events.withColumnRenamed("company_normalized", "name_normalized"),
@@ -46,12 +47,13 @@ def upsert_companies(target: DataFrame, events: DataFrame, as_of: Column) -> Dat
     _, fresh = split_by_target(batch, target, ("name_normalized",))
     renamed = batch.select("name_normalized", F.col("company_name").alias("__name"))
     kept = (target.join(renamed, "name_normalized", "left")
-            .withColumn("name", F.coalesce("__name", "name")).drop("__name"))
+            .withColumns({"name": F.coalesce("__name", "name"), "was_touched": F.col("__name").isNotNull()})
+            .drop("__name"))
     added = fresh.select(
         F.col("company_id").alias("id"), F.col("company_name").alias("name"),
         "name_normalized", F.lit(None).cast("string").alias("logo_url"),
-        as_of.alias("created_at"))
-    names = COMPANIES.fieldNames()
+        as_of.alias("created_at"), F.lit(True).alias("was_touched"))
+    names = [*COMPANIES.fieldNames(), "was_touched"]
     return kept.select(names).unionByName(added.select(names))
 
 
@@ -60,7 +62,8 @@ def upsert_postings(target: DataFrame, batch: DataFrame, as_of: Column) -> DataF
 
     A known posting takes over the content columns, is seen now and active
     again; id, first sight, currency and the canonical pointer stay.
-    ``batch``: one row per key from ``latest_per_key``.
+    ``batch``: one row per key from ``latest_per_key``. Adds ``was_touched``:
+    the batch holds the posting.
     """
     content = batch.select(*KEY, *[F.col(c).alias(f"__{c}") for c in POSTING_CONTENT],
                            F.lit(True).alias("__hit"))
@@ -69,15 +72,16 @@ def upsert_postings(target: DataFrame, batch: DataFrame, as_of: Column) -> DataF
     refreshed = joined.withColumns({
         **{c: F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)) for c in POSTING_CONTENT},
         "last_seen_at": F.when(hit, as_of).otherwise(F.col("last_seen_at")),
-        "is_active": hit | F.col("is_active"),
+        "is_active": hit | F.col("is_active"), "was_touched": hit,
     })
     _, fresh = split_by_target(batch, target, KEY)
     added = fresh.withColumns({
         "salary_currency": F.lit("IDR"),
         "canonical_job_id": F.lit(None).cast("string"),
         "first_seen_at": as_of, "last_seen_at": as_of, "is_active": F.lit(True),
+        "was_touched": F.lit(True),
     })
-    names = POSTINGS.fieldNames()
+    names = [*POSTINGS.fieldNames(), "was_touched"]
     return refreshed.select(names).unionByName(added.select(names))
 
 

@@ -42,6 +42,9 @@ class Run:
 
 @dataclass(frozen=True)
 class Outcome:
+    """State of the tables after a run; ``was_touched`` of companies and
+    ``changed`` of jobs tell the rows that differ from before."""
+
     companies: DataFrame
     jobs: DataFrame
     sources: DataFrame
@@ -78,13 +81,15 @@ def ingest(events: DataFrame, companies: DataFrame, jobs: DataFrame, sources: Da
     batch = stage(
         upsert.latest_per_key(good, upsert.KEY, "ingest_seq", "id", "company_normalized", *content)
         .join(ids, "company_normalized"), "batch")
-    merged = stage(upsert.upsert_postings(jobs, batch, as_of), "merged")
+    # not written here: every reader below needs a few columns of it only
+    merged = upsert.upsert_postings(jobs, batch, as_of)
 
-    open_rows = dedup.related(merged.where(F.col("canonical_job_id").isNull()), batch)
+    open_rows = stage(dedup.related(
+        merged.where(F.col("canonical_job_id").isNull())
+        .select("id", *dedup.NODE, "posted_at", "first_seen_at", "first_seq"), batch), "open")
     groups = stage(dedup.duplicate_groups(open_rows), "groups")
     members = open_rows.join(
-        groups.select(*dedup.NODE, "component", "canonical_id", F.col("members").alias("__m")),
-        list(dedup.NODE)).drop("__m")
+        groups.select(*dedup.NODE, "component", "canonical_id"), list(dedup.NODE))
     pointers = members.select("id", F.when(F.col("id") != F.col("canonical_id"), F.col("canonical_id"))
                               .alias("canonical_id"))
     resolved = dedup.apply_pointers(merged, pointers)
@@ -97,12 +102,14 @@ def ingest(events: DataFrame, companies: DataFrame, jobs: DataFrame, sources: Da
            .where(F.col("fresh") & ~F.col("arrived_duplicate")))
 
     swept = upsert.sweep(resolved, as_of, run.stale_days)
-    counters = _counters(run, normalized, bad, new, swept)
+    # stale rows are counted before the pointers are attached: no join needed
+    counters = _counters(run, normalized, bad, new, upsert.sweep(merged, as_of, run.stale_days))
     ledger = _ledger(run, counters)
     ran = events.sparkSession.createDataFrame([(run.source_id,)], "source_id int")
     return Outcome(
         companies=companies_now,
-        jobs=swept.select(POSTINGS.fieldNames()),
+        jobs=swept.withColumn("changed", F.col("was_touched") | F.col("was_moved") | F.col("was_stale"))
+        .select(*POSTINGS.fieldNames(), "changed"),
         sources=upsert.stamp_sources(sources, ran, as_of).select(SOURCES.fieldNames()),
         run=ledger,
         errors=bad.withColumn("run_id", F.lit(run.run_id)).select(RUN_ERRORS.fieldNames()),
@@ -137,7 +144,7 @@ def _ledger(run: Run, counters: DataFrame) -> DataFrame:
 
 def run_into_store(store: SnapshotStore, events: DataFrame, run: Run,
                    dictionary=DEFAULT_DICTIONARY) -> bool:
-    """Ingest and publish new snapshots; a run id already in the ledger is a no-op.
+    """Ingest and publish the changed rows; a run id already in the ledger is a no-op.
 
     The ledger is written last: a run that dies half-way is simply run again,
     and because upserts are keyed, repeating it changes nothing.
@@ -145,15 +152,13 @@ def run_into_store(store: SnapshotStore, events: DataFrame, run: Run,
     sources = store.read("sources")
     if not sources.where(F.col("id") == run.source_id).take(1):
         raise UnknownFeed(run.source_id)
-    runs = store.read("scrape_runs")
-    if runs.where(F.col("id") == run.run_id).take(1):
+    if store.read("scrape_runs").where(F.col("id") == run.run_id).take(1):
         return False
     out = ingest(events, store.read("companies"), store.read("jobs"), sources, run, dictionary)
     ledger = stage(out.run, "ledger")  # counted against the tables before the run
-    store.write("run_errors", store.read("run_errors").where(F.col("run_id") != run.run_id)
-                .unionByName(out.errors))
-    store.write("companies", out.companies)
-    store.write("jobs", out.jobs)
+    store.add("run_errors", out.errors)
+    store.add("companies", out.companies.where("was_touched"))
+    store.add("jobs", out.jobs.where("changed"))
     store.write("sources", out.sources)
-    store.write("scrape_runs", runs.unionByName(ledger))
+    store.add("scrape_runs", ledger)
     return True

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolegrid.functions.text import trim_white
+from rolegrid.functions.text import bind, trim_white
 from rolegrid.schemas import DEFAULT_MAX_PAGES, MAX_PAGES_CAP, PAGE_PAYLOAD
 
 # Where the payload sits, and the country a page should list.
@@ -40,15 +40,15 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     Adds ``count``, ``jobs`` and ``error``. A page without payload or with a
     broken one is an error row, never an empty page.
     """
-    script = F.regexp_extract(F.col(html), PAYLOAD_SCRIPT, 1)
-    found = F.rlike(F.col(html), F.lit(PAYLOAD_SCRIPT))
+    # a second scan only where the first one found nothing
+    script = bind(F.regexp_extract(F.col(html), PAYLOAD_SCRIPT, 1), lambda s: (
+        F.when(s != "", s).when(F.rlike(F.col(html), F.lit(PAYLOAD_SCRIPT)), s)))
     payload = F.from_json(F.col("__script"), PAGE_PAYLOAD,
                           {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     props = "__payload.props.pageProps"
-    broken = (F.col("__payload").isNull() | F.col("__payload._bad").isNotNull()
-              | (trim_white(F.col("__script")) == ""))
+    broken = F.col("__payload").isNull() | F.col("__payload._bad").isNotNull()
     return (pages
-            .withColumn("__script", F.when(found, script))
+            .withColumn("__script", script)
             .withColumn("__payload", payload)
             .withColumn("error", F.when(F.col("__script").isNull(), ERR_NO_PAYLOAD)
                         .when(broken, ERR_BAD_PAYLOAD))

@@ -1,8 +1,10 @@
-"""Stored tables: versioned parquet snapshots with an explicit schema."""
+"""Stored tables: parquet snapshots and changes with an explicit schema."""
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,67 +17,103 @@ TABLES: dict[str, T.StructType] = {
     "scrape_runs": schemas.SCRAPE_RUNS, "run_errors": schemas.RUN_ERRORS,
     "alerts": schemas.ALERTS,
 }
+# rows of these tables change; a change replaces the row with the same key
+KEYED = {"jobs": ("id",), "companies": ("id",), "run_errors": ("run_id", "ingest_seq")}
 # jobs are read by "active and canonical" nearly always
 PARTITIONS = {"jobs": ["is_active"]}
 
 
 class SnapshotStore:
-    """Tables as immutable parquet versions below one root folder.
-
-    A write goes to a new version folder; the pointer file of the table is
-    replaced only after the version is complete, so readers never see a part
-    of a write and a failed job leaves the old version in place. Pointers go
-    through the Hadoop file system, so any shared storage works.
+    """Tables as immutable parquet folders below one root, shared by all executors.
+
+    A table is a base folder plus folders of changes. A run writes only the
+    rows it changed; reading takes the base rows that no change replaces (an
+    anti join on keys, broadcast while the changes are small) and the latest
+    change of every other row. After ``max_changes`` folders the table is
+    written anew as a base. The list of folders is a small numbered file that
+    is created last and never overwritten: readers see whole runs only, a
+    failed job leaves nothing visible, and of two writers at once one fails.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, max_changes: int = 16):
+        self.spark, self.root, self.max_changes = spark, root.rstrip("/"), max_changes
+
+    # --- list of folders ---
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self, table: str) -> str:
-        return f"{self.root}/{table}/_current"
-
-    def current(self, table: str) -> str | None:
+    def _log(self, table: str) -> tuple[int, list[str]]:
+        """Number and folders (base first) of the current state; 0 and none if new."""
         jvm, fs = self._fs()
-        path = jvm.org.apache.hadoop.fs.Path(self._pointer(table))
-        if not fs.exists(path):
-            return None
-        stream = fs.open(path)
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/_log")
+        if not fs.exists(folder):
+            return 0, []
+        last = max(status.getPath().getName() for status in fs.listStatus(folder))
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(folder, last))
         try:
-            return stream.readUTF()
+            return int(last), json.loads(stream.readUTF())
         finally:
             stream.close()
 
-    def read(self, table: str) -> DataFrame:
-        version = self.current(table)
-        schema = TABLES[table]
-        if version is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(version).select(schema.fieldNames())
+    def _commit(self, table: str, number: int, folders: list[str]) -> None:
+        jvm, fs = self._fs()
+        log = f"{self.root}/{table}/_log"
+        fresh = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/_new-{uuid.uuid4().hex}")
+        stream = fs.create(fresh, False)
+        stream.writeUTF(json.dumps(folders))
+        stream.close()
+        target = jvm.org.apache.hadoop.fs.Path(f"{log}/{number:012d}")
+        fs.mkdirs(target.getParent())
+        if fs.exists(target) or not fs.rename(fresh, target):
+            raise RuntimeError(f"{table}: another writer committed state {number} first")
 
-    def write(self, table: str, df: DataFrame) -> str:
-        version = f"{self.root}/{table}/v-{uuid.uuid4().hex}"
+    def _save(self, table: str, df: DataFrame) -> str:
+        folder = f"{self.root}/{table}/v-{uuid.uuid4().hex}"
         writer = df.select(TABLES[table].fieldNames()).write.mode("errorifexists")
         if table in PARTITIONS:
             writer = writer.partitionBy(*PARTITIONS[table])
-        writer.parquet(version)
-        self._point(table, version)
-        return version
+        writer.parquet(folder)
+        return folder
 
-    def _point(self, table: str, version: str) -> None:
-        jvm, fs = self._fs()
-        path = jvm.org.apache.hadoop.fs.Path(self._pointer(table))
-        fresh = jvm.org.apache.hadoop.fs.Path(self._pointer(table) + "-" + uuid.uuid4().hex)
-        stream = fs.create(fresh, True)
-        stream.writeUTF(version)
-        stream.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        fs.rename(fresh, path)
+    def _load(self, table: str, *folders: str) -> DataFrame:
+        schema = TABLES[table]
+        parts = [self.spark.read.schema(schema).parquet(f).select(schema.fieldNames()) for f in folders]
+        return reduce(lambda a, b: a.unionAll(b), parts)
+
+    # --- tables ---
+
+    def read(self, table: str) -> DataFrame:
+        _, folders = self._log(table)
+        if not folders:
+            return self.spark.createDataFrame([], TABLES[table])
+        key = KEYED.get(table)
+        if key is None or len(folders) == 1:
+            return self._load(table, *folders)
+        base, *changes = folders
+        names = TABLES[table].fieldNames()
+        versions = reduce(lambda a, b: a.unionAll(b), [
+            self._load(table, f).withColumn("__v", F.lit(i)) for i, f in enumerate(changes)])
+        latest = (versions.groupBy(*key)
+                  .agg(F.max(F.struct("__v", *[c for c in names if c not in key])).alias("x"))
+                  .select(*[F.col(c) if c in key else F.col(f"x.{c}").alias(c) for c in names]))
+        kept = self._load(table, base).join(latest.select(*key), list(key), "left_anti").select(names)
+        return kept.unionByName(latest)
+
+    def write(self, table: str, df: DataFrame) -> None:
+        """Replace the whole table."""
+        number, _ = self._log(table)
+        self._commit(table, number + 1, [self._save(table, df)])
+
+    def add(self, table: str, changed: DataFrame) -> None:
+        """Add rows; in keyed tables they replace the rows with their keys."""
+        number, folders = self._log(table)
+        folders = [*folders, self._save(table, changed)]
+        self._commit(table, number + 1, folders)
+        if len(folders) > self.max_changes:
+            self.write(table, self.read(table))
 
 
 def export_json(df: DataFrame, path: str, column: str = "json") -> None:

@@ -10,6 +10,7 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
+        .config("spark.sql.maxMetadataStringLength", "4000")
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )
