@@ -89,7 +89,8 @@ def test_small_batch_does_not_shuffle_the_stored_table(spark, tmp_path):
     path = str(tmp_path / "jobs")
     spark.createDataFrame([], schemas.POSTINGS).write.parquet(path)
     target = spark.read.schema(schemas.POSTINGS).parquet(path)
-    batch = spark.createDataFrame([], schemas.POSTINGS).select(
+    # a run stages its batch, so that its size is known
+    batch = spark.read.schema(schemas.POSTINGS).parquet(path).select(
         *upsert.KEY, "id", *schemas.POSTING_CONTENT, "first_seq")
     text = plan(upsert.upsert_postings(target, batch, F.lit(DAY)))
     assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text and "hashpartitioning" not in text
