@@ -124,3 +124,8 @@ def search_form(col: Column) -> Column:
     """
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(
         F.lower(F.coalesce(col, F.lit(""))), "[^\\p{L}\\p{N}]+", " ")), F.lit(" "))
+
+
+def search_text(title: Column, stack: Column, description: Column) -> Column:
+    """Title, tags and description in search form, in that order."""
+    return search_form(F.concat_ws(" ", title, F.array_join(stack, " "), description))

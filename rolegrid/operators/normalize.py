@@ -9,7 +9,7 @@ from rolegrid.functions.keys import company_key, fingerprint, row_key, title_key
 from rolegrid.functions.labels import city, experience_level, work_mode
 from rolegrid.functions.salary import stored_bounds, with_salary
 from rolegrid.functions.tags import DEFAULT_DICTIONARY, Alias, text_tags
-from rolegrid.functions.text import blank_to_null, html_to_text, trim_white
+from rolegrid.functions.text import blank_to_null, html_to_text, search_text, trim_white
 
 
 def normalize_postings(raw: DataFrame,
@@ -48,4 +48,5 @@ def normalize_postings(raw: DataFrame,
         blank_to_null(F.col("source_job_id")).alias("source_job_id"),
         fingerprint(F.col("company_normalized"), F.col("title_normalized")).alias("fingerprint"),
         "posted_at",
+        search_text(F.col("title"), F.col("stack"), F.col("description")).alias("search_text"),
     )

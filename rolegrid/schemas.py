@@ -51,11 +51,12 @@ RAW_POSTINGS = _struct(
     ("source_job_id", _str, True), ("posted_at", _ts, True),
 )
 
-# The columns a re-delivery replaces, in table order.
+# The columns a re-delivery replaces, in table order; search_text follows from
+# title, stack and description.
 POSTING_CONTENT = (
     "title", "title_normalized", "company_id", "description", "salary_min", "salary_max",
     "salary_conf", "salary_raw", "stack", "location", "location_city", "mode", "level",
-    "source_job_id", "fingerprint", "posted_at",
+    "source_job_id", "fingerprint", "posted_at", "search_text",
 )
 
 # ``first_seq`` is ours: it breaks first_seen_at ties inside one batch.
@@ -69,7 +70,7 @@ POSTINGS = _struct(
     ("mode", _str, False), ("level", _str, False),
     ("source_id", _int, False), ("source_url", _str, False),
     ("source_job_id", _str, True), ("fingerprint", _str, False),
-    ("canonical_job_id", _str, True), ("posted_at", _ts, True),
+    ("canonical_job_id", _str, True), ("search_text", _str, False), ("posted_at", _ts, True),
     ("first_seen_at", _ts, False), ("last_seen_at", _ts, False),
     ("is_active", _bool, False), ("first_seq", _long, False),
 )

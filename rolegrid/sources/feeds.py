@@ -55,3 +55,13 @@ def union_feeds(spark: SparkSession, feeds: dict[str, Callable[[], DataFrame]],
     else:
         rows = spark.createDataFrame([], RAW_POSTINGS).withColumn("feed", F.lit(""))
     return rows, spark.createDataFrame(errors, "feed string, error string")
+
+
+def error_text(errors: DataFrame) -> DataFrame:
+    """``error``: the feed errors as one text, in feed order; NULL if there are none.
+
+    One line per configured feed at most, so the text is bounded.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("feed", "error")))
+    return errors.agg(F.nullif(F.array_join(F.transform(ordered, lambda e: e["error"]), "\n"),
+                               F.lit("")).alias("error"))

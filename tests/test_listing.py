@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from rolegrid import schemas
 from rolegrid.operators import audit, search, stats, upsert
 from rolegrid.functions.salary import stored_bounds
-from rolegrid.functions.text import search_form
+from rolegrid.functions.text import search_form, search_text
 
 DAY = dt.datetime(2026, 1, 1)
 
@@ -20,6 +21,8 @@ def posting(i, **more):
                salary_conf="unknown", stack=[], mode="unknown", level="unknown", source_id=1, source_url=f"u{i}",
                fingerprint=f"f{i}", first_seen_at=DAY, last_seen_at=DAY, is_active=True, first_seq=i)
     row.update(more)
+    words = " ".join([row["title"], *row["stack"], row["description"] or ""]).lower()
+    row["search_text"] = " " + " ".join(re.findall(r"\w+", words)) + " "
     return tuple(row[f.name] for f in schemas.POSTINGS)
 
 
@@ -75,7 +78,7 @@ def test_paging_covers_every_row_once_with_unknown_dates_last(spark):
     assert ids(empty) == [] and search.next_cursor(empty, 4) is None
 
 
-def test_text_search(spark):
+def test_text_search(spark, tmp_path):
     df = frame(
         spark,
         posting(1, title="Go Engineer", stack=["Go"], description="Build data pipelines."),
@@ -88,7 +91,10 @@ def test_text_search(spark):
     assert find(any_of=["go", "designer"]) == ["001", "003"]
     assert find(all_of=["engineer"], none_of=["KAFKA"]) == ["001"]
     assert find(all_of=["!!"]) == [] and find() == []
-    tokens = search.search_tokens(df, "id", search.search_text())
+    made = df.withColumn("made", search_text(F.col("title"), F.col("stack"), F.col("description")))
+    assert made.where("made <> search_text").count() == 0
+    search.save_token_table(search.search_tokens(df, "id", F.col("search_text")), str(tmp_path / "tokens"))
+    tokens = spark.read.parquet(str(tmp_path / "tokens"))
     assert [(r.pos, r.token) for r in tokens.where("doc_id = '001'").orderBy("pos").collect()] == list(
         enumerate("go engineer go build data pipelines".split(), 1))
     assert [r.doc_id for r in search.search_by_tokens(tokens, ["data", "Kafka"]).collect()] == ["002"]

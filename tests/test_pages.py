@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from rolegrid.sources import pages as P
-from rolegrid.sources.feeds import union_feeds
+from rolegrid.sources.feeds import error_text, union_feeds
 
 BASE = "https://board.example"
 
@@ -106,5 +106,8 @@ def test_one_failing_feed_keeps_the_others(spark):
     rows, errors = union_feeds(spark, {"a": lambda: spark.createDataFrame([("t",)], "title string"), "b": broken})
     assert [(r.title, r.feed) for r in rows.collect()] == [("t", "a")]
     assert [r.error for r in errors.collect()] == ['feed "b": down']
+    both = union_feeds(spark, {"y": broken, "x": broken})[1]
+    assert error_text(both).first().error == 'feed "x": down\nfeed "y": down'
+    assert error_text(both.limit(0)).first().error is None
     rows, errors = union_feeds(spark, {"b": broken})
     assert rows.count() == 0 and errors.count() == 1
