@@ -413,14 +413,6 @@ def canonical_duplicates(spark, sf_dir):
 
 # --- duplicates ------------------------------------------------------------------
 
-def page_titles(spark, sf_dir):
-    """Pages as postings: the page title, published by its host."""
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
-    return text_table(spark, sf_dir, "pages").select(
-        "page_id", host.alias("host"), title_key(title).alias("title_key"))
-
-
 @query
 def trigram_pairs(spark, sf_dir):
     """Trigram similarity of every part's name and its size class with the name."""
@@ -440,11 +432,13 @@ def near_duplicates(spark, sf_dir):
 
 
 @query
-def page_near_duplicates(spark, sf_dir):
-    """Similar page titles of one host."""
-    pairs = similar_pairs(page_titles(spark, sf_dir), "host", "title_key")
-    return pairs.select("block", "text_a", "text_b", F.col("shared").cast("long").alias("shared"),
-                        F.col("total").cast("long").alias("total"))
+def part_near_duplicates(spark, sf_dir):
+    """Similar part names of one brand: few blocks, nearly all names distinct."""
+    name = F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string"))
+    parts = table(spark, sf_dir, "part").select("p_brand", title_key(name).alias("name"))
+    return similar_pairs(parts, "p_brand", "name").select(
+        "block", "text_a", "text_b", F.col("shared").cast("long").alias("shared"),
+        F.col("total").cast("long").alias("total"))
 
 
 @query

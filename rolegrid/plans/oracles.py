@@ -231,9 +231,8 @@ ORDERS = ("(SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate E
 _OUTCOMES = """
 outcomes AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1 AS was_inserted FROM events)"""
 
-_PAGE_TITLES = f"""
-titles AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host,
-   {title_key("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title_key FROM pages)"""
+_PART_NAMES = f"""
+names AS (SELECT p_brand, {title_key("p_name || ' ' || p_type || ' ' || p_size")} AS name FROM part)"""
 
 _LIST = ("source_id, source_url, title, salary_max, mode, level, location_city, posted_at, " + _STACK)
 _POST_FORM = form("concat_ws(' ', title, nullif(array_to_string(stack, ' '), ''), description)")
@@ -354,7 +353,7 @@ g AS (SELECT *, {trigram_list('a')} AS ga, {trigram_list('b')} AS gb FROM p),
 s AS (SELECT *, len(list_intersect(ga, gb)) AS shared FROM g)
 SELECT p_partkey, a, b, shared, len(ga) + len(gb) - shared AS total, shared / (len(ga) + len(gb) - shared) AS similarity FROM s""",
     "near_duplicates": NORM + "," + similar("norm", "company_normalized", "title_normalized") + " SELECT * FROM near",
-    "page_near_duplicates": "WITH " + _PAGE_TITLES + "," + similar("titles", "host", "title_key") + " SELECT * FROM near",
+    "part_near_duplicates": "WITH " + _PART_NAMES + "," + similar("names", "p_brand", "name") + " SELECT * FROM near",
     "duplicate_groups": GROUPS + " SELECT DISTINCT fingerprint, title_normalized, members, component, canonical_id FROM elected",
     "canonical_pointers": GROUPS + " SELECT source_url AS id, nullif(canonical_id, source_url) AS canonical_id FROM elected",
     "reparented": POST + """ SELECT d.source_url AS id, CASE WHEN c.source_id = 2 THEN c.source_url || '#new' ELSE c.source_url END AS canonical_job_id
