@@ -134,7 +134,8 @@ def posting_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SOURCES_SQL, nation=table(spark, sf_dir, "nation"))
+    rows = spark.sql(SOURCES_SQL, nation=table(spark, sf_dir, "nation"))
+    return rows.withColumn("last_run_at", F.col("last_run_at").cast("timestamp_ntz"))
 
 
 def page_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
