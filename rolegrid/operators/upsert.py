@@ -91,13 +91,15 @@ def event_outcomes(events: DataFrame, keys: tuple[str, ...], seq: str,
 
     Equal to a ranking per key, but a key's events are never brought together:
     the first sequence number per key is a partial aggregate, and the events
-    meet it as a lookup of one row per key.
+    meet it by key *and* sequence number, which spreads a hot key evenly.
+    ``seq`` must be unique within a key.
     """
-    first = events.groupBy(*keys).agg(F.min(seq).alias("__first"))
+    first = events.groupBy(*keys).agg(F.min(seq).alias(seq))
     if target is not None:
         first = first.join(target.select(*keys), list(keys), "left_anti")
-    return (events.join(first, list(keys), "left")
-            .withColumn("was_inserted", F.coalesce(F.col(seq) == F.col("__first"), F.lit(False)))
+    first = first.withColumn("__first", F.lit(True))
+    return (events.join(first, [*keys, seq], "left")
+            .withColumn("was_inserted", F.coalesce("__first", F.lit(False)))
             .drop("__first"))
 
 
