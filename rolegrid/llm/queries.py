@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rolegrid.llm import minhash
+from rolegrid.llm import decontaminate, minhash, packing, quality_rules, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +19,82 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a window of a benchmark item."""
+    found = decontaminate.verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that an earlier document has in the same window."""
+    return substrings.dedup(_table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents packed into windows of 1024 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and the verdict of bounds and outlier test."""
+    return quality_rules.judge(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public vocabulary file; never copied into the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
+    "op4_decontaminate": op4_decontaminate,
+    "op6_substrings": op6_substrings,
+    "op7_packing": op7_packing,
+    "op8_quality_rules": op8_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN_WORDS = f"regexp_extract_all({_AZ}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op4_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {_PLAIN_WORDS} AS w FROM documents),
+        i AS (SELECT item_id, {_PLAIN_WORDS} AS w FROM benchmark),
+        p AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, k, k + least(13, len(w)) - 1), ' ') AS g,
+                     least(13, len(w)) AS n
+              FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS k
+                    FROM i WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT n FROM p),
+        g AS (SELECT doc_id, k, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS g
+              FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k
+                    FROM d, sizes WHERE len(w) >= n)),
+        h AS (SELECT g.doc_id, g.k, g.n, p.item_id FROM g JOIN p ON g.g = p.g AND g.n = p.n),
+        hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit
+                FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS j FROM h) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+                  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+               coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op6_substrings": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+                   FROM documents),
+        g AS (SELECT doc_id, k, sha256(array_to_string(list_slice(w, k, k + 49), ' ')) AS g
+              FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS k FROM d WHERE len(w) >= 50)),
+        lows AS (SELECT g, min(doc_id) AS lo FROM g GROUP BY g),
+        gone AS (SELECT DISTINCT doc_id, unnest(generate_series(k, k + 49)) AS j
+                 FROM g JOIN lows USING (g) WHERE doc_id > lo),
+        cut AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id),
+        kept AS (SELECT doc_id, len(w) AS n, coalesce(len(js), 0) AS r,
+                        list_select(w, list_filter(generate_series(1, len(w)),
+                                    lambda j: js IS NULL OR NOT list_contains(js, j))) AS k
+                 FROM d LEFT JOIN cut USING (doc_id))
+        SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed,
+               sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept""",
+}
