@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegrid.llm import decontaminate, minhash, packing, quality_rules, substrings
+from rolegrid.llm import decontaminate, minhash, packing, quality_rules, secret_scan, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts, a digest of the base findings, all spans."""
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    base = F.filter("findings", lambda f: f["kind"] != "cnn")
+    spelled = lambda fs: F.array_join(F.transform(fs, lambda f: F.concat_ws(
+        ":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+                        F.sha2(spelled(base).cast("binary"), 256).alias("base_sha256"),
+                        spelled(F.col("findings")).alias("spans"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents on two-word shingles."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
@@ -51,6 +63,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_minhash": op2_minhash,
     "op4_decontaminate": op4_decontaminate,
     "op6_substrings": op6_substrings,
