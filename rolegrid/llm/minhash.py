@@ -11,10 +11,12 @@ Runs of ``BAND_ROWS`` compressed registers are the bucket keys of the search.
 Two sets with similarity 0.8 share none of the 32 bands with a probability of
 3e-6. Every pair that meets in a band is either already in one component or
 is tested: first by the similarity estimated from the registers, corrected for
-chance collisions and given six standard deviations of room, then on the full
-sets. Pairs inside a group of copies are not enumerated: members of a band
-bucket are compared with one hub, then those apart from it with a second one,
-and only what is still in different components is compared pair by pair.
+chance collisions and given ``ROOM`` standard deviations of room, then on the
+full sets. Pairs inside a group of copies are not enumerated: members of a band
+bucket are compared with a hub, the member with the fewest shingles of its own
+(the text that the others were made from, if it is there), then those apart
+from it with a second hub. What is still in different components meets on the
+rarest shingles of each set (prefix and position filter, which lose no pair).
 
 Results: identical sets share a class; a text without a word has no set and
 no link; a row without ``doc_id`` is linked with nothing and kept; repeated
@@ -42,6 +44,7 @@ MANTISSA_BITS = 10
 # sum over counts of 4**-count, over 2**MANTISSA_BITS mantissas.
 COLLISION = 1 / 3 / 2 ** MANTISSA_BITS
 HUB_ROUNDS = 2
+ROOM = 4.5
 
 _EDGES = np.array([math.ceil(i * 2 ** 64 / BUCKETS) for i in range(BUCKETS)], np.uint64)
 _SPAN = 2 ** 64 / BUCKETS
@@ -130,7 +133,7 @@ def _promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                        lambda total, x: total + x)
     estimate = (same / BUCKETS - COLLISION) / (1 - COLLISION)
     t = percent / 100
-    room = 6 * F.sqrt(F.lit(t * (1 - t)) / F.least("na", "nb", F.lit(BUCKETS)))
+    room = ROOM * F.sqrt(F.lit(t * (1 - t)) / F.least("na", "nb", F.lit(BUCKETS)))
     return (pairs.join(side("a"), "a").join(side("b"), "b")
             .where(estimate >= t - room).select("a", "b"))
 
@@ -145,16 +148,43 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("a", "b"))
 
 
+def _ranked(sets: DataFrame, percent: int) -> DataFrame:
+    """``cls, n, own, prefix``: size, shingles no other set has, rarest shingles first.
+
+    The prefix is long enough to hold a shingle of every partner that reaches
+    the threshold; rarity is counted over ``sets``.
+    """
+    each = sets.select("cls", F.explode("shingles").alias("shingle"))
+    common = write_once(each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "frequent")
+    ranked = (each.join(common, "shingle", "left").groupBy("cls")
+              .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle"))).alias("all")))
+    n = F.size("all")
+    return write_once(ranked.select(
+        "cls", n.cast("long").alias("n"),
+        F.size(F.filter("all", lambda s: s["df"] == 1)).cast("long").alias("own"),
+        F.slice("all.shingle", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1).alias("prefix")), "ranked")
+
+
+def _meeting(open_classes: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that the prefix and position filters allow."""
+    side = lambda c: (ranked.join(open_classes, "cls")
+                      .select(F.posexplode("prefix").alias(f"p{c}", "shingle"), F.col("cls").alias(c),
+                              F.col("n").alias(f"n{c}"), F.col("root").alias(f"root_{c}")))
+    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    return (side("a").join(side("b"), "shingle")
+            .where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")))
+            .where(rest * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+            .select("a", "b"))
+
+
 def class_components(docs: DataFrame, signed: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``cls, root`` of every class that is linked with another class."""
     reps = write_once(signed.where(F.col("registers").isNotNull())
                       .dropDuplicates(["cls"]).select("cls", "n_shingles", "registers"), "reps")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(
         i, F.slice("registers", i * BAND_ROWS + 1, BAND_ROWS)))
-    rows = reps.select(F.explode(keys).alias("key"), "cls", F.col("n_shingles").alias("n"))
-    shared = (rows.groupBy("key").agg(F.count("*").alias("size"),
-                                      F.min(F.struct("cls", "n")).alias("hub"))
-              .where("size > 1").drop("size"))
+    rows = reps.select(F.explode(keys).alias("key"), "cls")
+    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     rows = write_once(rows.join(shared, "key"), "bands")
 
     wanted = rows.select("cls").distinct()
@@ -163,6 +193,8 @@ def class_components(docs: DataFrame, signed: DataFrame, shingle: int, percent:
                          .select("doc_id").distinct(), "holders")
     sets = write_once(_sets(only_ids(docs, holders), shingle).join(wanted, "cls", "left_semi")
                       .dropDuplicates(["cls"]), "sets")
+    ranked = _ranked(sets, percent)
+    rows = write_once(rows.join(ranked.select("cls", "n", "own"), "cls"), "members")
 
     def links(pairs):
         return write_once(_verified(_promising(pairs.distinct(), reps, percent), sets, percent), "links")
@@ -171,32 +203,25 @@ def class_components(docs: DataFrame, signed: DataFrame, shingle: int, percent:
         return write_once(connected_components(edges, "a", "b")
                           .select(F.col("node").alias("cls"), F.col("component").alias("root")), "roots")
 
-    edges = links(rows.where(F.col("cls") != F.col("hub.cls"))
-                  .where(_fits(F.col("n"), F.col("hub.n"), percent))
-                  .select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")))
+    def star(members):
+        """Each member of a bucket with the bucket's hub."""
+        hubs = members.groupBy("key").agg(F.min(F.struct("own", "cls", "n")).alias("hub"))
+        return (members.join(hubs, "key").where(F.col("cls") != F.col("hub.cls"))
+                .where(_fits(F.col("n"), F.col("hub.n"), percent))
+                .select(F.least("hub.cls", "cls").alias("a"), F.greatest("hub.cls", "cls").alias("b")))
+
+    edges = links(star(rows))
     roots = settle(edges)
     for last in [False] * (HUB_ROUNDS - 1) + [True]:
-        labelled = (rows.select("key", "cls", "n").join(roots, "cls", "left")
-                    .withColumn("root", F.coalesce("root", "cls")))
+        labelled = (rows.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
         sizes = (labelled.groupBy("key", "root").agg(F.count("*").alias("size"))
                  .groupBy("key").agg(F.max(F.struct("size", "root")).alias("most"), F.count("*").alias("roots"))
                  .where("roots > 1").select("key", F.col("most.root").alias("most")))
-        open_rows = write_once(labelled.join(sizes, "key"), "open")
-        apart = open_rows.where(F.col("root") != F.col("most"))
+        apart = labelled.join(sizes, "key")
         if last:
-            left = apart.select("key", F.col("cls").alias("a"), F.col("n").alias("na"),
-                                F.col("root").alias("root_a"))
-            right = open_rows.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"),
-                                     F.col("root").alias("root_b"), "most")
-            found = (left.join(right, "key").where(F.col("root_a") != F.col("root_b"))
-                     .where(_fits(F.col("na"), F.col("nb"), percent))
-                     .where((F.col("root_b") == F.col("most")) | (F.col("a") < F.col("b")))
-                     .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+            found = _meeting(write_once(apart.select("cls", "root").distinct(), "open"), ranked, percent)
         else:
-            hubs = apart.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("hub"))
-            found = (apart.join(hubs, "key").where(F.col("cls") != F.col("hub.cls"))
-                     .where(_fits(F.col("n"), F.col("hub.n"), percent))
-                     .select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")))
+            found = star(apart.where(F.col("root") != F.col("most")))
         edges = edges.unionByName(links(found))
         roots = settle(edges)
     return roots
