@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolegrid.llm import decontaminate, minhash, packing, quality_rules, secret_scan, substrings
+from rolegrid.llm import (
+    decontaminate, html_blocks, kneser_ney, minhash, packing, quality_rules, secret_scan, substrings, token_edits, toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,22 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op3_token_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after edits all over its text.
+
+    The edits come from the text itself: one for every 1000 code points, at
+    least one, each deleting up to six and inserting up to twelve code points
+    of another place.
+    """
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    last = F.floor(F.length("text") / 1000).cast("int")
+    docs = docs.withColumn("edits", F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
+        (i * 983 + 7).alias("start"), (i % 7).alias("deleted"),
+        F.col("text").substr(i * 611 + 1, i % 13).alias("inserted"))))
+    path = tokenizer_path()
+    return token_edits.recount(token_edits.build(docs, path), path)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand in a window of a benchmark item."""
     found = decontaminate.verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -39,6 +57,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels of four folds of five."""
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that an earlier document has in the same window."""
     return substrings.dedup(_table(spark, sf_dir, "documents"))
@@ -55,6 +78,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under its language's trusted text, and the verdict."""
+    return kneser_ney.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_blocks.extract(_table(spark, sf_dir, "pages"))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Place of a public vocabulary file; never copied into the repository."""
     import public_tokenizers
@@ -65,10 +98,14 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_minhash": op2_minhash,
+    "op3_token_edits": op3_token_edits,
     "op4_decontaminate": op4_decontaminate,
+    "op5_toxicity": op5_toxicity,
     "op6_substrings": op6_substrings,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_kneser_ney": op9_kneser_ney,
+    "op10_html_blocks": op10_html_blocks,
 }
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
