@@ -22,7 +22,6 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,14 +112,14 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-         block_bytes: int = BLOCK_BYTES) -> DataFrame:
+         block_bytes: int = BLOCK_BYTES, keep_key: bool = False) -> DataFrame:
     """``doc_id, n_words, n_hit, item_ids, spans`` per row of ``docs(doc_id, text)``.
 
     ``item_ids`` are sorted strings; ``spans`` are code point ranges of the
-    original text.
+    original text. ``keep_key`` adds ``key``, the ``xxhash64`` of the text.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     shared = [spark.sparkContext.broadcast({"key": f"{id(b)}-{len(b)}-{i}", "items": b})
               for i, b in enumerate(item_blocks(benchmark, block_bytes))]
 
@@ -129,14 +128,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             patterns = _patterns(block, window)
             for batch in it:
                 out = {k: [] for k in ("doc_id", "key", "n_words", "n_hit", "item_ids", "spans")}
-                for doc_id, raw in zip(values(batch, "doc_id"), raw_texts(batch), strict=True):
+                for doc_id, raw, key in zip(values(batch, "doc_id"), raw_texts(batch), values(batch, "key"), strict=True):
                     words = words_of(raw or b"")
                     spans, items = patterns.scan(words)
                     if not (spans or every):
                         continue
                     spans = merged(spans)
                     out["doc_id"].append(doc_id)
-                    out["key"].append(xxhash.xxh3_64_intdigest(raw or b"") - 2 ** 63)
+                    out["key"].append(key)
                     out["n_words"].append(len(words))
                     out["n_hit"].append(sum(b - a for a, b in spans))
                     out["item_ids"].append(sorted(items))
@@ -150,9 +149,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     schema = ("doc_id long, key long, n_words long, n_hit long, item_ids array<string>, "
               "spans array<struct<start:long,end:long>>")
     parts = [map_rows(docs, scanner(b, i == 0), schema) for i, b in enumerate(shared)]
-    if len(parts) == 1:
-        return parts[0].drop("key")
-    return _merge_blocks(docs, parts, schema)
+    found = parts[0] if len(parts) == 1 else _merge_blocks(docs, parts, schema)
+    return found if keep_key else found.drop("key")
 
 
 def _merge_blocks(docs: DataFrame, parts: list[DataFrame], schema: str) -> DataFrame:
@@ -174,23 +172,17 @@ def _merge_blocks(docs: DataFrame, parts: list[DataFrame], schema: str) -> DataF
                 text = (raw or b"").decode()
                 hits.append(sum(len(words_of(text[s["start"]:s["end"]].encode())) for s in row))
             cols = {name: batch.column(batch.schema.get_field_index(name))
-                    for name in ("doc_id", "n_words", "item_ids")}
+                    for name in ("doc_id", "key", "n_words", "item_ids")}
             yield pa.RecordBatch.from_pydict({**cols, "n_hit": pa.array(hits, pa.int64()),
                                               "spans": pa.array(spans, _SPANS)}).select(
-                ["doc_id", "n_words", "n_hit", "item_ids", "spans"])
+                ["doc_id", "key", "n_words", "n_hit", "item_ids", "spans"])
 
-    def keyed(it):
-        for batch in it:
-            keys = [xxhash.xxh3_64_intdigest(raw or b"") - 2 ** 63 for raw in raw_texts(batch)]
-            yield pa.RecordBatch.from_pydict({"text_key": pa.array(keys, pa.int64()),
-                                              "text_id": batch.column(0), "text": batch.column(1)})
-
-    texts = map_rows(docs, keyed, "text_key long, text_id long, text string").dropDuplicates(
+    texts = docs.select(F.col("doc_id").alias("text_id"), F.col("key").alias("text_key"), "text").dropDuplicates(
         ["text_key", "text_id"])
     once = joined.join(texts, (F.col("key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("text_id")))
-    once = once.select("doc_id", "n_words", "item_ids", "spans", "text",
+    once = once.select("doc_id", "key", "n_words", "item_ids", "spans", "text",
                        F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy"))
-    return map_rows(once, unite, schema.replace("key long, ", ""))
+    return map_rows(once, unite, schema)
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE,
@@ -198,3 +190,32 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
     """:func:`scan` with ``contaminated``: hit words make one word in ``share`` or more."""
     return scan(docs, benchmark, window, block_bytes).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE,
+               block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the contaminated rows; all columns pass through.
+
+    The verdicts of a benchmark of several blocks are joined back by id and
+    text hash.
+    """
+    blocks = item_blocks(benchmark, block_bytes)
+    if len(blocks) > 1:
+        bad = (scan(docs, benchmark, window, block_bytes, keep_key=True)
+               .where((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+               .select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct())
+        same = (F.xxhash64("text") == F.col("bad_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id"))
+        return docs.join(bad, same, "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast({"key": f"{id(blocks)}-{len(blocks[0])}", "items": blocks[0]})
+
+    def run(it):
+        patterns = _patterns(shared, window)
+        for batch in it:
+            keep = []
+            for raw in raw_texts(batch):
+                words = words_of(raw or b"")
+                hit = sum(b - a for a, b in merged(patterns.scan(words)[0]))
+                keep.append(not (hit and hit * share >= len(words)))
+            yield batch.filter(pa.array(keep))
+
+    return map_rows(docs, run, docs.schema)
