@@ -26,15 +26,6 @@ MODE_PATTERNS = (
     ("onsite", r"(?i)\bon[\s-]?site\b|\bwfo\b|work from office|kerja di kantor"),
 )
 
-# words of which one must occur for the pattern to match, for a cheap first look
-MODE_NEEDLES = {
-    "hybrid": ("hybrid",),
-    "remote": ("remote", "wfh", "wfa", "work from home", "work from anywhere",
-               "kerja dari rumah", "kerja jarak jauh"),
-    "onsite": ("site", "wfo", "work from office", "kerja di kantor"),
-}
-YEARS_NEEDLES = ("year",) * 6 + ("tahun",) * 4
-
 # seniority words of a title, in order of precedence
 LEVEL_PATTERNS = (
     ("lead", r"(?i)\blead\b"),
@@ -57,13 +48,11 @@ YEARS_PATTERNS = (
     r"(?i)(\d+)\s*tahun\s*pengalaman",
     r"(?i)pengalaman\s*(?:kerja\s*)?(?:minimal\s*)?(\d+)\s*tahun",
 )
-YEARS_REJECTING = 5  # index of the pattern with the rejecting group
 
 # salary
 _UNIT = r"(jt|juta|jutaan|rb|ribu|ribuan)"
 _TO = r"-|–|—|~|s/d|s\.d\.?|sampai(?:\s+dengan)?|hingga"
-SALARY_VAGUE = (r"(?i)\b(negotiable|competitive|nego|kompetitif|undisclosed|confidential"
-                r"|tbd)\b")
+SALARY_VAGUE = r"(?i)\b(negotiable|competitive|nego|kompetitif|undisclosed|confidential|tbd)\b"
 SALARY_FOREIGN = r"(?i)[$€£]|\b(usd|sgd|myr|eur|gbp)\b"
 SALARY_CURRENCY = r"(?i)\b(rp|idr)\.?\s*"
 SALARY_PERIOD = r"(?i)/\s*(bulan|bln|month)\b|\bper\s*(bulan|month)\b"
@@ -78,6 +67,17 @@ UNIT_FACTORS = (
 )
 # --- end of fixed values ----------------------------------------------------
 
+YEARS_REJECTING = 5  # index of the pattern with the rejecting group
+
+# words of which one must occur for the pattern to match, for a cheap first look
+MODE_NEEDLES = {
+    "hybrid": ("hybrid",),
+    "remote": ("remote", "wfh", "wfa", "work from home", "work from anywhere",
+               "kerja dari rumah", "kerja jarak jauh"),
+    "onsite": ("site", "wfo", "work from office", "kerja di kantor"),
+}
+YEARS_NEEDLES = ("year",) * 6 + ("tahun",) * 4
+
 _BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 _SPACE = r"\t\n\f\r "
 

@@ -43,39 +43,34 @@ def elect_canonical(df: DataFrame, *group: str) -> DataFrame:
 def match_edges(nodes: DataFrame) -> DataFrame:
     """Edges between duplicate keys: ``nodes`` has the NODE columns and ``node``.
 
-    The OR of the rule becomes three equi-joins. Keys with the same
-    fingerprint, or the same company and title, are tied to the smallest of
-    them (a star, not all pairs); similar titles are tied once per title pair.
+    The OR of the rule becomes two equi-joins. Keys with the same fingerprint
+    are tied to the smallest of them (a star, not all pairs); similar titles
+    are tied once per title pair. Keys with the same company and title need no
+    tie of their own: the fingerprint is made of both. A column ``changed``
+    limits the title pairs to those with a changed key.
     """
-    def star(*keys: str) -> DataFrame:
-        low = nodes.groupBy(*keys).agg(F.min("node").alias("v"), F.count("*").alias("n"))
-        return (nodes.join(low.where(F.col("n") > 1), list(keys))
-                .where(F.col("node") != F.col("v"))
-                .select(F.col("node").alias("u"), "v"))
-
-    titles = nodes.groupBy("company_id", "title_normalized").agg(F.min("node").alias("node"))
-    pairs = similar_pairs(nodes, "company_id", "title_normalized")
-    a = titles.select(F.col("company_id").alias("block"),
-                      F.col("title_normalized").alias("text_a"), F.col("node").alias("u"))
-    b = titles.select(F.col("company_id").alias("block"),
-                      F.col("title_normalized").alias("text_b"), F.col("node").alias("v"))
-    similar = pairs.join(a, ["block", "text_a"]).join(b, ["block", "text_b"]).select("u", "v")
-    return (star("fingerprint").unionByName(star("company_id", "title_normalized"))
-            .unionByName(similar).distinct())
+    low = nodes.groupBy("fingerprint").agg(F.min("node").alias("v"), F.count("*").alias("n"))
+    star = (nodes.join(low.where(F.col("n") > 1), "fingerprint").where(F.col("node") != F.col("v"))
+            .select(F.col("node").alias("u"), "v"))
+    similar = similar_pairs(nodes, "company_id", "title_normalized", ident="node",
+                            changed="changed" if "changed" in nodes.columns else None)
+    return star.unionByName(similar.select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))).distinct()
 
 
 def duplicate_groups(postings: DataFrame) -> DataFrame:
     """One row per duplicate key with its group and the group's canonical id.
 
-    Columns: the NODE columns, ``members`` (postings of the key), ``component``
+    A boolean column ``changed`` tells the postings whose match with the others
+    is not settled yet; without it all are compared with all. Columns: the NODE columns, ``members`` (postings of the key), ``component``
     (smallest posting id of the group), ``canonical_id``.
     """
+    marks = [F.max("changed").alias("changed")] if "changed" in postings.columns else []
     nodes = (postings.groupBy(*NODE)
              .agg(F.min("id").alias("node"), F.min(preference()).alias("best"),
-                  F.count("*").alias("members")))
+                  F.count("*").alias("members"), *marks))
     components = connected_components(match_edges(nodes))
     labelled = (nodes.join(components, "node", "left")
-                .withColumn("component", F.coalesce("component", "node")).drop("node"))
+                .withColumn("component", F.coalesce("component", "node")).drop("node", "changed"))
     winners = (labelled.groupBy("component").agg(F.min("best").alias("w"))
                .select("component", F.col("w.id").alias("canonical_id")))
     return labelled.drop("best").join(winners, "component")
@@ -93,9 +88,10 @@ def resolve(postings: DataFrame) -> DataFrame:
 def reparent(postings: DataFrame, moved: DataFrame) -> DataFrame:
     """Repoint followers of displaced postings; ``moved``: old_id, new_id.
 
-    One hop keeps the forest flat, because ``moved`` maps to final winners.
+    One hop keeps the forest flat, because ``moved`` maps to final winners. A
+    posting moved to several is moved to the smallest id.
     """
-    m = moved.select(F.col("old_id").alias("__old"), F.col("new_id").alias("__new"))
+    m = moved.groupBy(F.col("old_id").alias("__old")).agg(F.min("new_id").alias("__new"))
     return (postings.join(m, postings["canonical_job_id"] == F.col("__old"), "left")
             .withColumn("canonical_job_id", F.coalesce("__new", "canonical_job_id"))
             .drop("__old", "__new"))
@@ -109,7 +105,7 @@ def apply_pointers(postings: DataFrame, pointers: DataFrame) -> DataFrame:
     Adds ``was_moved``.
     """
     p = (pointers.where(F.col("canonical_id").isNotNull())
-         .select(F.col("id").alias("__id"), F.col("canonical_id").alias("__to")))
+         .groupBy(F.col("id").alias("__id")).agg(F.min("canonical_id").alias("__to")))
     anchor = F.coalesce(postings["canonical_job_id"], postings["id"])
     return (postings.join(p, anchor == F.col("__id"), "left")
             .withColumns({"canonical_job_id": F.coalesce("__to", "canonical_job_id"),
@@ -117,21 +113,34 @@ def apply_pointers(postings: DataFrame, pointers: DataFrame) -> DataFrame:
             .drop("__id", "__to"))
 
 
-def manual_merge(postings: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Moderator merges ``job_id -> canonical_id``; self-references are rejected.
+SELF_MERGE = "a posting cannot be a duplicate of itself"
+UNKNOWN_TARGET = "the target of the merge does not exist"
+UNKNOWN_POSTING = "the posting to merge does not exist"
 
-    Sets the pointer only, as a merge by hand does: followers stay.
-    Returns the postings and the rejected merges.
+
+def manual_merge(postings: DataFrame, merges: DataFrame, seq: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Moderator merges ``job_id -> canonical_id``.
+
+    Merges of a posting into itself, into an unknown posting or of an unknown
+    posting are rejected. Of several merges of one posting the last by the
+    column ``seq`` counts (without it, or in a tie, the largest target), so a
+    posting never multiplies. Sets the pointer only, as a merge by hand does:
+    followers stay. Returns the postings and the rejected merges.
     """
-    self_ref = F.col("job_id") == F.col("canonical_id")
-    good = merges.where(~self_ref).select(
-        F.col("job_id").alias("__job"), F.col("canonical_id").alias("__to"))
+    targets = postings.select(F.col("id").alias("canonical_id"), F.lit(True).alias("__target"))
+    jobs = postings.select(F.col("id").alias("job_id"), F.lit(True).alias("__known"))
+    checked = (merges.join(targets, "canonical_id", "left").join(jobs, "job_id", "left")
+               .withColumn("error", F.when(F.col("job_id") == F.col("canonical_id"), SELF_MERGE)
+                           .when(F.col("__target").isNull(), UNKNOWN_TARGET)
+                           .when(F.col("__known").isNull(), UNKNOWN_POSTING)).drop("__target", "__known"))
+    order = F.col(seq) if seq else F.lit(0)
+    good = (checked.where(F.col("error").isNull()).groupBy(F.col("job_id").alias("__job"))
+            .agg(F.max(F.struct(order.alias("seq"), "canonical_id")).alias("last"))
+            .select("__job", F.col("last.canonical_id").alias("__to")))
     merged = (postings.join(good, postings["id"] == F.col("__job"), "left")
               .withColumn("canonical_job_id", F.coalesce("__to", "canonical_job_id"))
               .drop("__job", "__to"))
-    rejected = merges.where(self_ref).withColumn(
-        "error", F.lit("a posting cannot be a duplicate of itself"))
-    return merged, rejected
+    return merged, checked.where(F.col("error").isNotNull()).select(*merges.columns, "error")
 
 
 def duplicates_of(postings: DataFrame, canonicals: DataFrame | None = None) -> DataFrame:

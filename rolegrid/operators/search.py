@@ -70,13 +70,47 @@ def save_token_table(tokens: DataFrame, path: str) -> None:
      .write.mode("errorifexists").parquet(path))
 
 
-def search_by_tokens(tokens: DataFrame, all_of: list[str]) -> DataFrame:
-    """Documents of a token table that hold every asked token."""
-    wanted = sorted({t.lower() for t in all_of})
-    return (tokens.where(F.col("token").isin(wanted))
-            .select("doc_id", "token").distinct()
-            .groupBy("doc_id").agg(F.count("*").alias("n"))
-            .where(F.col("n") == len(wanted)).select("doc_id"))
+def _tokens_of(term: str) -> list[str]:
+    """Tokens of a search term, cut as ``search_form`` cuts texts."""
+    return "".join(c if c.isalnum() else " " for c in term.lower()).split()
+
+
+def search_by_tokens(tokens: DataFrame, all_of=(), any_of=(), none_of=()) -> DataFrame:
+    """Documents of a token table by the rules of ``text_matches``.
+
+    A term is a run of tokens. Only rows of asked tokens are read; a row votes
+    for the place where its term would start, and a place with a vote of every
+    token of the term is a hit. The rows are dealt by document once, and both
+    counts happen there: votes per term and place, hits per document.
+
+    Documents that hold none of the asked tokens are no rows here, so a search
+    of exclusions alone finds only documents that hold another asked token.
+    """
+    terms = [_tokens_of(t) for t in (*all_of, *any_of, *none_of)]
+    need, either = len(all_of), len(all_of) + len(any_of)
+    if not terms or not all(terms[:need]) or (any_of and not any(terms[need:either])):
+        return tokens.select("doc_id").limit(0)
+    votes = [(i, k, word) for i, term in enumerate(terms) for k, word in enumerate(term)]
+    wanted = sorted({word for _, _, word in votes})
+    cast = F.filter(F.array(*[F.when(F.col("token") == word, F.struct(
+        F.lit(i).alias("term"), F.lit(k).alias("at"))) for i, k, word in votes]), lambda v: v.isNotNull())
+    rows = (tokens.where(F.col("token").isin(wanted)).repartition("doc_id")
+            .select("doc_id", "pos", F.explode(cast).alias("v"))
+            .select("doc_id", F.col("v.term").alias("term"), (F.col("pos") - F.col("v.at")).alias("start"), "v.at"))
+    sizes = F.element_at(F.array(*[F.lit(len(t)) for t in terms]), F.col("term") + 1)
+    bit = lambda name: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(name))
+    places = (rows.groupBy("doc_id", "term", "start").agg(F.bit_count(F.bit_or(bit("at"))).alias("n"))
+              .where(F.col("n") == sizes))
+    hits = places.groupBy("doc_id").agg(F.bit_or(bit("term")).alias("hit"))
+    has = lambda i: F.col("hit").bitwiseAND(1 << i) != 0
+    test = F.lit(True)
+    for i in range(need):
+        test = test & has(i)
+    if any_of:
+        test = test & (F.col("hit").bitwiseAND(sum(1 << i for i in range(need, either))) != 0)
+    for i in range(either, len(terms)):
+        test = test & ~has(i)
+    return hits.where(test).select("doc_id")
 
 
 # --- filters ----------------------------------------------------------------
@@ -154,10 +188,11 @@ def page_boundaries(df: DataFrame, limit: int | None = None, when: str = "posted
     A ranking over the whole table would run in one task. Here the keys are
     range-sorted, numbered within their partition, and shifted by the sizes of
     the partitions before it; that offset table has one row per partition,
-    whatever the data. The sorted keys are checkpointed so that numbering and
+    whatever the data. ``limit`` is taken as it is: the clamp belongs to the
+    listing. The sorted keys are checkpointed so that numbering and
     offsets see the same partitions.
     """
-    size = clamp_limit(limit)
+    size = DEFAULT_PAGE_SIZE if limit is None or limit <= 0 else limit
     ordered = cut(
         df.select(F.col(when).alias("when"), F.col(key).alias("key"))
         .orderBy(F.col("when").desc_nulls_last(), F.col("key").desc())
@@ -218,12 +253,21 @@ def public_json(postings: DataFrame) -> DataFrame:
     return postings.select("id", F.to_json(fields).alias("json"))
 
 
-def detail(postings: DataFrame, companies: DataFrame, value) -> DataFrame:
-    """A posting and every listing merged into it, in long form.
+def details(postings: DataFrame, companies: DataFrame, asked: DataFrame) -> DataFrame:
+    """Every asked posting (column ``id``) and the listings merged into it.
 
-    ``role`` is ``job`` or ``duplicate``; duplicates come oldest first.
+    Long form: ``asked_id``, ``role`` (``job`` or ``duplicate``) and the
+    posting's columns. A posting asked for that is a duplicate itself comes
+    alone: listings are merged into canonical postings only.
     """
-    rows = postings.where((F.col("id") == F.lit(value)) | (F.col("canonical_job_id") == F.lit(value)))
-    role = F.when(F.col("id") == F.lit(value), "job").otherwise("duplicate")
-    return (with_company(rows, companies).withColumn("role", role)
+    ids = asked.select(F.col("id").alias("asked_id")).distinct()
+    jobs = postings.join(ids, postings["id"] == ids["asked_id"]).withColumn("role", F.lit("job"))
+    merged = postings.join(ids, postings["canonical_job_id"] == ids["asked_id"]).withColumn("role", F.lit("duplicate"))
+    return with_company(jobs.unionByName(merged), companies)
+
+
+def detail(postings: DataFrame, companies: DataFrame, value) -> DataFrame:
+    """One posting and every listing merged into it, duplicates oldest first."""
+    asked = postings.where(F.col("id") == F.lit(value)).select("id")
+    return (details(postings, companies, asked).drop("asked_id")
             .orderBy(F.col("role").desc(), "first_seen_at", "first_seq"))

@@ -38,11 +38,16 @@ def _rarity_classes(texts: DataFrame) -> bytes:
     return bytes(classes)
 
 
-def similar_pairs(items: DataFrame, block: str, text: str,
-                  tenths: int = SIMILARITY_TENTHS, slice_rows: int = 20_000) -> DataFrame:
+def similar_pairs(items: DataFrame, block: str, text: str, ident: str | None = None,
+                  changed: str | None = None, tenths: int = SIMILARITY_TENTHS,
+                  slice_rows: int = 20_000) -> DataFrame:
     """Distinct texts of one block whose trigram similarity is > tenths/10.
 
-    Returns ``block, text_a, text_b, shared, total`` with ``text_a < text_b``.
+    Returns ``block, text_a, text_b, shared, total`` with ``text_a < text_b``,
+    and ``id_a, id_b`` (the smallest ``ident`` of either text) if asked for.
+    With ``changed``, a boolean column, only pairs with a changed text are
+    formed: one side of the join is the changed texts alone. Meant for keys of
+    ``[0-9a-z]``; other characters only separate words.
     Exact: prefix filtering (Bayardo et al., WWW 2007) with the positional
     bound of Xiao et al. (WWW 2008).
 
@@ -54,13 +59,16 @@ def similar_pairs(items: DataFrame, block: str, text: str,
     * A pair is accepted at its first shared trigram only, which makes the
       result distinct without another shuffle; size, position and the exact
       test are part of the join condition, so rejected pairs are never rows.
-    * A trigram that is frequent overall is cut into slices of at most
-      ``slice_rows`` rows: one side picks a slice, the other visits all of
-      them, so a hot block spreads over many tasks and no pair is lost.
+    * A trigram that is frequent *within its block* is cut into slices of at
+      most ``slice_rows`` rows: one side picks a slice, the other visits all of
+      them, so a hot block spreads over many tasks and no pair is lost. Only
+      (block, trigram) keys above that bound are in the table of slices; rows
+      of all other keys stay single.
     """
     texts = stage(
-        items.select(F.col(block).alias("block"), F.col(text).alias("text"))
-        .where(F.col("text") != "").distinct()
+        items.where(F.col(text) != "").groupBy(F.col(block).alias("block"), F.col(text).alias("text"))
+        .agg(F.min(ident).alias("id") if ident else F.lit(None).cast("string").alias("id"),
+             F.max(changed).alias("changed") if changed else F.lit(True).alias("changed"))
         .withColumn("codes", trigram_codes(F.col("text"))), "texts")
     # class and code in one number: sorting it sorts by rarity, and equal
     # numbers are equal trigrams
@@ -72,15 +80,17 @@ def similar_pairs(items: DataFrame, block: str, text: str,
 
     n = F.coalesce(F.size("gs"), F.lit(0))  # never NULL: no filter repeats the sort
     entries = (
-        texts.select("block", "text", F.array_sort(F.transform("codes", ranked)).alias("gs"))
-        .select("block", "text", "gs", n.alias("n"),
+        texts.select("block", "text", "id", "changed", F.array_sort(F.transform("codes", ranked)).alias("gs"))
+        .select("block", "text", "id", "changed", "gs", n.alias("n"),
                 F.posexplode_outer(F.slice("gs", F.lit(1), n - F.floor(n * tenths / 10).cast("int")))
                 .alias("pos", "g"))
         .where(F.col("g").isNotNull()))
-    frequency = F.pow(F.lit(2), F.floor(F.col("g") / _SHIFT) - 1)
-    slices = F.ceil(frequency / slice_rows).cast("int")
-    left = entries.withColumn("slice", F.pmod(F.xxhash64("text"), slices).cast("int")).alias("l")
-    right = entries.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).alias("r")
+    heavy = (entries.groupBy("block", "g").agg(F.count("*").alias("rows")).where(F.col("rows") > slice_rows)
+             .select("block", "g", F.ceil(F.col("rows") / slice_rows).cast("int").alias("slices")))
+    entries = entries.join(heavy, ["block", "g"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    left = (entries.where("changed")
+            .withColumn("slice", F.pmod(F.xxhash64("text"), F.col("slices")).cast("int")).alias("l"))
+    right = entries.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).alias("r")
     ln, rn = F.col("l.n"), F.col("r.n")
     common = F.array_intersect("l.gs", "r.gs")
     # this trigram and everything after it on the shorter remainder
@@ -88,14 +98,18 @@ def similar_pairs(items: DataFrame, block: str, text: str,
     condition = (
         (F.col("l.block") == F.col("r.block")) & (F.col("l.g") == F.col("r.g"))
         & (F.col("l.slice") == F.col("r.slice"))
-        & (F.col("l.text") < F.col("r.text"))
+        & (F.col("l.text") != F.col("r.text"))
+        & ((F.col("l.text") < F.col("r.text")) | ~F.col("r.changed"))
         & (10 * F.least(ln, rn) > tenths * F.greatest(ln, rn))
         & ((10 + tenths) * reachable > tenths * (ln + rn))
         & (F.get(common, F.lit(0)) == F.col("l.g"))
         & ((10 + tenths) * F.size(common) > tenths * (ln + rn)))
     # sizes are estimated from the stored texts, which the explode multiplies:
     # a broadcast chosen on that estimate could not be trusted
+    first = F.col("l.text") < F.col("r.text")
+    ids = [F.when(first, F.col("l.id")).otherwise(F.col("r.id")).alias("id_a"),
+           F.when(first, F.col("r.id")).otherwise(F.col("l.id")).alias("id_b")] if ident else []
     return (left.join(right.hint("merge"), condition)
-            .select(F.col("l.block").alias("block"), F.col("l.text").alias("text_a"),
-                    F.col("r.text").alias("text_b"), F.size(common).alias("shared"),
+            .select(F.col("l.block").alias("block"), F.least("l.text", "r.text").alias("text_a"),
+                    F.greatest("l.text", "r.text").alias("text_b"), *ids, F.size(common).alias("shared"),
                     (ln + rn - F.size(common)).alias("total")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,17 +14,17 @@ from rolegrid.operators import audit, dedup, search, stats, upsert
 from rolegrid.operators.normalize import normalize_postings
 from rolegrid.operators.replay import replay
 from rolegrid.operators.similarity import pair_similarity, similar_pairs
-from rolegrid.plans.feed import AS_OF, BASE_URL, page_dump, posting_feed, source_table, table, text_table
-from rolegrid.plans.ingest import Run, ingest
-from rolegrid.schemas import POSTING_CONTENT, RAW_POSTINGS, seed_sources
+from rolegrid.plans.feed import AS_OF, BASE_URL, page_dump, posting_feed, source_table, table
+from rolegrid.plans.ingest import Run, ingest, run_feed
+from rolegrid.schemas import POSTING_CONTENT, RAW_POSTINGS
 from rolegrid.session import checkpoint_root, stage
 from rolegrid.sources import pages as page_source
-from rolegrid.sources.feeds import union_feeds
+from rolegrid.sources.feeds import FeedRegistry, arrival_order, union_feeds
 from rolegrid.sources.tables import TABLES, SnapshotStore
 from rolegrid.streaming.ingest import raw_posting_stream, start_ingest
 
+FIRST_RUN = "2024-01-22 00:00:00"  # ten days before AS_OF
 QUERIES = {}
-_STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def query(fn):
@@ -33,27 +32,23 @@ def query(fn):
     return fn
 
 
-def _staged(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Build a derived table once per session and read it back afterwards."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _STAGED:
-        _STAGED[key] = stage(build(spark, sf_dir), name)
-    return _STAGED[key]
-
-
 def _as_of():
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _staged(spark, sf_dir, "normalized",
-                   lambda s, d: normalize_postings(posting_feed(s, d)))
+    """The structured feed; a query computes only the columns it uses."""
+    return normalize_postings(posting_feed(spark, sf_dir))
 
 
-def _build_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest version per key with an exact-copy canonical; every ninth inactive."""
-    rows = upsert.latest_per_key(normalized(spark, sf_dir), upsert.KEY, "ingest_seq",
-                                 "id", "company_name", "company_normalized", *POSTING_CONTENT)
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest version per key with an exact-copy canonical; every ninth inactive.
+
+    Made from the tables by every query that asks for it, and written on the
+    way, so that filters on derived text are filters on stored columns.
+    """
+    rows = stage(upsert.latest_per_key(normalized(spark, sf_dir), upsert.KEY, "ingest_seq",
+                                       "id", "company_name", "company_normalized", *POSTING_CONTENT), "latest")
     seen = rows.withColumn("first_seen_at", _as_of() - F.make_dt_interval(F.col("first_seq") % 30))
     winners = dedup.elect_canonical(seen, "fingerprint").drop("members")
     return (seen.join(winners, "fingerprint")
@@ -66,8 +61,11 @@ def _build_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
             .drop("canonical_id"))
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _staged(spark, sf_dir, "postings", _build_postings)
+def _by_url(rows: DataFrame) -> DataFrame:
+    """Postings with their address for id, in the pointers too."""
+    to = rows.select(F.col("id").alias("canonical_job_id"), F.col("source_url").alias("__to"))
+    return (rows.join(to, "canonical_job_id", "left").drop("canonical_job_id")
+            .withColumnRenamed("__to", "canonical_job_id").withColumn("id", F.col("source_url")))
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +94,7 @@ def normalized_postings(spark, sf_dir):
 @query
 def clean_pages(spark, sf_dir):
     """Readable text of every web page."""
-    return (text_table(spark, sf_dir, "pages")
+    return (table(spark, sf_dir, "pages")
             .select("page_id", F.octet_length("html").cast("long").alias("bytes_in"),
                     html_to_text(F.col("html")).alias("text"))
             .withColumn("bytes_out", F.octet_length("text").cast("long")))
@@ -122,7 +120,7 @@ def salary_profile(spark, sf_dir):
 @query
 def document_tags(spark, sf_dir):
     """Technology tags of the whole text of every document."""
-    return text_table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id", F.array_join(text_tags(F.lit(""), F.col("text")), ",").alias("tags"))
 
 
@@ -173,7 +171,7 @@ def fingerprint_groups(spark, sf_dir):
 @query
 def document_copies(spark, sf_dir):
     """Fingerprint groups over the whole text of every document."""
-    docs = text_table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents").select(
         "doc_id", fingerprint(company_key(F.col("lang")), title_key(F.col("text"))).alias("fingerprint"))
     return (docs.groupBy("fingerprint")
             .agg(F.count("*").alias("members"), F.min("doc_id").alias("first_doc"))
@@ -183,7 +181,7 @@ def document_copies(spark, sf_dir):
 @query
 def search_tokens(spark, sf_dir):
     """Search token table of the documents, summed up per token."""
-    tokens = search.search_tokens(text_table(spark, sf_dir, "documents"), "doc_id",
+    tokens = search.search_tokens(table(spark, sf_dir, "documents"), "doc_id",
                                   search_form(F.col("text")))
     return tokens.groupBy("token").agg(F.count("*").alias("n"), F.max("pos").cast("long").alias("max_pos"))
 
@@ -218,9 +216,15 @@ def page_errors(spark, sf_dir):
 
 @query
 def page_trim(spark, sf_dir):
-    """Pages a crawl would have kept, with the rows they bring."""
-    kept = page_source.trim_page_runs(parsed_pages(spark, sf_dir))
-    return kept.select("keyword", "page", F.size("jobs").cast("long").alias("n_jobs"))
+    """Pages that each of two crawls would have kept, with the rows they bring.
+
+    The second crawl holds every third keyword again.
+    """
+    number = F.substring_index("keyword", " ", -1).cast("long")
+    twice = parsed_pages(spark, sf_dir).withColumn("crawl", F.explode(
+        F.when(number % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    kept = page_source.trim_page_runs(twice, "crawl", "keyword")
+    return kept.select("crawl", "keyword", "page", F.size("jobs").cast("long").alias("n_jobs"))
 
 
 @query
@@ -348,17 +352,25 @@ def text_search(spark, sf_dir):
     form = search_form(F.col("text"))
     hit = search.text_matches(form, all_of=["the", "of the"], any_of=["that", "with"],
                               none_of=["license"])
-    return text_table(spark, sf_dir, "documents").where(hit).select("doc_id", "lang", "source")
+    return table(spark, sf_dir, "documents").where(hit).select("doc_id", "lang", "source")
 
 
 @query
 def token_search(spark, sf_dir):
     """Documents holding every asked token, by the token table."""
-    tokens = search.search_tokens(text_table(spark, sf_dir, "documents"), "doc_id",
+    tokens = search.search_tokens(table(spark, sf_dir, "documents"), "doc_id",
                                   search_form(F.col("text")))
     return search.search_by_tokens(tokens, ["the", "and", "That"])
 
 
+@query
+def token_terms(spark, sf_dir):
+    """Documents by terms, alternatives, exclusions and phrases, by the token table."""
+    tokens = search.search_tokens(table(spark, sf_dir, "documents"), "doc_id", search_form(F.col("text")))
+    return search.search_by_tokens(tokens, all_of=["the", "of the"], any_of=["that", "with the"],
+                                   none_of=["license", "and of the"])
+
+
 @query
 def posting_lookup(spark, sf_dir):
     """Posting by key in any state, and its source by slug."""
@@ -393,14 +405,11 @@ def posting_json(spark, sf_dir):
 
 @query
 def posting_detail(spark, sf_dir):
-    """A posting with all listings merged into it."""
-    rows = postings(spark, sf_dir)
-    head = rows.where(F.col("source_url") == f"{BASE_URL}/jobs/4").select("id", "canonical_job_id")
-    target = head.select(F.coalesce("canonical_job_id", "id").alias("target"))
-    hits = (rows.join(target, F.coalesce("canonical_job_id", "id") == F.col("target"), "left_semi")
-            .withColumn("role", F.when(F.col("canonical_job_id").isNull(), "job").otherwise("duplicate")))
-    return search.with_company(hits, companies(spark, sf_dir)).select(
-        "role", "source_url", "title", "company", "first_seq")
+    """Every fiftieth posting asked for, with the listings merged into it."""
+    rows = _by_url(postings(spark, sf_dir))
+    asked = rows.where(F.col("first_seq") % 50 == 4).select("id")
+    return search.details(rows, companies(spark, sf_dir), asked).select(
+        "asked_id", "role", "source_url", "title", "company", "first_seq")
 
 
 @query
@@ -461,10 +470,7 @@ def canonical_pointers(spark, sf_dir):
 @query
 def reparented(spark, sf_dir):
     """Pointers after every canonical of one source moved to a new one."""
-    rows = postings(spark, sf_dir).withColumn("id", F.col("source_url"))
-    by_url = postings(spark, sf_dir).select(F.col("id").alias("canonical_job_id"), F.col("source_url").alias("to"))
-    flat = (rows.join(by_url, "canonical_job_id", "left")
-            .withColumn("canonical_job_id", F.col("to")).drop("to"))
+    flat = _by_url(postings(spark, sf_dir))
     moved = (flat.where(F.col("canonical_job_id").isNull() & (F.col("source_id") == 2))
              .select(F.col("id").alias("old_id"), F.concat(F.col("id"), F.lit("#new")).alias("new_id")))
     return dedup.reparent(flat, moved).where(F.col("canonical_job_id").isNotNull()).select(
@@ -473,14 +479,16 @@ def reparented(spark, sf_dir):
 
 @query
 def manual_merges(spark, sf_dir):
-    """Hand-made merges: accepted pointers and rejected self-references."""
+    """Hand-made merges: accepted pointers, the last one per posting, and rejected ones."""
     rows = (postings(spark, sf_dir).withColumn("canonical_job_id", F.lit(None).cast("string"))
             .withColumn("id", F.col("source_url")))
-    merges = rows.where(F.col("first_seq") % 50 < 2).select(
-        F.col("id").alias("job_id"),
-        F.concat(F.lit(f"{BASE_URL}/jobs/"), (F.col("first_seq") - F.col("first_seq") % 50).cast("string"))
-        .alias("canonical_id"))
-    merged, rejected = dedup.manual_merge(rows, merges)
+    first = F.col("first_seq") - F.col("first_seq") % 50
+    url = lambda n: F.concat(F.lit(f"{BASE_URL}/jobs/"), n.cast("string"))
+    merges = (rows.where(F.col("first_seq") % 50 < 2)
+              .select(F.col("id").alias("job_id"), F.lit(1).alias("seq"), url(first).alias("canonical_id"))
+              .unionAll(rows.where(F.col("first_seq") % 50 == 1)
+                        .select("id", F.lit(2), url(first + 52))))
+    merged, rejected = dedup.manual_merge(rows, merges, "seq")
     done = merged.where(F.col("canonical_job_id").isNotNull()).select(
         "id", "canonical_job_id", F.lit(None).cast("string").alias("error"))
     return done.unionAll(rejected.select("job_id", "canonical_id", "error"))
@@ -616,18 +624,25 @@ def posting_audit(spark, sf_dir):
 
 # --- whole runs -----------------------------------------------------------------
 
+def _sources(spark, sf_dir):
+    return source_table(spark, sf_dir).withColumns({
+        "last_run_at": F.col("last_run_at").cast("timestamp"), "created_at": F.lit("2024-01-01").cast("timestamp")})
+
+
+def _damaged_feed(spark, sf_dir):
+    """The feed with texts, addresses and sources that cannot be stored."""
+    seq = F.col("ingest_seq")
+    return posting_feed(spark, sf_dir).withColumns({
+        "title": F.when(seq % 101 == 0, F.concat("title", F.lit("\x00"))).otherwise(F.col("title")),
+        "source_url": F.when(seq % 107 != 0, F.col("source_url")),
+        "source_id": F.when(seq % 103 == 0, 99).otherwise(F.col("source_id"))})
+
+
 def _ingested(spark, sf_dir):
     """One run of the whole feed into empty tables; every source counts as one."""
-    def build(s, d):
-        feed = posting_feed(s, d).withColumn("title", F.when(
-            F.col("ingest_seq") % 101 == 0, F.concat("title", F.lit("\x00"))).otherwise(F.col("title")))
-        empty = {n: s.createDataFrame([], t) for n, t in TABLES.items()}
-        return ingest(feed, empty["companies"], empty["jobs"],
-                      seed_sources(s, dt.datetime(2024, 1, 1)), Run("feed", 1, AS_OF))
-    key = (spark.sparkContext.applicationId, sf_dir, "ingested")
-    if key not in _STAGED:
-        _STAGED[key] = build(spark, sf_dir)
-    return _STAGED[key]
+    empty = {n: spark.createDataFrame([], t) for n, t in TABLES.items()}
+    return ingest(_damaged_feed(spark, sf_dir), empty["companies"], empty["jobs"],
+                  _sources(spark, sf_dir), Run("feed", 1, AS_OF))
 
 
 @query
@@ -652,26 +667,85 @@ def ingest_errors(spark, sf_dir):
     return _ingested(spark, sf_dir).errors.select("ingest_seq", "source_url", "error")
 
 
+def _second_run(spark, sf_dir):
+    """A second run against the tables a first one left ten days before.
+
+    The first run holds all first deliveries. Since then every seventh posting
+    was closed, and every second one was seen five days ago. The second run
+    refreshes some postings and brings others with an earlier date under a new
+    address.
+    """
+    feed = posting_feed(spark, sf_dir).withColumn("posted_at", F.col("posted_at").cast("timestamp"))
+    seq, as_of = F.col("ingest_seq"), F.lit(AS_OF).cast("timestamp")
+    empty = {n: spark.createDataFrame([], t) for n, t in TABLES.items()}
+    before = ingest(feed.where(seq % 10 != 9), empty["companies"], empty["jobs"], _sources(spark, sf_dir),
+                    Run("first", 1, FIRST_RUN))
+    jobs = stage(before.jobs.drop("changed").withColumns({
+        "is_active": F.col("first_seq") % 7 != 0,
+        "last_seen_at": F.when(F.col("first_seq") % 2 == 0, as_of - F.make_dt_interval(F.lit(5)))
+        .otherwise(F.col("last_seen_at"))}), "first-jobs")
+    companies_before = stage(before.companies.drop("was_touched"), "first-companies")
+    copies = feed.where(seq % 50 == 0).withColumns({
+        "source_url": F.concat("source_url", F.lit("/b")), "ingest_seq": seq + 1_000_000_000,
+        "posted_at": F.col("posted_at") - F.make_dt_interval(F.lit(400))})
+    batch = feed.where(seq % 10 == 9).unionByName(copies)
+    return ingest(batch, companies_before, jobs, before.sources, Run("second", 1, AS_OF))
+
+
+@query
+def ingest_second_run(spark, sf_dir):
+    """Stored postings after a second run: refreshes, displaced canonicals, reopened and stale postings."""
+    jobs = _second_run(spark, sf_dir).jobs
+    to = jobs.select(F.col("id").alias("canonical_job_id"), F.col("source_url").alias("canonical_url"))
+    return jobs.join(to, "canonical_job_id", "left").select(
+        "source_id", "source_url", "title", "canonical_url", "first_seq", "is_active")
+
+
+@query
+def ingest_second_ledger(spark, sf_dir):
+    """Counters of that second run."""
+    return _second_run(spark, sf_dir).run.select(
+        "id", "status", "jobs_found", "jobs_new", "jobs_duplicate", "jobs_failed", "deactivated")
+
+
+@query
+def pages_ingest(spark, sf_dir):
+    """From a page dump to stored postings: decode, trim, flatten, one run of the feed's source."""
+    store = SnapshotStore(spark, f"{checkpoint_root(spark)}/pages-{uuid.uuid4().hex}")
+    store.write("sources", _sources(spark, sf_dir))
+
+    def dump(s, max_pages):
+        parsed = page_source.trim_page_runs(stage(parsed_pages(s, sf_dir), "parsed"))
+        rows = page_source.raw_postings(parsed, BASE_URL, "keyword", "page")
+        return arrival_order(rows, "keyword", "page", "pos")
+
+    run_feed(store, FeedRegistry({"nation_1": dump}), "nation_1", "pages", AS_OF)
+    jobs = store.read("jobs")
+    to = jobs.select(F.col("id").alias("canonical_job_id"), F.col("source_url").alias("canonical_url"))
+    return jobs.join(to, "canonical_job_id", "left").select(
+        "source_id", "source_url", "title", "salary_min", "salary_max", "mode", "location_city", "canonical_url")
+
+
 @query
 def stream_ingest(spark, sf_dir):
-    """The parts of the feed that a stream picks up, ingested batch by batch."""
+    """The feed as a folder of files, ingested by a stream in several batches."""
     root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
     feed = posting_feed(spark, sf_dir)
-    feed.select(*[F.col(f.name).cast(f.dataType) for f in RAW_POSTINGS]).write.parquet(f"{root}/raw")
+    raw = feed.select(*[F.col(f.name).cast(f.dataType) for f in RAW_POSTINGS])
+    # first everything, then the latest version of some postings again: a refresh
+    # leaves content, pointers and groups as they are
+    again = raw.where(F.col("ingest_seq") % 10 == 9).withColumn("ingest_seq", F.col("ingest_seq") + 1_000_000_000)
+    for part in (raw, again):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/raw")
     store = SnapshotStore(spark, f"{root}/store")
-    store.write("sources", seed_sources(spark, dt.datetime(2024, 1, 1)))
-    start_ingest(raw_posting_stream(spark, f"{root}/raw"), store, 1, f"feed-{uuid.uuid4().hex}",
+    store.write("sources", _sources(spark, sf_dir))
+    start_ingest(raw_posting_stream(spark, f"{root}/raw", files_per_batch=1), store, 1, f"feed-{uuid.uuid4().hex}",
                  lambda: AS_OF).awaitTermination()
     jobs = store.read("jobs")
     to = jobs.select(F.col("id").alias("canonical_job_id"), F.col("source_url").alias("canonical_url"))
     return jobs.join(to, "canonical_job_id", "left").select("source_id", "source_url", "title", "canonical_url")
 
 
-def forget_staged() -> None:
-    """Build derived tables anew at their next use (for timing)."""
-    _STAGED.clear()
-
-
 @query
 def replay_pointers(spark, sf_dir):
     """Pointers that the whole feed leaves when taken one event after the other."""

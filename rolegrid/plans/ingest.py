@@ -17,11 +17,13 @@ from rolegrid.operators import dedup, upsert
 from rolegrid.operators.normalize import normalize_postings
 from rolegrid.schemas import (DEFAULT_STALE_DAYS, POSTING_CONTENT, POSTINGS, RAW_POSTINGS,
                               RUN_ERRORS, SCRAPE_RUNS, SOURCES)
-from rolegrid.session import stage
-from rolegrid.sources.feeds import UnknownFeed
+from rolegrid.session import stage, staging, use_skew_settings
+from rolegrid.sources.feeds import FeedRegistry, UnknownFeed, arrival_order
 from rolegrid.sources.tables import SnapshotStore
 
 NULL_TEXT = "text holds a null character"
+NO_URL = "posting has no address"
+NO_SOURCE = "source does not exist"
 _STORED_TEXT = ("title", "description", "salary_raw", "location", "location_city",
                 "source_url", "source_job_id", "company_name")
 
@@ -56,20 +58,26 @@ def _has_null_char(name: str) -> Column:
     return F.coalesce(F.contains(F.col(name), F.lit("\x00")), F.lit(False))
 
 
-def split_bad_rows(normalized: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows a text column would accept, and the others with their error."""
-    bad = reduce(lambda a, b: a | b, [_has_null_char(c) for c in _STORED_TEXT])
-    return (normalized.where(~bad),
-            normalized.where(bad).select("ingest_seq", "source_url", F.lit(NULL_TEXT).alias("error")))
+def split_bad_rows(normalized: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows the tables accept, and the others with their error."""
+    null_char = reduce(lambda a, b: a | b, [_has_null_char(c) for c in _STORED_TEXT])
+    known = sources.select(F.col("id").alias("source_id"), F.lit(True).alias("__source")).distinct()
+    checked = (normalized.join(known, "source_id", "left")
+               .withColumn("error", F.when(null_char, NULL_TEXT)
+                           .when(F.col("source_url").isNull() | (F.col("source_url") == ""), NO_URL)
+                           .when(F.col("__source").isNull(), NO_SOURCE)).drop("__source"))
+    return (checked.where(F.col("error").isNull()).drop("error"),
+            checked.where(F.col("error").isNotNull()).select("ingest_seq", "source_url", "error"))
 
 
 def ingest(events: DataFrame, companies: DataFrame, jobs: DataFrame, sources: DataFrame,
            run: Run, dictionary=DEFAULT_DICTIONARY) -> Outcome:
     """New state of every table after one run; nothing is written but intermediates."""
+    use_skew_settings(events.sparkSession)
     as_of = run.clock()
     raw = events.select(*[F.col(f.name).cast(f.dataType) for f in RAW_POSTINGS])
     normalized = stage(normalize_postings(raw, dictionary), "normalized")
-    good, bad = split_bad_rows(normalized)
+    good, bad = split_bad_rows(normalized, sources)
 
     # a company is kept even if its posting fails
     named = normalized.where(~_has_null_char("company_name"))
@@ -84,9 +92,12 @@ def ingest(events: DataFrame, companies: DataFrame, jobs: DataFrame, sources: Da
     # not written here: every reader below needs a few columns of it only
     merged = upsert.upsert_postings(jobs, batch, as_of)
 
+    # stored canonicals were compared with each other when they came: only the
+    # touched ones are compared again, with all open postings of their company
     open_rows = stage(dedup.related(
         merged.where(F.col("canonical_job_id").isNull())
-        .select("id", *dedup.NODE, "posted_at", "first_seen_at", "first_seq"), batch), "open")
+        .select("id", *dedup.NODE, "posted_at", "first_seen_at", "first_seq",
+                F.col("was_touched").alias("changed")), batch), "open")
     groups = stage(dedup.duplicate_groups(open_rows), "groups")
     members = open_rows.join(
         groups.select(*dedup.NODE, "component", "canonical_id"), list(dedup.NODE))
@@ -116,11 +127,15 @@ def ingest(events: DataFrame, companies: DataFrame, jobs: DataFrame, sources: Da
     )
 
 
+_KINDS = {"null_text": NULL_TEXT, "no_url": NO_URL, "no_source": NO_SOURCE}
+
+
 def _counters(run: Run, events: DataFrame, bad: DataFrame, new: DataFrame,
               swept: DataFrame) -> DataFrame:
     """One row of counters: every part is counted on its own and then summed."""
     parts = {"jobs_found": events, "jobs_failed": bad, "jobs_new": new,
-             "deactivated": swept.where(F.col("was_stale"))}
+             "deactivated": swept.where(F.col("was_stale")),
+             **{part: bad.where(F.col("error") == text) for part, text in _KINDS.items()}}
     long = reduce(lambda a, b: a.unionByName(b), [
         df.agg(F.count("*").alias("n")).withColumn("part", F.lit(name)) for name, df in parts.items()])
     return long.groupBy(F.lit(run.run_id).alias("id")).agg(*[
@@ -128,11 +143,11 @@ def _counters(run: Run, events: DataFrame, bad: DataFrame, new: DataFrame,
 
 
 def _ledger(run: Run, counters: DataFrame) -> DataFrame:
-    """The closed ledger row. Row errors are counted here and listed one by one
-    in ``run_errors``, which may grow with the data as one text must not."""
-    failed_rows = F.when(F.col("jobs_failed") > 0, F.concat(
-        F.col("jobs_failed").cast("string"), F.lit(f" rows failed: {NULL_TEXT}")))
-    message = F.concat_ws("\n", F.lit(run.source_error).cast("string"), failed_rows)
+    """The closed ledger row. Row errors are counted here by kind and listed one by
+    one in ``run_errors``, which may grow with the data as one text must not."""
+    failed_rows = [F.when(F.col(part) > 0, F.concat(F.col(part).cast("string"), F.lit(f" rows failed: {text}")))
+                   for part, text in _KINDS.items()]
+    message = F.concat_ws("\n", F.lit(run.source_error).cast("string"), *failed_rows)
     return (counters.withColumns({
         "source_id": F.lit(run.source_id).cast("int"),
         "status": upsert.run_status(F.col("jobs_found"), F.lit(run.source_error is not None)),
@@ -142,23 +157,53 @@ def _ledger(run: Run, counters: DataFrame) -> DataFrame:
     }).select(SCRAPE_RUNS.fieldNames()))
 
 
+def open_run(spark, run: Run) -> DataFrame:
+    """The ledger row of a run that has begun; a run that dies leaves it behind."""
+    return spark.range(1).select(
+        F.lit(run.run_id).alias("id"), F.lit(run.source_id).cast("int").alias("source_id"),
+        F.lit("running").alias("status"),
+        *[F.lit(0).cast("long").alias(c) for c in ("jobs_found", "jobs_new", "jobs_duplicate", "jobs_failed", "deactivated")],
+        F.lit(None).cast("string").alias("error_message"), run.clock().alias("started_at"),
+        F.lit(None).cast("timestamp").alias("finished_at"))
+
+
 def run_into_store(store: SnapshotStore, events: DataFrame, run: Run,
                    dictionary=DEFAULT_DICTIONARY) -> bool:
-    """Ingest and publish the changed rows; a run id already in the ledger is a no-op.
+    """Ingest and publish the changed rows; a finished run id in the ledger is a no-op.
 
-    The ledger is written last: a run that dies half-way is simply run again,
-    and because upserts are keyed, repeating it changes nothing.
+    The ledger row is opened first. Everything the run changes, the closed
+    ledger row included, is one commit: a run that dies half-way changed
+    nothing and is simply run again. What was staged on the way is removed.
     """
     sources = store.read("sources")
     if not sources.where(F.col("id") == run.source_id).take(1):
         raise UnknownFeed(run.source_id)
-    if store.read("scrape_runs").where(F.col("id") == run.run_id).take(1):
+    known = store.read("scrape_runs").where(F.col("id") == run.run_id).select("status").take(1)
+    if known and known[0].status != "running":
         return False
-    out = ingest(events, store.read("companies"), store.read("jobs"), sources, run, dictionary)
-    ledger = stage(out.run, "ledger")  # counted against the tables before the run
-    store.add("run_errors", out.errors)
-    store.add("companies", out.companies.where("was_touched"))
-    store.add("jobs", out.jobs.where("changed"))
-    store.write("sources", out.sources)
-    store.add("scrape_runs", ledger)
+    if not known:
+        store.add("scrape_runs", open_run(store.spark, run))
+    with staging(store.spark):
+        out = ingest(events, store.read("companies"), store.read("jobs"), sources, run, dictionary)
+        store.commit(
+            write={"sources": out.sources},
+            add={"run_errors": out.errors, "companies": out.companies.where("was_touched"),
+                 "jobs": out.jobs.where("changed"), "scrape_runs": out.run})
     return True
+
+
+def run_feed(store: SnapshotStore, registry: FeedRegistry, slug: str, run_id: str, as_of: str,
+             max_pages: int = 0, stale_days: int = DEFAULT_STALE_DAYS) -> bool:
+    """One run of the feed registered for a source.
+
+    All rows get the run's source, in arrival order. A feed that fails is a
+    run with that error; a feed may also give rows and a table of errors
+    (``feed, error``), whose texts become the run's error while the rows stay.
+    """
+    source = store.read("sources").where(F.col("slug") == slug).select("id").take(1)
+    if not source or not registry.has(slug):
+        raise UnknownFeed(slug)
+    with staging(store.spark):
+        rows, error = registry.collect(store.spark, slug, max_pages)
+        events = stage(arrival_order(rows).withColumn("source_id", F.lit(source[0].id).cast("int")), "events")
+        return run_into_store(store, events, Run(run_id, source[0].id, as_of, error, stale_days))

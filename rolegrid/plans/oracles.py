@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from rolegrid.functions import patterns as P
 from rolegrid.functions.tags import DEFAULT_DICTIONARY
 from rolegrid.plans.feed import AS_OF, BASE_URL, FEED_SQL, PAGE_JOBS_SQL, SOURCES_SQL
@@ -295,14 +297,14 @@ SELECT keyword, CAST(page AS INT) AS page, '{BASE_URL}/id-ID/job-board/te/' || r
  || '/' || page AS url, error FROM state WHERE error IS NOT NULL""",
     "page_trim": "WITH " + _PAGES + """,
 ids AS (SELECT keyword, page, list(id) AS ids FROM good GROUP BY 1, 2),
-full_pages AS (SELECT s.*, coalesce(i.ids, []) AS ids, CASE WHEN feed_no % 4 = 3 THEN 100 ELSE 300 END AS total
-   FROM state s LEFT JOIN ids i USING (keyword, page)),
+full_pages AS (SELECT s.*, crawl, coalesce(i.ids, []) AS ids, CASE WHEN feed_no % 4 = 3 THEN 100 ELSE 300 END AS total
+   FROM state s JOIN (VALUES (1), (2)) c(crawl) ON crawl = 1 OR feed_no % 3 = 0 LEFT JOIN ids i USING (keyword, page)),
 lagged AS (SELECT *, lag(ids) OVER w AS prev, lag(total) OVER w AS prev_total,
-   sum(len(ids)) OVER (PARTITION BY keyword ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
-   FROM full_pages WINDOW w AS (PARTITION BY keyword ORDER BY page)),
-first_stop AS (SELECT keyword, min(page) AS stop FROM lagged WHERE error IS NOT NULL OR len(ids) = 0
-   OR (prev IS NOT NULL AND len(list_intersect(ids, prev)) = len(ids)) OR coalesce(before >= prev_total, false) GROUP BY 1)
-SELECT keyword, CAST(page AS INT) AS page, len(ids) AS n_jobs FROM full_pages LEFT JOIN first_stop USING (keyword)
+   sum(len(ids)) OVER (PARTITION BY crawl, keyword ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+   FROM full_pages WINDOW w AS (PARTITION BY crawl, keyword ORDER BY page)),
+first_stop AS (SELECT crawl, keyword, min(page) AS stop FROM lagged WHERE error IS NOT NULL OR len(ids) = 0
+   OR (prev IS NOT NULL AND len(list_intersect(ids, prev)) = len(ids)) OR coalesce(before >= prev_total, false) GROUP BY 1, 2)
+SELECT crawl, keyword, CAST(page AS INT) AS page, len(ids) AS n_jobs FROM full_pages LEFT JOIN first_stop USING (crawl, keyword)
 WHERE stop IS NULL OR page < stop""",
     "country_audit": "WITH " + _PAGES + """ SELECT keyword, CAST(page AS INT) AS page, count(*) AS total_jobs,
  count(*) FILTER (WHERE NOT no_place AND country NOT IN ('', 'Indonesia')) AS wrong_country_jobs,
@@ -336,6 +338,9 @@ UNION ALL SELECT 'tag', tag, count(*) FROM (SELECT unnest(stack) AS tag FROM liv
  AND contains(f, ' of the ') AND (contains(f, ' that ') OR contains(f, ' with ')) AND NOT contains(f, ' license ')""",
     "token_search": f"""SELECT doc_id FROM (SELECT doc_id, string_split({form('text')}, ' ') AS l FROM documents)
  WHERE list_has_all(l, ['the', 'and', 'that'])""",
+    "token_terms": f"""SELECT doc_id FROM (SELECT doc_id, {form('text')} AS f FROM documents) WHERE contains(f, ' the ')
+ AND contains(f, ' of the ') AND (contains(f, ' that ') OR contains(f, ' with the ')) AND NOT contains(f, ' license ')
+ AND NOT contains(f, ' and of the ')""",
     "posting_lookup": POST + f""" SELECT source_url, title, p.is_active, slug FROM posts p JOIN srcs s ON s.id = p.source_id
  WHERE source_url = '{BASE_URL}/jobs/54' AND slug = 'nation_0'""",
     "company_lookup": POST + """ SELECT name, name_normalized FROM firms WHERE name_normalized IN
@@ -343,9 +348,10 @@ UNION ALL SELECT 'tag', tag, count(*) FROM (SELECT unnest(stack) AS tag FROM liv
     "posting_companies": POST + """ SELECT source_id, source_url, coalesce(name, '') AS company FROM live
  LEFT JOIN firms ON name_normalized = company_normalized""",
     "posting_json": POST + f" SELECT source_url AS id, {_JSON} AS json FROM live JOIN firms ON name_normalized = company_normalized",
-    "posting_detail": POST + f""", target AS (SELECT winner AS w FROM posts WHERE source_url = '{BASE_URL}/jobs/4')
- SELECT CASE WHEN canonical_url IS NULL THEN 'job' ELSE 'duplicate' END AS role, source_url, title, name AS company, first_seq
- FROM posts JOIN target ON winner = w JOIN firms ON name_normalized = company_normalized""",
+    "posting_detail": POST + """ SELECT a.source_url AS asked_id, CASE WHEN p.source_url = a.source_url THEN 'job' ELSE 'duplicate' END AS role,
+ p.source_url, p.title, name AS company, p.first_seq
+ FROM posts a JOIN posts p ON p.source_url = a.source_url OR p.canonical_url = a.source_url
+ JOIN firms ON name_normalized = p.company_normalized WHERE a.first_seq % 50 = 4""",
     "canonical_duplicates": POST + """ SELECT c.source_url AS canonical_url, c.title AS canonical_title, d.source_url, d.title
  FROM posts d JOIN posts c ON d.canonical_url = c.source_url""",
     "trigram_pairs": f"""WITH p AS (SELECT p_partkey, p_name AS a, p_type || ' ' || split_part(p_name, ' ', -1) AS b FROM part),
@@ -358,10 +364,13 @@ SELECT p_partkey, a, b, shared, len(ga) + len(gb) - shared AS total, shared / (l
     "canonical_pointers": GROUPS + " SELECT source_url AS id, nullif(canonical_id, source_url) AS canonical_id FROM elected",
     "reparented": POST + """ SELECT d.source_url AS id, CASE WHEN c.source_id = 2 THEN c.source_url || '#new' ELSE c.source_url END AS canonical_job_id
  FROM posts d JOIN posts c ON d.canonical_url = c.source_url""",
-    "manual_merges": POST + f""", m AS (SELECT source_url AS job_id, '{BASE_URL}/jobs/' || (first_seq - first_seq % 50) AS canonical_id
-   FROM posts WHERE first_seq % 50 < 2)
- SELECT job_id AS id, canonical_id AS canonical_job_id,
-   CASE WHEN job_id = canonical_id THEN 'a posting cannot be a duplicate of itself' END AS error FROM m""",
+    "manual_merges": POST + f""", m AS (SELECT source_url AS job_id, 1 AS seq, '{BASE_URL}/jobs/' || (first_seq - first_seq % 50) AS canonical_id
+   FROM posts WHERE first_seq % 50 < 2
+   UNION ALL SELECT source_url, 2, '{BASE_URL}/jobs/' || (first_seq - first_seq % 50 + 52) FROM posts WHERE first_seq % 50 = 1),
+c AS (SELECT *, CASE WHEN job_id = canonical_id THEN 'a posting cannot be a duplicate of itself'
+   WHEN canonical_id NOT IN (SELECT source_url FROM posts) THEN 'the target of the merge does not exist' END AS error FROM m)
+ SELECT job_id AS id, max_by(canonical_id, seq) AS canonical_job_id, CAST(NULL AS VARCHAR) AS error FROM c WHERE error IS NULL GROUP BY 1
+ UNION ALL SELECT job_id, canonical_id, error FROM c WHERE error IS NOT NULL""",
     "company_upsert": NORM + """ SELECT company_normalized AS name_normalized, max_by(company_name, ingest_seq) AS name,
  bool_or(ingest_seq % 4 = 0) AS kept_id FROM norm GROUP BY 1""",
     "latest_events": """SELECT user_id, event_type, arg_max(value, event_id) AS value, arg_max(ts, event_id) AS ts,
@@ -428,18 +437,80 @@ def _run_sql(good: str) -> str:
         "TIMESTAMP '" + AS_OF + "' AS first_seen_at")
 
 
-_GOOD = "ingest_seq % 101 <> 0"
+_GOOD = "ingest_seq % 101 <> 0 AND ingest_seq % 107 <> 0 AND ingest_seq % 103 <> 0"
+_ERROR = """CASE WHEN ingest_seq % 101 = 0 THEN 'text holds a null character' WHEN ingest_seq % 107 = 0 THEN 'posting has no address'
+ WHEN ingest_seq % 103 = 0 THEN 'source does not exist' END"""
 ORACLES["ingest_jobs"] = _run_sql(_GOOD) + """ SELECT p.source_id, p.source_url, p.title, nullif(e.canonical_id, p.source_url) AS canonical_url,
  p.salary_min, p.first_seq, true AS is_active FROM posts p JOIN elected e USING (source_url)"""
 ORACLES["stream_ingest"] = _run_sql("true") + """ SELECT p.source_id, p.source_url, p.title,
  nullif(e.canonical_id, p.source_url) AS canonical_url FROM posts p JOIN elected e USING (source_url)"""
-ORACLES["ingest_errors"] = f"""WITH feed AS ({FEED}) SELECT ingest_seq, source_url, 'text holds a null character' AS error
- FROM feed WHERE ingest_seq % 101 = 0"""
-ORACLES["ingest_ledger"] = _run_sql(_GOOD) + """,
+ORACLES["ingest_errors"] = f"""WITH feed AS ({FEED}) SELECT ingest_seq, CASE WHEN ingest_seq % 107 <> 0 THEN source_url END AS source_url,
+ {_ERROR} AS error FROM feed WHERE NOT ({_GOOD})"""
+ORACLES["ingest_ledger"] = _run_sql(_GOOD) + f""",
 placed AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY posted_at ASC NULLS LAST, first_seq) AS place FROM elected),
 arrived AS (SELECT coalesce(min(place) OVER (PARTITION BY component ORDER BY first_seq
    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < place, false) AS dup FROM placed),
 c AS (SELECT count(*) FILTER (WHERE NOT dup) AS n FROM arrived),
-f AS (SELECT count(*) AS found, count(*) FILTER (WHERE ingest_seq % 101 = 0) AS failed FROM feed)
+e AS (SELECT {_ERROR} AS error FROM feed),
+f AS (SELECT count(*) AS found, count(error) AS failed FROM e),
+t AS (SELECT string_agg(x || ' rows failed: ' || error, chr(10) ORDER BY place) AS error_message
+   FROM (SELECT error, count(*) AS x, list_position(['text holds a null character', 'posting has no address', 'source does not exist'], error) AS place
+         FROM e WHERE error IS NOT NULL GROUP BY 1))
 SELECT 'feed' AS id, 'success' AS status, found AS jobs_found, n AS jobs_new, found - failed - n AS jobs_duplicate,
-  failed AS jobs_failed, failed || ' rows failed: text holds a null character' AS error_message FROM c, f"""
+  failed AS jobs_failed, error_message FROM c, f, t"""
+
+
+def _renamed(sql: str, suffix: str, **names: str) -> str:
+    """The SQL with its own table names made new, so that it can follow itself."""
+    own = ("items", "sets", "pairs", "near", "nodes", "edges", "reach", "comp", "keyed", "grouped", "elected")
+    for name in own:
+        sql = re.sub(rf"\b{name}\b", name + suffix, sql)
+    for name, new in names.items():
+        sql = re.sub(rf"\b{name}\b", new, sql)
+    return sql
+
+
+_FIRST = _run_sql("ingest_seq % 10 <> 9").replace(f"TIMESTAMP '{AS_OF}' AS first_seen_at", "TIMESTAMP '2024-01-22' AS first_seen_at")
+_CONTENT = ("title", "title_normalized", "company_normalized", "fingerprint", "posted_at")
+_SECOND = _FIRST + """,
+run1 AS (SELECT p.*, nullif(e.canonical_id, p.source_url) AS ptr FROM posts p JOIN elected e USING (source_url)),
+delivered AS (SELECT * FROM norm WHERE ingest_seq % 10 = 9
+   UNION ALL SELECT * REPLACE (source_url || '/b' AS source_url, ingest_seq + 1000000000 AS ingest_seq,
+     posted_at - to_days(400) AS posted_at) FROM norm WHERE ingest_seq % 50 = 0),
+batch2 AS (SELECT source_id, source_url, max(ingest_seq) AS last_seq, min(ingest_seq) AS first_seq FROM delivered GROUP BY 1, 2),
+new2 AS (SELECT d.*, b.first_seq FROM delivered d JOIN batch2 b ON d.source_url = b.source_url AND d.ingest_seq = b.last_seq),
+all2 AS (SELECT source_id, source_url, """ + ", ".join(
+    f"CASE WHEN b.title IS NULL THEN r.{c} ELSE b.{c} END AS {c}" for c in _CONTENT) + f""",
+   coalesce(r.first_seen_at, TIMESTAMP '{AS_OF}') AS first_seen_at, coalesce(r.first_seq, b.first_seq) AS first_seq, r.ptr,
+   b.title IS NOT NULL AS touched, r.title IS NULL AS fresh FROM run1 r FULL OUTER JOIN new2 b USING (source_id, source_url)),
+state2 AS (SELECT * FROM all2 WHERE ptr IS NULL)""" + _renamed(GROUPS[GROUPS.index(similar(
+    "posts", "company_normalized", "title_normalized")) - 1:], "2", posts="state2")
+_AFTER = """, result2 AS (SELECT a.*, CASE WHEN a.ptr IS NULL THEN nullif(e.canonical_id, a.source_url)
+     ELSE coalesce(t.canonical_id, a.ptr) END AS canonical_url,
+   touched OR (a.first_seq % 7 <> 0 AND a.first_seq % 2 = 0) AS is_active,
+   NOT touched AND a.first_seq % 7 <> 0 AND a.first_seq % 2 = 1 AS was_stale
+   FROM (SELECT a.source_id, a.source_url, a.title, a.ptr, a.touched, a.fresh, a.first_seq FROM all2 a) a
+   LEFT JOIN elected2 e ON e.source_url = a.source_url LEFT JOIN elected2 t ON t.source_url = a.ptr)"""
+ORACLES["ingest_second_run"] = _SECOND + _AFTER + """
+ SELECT source_id, source_url, title, canonical_url, first_seq, is_active FROM result2"""
+ORACLES["ingest_second_ledger"] = _SECOND + _AFTER + """,
+placed AS (SELECT e.component, e.first_seq, s.fresh, CASE WHEN s.fresh THEN e.first_seq + 1 ELSE 0 END AS arrival,
+   row_number() OVER (PARTITION BY e.component ORDER BY e.posted_at ASC NULLS LAST, e.first_seen_at, e.first_seq) AS place
+   FROM elected2 e JOIN state2 s USING (source_url)),
+arrived AS (SELECT *, coalesce(min(place) OVER (PARTITION BY component ORDER BY arrival, place
+   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < place, false) AS dup FROM placed),
+c AS (SELECT count(*) FILTER (WHERE fresh AND NOT dup) AS n FROM arrived), f AS (SELECT count(*) AS found FROM delivered),
+s AS (SELECT count(*) FILTER (WHERE was_stale) AS deactivated FROM result2)
+ SELECT 'second' AS id, 'success' AS status, found AS jobs_found, n AS jobs_new, found - n AS jobs_duplicate,
+   CAST(0 AS BIGINT) AS jobs_failed, deactivated FROM c, f, s"""
+
+# the rows of page_postings on pages that page_trim keeps, as a feed
+_PAGE_FEED = f"""WITH {_PAGES.replace(chr(10) + "jobs AS", "jobs AS", 1)},
+rows AS ({ORACLES["page_postings"].split(_PAGES)[1]}),
+kept AS ({ORACLES["page_trim"].split(_PAGES)[1].lstrip(",").strip().replace("ids AS (", "WITH ids AS (", 1)})
+SELECT row_number() OVER (ORDER BY keyword, page, pos) AS ingest_seq, 2 AS source_id, title, company, salary_raw, location,
+  description, source_url, source_job_id, make_timestamp(posted_at) AS posted_at
+FROM rows JOIN (SELECT keyword, page FROM kept WHERE crawl = 1) USING (keyword, page)"""
+ORACLES["pages_ingest"] = _run_sql("true").replace(f"feed AS ({FEED})", f"feed AS ({_PAGE_FEED})") + """
+ SELECT p.source_id, p.source_url, p.title, p.salary_min, p.salary_max, p.mode, p.location_city,
+ nullif(e.canonical_id, p.source_url) AS canonical_url FROM posts p JOIN elected e USING (source_url)"""

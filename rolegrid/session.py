@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,16 +52,6 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give heavy per-row work at least one task per core.
-
-    A table of few small files yields few scan tasks. Large tables have more
-    splits than cores already and pass through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint (survives executor loss)."""
     checkpoint_root(df.sparkSession)
@@ -75,4 +67,33 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{checkpoint_root(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Remove what was staged inside the block when it ends.
+
+    For work whose results are stored elsewhere before the block ends.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _SCOPES.pop():
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def use_skew_settings(spark: SparkSession) -> None:
+    """Set the runtime settings that the joins on hot keys rely on."""
+    for key in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
+                "spark.sql.adaptive.forceOptimizeSkewedJoin"):
+        if spark.conf.get(key) != CLUSTER_DEFAULTS[key]:
+            spark.conf.set(key, CLUSTER_DEFAULTS[key])

@@ -117,18 +117,22 @@ def raw_postings(parsed: DataFrame, base_url: str, *keep: str) -> DataFrame:
     )
 
 
-def trim_page_runs(parsed: DataFrame, feed: str = "keyword", page: str = "page",
-                   max_pages: int = MAX_PAGES_CAP) -> DataFrame:
+def trim_page_runs(parsed: DataFrame, *feed: str, page: str = "page",
+                   max_pages: int | None = None) -> DataFrame:
     """Pages of each feed up to the point where a crawl would have stopped.
 
+    ``feed`` names the columns that tell one crawl of one keyword from the
+    others (default ``keyword``); a dump with several crawls needs the crawl
+    among them, or their pages would interleave.
+
     Stops before an empty page, before a page that only repeats ids of the
     page just before it, before an error page, and after the page that brings
     the collected rows up to the reported total. Repeats inside kept pages
-    stay. A feed has at most ``MAX_PAGES_CAP`` pages by the crawl rule itself,
-    so a window over one feed is bounded, however large the feed's share is.
+    stay. Pages already held are not cut by the crawl plan's limit; a caller
+    may give ``max_pages``. A window holds the pages of one crawl of one
+    keyword.
     """
-    limit = DEFAULT_MAX_PAGES if max_pages <= 0 else min(max_pages, MAX_PAGES_CAP)
-    ordered = Window.partitionBy(feed).orderBy(page)
+    ordered = Window.partitionBy(*(feed or ("keyword",))).orderBy(page)
     ids = F.transform("jobs", lambda j: j["id"])
     previous = F.lag("__ids").over(ordered)
     repeats = previous.isNotNull() & (F.size(F.array_except("__ids", previous)) == 0)
@@ -136,7 +140,8 @@ def trim_page_runs(parsed: DataFrame, feed: str = "keyword", page: str = "page",
     stop_before = (F.col("error").isNotNull() | (F.col("__n") == 0) | repeats
                    | ((F.col("__seen_total") >= 0)
                       & (F.col("__before") >= F.col("__seen_total"))))
-    return (parsed.where(F.col(page).between(1, limit))
+    held = parsed if max_pages is None else parsed.where(F.col(page) <= max_pages)
+    return (held.where(F.col(page) >= 1)
             .withColumn("__ids", ids).withColumn("__n", F.size("__ids"))
             .withColumn("__before", so_far)
             .withColumn("__seen_total", F.lag("count").over(ordered))

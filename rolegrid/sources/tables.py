@@ -1,4 +1,4 @@
-"""Stored tables: parquet snapshots and changes with an explicit schema."""
+"""Stored tables: parquet folders with explicit schemas, committed together."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ TABLES: dict[str, T.StructType] = {
     "alerts": schemas.ALERTS,
 }
 # rows of these tables change; a change replaces the row with the same key
-KEYED = {"jobs": ("id",), "companies": ("id",), "run_errors": ("run_id", "ingest_seq")}
+KEYED = {"jobs": ("id",), "companies": ("id",), "scrape_runs": ("id",), "run_errors": ("run_id", "ingest_seq")}
 # jobs are read by "active and canonical" nearly always
 PARTITIONS = {"jobs": ["is_active"]}
 
@@ -26,49 +26,53 @@ PARTITIONS = {"jobs": ["is_active"]}
 class SnapshotStore:
     """Tables as immutable parquet folders below one root, shared by all executors.
 
-    A table is a base folder plus folders of changes. A run writes only the
-    rows it changed; reading takes the base rows that no change replaces (an
-    anti join on keys, broadcast while the changes are small) and the latest
-    change of every other row. After ``max_changes`` folders the table is
-    written anew as a base. The list of folders is a small numbered file that
-    is created last and never overwritten: readers see whole runs only, a
-    failed job leaves nothing visible, and of two writers at once one fails.
+    A table is a base folder plus folders of changed rows; reading takes the
+    base rows that no change replaces and the latest change of every other
+    row. One small numbered file lists the folders of *all* tables, so what a
+    run stores in several tables appears at once or not at all. The file gets
+    its number by a rename that fails if the number is taken: of two writers at
+    once one fails. That needs a file system with such a rename, as HDFS has.
+
+    Nothing is rewritten or removed on its own: ``compact`` writes a table
+    anew as one base folder, ``vacuum`` removes what the current state does not
+    list.
     """
 
-    def __init__(self, spark: SparkSession, root: str, max_changes: int = 16):
-        self.spark, self.root, self.max_changes = spark, root.rstrip("/"), max_changes
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
 
-    # --- list of folders ---
+    # --- the list of folders ---
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _log(self, table: str) -> tuple[int, list[str]]:
-        """Number and folders (base first) of the current state; 0 and none if new."""
+    def state(self) -> tuple[int, dict[str, list[str]]]:
+        """Number of the current state and each table's folders, base first."""
         jvm, fs = self._fs()
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/_log")
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_states")
         if not fs.exists(folder):
-            return 0, []
-        last = max(status.getPath().getName() for status in fs.listStatus(folder))
+            return 0, {}
+        last = max((s.getPath().getName() for s in fs.listStatus(folder)), default="0")
+        if last == "0":
+            return 0, {}
         stream = fs.open(jvm.org.apache.hadoop.fs.Path(folder, last))
         try:
             return int(last), json.loads(stream.readUTF())
         finally:
             stream.close()
 
-    def _commit(self, table: str, number: int, folders: list[str]) -> None:
+    def _publish(self, number: int, folders: dict[str, list[str]]) -> None:
         jvm, fs = self._fs()
-        log = f"{self.root}/{table}/_log"
-        fresh = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/_new-{uuid.uuid4().hex}")
+        fresh = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_new-{uuid.uuid4().hex}")
         stream = fs.create(fresh, False)
         stream.writeUTF(json.dumps(folders))
         stream.close()
-        target = jvm.org.apache.hadoop.fs.Path(f"{log}/{number:012d}")
+        target = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_states/{number:012d}")
         fs.mkdirs(target.getParent())
         if fs.exists(target) or not fs.rename(fresh, target):
-            raise RuntimeError(f"{table}: another writer committed state {number} first")
+            raise RuntimeError(f"another writer committed state {number} first")
 
     def _save(self, table: str, df: DataFrame) -> str:
         folder = f"{self.root}/{table}/v-{uuid.uuid4().hex}"
@@ -86,7 +90,7 @@ class SnapshotStore:
     # --- tables ---
 
     def read(self, table: str) -> DataFrame:
-        _, folders = self._log(table)
+        folders = self.state()[1].get(table, [])
         if not folders:
             return self.spark.createDataFrame([], TABLES[table])
         key = KEYED.get(table)
@@ -96,25 +100,57 @@ class SnapshotStore:
         names = TABLES[table].fieldNames()
         versions = reduce(lambda a, b: a.unionAll(b), [
             self._load(table, f).withColumn("__v", F.lit(i)) for i, f in enumerate(changes)])
-        latest = (versions.groupBy(*key)
-                  .agg(F.max(F.struct("__v", *[c for c in names if c not in key])).alias("x"))
-                  .select(*[F.col(c) if c in key else F.col(f"x.{c}").alias(c) for c in names]))
-        kept = self._load(table, base).join(latest.select(*key), list(key), "left_anti").select(names)
+        # only keys and numbers are aggregated; the rows follow by key and number
+        last = versions.groupBy(*key).agg(F.max("__v").alias("__v"))
+        latest = versions.join(last, [*key, "__v"], "left_semi").select(names)
+        kept = self._load(table, base).join(last.select(*key), list(key), "left_anti").select(names)
         return kept.unionByName(latest)
 
+    def commit(self, write: dict[str, DataFrame] | None = None, add: dict[str, DataFrame] | None = None) -> None:
+        """Store several tables at once: ``write`` replaces tables, ``add`` adds rows.
+
+        In keyed tables added rows replace the rows with their keys; a key may
+        occur once in what is added.
+        """
+        number, folders = self.state()
+        new = dict(folders)
+        for table, df in (write or {}).items():
+            new[table] = [self._save(table, df)]
+        for table, df in (add or {}).items():
+            new[table] = [*new.get(table, []), self._save(table, df)]
+        self._publish(number + 1, new)
+
     def write(self, table: str, df: DataFrame) -> None:
-        """Replace the whole table."""
-        number, _ = self._log(table)
-        self._commit(table, number + 1, [self._save(table, df)])
-
-    def add(self, table: str, changed: DataFrame) -> None:
-        """Add rows; in keyed tables they replace the rows with their keys."""
-        number, folders = self._log(table)
-        folders = [*folders, self._save(table, changed)]
-        self._commit(table, number + 1, folders)
-        if len(folders) > self.max_changes:
+        self.commit(write={table: df})
+
+    def add(self, table: str, df: DataFrame) -> None:
+        self.commit(add={table: df})
+
+    def compact(self, table: str) -> None:
+        """Write a table anew as one folder."""
+        if len(self.state()[1].get(table, [])) > 1:
             self.write(table, self.read(table))
 
+    def vacuum(self) -> int:
+        """Remove folders and lists the current state does not need; returns how many.
+
+        Run it when nobody reads or writes an older state.
+        """
+        number, folders = self.state()
+        jvm, fs = self._fs()
+        used = {f.rsplit("/", 1)[1] for fs_ in folders.values() for f in fs_}
+        gone = []
+        for table in TABLES:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+            if fs.exists(path):
+                gone += [s.getPath() for s in fs.listStatus(path) if s.getPath().getName() not in used]
+        states = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_states")
+        if fs.exists(states):
+            gone += [s.getPath() for s in fs.listStatus(states) if int(s.getPath().getName()) != number]
+        for path in gone:
+            fs.delete(path, True)
+        return len(gone)
+
 
 def export_json(df: DataFrame, path: str, column: str = "json") -> None:
     """Write a column of JSON documents as text lines."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rolegrid.plans.ingest import Run, run_into_store
 from rolegrid.schemas import RAW_POSTINGS
-from rolegrid.session import checkpoint_root
 from rolegrid.sources.tables import SnapshotStore
 
 
@@ -26,20 +26,35 @@ def raw_posting_stream(spark: SparkSession, folder: str,
     return reader.parquet(folder)
 
 
+def checkpoint_folder(store: SnapshotStore, name: str) -> str:
+    """The stream's own state lies beside the tables it feeds, and goes with them."""
+    return f"{store.root}/_streams/{name}"
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark stores in a checkpoint when it is made."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def start_ingest(stream: DataFrame, store: SnapshotStore, source_id: int, name: str,
                  clock: Callable[[], str] = utc_now) -> StreamingQuery:
     """Ingest everything available and stop.
 
-    The run id is the stream name and the batch id. Spark may deliver a batch
-    again after a failure; its run id is then in the ledger and the batch is
-    skipped, or it is not and the keyed upserts make the repetition harmless.
-    Dropping repeats inside the stream would lose refreshes, so it is not done.
+    The run id is the stream's name, the id stored in its checkpoint, and the
+    batch id. Spark may deliver a batch again after a failure; its run id is
+    then in the ledger and the batch is skipped, or it is not and the keyed
+    upserts make the repetition harmless. A stream that lost its checkpoint
+    has a new id: it reads all files again as new runs, and no batch is taken
+    for one that was stored before. Dropping repeats inside the stream would
+    lose refreshes, so it is not done.
     """
     spark = stream.sparkSession
+    checkpoint = checkpoint_folder(store, name)
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        run_into_store(store, batch, Run(f"{name}-{batch_id}", source_id, clock()))
+        run_id = f"{name}-{stream_id(spark, checkpoint)}-{batch_id}"
+        run_into_store(store, batch, Run(run_id, source_id, clock()))
 
     return (stream.writeStream.foreachBatch(one_batch).queryName(name)
-            .option("checkpointLocation", f"{checkpoint_root(spark)}/streams/{name}")
+            .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

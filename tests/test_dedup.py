@@ -70,7 +70,8 @@ def random_events(rnd, n, start=0):
         company, title = rnd.choice("ab"), rnd.choice(TITLES)
         events.append(dict(
             seq=seq, id=f"p{rnd.randrange(n)}", company_id=company, title_normalized=title,
-            fingerprint=rnd.choice([company + title, company + title, "shared"]) if rnd.random() < .2 else company + title,
+            # made of both keys, as the rule says; one title has the same in all companies
+            fingerprint="shared" if title == "designer" else company + title,
             posted_at=rnd.choice([None, DAY + dt.timedelta(days=rnd.randrange(4))]),
             first_seen_at=DAY, first_seq=seq))
     return events
@@ -184,8 +185,37 @@ def test_arrival_duplicates_equal_running_minimum(spark):
 
 def test_manual_merge_and_reparent(spark):
     rows = spark.createDataFrame([("a", None), ("b", "a"), ("c", None), ("d", "c")], "id string, canonical_job_id string")
-    merged, rejected = dedup.manual_merge(rows, spark.createDataFrame([("a", "c"), ("c", "c")], "job_id string, canonical_id string"))
-    assert {r.id: r.canonical_job_id for r in merged.collect()} == {"a": "c", "b": "a", "c": None, "d": "c"}
-    assert [r.job_id for r in rejected.collect()] == ["c"]
-    moved = spark.createDataFrame([("a", "c")], "old_id string, new_id string")
-    assert {r.id: r.canonical_job_id for r in dedup.reparent(rows, moved).collect()}["b"] == "c"
+    wanted = [("a", "d", 1), ("a", "c", 2), ("c", "c", 1), ("b", "zzz", 3), ("q", "a", 1)]
+    merged, rejected = dedup.manual_merge(
+        rows, spark.createDataFrame(wanted, "job_id string, canonical_id string, seq int"), "seq")
+    got = [(r.id, r.canonical_job_id) for r in merged.orderBy("id").collect()]
+    assert got == [("a", "c"), ("b", "a"), ("c", None), ("d", "c")]  # the last merge counts, no row is doubled
+    assert {(r.job_id, r.error) for r in rejected.collect()} == {
+        ("c", dedup.SELF_MERGE), ("b", dedup.UNKNOWN_TARGET), ("q", dedup.UNKNOWN_POSTING)}
+    moved = spark.createDataFrame([("a", "d"), ("a", "c")], "old_id string, new_id string")
+    after = dedup.reparent(rows, moved).collect()
+    assert len(after) == 4 and {r.id: r.canonical_job_id for r in after}["b"] == "c"
+
+
+def test_tiny_blocks_are_not_replicated(spark):
+    """A trigram that is frequent over many blocks, but in none of them."""
+    items = spark.range(3000).select(F.col("id").cast("string").alias("c"), F.lit("backendengineer").alias("t"))
+    pairs = similar_pairs(items, "c", "t", slice_rows=10)
+    assert pairs.count() == 0
+    made = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "slices" in made  # from the table of frequent (block, trigram) keys, which is empty here
+
+
+def test_changed_side_finds_the_pairs_of_changed_texts(spark):
+    rnd = random.Random(9)
+    words = ["data", "engineer", "backend", "platform", "payments", "payment"]
+    items = {(rnd.choice("ab"), "".join(rnd.choices(words, k=rnd.randint(1, 4)))) for _ in range(120)}
+    rows = [(b, t, rnd.random() < .2, f"{b}-{t}") for b, t in items]
+    new = {(b, t) for b, t, changed, _ in rows if changed}
+    df = spark.createDataFrame(rows, "c string, t string, changed boolean, id string")
+    everything = {(r.block, r.text_a, r.text_b) for r in similar_pairs(df, "c", "t").collect()}
+    got = similar_pairs(df, "c", "t", ident="id", changed="changed", slice_rows=5).collect()
+    assert len(got) == len({(r.block, r.text_a, r.text_b) for r in got})
+    assert {(r.block, r.text_a, r.text_b) for r in got} == {
+        p for p in everything if (p[0], p[1]) in new or (p[0], p[2]) in new}
+    assert all((r.id_a, r.id_b) == (f"{r.block}-{r.text_a}", f"{r.block}-{r.text_b}") for r in got) and got

@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolegrid import schemas
-from rolegrid.plans.ingest import Run, run_into_store
+from rolegrid.plans.ingest import NO_SOURCE, NO_URL, Run, run_feed, run_into_store
 from rolegrid.sources.feeds import FeedRegistry, UnknownFeed
 from rolegrid.sources.tables import SnapshotStore
-from rolegrid.streaming.ingest import raw_posting_stream, start_ingest
+from rolegrid.streaming.ingest import checkpoint_folder, raw_posting_stream, start_ingest
 
 DAY = dt.datetime(2026, 3, 1)
 
@@ -149,6 +149,63 @@ def test_unknown_source_and_feed(spark, store):
         registry.read(spark, "other")
 
 
+def test_rows_of_unknown_sources_and_without_address(spark, store):
+    events = spark.createDataFrame([raw(1, "ok"), raw(2, "lost", source_id=99), raw(3, "")], schemas.RAW_POSTINGS)
+    nameless = events.limit(0).unionByName(spark.createDataFrame(
+        [raw(4, "gone")], schemas.RAW_POSTINGS).withColumn("source_url", F.lit(None).cast("string")))
+    assert run_into_store(store, events.unionByName(nameless), Run("r1", 1, "2026-03-02 00:00:00"))
+    assert [r.source_url for r in store.read("jobs").collect()] == ["ok"]
+    assert {(r.ingest_seq, r.error) for r in store.read("run_errors").collect()} == {(2, NO_SOURCE), (3, NO_URL), (4, NO_URL)}
+    row = ledger(store)
+    assert (row.jobs_found, row.jobs_failed) == (4, 3)
+    assert row.error_message == f"2 rows failed: {NO_URL}\n1 rows failed: {NO_SOURCE}"
+
+
+def test_a_run_that_dies_leaves_an_open_row_and_nothing_else(spark, store):
+    broken = spark.createDataFrame([raw(1, "u1")], schemas.RAW_POSTINGS).withColumn(
+        "title", F.raise_error(F.lit("executor gone")).cast("string"))
+    with pytest.raises(Exception, match="executor gone"):
+        run_into_store(store, broken, Run("r1", 1, "2026-03-02 00:00:00"))
+    assert (ledger(store).status, ledger(store).finished_at) == ("running", None)
+    assert store.read("jobs").count() == 0 and store.read("companies").count() == 0
+    assert go(spark, store, [raw(1, "u1")])  # run again under the same id
+    assert (ledger(store).status, ledger(store).jobs_new) == ("success", 1)
+    assert store.read("scrape_runs").count() == 1
+
+
+def test_run_of_a_registered_feed(spark, store):
+    def feed(s, pages):
+        rows = s.createDataFrame([raw(9, f"u{i}", f"Title {i}", source_id=7) for i in range(pages)], schemas.RAW_POSTINGS)
+        return rows.drop("ingest_seq", "source_id"), s.createDataFrame([("b", "page 7 is broken")], "feed string, error string")
+
+    def down(s, pages):
+        raise OSError("board is down")
+
+    registry = FeedRegistry({"dealls": feed, "kalibrr": down})
+    assert run_feed(store, registry, "dealls", "r1", "2026-03-02 00:00:00", max_pages=3)
+    assert {(r.source_id, r.source_url) for r in store.read("jobs").collect()} == {(1, "u0"), (1, "u1"), (1, "u2")}
+    assert (ledger(store).status, ledger(store).error_message) == ("success", "page 7 is broken")
+    assert run_feed(store, registry, "kalibrr", "r2", "2026-03-02 00:00:00")
+    assert (ledger(store, "r2").status, ledger(store, "r2").error_message) == ("failed", "scrape: board is down")
+    with pytest.raises(UnknownFeed):
+        run_feed(store, registry, "nobody", "r3", "2026-03-02 00:00:00")
+
+
+def test_stream_that_lost_its_checkpoint(spark, store, tmp_path):
+    folder, day = str(tmp_path / "raw"), lambda: "2026-03-05 00:00:00"
+    def deliver(*rows):
+        spark.createDataFrame(rows, schemas.RAW_POSTINGS).coalesce(1).write.mode("append").parquet(folder)
+        start_ingest(raw_posting_stream(spark, folder, 1), store, 1, "s", day).awaitTermination()
+    deliver(raw(1, "a"))
+    lost = checkpoint_folder(store, "s")
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(lost)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    deliver(raw(2, "b", "Data Analyst"))
+    assert pointers(store) == {"a": None, "b": None}  # the new file is stored, the old one repeated harmlessly
+    assert store.read("scrape_runs").count() == 3
+
+
 def test_stream(spark, store, tmp_path):
     folder = str(tmp_path / "raw")
     for i, rows in enumerate([[raw(1, "a"), raw(2, "b", "Data Analyst")], [raw(3, "a"), raw(4, "c")]]):

@@ -97,7 +97,13 @@ def test_text_search(spark, tmp_path):
     tokens = spark.read.parquet(str(tmp_path / "tokens"))
     assert [(r.pos, r.token) for r in tokens.where("doc_id = '001'").orderBy("pos").collect()] == list(
         enumerate("go engineer go build data pipelines".split(), 1))
-    assert [r.doc_id for r in search.search_by_tokens(tokens, ["data", "Kafka"]).collect()] == ["002"]
+    by_tokens = lambda *a, **q: sorted(r.doc_id for r in search.search_by_tokens(tokens, *a, **q).collect())
+    assert by_tokens(["data", "Kafka"]) == ["002"]
+    assert by_tokens(["data pipelines"]) == ["001"] and by_tokens(["pipelines data"]) == []
+    assert by_tokens(any_of=["go", "designer"]) == ["001", "003"]
+    assert by_tokens(["engineer"], ["build", "of data"], ["KAFKA"]) == ["001"]
+    assert by_tokens(["engineer"], none_of=["data engineer"]) == ["001"]
+    assert by_tokens(["!!"]) == [] and by_tokens() == []
 
 
 def test_lookups_and_json(spark):

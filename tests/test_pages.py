@@ -77,9 +77,16 @@ def test_page_runs(spark):
         F.sort_array(F.collect_list("page")).alias("p"))
     assert {r.keyword: r.p for r in kept.collect()} == {
         "empty": [1], "repeat": [1], "overlap": [1, 2, 3], "total": [1, 2], "error": [1], "again": [1, 2, 3]}
-    limits = {n: P.trim_page_runs(parsed(spark, [("k", i, page(999, i)) for i in range(1, 31)]), max_pages=n).count()
-              for n in (0, 2, 500)}
-    assert limits == {0: 3, 2: 2, 500: 20}
+    # a dump holds what it holds: only a caller's own limit cuts it
+    long = parsed(spark, [("k", i, page(999, i)) for i in range(1, 31)])
+    assert {n: P.trim_page_runs(long, max_pages=n).count() for n in (None, 2, 30)} == {None: 30, 2: 2, 30: 30}
+
+
+def test_two_crawls_of_a_keyword_do_not_mix(spark):
+    pages = parsed(spark, [("k", i, html(99, [job(i)])) for i in (1, 2)])
+    crawls = pages.crossJoin(spark.createDataFrame([(1,), (2,)], "crawl int"))
+    kept = P.trim_page_runs(crawls, "crawl", "keyword")
+    assert sorted((r.crawl, r.page) for r in kept.collect()) == [(1, 1), (1, 2), (2, 1), (2, 2)]
 
 
 def test_country_audit(spark):
@@ -106,6 +113,10 @@ def test_one_failing_feed_keeps_the_others(spark):
     rows, errors = union_feeds(spark, {"a": lambda: spark.createDataFrame([("t",)], "title string"), "b": broken})
     assert [(r.title, r.feed) for r in rows.collect()] == [("t", "a")]
     assert [r.error for r in errors.collect()] == ['feed "b": down']
+    unreadable = lambda: spark.createDataFrame([("t",)], "title string").select(
+        F.raise_error(F.lit("bad file")).cast("string").alias("title"))
+    rows, errors = union_feeds(spark, {"a": lambda: spark.createDataFrame([("t",)], "title string"), "c": unreadable})
+    assert [r.feed for r in rows.collect()] == ["a"] and [r.feed for r in errors.collect()] == ["c"]
     both = union_feeds(spark, {"y": broken, "x": broken})[1]
     assert error_text(both).first().error == 'feed "x": down\nfeed "y": down'
     assert error_text(both.limit(0)).first().error is None

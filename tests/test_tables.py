@@ -22,27 +22,41 @@ def names(store):
 
 
 def test_changes_replace_rows_and_compact(spark, tmp_path):
-    store = SnapshotStore(spark, str(tmp_path), max_changes=3)
+    store = SnapshotStore(spark, str(tmp_path))
     assert names(store) == []
     store.add("companies", firms(spark, ("1", "A"), ("2", "B")))
     store.add("companies", firms(spark, ("2", "B2"), ("3", "C")))
-    store.add("companies", firms(spark, ("2", "B3")))
-    assert names(store) == [("1", "A"), ("2", "B3"), ("3", "C")]
-    assert len(store._log("companies")[1]) == 3
+    for i in range(20):  # nothing is rewritten on its own
+        store.add("companies", firms(spark, ("2", f"B{i + 3}")))
+    assert len(store.state()[1]["companies"]) == 22
+    want = [("1", "A"), ("2", "B22"), ("3", "C")]
+    assert names(store) == want
     before = store.read("companies")
-    store.add("companies", firms(spark, ("1", "A2")))
-    assert len(store._log("companies")[1]) == 1
-    assert names(store) == [("1", "A2"), ("2", "B3"), ("3", "C")]
-    assert before.count() == 3  # older readers keep their folders
+    store.compact("companies")
+    assert len(store.state()[1]["companies"]) == 1 and names(store) == want
+    assert before.count() == 3  # older readers keep their folders until a vacuum
+    assert store.vacuum() > 22 and store.vacuum() == 0 and names(store) == want
     store.write("companies", firms(spark, ("9", "Z")))
     assert names(store) == [("9", "Z")]
 
 
+def test_several_tables_appear_at_once(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path))
+    bad = spark.range(1).select(F.raise_error(F.lit("no")).cast("string").alias("id"), *[
+        F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.COMPANIES.fields[1:]])
+    errors = spark.createDataFrame([("r", 1, "u", "e")], schemas.RUN_ERRORS)
+    with pytest.raises(Exception, match="no"):
+        store.commit(add={"run_errors": errors, "companies": bad})
+    assert store.state() == (0, {}) and store.read("run_errors").count() == 0
+    store.commit(write={"companies": firms(spark, ("1", "A"))}, add={"run_errors": errors})
+    assert store.state()[0] == 1 and names(store) == [("1", "A")] and store.read("run_errors").count() == 1
+
+
 def test_second_writer_fails(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path))
     store.write("companies", firms(spark, ("1", "A")))
     with pytest.raises(RuntimeError):
-        store._commit("companies", 1, ["elsewhere"])
+        store._publish(1, {"companies": ["elsewhere"]})
     assert names(store) == [("1", "A")]
 
 
@@ -85,12 +99,23 @@ def test_normalizing_neither_shuffles_nor_leaves_the_jvm(spark):
     assert not any(x in text for x in ("Exchange", "EvalPython", "InPandas", "Generate"))
 
 
+def posting_rows(spark, n):
+    one = {f.name: F.lit("x") if f.dataType.simpleString() == "string" else F.lit(None).cast(f.dataType) for f in schemas.POSTINGS}
+    one |= {"id": F.sha2(F.col("n").cast("string"), 256), "source_id": F.lit(1), "source_url": F.concat(F.lit("u"), F.col("n")),
+            "is_active": F.lit(True), "first_seq": F.col("n"), "description": F.repeat(F.lit("text "), 100),
+            "stack": F.array(F.lit("Go"))}
+    return spark.range(n).withColumnRenamed("id", "n").select(*[one[f.name].alias(f.name) for f in schemas.POSTINGS])
+
+
 def test_small_batch_does_not_shuffle_the_stored_table(spark, tmp_path):
-    path = str(tmp_path / "jobs")
-    spark.createDataFrame([], schemas.POSTINGS).write.parquet(path)
-    target = spark.read.schema(schemas.POSTINGS).parquet(path)
+    posting_rows(spark, 20_000).write.parquet(str(tmp_path / "jobs"))
+    target = spark.read.schema(schemas.POSTINGS).parquet(str(tmp_path / "jobs"))
     # a run stages its batch, so that its size is known
-    batch = spark.read.schema(schemas.POSTINGS).parquet(path).select(
-        *upsert.KEY, "id", *schemas.POSTING_CONTENT, "first_seq")
-    text = plan(upsert.upsert_postings(target, batch, F.lit(DAY)))
+    posting_rows(spark, 50).select(*upsert.KEY, "id", *schemas.POSTING_CONTENT, "first_seq").write.parquet(str(tmp_path / "batch"))
+    batch = spark.read.parquet(str(tmp_path / "batch"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")  # the stored table is above it
+    try:
+        text = plan(upsert.upsert_postings(target, batch, F.lit(DAY)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text and "hashpartitioning" not in text

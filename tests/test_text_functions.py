@@ -17,79 +17,106 @@ def column(spark, rows, fields, expr):
     return [r.v for r in out.collect()]
 
 
-SALARIES = [
-    ("5-9jt", 5_000_000, 9_000_000, "range"),
-    ("6-7 juta", 6_000_000, 7_000_000, "range"),
-    ("12 - 9 juta", 9_000_000, 12_000_000, "range"),
-    ("Rp 9.250.000", 9_250_000, 9_250_000, "exact"),
-    ("Rp9.250.000", 9_250_000, 9_250_000, "exact"),
-    ("rp. 4.500.000", 4_500_000, 4_500_000, "exact"),
-    ("IDR 7,000,000 - 9,500,000", 7_000_000, 9_500_000, "range"),
-    ("IDR 7.000.000 - IDR 9.000.000", 7_000_000, 9_000_000, "range"),
-    ("up to 25 juta", None, 25_000_000, "estimated"),
-    ("hingga 11 juta", None, 11_000_000, "estimated"),
-    ("maks 3.5jt", None, 3_500_000, "estimated"),
-    ("mulai dari 6jt", 6_000_000, None, "estimated"),
-    ("minimal 750 ribu", 750_000, None, "estimated"),
-    ("from IDR 5000000/month", 5_000_000, None, "estimated"),
-    ("5jt - 6jt/bulan", 5_000_000, 6_000_000, "range"),
-    ("Rp2.000.000 – Rp3.000.000", 2_000_000, 3_000_000, "range"),
-    ("Rp 2.000.000 — Rp 3.000.000", 2_000_000, 3_000_000, "range"),
-    ("2jt ~ 3jt", 2_000_000, 3_000_000, "range"),
-    ("2jt s/d 3jt", 2_000_000, 3_000_000, "range"),
-    ("2 sampai dengan 3 juta", 2_000_000, 3_000_000, "range"),
-    ("2-3jt per bulan", 2_000_000, 3_000_000, "range"),
-    ("7,25 juta", 7_250_000, 7_250_000, "exact"),
-    ("7.250 juta", 7_250_000_000, 7_250_000_000, "exact"),
-    ("1..2 - 3 juta", None, None, "unknown"),
-    ("3 - 1..2 juta", 3, 3, "exact"),
-    ("negotiable, 5jt", None, None, "unknown"),
-    ("Kompetitif", None, None, "unknown"),
-    ("EUR 3000", None, None, "unknown"),
-    ("£900", None, None, "unknown"),
-    ("sesuai pengalaman", None, None, "unknown"),
-    ("-", None, None, "unknown"),
-    ("  ", None, None, "unknown"),
-    ("", None, None, "unknown"),
-    ("negosiasi 4jt", 4_000_000, 4_000_000, "exact"),
-    ("99999999999999999999999999", None, None, "unknown"),
-]
+MILLION, THOUSAND = 1_000_000, 1_000
+UNITS = {"jt": MILLION, "juta": MILLION, "jutaan": MILLION, "rb": THOUSAND, "ribu": THOUSAND, "ribuan": THOUSAND}
+BETWEEN = ("-", "–", "—", "~", "s/d", "s.d.", "sampai", "sampai dengan", "hingga")
+AT_MOST = ("up to", "hingga", "maksimal", "maks", "max", "sampai", "sampai dengan")
+AT_LEAST = ("mulai dari", "minimal", "min", "dari", "mulai", "start from", "from")
+VAGUE = ("negotiable", "competitive", "nego", "kompetitif", "undisclosed", "confidential", "tbd")
+FOREIGN = ("$", "€", "£", "USD", "sgd", "MYR", "eur", "GBP")
+PERIODS = ("/bulan", "/ bln", "/month", " per bulan", " per month")
+
+
+def salary_cases():
+    """Texts written out from their parts, with the bounds the parts mean."""
+    n = 10
+    for unit, factor in UNITS.items():
+        for glue in BETWEEN:
+            n += 1
+            low, high = n, n + 5
+            shown = f" {glue} " if glue[0].isalpha() or n % 2 else glue
+            yield f"{low}{shown}{high} {unit}", low * factor, high * factor, "range"  # one unit for both
+            yield f"Rp {high}{unit}{shown}IDR {low}{unit}", low * factor, high * factor, "range"  # swapped
+        for word in AT_MOST:
+            yield f"{word} {n} {unit}", None, n * factor, "estimated"
+        for word in AT_LEAST:
+            yield f"Gaji {word} {n}{unit}", n * factor, None, "estimated"
+        for mark in ".,":
+            for digits in (1, 2):  # a fraction of the unit
+                yield f"{n}{mark}{'5' * digits} {unit}", *2 * (round((n + int("5" * digits) / 10 ** digits) * factor),), "exact"
+            yield f"{n}{mark}250 {unit}", *2 * ((n * 1000 + 250) * factor,), "exact"  # a group of three is no fraction
+    for mark in ".,":
+        for lead in ("", "Rp", "rp. ", "IDR "):
+            full = 8 * MILLION + 400 * THOUSAND
+            yield f"{lead}8{mark}400{mark}000", full, full, "exact"
+            yield f"{lead}8{mark}400{mark}000 - {lead}9{mark}100{mark}000", full, 9_100_000, "range"
+    for period in PERIODS:
+        yield f"4-7jt{period}", 4 * MILLION, 7 * MILLION, "range"
+        yield f"max IDR 7000000{period}", None, 7 * MILLION, "estimated"
+    for word in VAGUE:
+        yield f"{word.title()}, 6 juta", None, None, "unknown"
+    for word in FOREIGN:
+        yield f"{word} 1200", None, None, "unknown"
+    for blank in ("", " \t ", "~", "gaji menarik", "9" * 26, "8..1"):
+        yield blank, None, None, "unknown"
+    yield "4 - 8..1 juta", 4, 4, "exact"  # a bad second number: the first stands alone
+    yield "negosiasi 6jt", 6 * MILLION, 6 * MILLION, "exact"  # a longer word is not the vague one
 
 
 def test_salary(spark):
-    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(SALARIES)],
+    cases = list(salary_cases())
+    assert len(cases) > 200
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(cases)],
                                "i int, salary_raw string")
     got = [tuple(r)[2:] for r in with_salary(df).orderBy("i").collect()]
-    assert got == [r[1:] for r in SALARIES]
-
-
-CLEANED = [
-    ("", ""),
-    ("no markup here", "no markup here"),
-    ("<p>One</p>", "One"),
-    ('<p class="a > b" data-x=\'<li>\'>One</p>', "One"),
-    ("<ul><li>a</li><li>b</li></ul>", "- a\n- b"),
-    ("<p>a</p><p>b</p>", "a\n\nb"),
-    ("a<br>b<br/>c", "a\nb\nc"),
-    ("<li>knows <b>Git</b> and <i>Helm</i></li>", "- knows Git and Helm"),
-    ("<li>Kuber<b>netes</b></li>", "- Kubernetes"),
-    ("<b>x</b> <i>y</i>", "xy"),
-    ("R&amp;D &lt;b&gt; &amp;lt; &#65;&#x42; &eacute; &nosuch;", "R&D <b> &lt; AB é &nosuch;"),
-    ("<li>\n\t a   b\n</li>", "- a b"),
-    ("a<script>if (1 < 2) '<p>'</script>b<STYLE>p{}</STYLE>c", "abc"),
-    ("a<!-- <p>hidden</p> -->b", "ab"),
-    ("<!DOCTYPE html><h1>T</h1><div>u</div>", "T\n\nu"),
-    ("a&nbsp;b&nbsp;&nbsp;c", "a b c"),
-    ("<b>a</b>&nbsp;<b>b</b>", "ab"),
-    ("3 < 4 and 5 > 4", "3 < 4 and 5 > 4"),
-    ("a<script>never closed", "a"),
-    ("<ul>\n <li>a</li>\n</ul>\n\n<ul>\n <li>b</li>\n</ul>", "- a\n\n- b"),
-]
+    assert [(c[0], g) for c, g in zip(cases, got, strict=True)] == [(c[0], c[1:]) for c in cases]
+
+
+HEADINGS = [f"h{i}" for i in range(1, 7)]
+CLOSING = ["p", "div", *HEADINGS]  # a line break on both sides
+OPENING = ["ul", "ol"]  # a line break in front only
+INLINE = ["b", "i", "em", "strong", "span", "a", "unknown"]
+
+
+def cleaning_cases():
+    """Markup written out from tag kinds and nestings, with the lines it means."""
+    for tag in CLOSING:
+        yield f"x<{tag}>y</{tag}>z", "x\ny\nz"
+        yield f"<{tag.upper()} class='k'>y</{tag.upper()}><{tag}>z</{tag}>", "y\n\nz"
+        for inner in INLINE:
+            yield f"<{tag}>sp<{inner}>li</{inner}>t</{tag}>", "split"
+    for tag in OPENING:
+        yield f"x<{tag}>y</{tag}>z", "x\nyz"
+        for k in (1, 2, 3):
+            items = [f"item {i}" for i in range(k)]
+            yield f"<{tag}>" + "".join(f"<li>{x}</li>" for x in items) + f"</{tag}>", "\n".join(f"- {x}" for x in items)
+            yield f"<{tag}>\n" + "\n".join(f" <li> {x}\t </li>" for x in items) + f"</{tag}>", "\n".join(f"- {x}" for x in items)
+    for br in ("<br>", "<br/>", "<BR >"):
+        yield f"x{br}y{br}z", "x\ny\nz"
+    for raw in ("script", "style", "SCRIPT", "Style"):
+        yield f"x<{raw} a='1'>p > q '<p>'</{raw}>y", "xy"
+        yield f"x<{raw}>open to the end", "x"
+    for name, char in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#67", "C"), ("#x44", "D"), ("uuml", "ü")):
+        yield f"k&{name};m", f"k{char}m"
+        yield f"k&amp;{name};m", f"k&{name};m"  # decoded once
+    yield "k&nbsp;m&nbsp;&nbsp;n", "k m n"
+    yield "k&missing;m", "k&missing;m"
+    for gap in (" ", "\n", " \t\n "):
+        yield f"k{gap}m", "k m"
+        yield f"<b>k</b>{gap}<i>m</i>", "km"  # white space alone between tags is no text
+    yield "k<!-- <p>m</p> -->n", "kn"
+    yield "<!DOCTYPE html>k", "k"
+    yield '<p title="k > m" data-x=\'<li>\'>n</p>', "n"
+    yield "2 < 3 and 3 > 2", "2 < 3 and 3 > 2"
+    yield "plain", "plain"
+    yield "", ""
 
 
 def test_cleaning(spark):
-    got = column(spark, [c[0] for c in CLEANED], ["html"], html_to_text(F.col("html")))
-    assert got == [c[1] for c in CLEANED]
+    cases = list(cleaning_cases())
+    assert len(cases) > 100
+    got = column(spark, [c[0] for c in cases], ["html"], html_to_text(F.col("html")))
+    assert [(c[0], g) for c, g in zip(cases, got, strict=True)] == cases
 
 
 MODES = [
