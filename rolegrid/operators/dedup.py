@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from rolegrid.operators.components import connected_components
 from rolegrid.operators.similarity import similar_pairs
+from rolegrid.session import use_skew_settings
 
 NODE = ("fingerprint", "company_id", "title_normalized")
 
@@ -64,6 +65,7 @@ def duplicate_groups(postings: DataFrame) -> DataFrame:
     is not settled yet; without it all are compared with all. Columns: the NODE columns, ``members`` (postings of the key), ``component``
     (smallest posting id of the group), ``canonical_id``.
     """
+    use_skew_settings(postings.sparkSession)
     marks = [F.max("changed").alias("changed")] if "changed" in postings.columns else []
     nodes = (postings.groupBy(*NODE)
              .agg(F.min("id").alias("node"), F.min(preference()).alias("best"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolegrid.functions.trigram import N_CODES, SIMILARITY_TENTHS, trigram_codes, trigrams
-from rolegrid.session import stage
+from rolegrid.session import stage, use_skew_settings
 
 _SHIFT = 65536  # above every trigram code
 
@@ -65,6 +65,7 @@ def similar_pairs(items: DataFrame, block: str, text: str, ident: str | None = N
       (block, trigram) keys above that bound are in the table of slices; rows
       of all other keys stay single.
     """
+    use_skew_settings(items.sparkSession)
     texts = stage(
         items.where(F.col(text) != "").groupBy(F.col(block).alias("block"), F.col(text).alias("text"))
         .agg(F.min(ident).alias("id") if ident else F.lit(None).cast("string").alias("id"),

@@ -14,6 +14,7 @@ from rolegrid.operators import audit, dedup, search, stats, upsert
 from rolegrid.operators.normalize import normalize_postings
 from rolegrid.operators.replay import replay
 from rolegrid.operators.similarity import pair_similarity, similar_pairs
+from rolegrid.operators.tagging import dictionary_tags
 from rolegrid.plans.feed import AS_OF, BASE_URL, page_dump, posting_feed, source_table, table
 from rolegrid.plans.ingest import Run, ingest, run_feed
 from rolegrid.schemas import POSTING_CONTENT, RAW_POSTINGS
@@ -124,6 +125,16 @@ def document_tags(spark, sf_dir):
         "doc_id", F.array_join(text_tags(F.lit(""), F.col("text")), ",").alias("tags"))
 
 
+@query
+def user_dictionary_tags(spark, sf_dir):
+    """Part names tagged with a dictionary that is itself a table."""
+    part = table(spark, sf_dir, "part")
+    words = (part.where(F.col("p_partkey") % 10 == 0)
+             .select(F.substring_index("p_name", " ", 1).alias("alias")).distinct())
+    tags = dictionary_tags(part, "p_partkey", "p_name", words.withColumn("tag", F.upper("alias")))
+    return tags.select("p_partkey", F.array_join("tags", ",").alias("tags"))
+
+
 @query
 def posting_tags(spark, sf_dir):
     """Long form: one row per posting event and tag."""

@@ -268,6 +268,10 @@ SELECT count(*) AS n_pages, CAST(sum(strlen(html)) AS BIGINT) AS bytes_in, CAST(
     "salary_profile": NORM + """ SELECT source_id, salary_conf, count(*) AS n, CAST(sum(salary_min) AS BIGINT) AS sum_min,
  CAST(sum(salary_max) AS BIGINT) AS sum_max, count(salary_min) AS n_min, count(salary_max) AS n_max FROM norm GROUP BY 1, 2""",
     "document_tags": f"SELECT doc_id, array_to_string({tags('text')}, ',') AS tags FROM documents",
+    "user_dictionary_tags": """WITH words AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS alias FROM part WHERE p_partkey % 10 = 0),
+t AS (SELECT p_partkey, unnest(regexp_split_to_array(lower(p_name), '[^0-9a-z_]+')) AS alias FROM part),
+h AS (SELECT p_partkey, string_agg(DISTINCT upper(alias), ',' ORDER BY upper(alias)) AS tags FROM t JOIN words USING (alias) GROUP BY 1)
+SELECT p_partkey, coalesce(tags, '') AS tags FROM part LEFT JOIN h USING (p_partkey)""",
     "posting_tags": NORM + " SELECT ingest_seq, unnest(stack) AS tag FROM norm",
     "mode_counts": NORM + " SELECT mode, count(*) AS n FROM norm GROUP BY 1",
     "level_counts": NORM + " SELECT level, count(*) AS n FROM norm GROUP BY 1",

@@ -8,6 +8,7 @@ from rolegrid.functions.salary import with_salary
 from rolegrid.functions.tags import Alias, text_tags
 from rolegrid.functions.text import html_to_text, search_form, trim_white
 from rolegrid.functions.trigram import similarity, trigrams
+from rolegrid.operators.tagging import dictionary_tags
 
 
 def column(spark, rows, fields, expr):
@@ -241,6 +242,14 @@ def test_user_dictionary(spark):
     assert got == [["Tools", "Zed", "Zig"], []]
 
 
+def test_dictionary_table(spark):
+    texts = spark.createDataFrame([(1, "Zig, zed"), (2, "nothing"), (3, None), (4, "ZED zed_ zigzag")], "i int, t string")
+    words = spark.createDataFrame([("Zig", "zig"), ("Zed", "ZED"), ("Tools", "zed"), ("Zed", "zed"), ("X", None)], "tag string, alias string")
+    for limit in (100, 0):  # by broadcast and by shuffle
+        got = {r.i: r.tags for r in dictionary_tags(texts, "i", "t", words, limit).collect()}
+        assert got == {1: ["Tools", "Zed", "Zig"], 2: [], 3: [], 4: ["Tools", "Zed"]}
+
+
 def test_trigrams(spark):
     assert sorted(column(spark, ["cat"], ["a"], trigrams(F.col("a")))[0]) == ["  c", " ca", "at ", "cat"]
     pairs = [("seniorbackend", "seniorbackend"), ("", ""), ("abc", "xyz"), ("word", "words")]
