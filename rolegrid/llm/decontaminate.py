@@ -18,6 +18,7 @@ an item without id is spelled as the empty string; repeated rows stay.
 from __future__ import annotations
 
 import re
+import uuid
 from itertools import repeat
 
 import numpy as np
@@ -120,8 +121,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
-    shared = [spark.sparkContext.broadcast({"key": f"{id(b)}-{len(b)}-{i}", "items": b})
-              for i, b in enumerate(item_blocks(benchmark, block_bytes))]
+    shared = [spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "items": b})
+              for b in item_blocks(benchmark, block_bytes)]
 
     def scanner(block, every):
         def run(it):
@@ -206,7 +207,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
                .select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct())
         same = (F.xxhash64("text") == F.col("bad_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id"))
         return docs.join(bad, same, "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast({"key": f"{id(blocks)}-{len(blocks[0])}", "items": blocks[0]})
+    shared = docs.sparkSession.sparkContext.broadcast({"key": uuid.uuid4().hex, "items": blocks[0]})
 
     def run(it):
         patterns = _patterns(shared, window)
