@@ -691,7 +691,7 @@ def _second_run(spark, sf_dir):
     empty = {n: spark.createDataFrame([], t) for n, t in TABLES.items()}
     before = ingest(feed.where(seq % 10 != 9), empty["companies"], empty["jobs"], _sources(spark, sf_dir),
                     Run("first", 1, FIRST_RUN))
-    jobs = stage(before.jobs.drop("changed").withColumns({
+    jobs = stage(before.jobs.withColumns({
         "is_active": F.col("first_seq") % 7 != 0,
         "last_seen_at": F.when(F.col("first_seq") % 2 == 0, as_of - F.make_dt_interval(F.lit(5)))
         .otherwise(F.col("last_seen_at"))}), "first-jobs")

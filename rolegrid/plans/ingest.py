@@ -44,15 +44,20 @@ class Run:
 
 @dataclass(frozen=True)
 class Outcome:
-    """State of the tables after a run; ``was_touched`` of companies and
-    ``changed`` of jobs tell the rows that differ from before."""
+    """State of the tables after a run; ``was_touched`` of companies tells the
+    rows that differ from before, jobs come as ``changed`` and ``unchanged``."""
 
     companies: DataFrame
-    jobs: DataFrame
+    changed: DataFrame
+    unchanged: DataFrame
     sources: DataFrame
     run: DataFrame
     errors: DataFrame
 
+    @property
+    def jobs(self) -> DataFrame:
+        return self.unchanged.unionByName(self.changed)
+
 
 def _has_null_char(name: str) -> Column:
     return F.coalesce(F.contains(F.col(name), F.lit("\x00")), F.lit(False))
@@ -89,38 +94,34 @@ def ingest(events: DataFrame, companies: DataFrame, jobs: DataFrame, sources: Da
     batch = stage(
         upsert.latest_per_key(good, upsert.KEY, "ingest_seq", "id", "company_normalized", *content)
         .join(ids, "company_normalized"), "batch")
-    # not written here: every reader below needs a few columns of it only
-    merged = upsert.upsert_postings(jobs, batch, as_of)
+    # narrow columns decide what changes; whole rows are read for changes alone
+    states = upsert.posting_states(jobs, batch, as_of)
 
     # stored canonicals were compared with each other when they came: only the
     # touched ones are compared again, with all open postings of their company
     open_rows = stage(dedup.related(
-        merged.where(F.col("canonical_job_id").isNull())
+        states.where(F.col("canonical_job_id").isNull())
         .select("id", *dedup.NODE, "posted_at", "first_seen_at", "first_seq",
-                F.col("was_touched").alias("changed")), batch), "open")
+                "was_added", F.col("was_touched").alias("changed")), batch), "open")
     groups = stage(dedup.duplicate_groups(open_rows), "groups")
     members = open_rows.join(
         groups.select(*dedup.NODE, "component", "canonical_id"), list(dedup.NODE))
     pointers = members.select("id", F.when(F.col("id") != F.col("canonical_id"), F.col("canonical_id"))
                               .alias("canonical_id"))
-    resolved = dedup.apply_pointers(merged, pointers)
+    moved = upsert.sweep(dedup.apply_pointers(states, pointers), as_of, run.stale_days)
+    changes = stage(moved.where("was_touched or was_moved or was_stale"), "changes")
 
-    _, inserted = upsert.split_by_target(batch.select(*upsert.KEY, "id"), jobs, upsert.KEY)
-    fresh = inserted.select("id", F.lit(True).alias("fresh"))
-    arrivals = (members.join(fresh, "id", "left")
-                .withColumn("arrival", F.when(F.col("fresh"), F.col("first_seq") + 1).otherwise(F.lit(0))))
+    arrivals = members.withColumn(
+        "arrival", F.when(F.col("was_added"), F.col("first_seq") + 1).otherwise(F.lit(0)))
     new = (dedup.duplicate_on_arrival(arrivals)
-           .where(F.col("fresh") & ~F.col("arrived_duplicate")))
-
-    swept = upsert.sweep(resolved, as_of, run.stale_days)
-    # stale rows are counted before the pointers are attached: no join needed
-    counters = _counters(run, normalized, bad, new, upsert.sweep(merged, as_of, run.stale_days))
+           .where(F.col("was_added") & ~F.col("arrived_duplicate")))
+    counters = _counters(run, normalized, bad, new, changes)
     ledger = _ledger(run, counters)
     ran = events.sparkSession.createDataFrame([(run.source_id,)], "source_id int")
     return Outcome(
         companies=companies_now,
-        jobs=swept.withColumn("changed", F.col("was_touched") | F.col("was_moved") | F.col("was_stale"))
-        .select(*POSTINGS.fieldNames(), "changed"),
+        changed=upsert.changed_postings(jobs, batch, changes),
+        unchanged=jobs.join(changes.select("id"), "id", "left_anti").select(POSTINGS.fieldNames()),
         sources=upsert.stamp_sources(sources, ran, as_of).select(SOURCES.fieldNames()),
         run=ledger,
         errors=bad.withColumn("run_id", F.lit(run.run_id)).select(RUN_ERRORS.fieldNames()),
@@ -188,7 +189,7 @@ def run_into_store(store: SnapshotStore, events: DataFrame, run: Run,
         store.commit(
             write={"sources": out.sources},
             add={"run_errors": out.errors, "companies": out.companies.where("was_touched"),
-                 "jobs": out.jobs.where("changed"), "scrape_runs": out.run})
+                 "jobs": out.changed, "scrape_runs": out.run})
     return True
 
 
