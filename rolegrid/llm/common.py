@@ -78,14 +78,15 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def only_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id",
-             limit: int = BROADCAST_IDS) -> DataFrame:
+             limit: int = BROADCAST_IDS, how: str = "left_semi") -> DataFrame:
     """Rows of ``df`` whose key is in ``ids`` (distinct, written).
 
     Up to ``limit`` ids the filter is broadcast and the texts stay where they
-    are; beyond it both sides are shuffled by the key.
+    are; beyond it both sides are shuffled by the key. ``how="left_anti"``
+    gives the other rows.
     """
     few = ids.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(ids) if few else ids.hint("shuffle_merge"), key, "left_semi")
+    return df.join(F.broadcast(ids) if few else ids.hint("shuffle_merge"), key, how)
 
 
 def batches(rows: list[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

@@ -253,7 +253,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
                          "verdicts")
     drop = verdict.where(~F.col("kept")).select("doc_id")
     repeated = verdict.where("kept and n > 1").select("doc_id")
-    unwanted = drop.unionByName(repeated)
-    once = docs.join(unwanted, "doc_id", "left_anti").select(*docs.columns)
-    again = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    once = only_ids(docs, drop.unionByName(repeated), how="left_anti").select(*docs.columns)
+    if not repeated.take(1):
+        return once
+    again = only_ids(docs, repeated).dropDuplicates(["doc_id"]).select(*docs.columns)
     return once.unionByName(again)
