@@ -1,18 +1,21 @@
 """Secret scan: fixed patterns plus a character network over every candidate.
 
 Three patterns give the base findings, which always stand: a value assigned
-to a key word, access key ids, long hex runs. Further candidates are runs of
-16 or more key characters with a letter and a digit. A convolutional network
-over characters scores every candidate with the text around it (base findings
-too, as information); a candidate apart from base findings becomes a finding
-of kind ``cnn`` if its calibrated probability reaches the threshold.
+to a key word, access key ids, long hex runs. Further candidates are all runs
+of ``MIN_RUN`` or more key characters that no base finding covers whole; one
+that reaches beyond a base finding overlaps it. A convolutional network over
+characters scores every candidate with the text around it (base findings too,
+as information); a candidate becomes a finding of kind ``cnn`` if its
+calibrated probability reaches the threshold.
 
 The network is trained here, with numpy, on labelled findings that
 :func:`labelled_findings` writes out by rule from a seed: keys of many shapes
-against dates, versions, paths, numbers and names that look like keys. A part
-held back from training calibrates the score (logistic scaling) and sets the
-threshold: the highest one that still finds ``RECALL`` of the held-back keys.
-Candidates longer than the network's view are read in overlapping views and
+against words, dates, versions, paths, numbers and names that look like keys.
+It learns and is measured on the candidates that the scan cuts from those
+texts. A part held back from training calibrates the score (logistic scaling)
+and sets the threshold: the highest one that still finds ``RECALL`` of the
+held-back keys that no base finding covers; a key that is no candidate counts
+as missed. Candidates longer than the network's view are read in overlapping views and
 get the highest score.
 
 Offsets are code points, end exclusive. Null texts are empty texts; repeated
@@ -43,12 +46,12 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # a maximal run, so the bound may stand insi
 ASSIGN_VALUE, ACCESS_LENGTH = 12, 18
 
 _KEY_STEMS = ("passw", "secret", "token", "api")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
-_DIGIT = re.compile(r"[0-9]")
-_LETTER = re.compile(r"[A-Za-z]")
+MIN_RUN = 8  # shorter runs are never judged
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % MIN_RUN)
 
 RECALL = 0.98
 BEFORE, VIEW, AFTER, STRIDE = 20, 48, 8, 32
+VIEWS = 4096
 WIDTH, FILTERS = 5, 24
 _SPAN = BEFORE + VIEW + AFTER
 _CHARS = 97  # padding, 95 printable characters, everything else
@@ -67,33 +70,32 @@ def base_findings(text: str) -> list[tuple[int, int, int]]:
 
 
 def extra_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of key characters that touch no base finding."""
-    if not _DIGIT.search(text):
-        return []
+    """Runs of key characters that no base finding covers whole."""
     out = []
     for m in _RUN.finditer(text):
-        run = m[0].rstrip(".-_/")
-        start, end = m.start(), m.start() + len(run)
-        if (len(run) >= 16 and _DIGIT.search(run) and _LETTER.search(run)
-                and not any(a < end and start < b for a, _, b in base)):
+        start, end = m.start(), m.start() + len(m[0].rstrip(".-_/"))
+        if end - start >= MIN_RUN and not any(a <= start and end <= b for a, _, b in base):
             out.append((start, end))
     return out
 
 
+def encode_spans(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Character codes of each view of each span and the span's number; inside and outside differ."""
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    codes = np.zeros(len(raw) + BEFORE + 2 * _SPAN, np.int16)
+    codes[BEFORE:BEFORE + len(raw)] = np.where((raw >= 32) & (raw < 127), raw - 31, _CHARS - 1)
+    start, end = np.array(spans, np.int64).reshape(-1, 2).T
+    views = np.maximum(1, -(-(end - start - VIEW + STRIDE) // STRIDE))
+    owner = np.repeat(np.arange(len(spans)), views)
+    shift = STRIDE * (np.arange(len(owner)) - np.repeat(np.cumsum(views) - views, views))
+    at = (start[owner] + shift)[:, None] + np.arange(_SPAN)
+    inside = (at - BEFORE >= start[owner][:, None]) & (at - BEFORE < end[owner][:, None])
+    return codes[at] + np.int16(_CHARS) * inside, owner
+
+
 def encode_views(text: str, start: int, end: int) -> list[np.ndarray]:
-    """Character codes of each view of a candidate; inside and outside differ."""
-    out = []
-    for shift in range(0, max(1, end - start - VIEW + STRIDE), STRIDE):
-        first = start - BEFORE + shift
-        codes = np.zeros(_SPAN, np.int64)
-        part = text[max(0, first):first + _SPAN]
-        raw = np.array([ord(c) for c in part], np.int64)
-        raw = np.where((raw >= 32) & (raw < 127), raw - 31, _CHARS - 1)
-        at = max(0, -first)
-        codes[at:at + len(raw)] = raw
-        inside = np.arange(first, first + _SPAN)
-        out.append(codes + _CHARS * ((inside >= start) & (inside < end)))
-    return out
+    """The views of one span."""
+    return list(encode_spans(text, [(start, end)])[0])
 
 
 class CharNet:
@@ -117,7 +119,16 @@ class CharNet:
         return best, top, top @ self.out + self.level[0]
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        parts = [self._forward(x[i:i + 512])[2] for i in range(0, len(x), 512)]
+        kernel, places = self.kernel.astype(np.float32), _SPAN - WIDTH + 1
+        parts = []
+        room = np.empty((64 * places, FILTERS), np.float32)
+        for i in range(0, len(x), 64):  # small enough for the cache
+            part = x[i:i + 64].astype(np.intp)
+            conv = np.take(kernel[0], part[:, :places].ravel(), axis=0)
+            for k in range(1, WIDTH):
+                conv += np.take(kernel[k], part[:, k:k + places].ravel(), axis=0, out=room[:len(conv)], mode="clip")
+            best = conv.reshape(len(part), places, FILTERS).max(axis=1)
+            parts.append(np.maximum(best + self.bias, 0) @ self.out + self.level[0])
         return np.concatenate(parts) if parts else np.zeros(0)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
@@ -147,9 +158,12 @@ class CharNet:
                     v += 0.001 * (g * g - v)
                     p -= 0.01 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Logistic scaling by Newton steps, then the highest threshold that keeps ``recall``."""
-        z = np.column_stack([self.logits(x), np.ones(len(x))])
+    def calibrate(self, logits: np.ndarray, y: np.ndarray, judged: np.ndarray, recall: float) -> None:
+        """Logistic scaling by Newton steps, then the highest threshold that keeps ``recall`` of the ``judged`` keys.
+
+        A key that no candidate holds has the logit ``-inf``.
+        """
+        z = np.column_stack([np.maximum(logits, -40), np.ones(len(logits))])
         # smoothed targets keep the slope finite when the classes separate
         n1 = y.sum()
         target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (len(y) - n1 + 2))
@@ -159,18 +173,27 @@ class CharNet:
             hess = (z * (p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2)
             w -= np.linalg.solve(hess, z.T @ (p - target))
         self.scale, self.shift = map(float, w)
-        found = np.sort(self.probabilities(x[y == 1]))
-        self.threshold = float(found[int((1 - recall) * len(found))])
+        found = np.sort(logits[(y == 1) & judged])
+        least = found[int((1 - recall) * len(found))]
+        if not np.isfinite(least):
+            raise ValueError("the candidates hold too few of the keys for this recall")
+        self.threshold = float(1 / (1 + np.exp(-np.clip(self.scale * least + self.shift, -40, 40))))
 
 
 _WORDS = ("the", "value", "in", "see", "report", "of", "stamp", "page", "with", "und", "pour", "la", "build", "at")
 
 
+_SYLLABLES = (
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou le ve co me de hi ri ro ic ne "
+    "ea ra ce tion ing ent ation ment ness able ly wh sh ein sch ich ver ung keit lich zu ge be auf tz pf eau aux que "
+    "oi ai elle eur cion ado dad os la el ar ll pre con dis com per pro man ber lan for").split()
+
+
 def _secret(rng: random.Random) -> tuple[str, str]:
     """A key and the text before it."""
     pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
     mixed, upper = string.ascii_letters + string.digits, string.ascii_uppercase + string.digits
-    shape = rng.randrange(8)
+    shape = rng.randrange(13)
     if shape == 0:
         key = pick(mixed, rng.randrange(20, 60))
     elif shape == 1:
@@ -185,18 +208,29 @@ def _secret(rng: random.Random) -> tuple[str, str]:
         key = "eyJ" + pick(mixed, 30) + "." + pick(mixed, 40) + "." + pick(mixed + "-_", 30)
     elif shape == 6:
         key = "-".join(pick(upper, 5) for _ in range(rng.randrange(4, 6)))
-    else:
+    elif shape == 7:
         key = pick("0123456789ABCDEF", rng.choice([32, 40]))
+    elif shape == 8:
+        key = pick(string.ascii_letters, rng.randrange(16, 48))
+    elif shape == 9:
+        key = pick(rng.choice([string.ascii_lowercase, string.ascii_uppercase]), rng.randrange(20, 48))
+    elif shape == 10:
+        key = pick(string.digits, rng.randrange(24, 48))
+    elif shape == 11:
+        key = pick(mixed, rng.randrange(10, 20))
+    else:
+        key = rng.choice(["xkeysib-", "dop_v1_", "key-", "re_"]) + pick("0123456789abcdef", 64) + "-" + pick(mixed, 16)
     lead = rng.choice(["token: ", "key=", "Authorization: Bearer ", "secret is ", "export API_KEY=", "pwd ", "", "",
                        rng.choice(_WORDS) + " ", "credentials: "])
-    return (key if any(c.isdigit() for c in key) else key + "7"), lead
+    return key, lead
 
 
 def _harmless(rng: random.Random) -> tuple[str, str]:
     """A run that looks like a key, and the text before it."""
     num = lambda n: "".join(rng.choice(string.digits) for _ in range(n))
     word = lambda: "".join(rng.choice("aeioubdlmnrst") for _ in range(rng.randrange(3, 11)))
-    shape = rng.randrange(10)
+    spelt = lambda: "".join(rng.choice(_SYLLABLES) for _ in range(rng.randrange(3, 7)))
+    shape = rng.randrange(16)
     if shape == 0:
         run = f"20{num(2)}-{num(2)}-{num(2)}T{num(2)}.{num(2)}.{num(2)}Z"
     elif shape == 1:
@@ -215,11 +249,22 @@ def _harmless(rng: random.Random) -> tuple[str, str]:
         run = f"{num(1)}{word()}.{num(2)}{word()}.{num(2)}{word()}"
     elif shape == 8:
         run = "=" * 12 + word() + num(2) + "=" * 6
-    else:
+    elif shape == 9:
         run = f"{word()}.{word()}{num(2)}/{word()}-{word()}"
-    while len(run) < 16:
+    elif shape < 13:
+        run = rng.choice([str.lower, str.capitalize, str.upper])(spelt())
+    elif shape == 13:
+        run = rng.choice(["-", "/", "_", ".", "--", "..."]).join(spelt() for _ in range(rng.randrange(2, 4)))
+    elif shape == 14:
+        run = rng.choice([num(rng.randrange(8, 16)), f"{num(4)}-{num(2)}-{num(2)}", f"{num(3)}-{num(3)}-{num(4)}",
+                          f"{num(2)}.{num(2)}.{num(4)}", f"+{num(2)}-{num(3)}-{num(7)}", f"{num(3)}.{num(1)}.{num(2)}.{num(3)}"])
+    else:
+        run = rng.choice("=-_.+") * rng.randrange(6, 40) + rng.choice(["", "+", "=", spelt()])
+    while len(run.rstrip(".-_/")) < MIN_RUN:
         run += word()
-    return (run if any(c.isdigit() for c in run) else run + "3"), rng.choice(
+    if run.isupper() and run.isalpha():  # mostly among others
+        return run, " ".join(spelt().upper() for _ in range(rng.randrange(4))) + rng.choice([" ", "!! "])
+    return run, rng.choice(
         ["see ", "file ", "on ", "at ", "version ", rng.choice(_WORDS) + " ", "http://", "", "(", "id "])
 
 
@@ -236,35 +281,51 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
     return rows
 
 
-def _views_of(rows) -> tuple[np.ndarray, np.ndarray]:
-    views = [encode_views(t, a, b)[0] for t, a, b, _ in rows]
-    return np.array(views), np.array([r[3] for r in rows], float)
+def _cut(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Views, the row of each view, labels, and whether a row's run is for the network to judge.
+
+    The views are those of the candidates that the scan cuts there; a run that
+    base findings cover has the views of its written span.
+    """
+    views, owner, judged = [], [], []
+    for i, (text, start, end, _) in enumerate(rows):
+        base = base_findings(text)
+        judged.append(not any(a <= start and end <= b for a, _, b in base))
+        spans = [(a, b) for a, b in extra_candidates(text, base) if a < end and start < b] if judged[-1] else [(start, end)]
+        views.append(encode_spans(text, spans)[0])
+        owner += [i] * len(views[-1])
+    return np.concatenate(views), np.array(owner), np.array([r[3] for r in rows], float), np.array(judged)
 
 
 @lru_cache(maxsize=2)
 def trained(n: int = 3000, epochs: int = 6, recall: float = RECALL, seed: int = 7) -> CharNet:
-    """The network, trained on ``n`` labelled findings and calibrated on ``n // 3`` others."""
+    """The network, trained on ``n`` labelled findings, as written and as cut, and calibrated on ``n`` others."""
     net = CharNet(seed)
-    net.train(*_views_of(labelled_findings(n, seed)), epochs)
-    net.calibrate(*_views_of(labelled_findings(n // 3, seed + 1)), recall)
+    rows = labelled_findings(n, seed)
+    x, owner, y, _ = _cut(rows)
+    written = [encode_spans(t, [(a, b)])[0] for t, a, b, _ in rows]
+    labels = np.concatenate([y[owner], np.repeat(y, [len(v) for v in written])])
+    net.train(np.concatenate([x, *written]), labels, epochs)
+    x, owner, y, judged = _cut(labelled_findings(n, seed + 1))
+    best = np.full(len(y), -np.inf)
+    np.maximum.at(best, owner, net.logits(x))
+    net.calibrate(best, y, judged, recall)
     return net
 
 
 def findings(texts: list[str], net: CharNet) -> list[list[tuple[int, int, int, float]]]:
     """Per text ``(start, kind, end, probability)``, sorted by start and kind."""
-    views, owners, out = [], [], []
-    for i, text in enumerate(texts):
+    out = []
+    for text in texts:
         base = base_findings(text)
-        out.append([])
-        for start, kind, end in [*base, *((a, 3, b) for a, b in extra_candidates(text, base))]:
-            for v in encode_views(text, start, end):
-                views.append(v)
-                owners.append((i, len(out[-1])))
-            out[-1].append([start, kind, end, 0.0])
-    if views:
-        for (i, k), p in zip(owners, net.probabilities(np.array(views)), strict=True):
-            out[i][k][3] = max(out[i][k][3], float(p))
-    return [sorted(tuple(f) for f in row if f[1] < 3 or f[3] >= net.threshold) for row in out]
+        spans = [*base, *((a, 3, b) for a, b in extra_candidates(text, base))]
+        best = np.zeros(len(spans))
+        for i in range(0, len(spans), VIEWS):  # bounds the views held at a time
+            views, owner = encode_spans(text, [(a, b) for a, _, b in spans[i:i + VIEWS]])
+            np.maximum.at(best, i + owner, net.probabilities(views))
+        out.append(sorted((a, k, b, p) for (a, k, b), p in zip(spans, best.tolist(), strict=True)
+                          if k < 3 or p >= net.threshold))
+    return out
 
 
 _FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()),

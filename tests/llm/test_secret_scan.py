@@ -71,3 +71,26 @@ def test_long_candidates_are_read_whole(size):
     views = s.encode_views("x" * 30 + "K" * size + "y" * 5, 30, 30 + size)
     seen = sum(((v - s._CHARS) == ord("K") - 31).sum() for v in views)
     assert seen >= size
+
+
+def test_runs_beyond_a_base_finding_and_of_one_kind_are_candidates():
+    key = "xkeysib-" + "0a1b2c3d" * 8 + "-" + "aB3dE5gH7jK9mN1p"
+    text = f"send {key} now"
+    assert s.extra_candidates(text, s.base_findings(text)) == [(5, 5 + len(key))]
+    assert s.redacted(text, s.findings([text], s.trained())[0]) == f"send {s.MASK} now"
+    for run in ("QwZrTpLkXvBnMsDfGhJc", "90271", "4920185736102948", "aB3dE5gH7j"):
+        assert s.extra_candidates(f"x {run} y", []) == ([(2, 2 + len(run))] if len(run) >= s.MIN_RUN else [])
+    assert s.findings(["x QwZrTpLkXvBnMsDfGhJc y"], s.trained())[0]
+    whole = "password=abcdef0123456789"
+    assert s.extra_candidates(whole, s.base_findings(whole)) == []
+
+
+def test_recall_through_the_candidates_on_keys_as_written():
+    rows, net, need, hit = s.labelled_findings(4000, 99), s.trained(), 0, 0
+    assert any(not any(c.isdigit() for c in t[a:b]) for t, a, b, label in rows if label)
+    for (text, a, b, label), found in zip(rows, s.findings([r[0] for r in rows], net), strict=True):
+        base = s.base_findings(text)
+        if label and not any(x <= a and b <= y for x, _, y in base):
+            need += 1
+            hit += any(k == 3 and x <= a and b <= y + len(text[y:b]) - len(text[y:b].lstrip("._-/")) for x, k, y, _ in found)
+    assert need > 1000 and hit / need >= s.RECALL - 0.02
