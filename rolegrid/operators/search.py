@@ -75,7 +75,8 @@ def _tokens_of(term: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in term.lower()).split()
 
 
-def search_by_tokens(tokens: DataFrame, all_of=(), any_of=(), none_of=()) -> DataFrame:
+def search_by_tokens(tokens: DataFrame, all_of=(), any_of=(), none_of=(),
+                     documents: DataFrame | None = None) -> DataFrame:
     """Documents of a token table by the rules of ``text_matches``.
 
     A term is a run of tokens. Only rows of asked tokens are read; a row votes
@@ -83,9 +84,15 @@ def search_by_tokens(tokens: DataFrame, all_of=(), any_of=(), none_of=()) -> Dat
     token of the term is a hit. The rows are dealt by document once, and both
     counts happen there: votes per term and place, hits per document.
 
-    Documents that hold none of the asked tokens are no rows here, so a search
-    of exclusions alone finds only documents that hold another asked token.
+    Documents that hold none of the asked tokens are no rows of the token table,
+    so a search of exclusions alone needs ``documents``, one ``doc_id`` per
+    document with a search form: the excluded ones are taken out of it.
     """
+    if none_of and not all_of and not any_of:
+        if documents is None:
+            raise ValueError("a search of exclusions alone needs the table of documents")
+        ids, out = documents.select("doc_id"), [t for t in none_of if _tokens_of(t)]
+        return ids.join(search_by_tokens(tokens, any_of=out), "doc_id", "left_anti") if out else ids
     terms = [_tokens_of(t) for t in (*all_of, *any_of, *none_of)]
     need, either = len(all_of), len(all_of) + len(any_of)
     if not terms or not all(terms[:need]) or (any_of and not any(terms[need:either])):

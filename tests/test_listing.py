@@ -165,3 +165,13 @@ def test_search_form_is_whole_text(spark):
     long = "word " * 50_000 + "needle"
     df = spark.createDataFrame([(long,)], "t string")
     assert df.where(search.text_matches(search_form(F.col("t")), all_of=["needle"])).count() == 1
+
+
+def test_exclusions_alone_by_tokens_find_every_other_document(spark):
+    df = frame(spark, posting(1, title="Go Engineer"), posting(2, title="Data Engineer"), posting(3, title="Designer"))
+    tokens, docs = search.search_tokens(df, "id", F.col("search_text")), df.select(F.col("id").alias("doc_id"))
+    for out in (["engineer"], ["data engineer"], ["!!"], ["go", "designer", "!!"], ["absent"]):
+        want = sorted(r.id for r in df.where(search.text_matches(F.col("search_text"), none_of=out)).collect())
+        assert sorted(r.doc_id for r in search.search_by_tokens(tokens, none_of=out, documents=docs).collect()) == want
+    with pytest.raises(ValueError):
+        search.search_by_tokens(tokens, none_of=["engineer"])
