@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolegrid.llm import (
-    decontaminate, html_blocks, kneser_ney, minhash, packing, quality_rules, secret_scan, substrings, token_edits, toxicity,
+    byte_bpe, decontaminate, html_blocks, kneser_ney, minhash, packing, quality_rules, secret_scan, substrings, token_edits, toxicity,
 )
 
 
@@ -88,6 +88,18 @@ def op10_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the bytes they decode to, as digests."""
+    import public_tokenizers
+
+    path, pattern = tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    tokens = byte_bpe.encode(_table(spark, sf_dir, "documents"), path, pattern, keep_places=False)
+    return byte_bpe.decode(tokens, path, pattern).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Place of a public vocabulary file; never copied into the repository."""
     import public_tokenizers
@@ -106,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_html_blocks": op10_html_blocks,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
