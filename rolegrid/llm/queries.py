@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rolegrid.llm import (
     byte_bpe, decontaminate, html_blocks, kneser_ney, minhash, packing, quality_rules, secret_scan, substrings, token_edits, toxicity,
+    va_clusters,
 )
 
 
@@ -100,6 +101,11 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op13_va_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding with its cluster after ten rounds."""
+    return va_clusters.report(_table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Place of a public vocabulary file; never copied into the repository."""
     import public_tokenizers
@@ -119,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_kneser_ney": op9_kneser_ney,
     "op10_html_blocks": op10_html_blocks,
     "op11_byte_bpe": op11_byte_bpe,
+    "op13_va_clusters": op13_va_clusters,
 }
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
