@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolegrid.llm import (
-    byte_bpe, decontaminate, html_blocks, kneser_ney, minhash, packing, quality_rules, secret_scan, substrings, token_edits, toxicity,
+    byte_bpe, collocations, decontaminate, html_blocks, kneser_ney, minhash, packing, quality_rules, secret_scan, substrings, token_edits, toxicity,
     va_clusters,
 )
 
@@ -101,6 +101,11 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of every language by how much their words attract each other."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_va_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable embedding with its cluster after ten rounds."""
     return va_clusters.report(_table(spark, sf_dir, "embeddings"))
@@ -125,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_kneser_ney": op9_kneser_ney,
     "op10_html_blocks": op10_html_blocks,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_collocations": op12_collocations,
     "op13_va_clusters": op13_va_clusters,
 }
 
@@ -167,4 +173,28 @@ ORACLES: dict[str, str] = {
                  FROM d LEFT JOIN cut USING (doc_id))
         SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed,
                sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept""",
+    "op12_collocations": f"""
+        WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+                   FROM (SELECT coalesce(lang, 'und') AS lang,
+                                unnest(regexp_extract_all({_AZ}, '[^.,;:!?\\x0A-\\x0D]+')) AS piece FROM documents)),
+        g AS (SELECT lang, size, array_to_string(list_slice(w, k, k + size - 1), ' ') AS phrase
+              FROM (SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS k
+                    FROM p, (VALUES (1), (2), (3)) AS s(size) WHERE len(w) >= size)),
+        f AS (SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY ALL),
+        t AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+        c AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 10),
+        inside AS (SELECT lang, phrase, max(a) AS m
+                   FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM c WHERE size = 3)
+                   GROUP BY ALL),
+        kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, phrase) WHERE m IS NULL OR 100 * m < 50 * a),
+        cuts AS (SELECT lang, phrase, a, k, array_to_string(w[:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y
+                 FROM (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM kept)),
+        scored AS (SELECT cuts.lang, cuts.phrase, cuts.a, k, fx.a AS l, fy.a AS r,
+                          CAST((1000000::HUGEINT * cuts.a * cuts.a) // (fx.a::HUGEINT * fy.a) AS BIGINT) AS score
+                   FROM cuts JOIN f fx ON fx.lang = cuts.lang AND fx.phrase = x
+                             JOIN f fy ON fy.lang = cuts.lang AND fy.phrase = y),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+               phrase, a, l, r, n, score
+        FROM best JOIN t USING (lang) QUALIFY rank <= 2000""",
 }
