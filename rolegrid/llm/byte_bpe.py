@@ -23,7 +23,7 @@ start in it, so that the windows' texts joined are the text, whole.
 A null text is the empty text: no ids. Rows are independent, so repeated rows
 and null keys stay as they are; other columns do not matter. An empty table
 yields an empty table. A worker holds one Arrow batch and, while it encodes,
-slices of ``SLICE`` pieces; a single run of letters, of digits or of other
+parts of a text of about ``LONG_TEXT`` characters; a single run of letters, of digits or of other
 signs is one pre-token, which no encoder can cut.
 """
 
@@ -31,25 +31,30 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolegrid.llm.common import MEMO_WORDS, map_rows, values
+from rolegrid.llm.common import map_rows, values
 
-# Pieces handed to the library at once, and the size from which a piece is cut further.
-SLICE = 4096
+# Pieces handed to the library at once; sizes from which a piece and a text are cut further.
+SLICE = 1024
 LONG_PIECE = 4096
-# Output rows of one Arrow batch hold about this many ids.
-BATCH_IDS = 1_000_000
+LONG_TEXT = 1 << 20
+# Pieces a worker remembers before it starts afresh.
+MEMO_PIECES = 500_000
 
 # White space as the splitting pattern knows it.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECES = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_CHAINED = re.compile(f"[{_SPACE}].*[^{_SPACE}]\\Z", re.DOTALL)
+_BORDER = re.compile(f"[^{_SPACE}](?=[{_SPACE}])")
 # A letter before a sign or digit and a digit before another sign always end a pre-token.
 _SIGNS = "\\u3001\\u3002\\uff01\\uff0c\\uff1a\\uff1b\\uff1f"
 _INNER = re.compile(
@@ -115,52 +120,70 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self._batch = tokenizer(path, pattern).encode_batch_fast
-        self._known: dict[str, np.ndarray] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        new = [p for p in dict.fromkeys(pieces) if p not in self._known]
-        for piece, got in zip(new, self._batch(new, add_special_tokens=False) if new else [], strict=True):
-            self._known[piece] = np.array(got.ids, np.int32)
-
-    def ids(self, text: str) -> np.ndarray:
-        found = []
-        for pieces in _slices(text):
-            self._learn(pieces)
-            found.append(np.concatenate(list(map(self._known.__getitem__, pieces))))
-            if len(self._known) > MEMO_WORDS:
-                self._known.clear()
-        return np.concatenate(found) if found else np.zeros(0, np.int32)
-
-
-def _slices(text: str) -> Iterator[list[str]]:
-    """Pieces of a text in lists of about ``SLICE``, never many long ones together."""
-    part, size = [], 0
-    for match in _PIECES.finditer(text):
-        piece = match[0]
-        for p in [piece] if len(piece) < LONG_PIECE else _INNER.split(piece):
-            part.append(p)
-            size += len(p)
-            if len(part) >= SLICE or size >= 16 * SLICE:
-                yield part
-                part, size = [], 0
-    if part:
-        yield part
+        self._lengths = np.array([len(t) for t in token_bytes(path, pattern)])
+        self._known: dict[str, bytes] = {}  # little-endian ids
+
+    def _learn(self, pieces: Iterable[str]) -> None:
+        """Encode new pieces: those with white space before and none after in one string.
+
+        Behind each other they are cut where they begin, so the ids of the string
+        fall apart into those of the pieces.
+        """
+        new = set(pieces).difference(self._known)
+        row = [p for p in new if _CHAINED.match(p)]
+        for piece in new.difference(row):
+            self._known[piece] = self._encode([piece])
+        for at in range(0, len(row), SLICE):
+            part = row[at:at + SLICE]
+            ids = self._encode(part)
+            ends = 4 * np.searchsorted(np.cumsum(self._lengths[np.frombuffer(ids, "<i4")]),
+                                       np.cumsum([len(p.encode()) for p in part]), side="left") + 4
+            self._known.update(zip(part, map(ids.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+
+    def _encode(self, pieces: list[str]) -> bytes:
+        return np.array(self._batch(["".join(pieces)], add_special_tokens=False)[0].ids, "<i4").tobytes()
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; the new pieces of all are learnt together."""
+        cut = [[self._pieces(part) for part in ([t] if len(t) < LONG_TEXT else _parts(t))] for t in texts]
+        self._learn(chain.from_iterable(chain.from_iterable(cut)))
+        found = [np.frombuffer(b"".join(map(self._known.__getitem__, chain.from_iterable(parts))), "<i4") for parts in cut]
+        if len(self._known) > MEMO_PIECES:
+            self._known.clear()
+        return found
+
+    @staticmethod
+    def _pieces(part: str) -> list[str]:
+        pieces = _PIECES.findall(part)
+        if len(part) >= LONG_PIECE and max(map(len, pieces)) >= LONG_PIECE:
+            return [p for piece in pieces for p in _INNER.split(piece)]
+        return pieces
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A long text in parts, cut where a piece begins if one does in reach."""
+    start = 0
+    while start < len(text):
+        border = _BORDER.search(text, min(start + LONG_TEXT, len(text)))
+        end = border.start() + 1 if border else len(text)
+        yield text[start:end]
+        start = end
 
 
 def places(text: str, ids: np.ndarray, table: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The code point each token starts in and the bytes of it that lie before the token."""
     raw = np.frombuffer(text.encode(), np.uint8)
-    lengths = np.fromiter((len(table[i]) for i in ids.tolist()), np.int64, len(ids))
+    lengths = np.fromiter(map(len, map(table.__getitem__, ids.tolist())), np.int64, len(ids))
     at = np.cumsum(lengths) - lengths
     first = (raw & 0xC0) != 0x80  # the bytes that begin a code point
     char = np.cumsum(first)[at] - 1 if len(ids) else at
     return char.astype(np.int32), (at - np.flatnonzero(first)[char] if len(ids) else at).astype(np.int32)
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+def _lists(parts: Iterable[np.ndarray]) -> pa.ListArray:
+    parts = list(parts)
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts), pa.int32()))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, keep_places: bool = True) -> DataFrame:
@@ -173,17 +196,17 @@ def encode(docs: DataFrame, path: str, pattern: str, keep_places: bool = True) -
         encoder, table = Encoder(path, pattern), token_bytes(path, pattern)
         for batch in it:
             keys, texts = batch.column(0), batch.column(1)
-            columns, start, size = [[] for _ in range(3 if keep_places else 1)], 0, 0
-            for row in range(batch.num_rows):
-                text = texts[row].as_py() or ""
-                ids = encoder.ids(text)
-                for column, value in zip(columns, (ids, *places(text, ids, table)) if keep_places else (ids,), strict=True):
-                    column.append(value)
-                size += len(ids)
-                if size >= BATCH_IDS or row == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays(
-                        [keys[start:row + 1], *map(_lists, columns)], names=names)
-                    columns, start, size = [[] for _ in columns], row + 1, 0
+            sizes = np.cumsum(pc.utf8_length(texts).fill_null(0).to_numpy())
+            start = 0
+            while start < batch.num_rows:  # as many texts as fit, at least one
+                stop = max(start + 1, int(np.searchsorted(sizes, LONG_TEXT + (sizes[start - 1] if start else 0))))
+                some = [t or "" for t in texts[start:stop].to_pylist()]
+                ids = encoder.ids(some)
+                columns = [ids]
+                if keep_places:
+                    columns += zip(*[places(t, i, table) for t, i in zip(some, ids, strict=True)], strict=True)
+                yield pa.RecordBatch.from_arrays([keys[start:stop], *map(_lists, columns)], names=names)
+                start = stop
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     names = ["doc_id", "ids", *(["chars", "inner"] if keep_places else [])]
@@ -197,10 +220,15 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     be whole characters when the ids are a part of a text's.
     """
     def run(it):
-        table = token_bytes(path, pattern)
+        table = [*token_bytes(path, pattern)]
+        # an id outside the vocabulary is read from the empty end of the table
+        table.append(b"")
         for batch in it:
-            out = [b"".join([table[i] for i in ids or () if i is not None and 0 <= i < len(table)])
-                   for ids in values(batch, "ids")]
+            column = batch.column(1)
+            ids = column.flatten().fill_null(-1).to_numpy()
+            ids = np.where((ids < 0) | (ids >= len(table)), len(table) - 1, ids).tolist()
+            ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy()).tolist()
+            out = [b"".join(map(table.__getitem__, ids[a:b])) for a, b in zip([0, *ends], ends, strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=["doc_id", "ids", "bytes"])
 
     return map_rows(tokens.select("doc_id", F.col("ids").cast("array<int>").alias("ids")), run,

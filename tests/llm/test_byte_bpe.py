@@ -25,8 +25,13 @@ def test_ids_equal_merging_by_ranks(library):
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice(signs) for _ in range(60)) for _ in range(1500)]
     texts += ["".join(rng.choice(signs) for _ in range(9000)).replace(" ", "") for _ in range(3)]
     encoder = byte_bpe.Encoder(PATH, PATTERN)
-    for text in texts:
-        assert encoder.ids(text).tolist() == library.encode_ordinary(text), repr(text[:80])
+    for text, ids in zip(texts, encoder.ids(texts), strict=True):
+        assert ids.tolist() == library.encode_ordinary(text), repr(text[:80])
+    long = " ".join(texts)
+    assert len(long) > byte_bpe.LONG_TEXT // 16
+    byte_bpe.LONG_TEXT, kept = 5000, byte_bpe.LONG_TEXT
+    assert encoder.ids([long])[0].tolist() == library.encode_ordinary(long)
+    byte_bpe.LONG_TEXT = kept
 
 
 def test_every_code_point(library):
@@ -34,7 +39,7 @@ def test_every_code_point(library):
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or c % 17 == 0)]
     for at in range(0, len(points), 64):
         text = "".join(f"a{chr(c)}1{chr(c)} {chr(c)}.{chr(c)}" for c in points[at:at + 64])
-        assert encoder.ids(text).tolist() == library.encode_ordinary(text), hex(points[at])
+        assert encoder.ids([text])[0].tolist() == library.encode_ordinary(text), hex(points[at])
 
 
 def test_last_pair_of_each_token():
