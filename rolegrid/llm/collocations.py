@@ -42,11 +42,11 @@ from pyspark.sql import functions as F
 from rolegrid.llm.common import map_rows, mix, raw_texts, values, write_once
 from rolegrid.session import use_skew_settings
 
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 2_000_000
 # Bytes of one text worked on at once.
 PART_BYTES = 1 << 21
 BLOCK_WINDOWS = 1 << 16
-RANGE_WINDOWS = 2_000_000
+RANGE_WINDOWS = 1_000_000
 BORDER_SAMPLE = 20_000
 SALTS = 64
 
@@ -82,6 +82,23 @@ class Automaton:
     @classmethod
     def of(cls, words: list[bytes], paths: np.ndarray, weights: np.ndarray) -> Automaton:
         """From paths in any order; weights of equal paths are added up."""
+        return cls.joined(words, [paths], [weights])
+
+    @classmethod
+    def joined(cls, words: list[bytes], parts: list[np.ndarray], weights: list[np.ndarray]) -> Automaton:
+        """As ``of`` for paths in several arrays, as one number each while they are sorted."""
+        bits = _bits(len(words))
+        if 3 * bits <= 63:
+            key = np.concatenate([_keys(p, bits) for p in parts]) if parts else np.zeros(0, np.int64)
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            sums = np.concatenate(weights)[order] if parts else key
+            sums = np.add.reduceat(sums, first) if len(first) else sums
+            key = key[first]
+            low = (1 << bits) - 1
+            return cls(words, np.stack([key >> (2 * bits), (key >> bits) & low, key & low], 1), sums)
+        paths, weights = np.concatenate(parts), np.concatenate(weights)
         order, first = _sorted(paths, len(words))
         paths, weights = paths[order], weights[order]
         if len(first):
@@ -165,11 +182,19 @@ class Automaton:
         return at[found], self.weights[hit[found]]
 
 
+def _bits(words: int) -> int:
+    return (words + 1).bit_length()
+
+
+def _keys(paths: np.ndarray, bits: int) -> np.ndarray:
+    return (paths[:, 0] << (2 * bits)) | (paths[:, 1] << bits) | paths[:, 2]
+
+
 def _sorted(paths: np.ndarray, words: int, stable: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Order of the paths, and where in it a new path begins."""
-    bits = (words + 1).bit_length()
+    bits = _bits(words)
     if 3 * bits <= 63:
-        key = (paths[:, 0] << (2 * bits)) | (paths[:, 1] << bits) | paths[:, 2]
+        key = _keys(paths, bits)
         order = np.argsort(key, kind="stable" if stable else None)
         return order, np.flatnonzero(np.diff(key[order], prepend=-1))
     order = np.lexsort((paths[:, 2], paths[:, 1], paths[:, 0]))
@@ -215,10 +240,11 @@ class Shard:
         words = sorted(w for w in self.place if w != b".")
         rank = np.zeros(len(self.place), np.int64)
         rank[[self.place[w] for w in words]] = np.arange(1, len(words) + 1)
-        text = rank[np.concatenate([*self.numbers, np.zeros(2 if ended else 0, np.int32)])]
-        paths = np.stack([text[:-2], text[1:-1], text[2:]], 1)
-        paths[paths[:, 1] == 0, 2] = 0
-        paths = paths[paths[:, 0] > 0]
+        text = rank.astype(np.int32)[np.concatenate([*self.numbers, np.zeros(2 if ended else 0, np.int32)])]
+        begin = np.flatnonzero(text[:-2])
+        paths = np.empty((len(begin), 3), np.int64)
+        paths[:, 0], paths[:, 1] = text[begin], text[begin + 1]
+        paths[:, 2] = np.where(paths[:, 1] > 0, text[begin + 2], 0)
         return Automaton.of(words, paths, np.ones(len(paths), np.int64))
 
 
@@ -314,7 +340,7 @@ def unite(parts: list[Automaton]) -> Automaton:
     words = sorted(set().union(*(a.words for a in parts)))
     place = {w: i + 1 for i, w in enumerate(words)}
     paths = [np.array([0, *map(place.__getitem__, a.words)], np.int64)[a.paths] for a in parts]
-    return Automaton.of(words, np.concatenate(paths), np.concatenate([a.weights for a in parts]))
+    return Automaton.joined(words, paths, [a.weights for a in parts])
 
 
 def phrase_counts(ranged: DataFrame, cuts: list[tuple], least: int) -> DataFrame:
