@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolegrid.operators.components import connected_components
-from rolegrid.operators.similarity import similar_pairs
+from rolegrid.operators.similarity import spanning_edges
 from rolegrid.session import use_skew_settings
 
 NODE = ("fingerprint", "company_id", "title_normalized")
@@ -42,20 +42,20 @@ def elect_canonical(df: DataFrame, *group: str) -> DataFrame:
 
 
 def match_edges(nodes: DataFrame) -> DataFrame:
-    """Edges between duplicate keys: ``nodes`` has the NODE columns and ``node``.
+    """Edges that span the groups of duplicate keys: ``nodes`` has the NODE columns and ``node``.
 
     The OR of the rule becomes two equi-joins. Keys with the same fingerprint
     are tied to the smallest of them (a star, not all pairs); similar titles
-    are tied once per title pair. Keys with the same company and title need no
-    tie of their own: the fingerprint is made of both. A column ``changed``
-    limits the title pairs to those with a changed key.
+    are tied as far as their components need it. Keys with the same company and
+    title need no tie of their own: the fingerprint is made of both. A column
+    ``changed`` limits the title pairs to those with a changed key.
     """
     low = nodes.groupBy("fingerprint").agg(F.min("node").alias("v"), F.count("*").alias("n"))
     star = (nodes.join(low.where(F.col("n") > 1), "fingerprint").where(F.col("node") != F.col("v"))
             .select(F.col("node").alias("u"), "v"))
-    similar = similar_pairs(nodes, "company_id", "title_normalized", ident="node",
-                            changed="changed" if "changed" in nodes.columns else None)
-    return star.unionByName(similar.select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))).distinct()
+    similar = spanning_edges(nodes, "company_id", "title_normalized", "node",
+                             changed="changed" if "changed" in nodes.columns else None)
+    return star.unionByName(similar)
 
 
 def duplicate_groups(postings: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,54 @@ def _rarity_classes(texts: DataFrame) -> bytes:
     return bytes(classes)
 
 
+def _distinct_texts(items: DataFrame, block: str, text: str, ident: str | None, changed: str | None) -> DataFrame:
+    """``block, text, id, changed, codes``: one written row per distinct text of a block."""
+    return stage(
+        items.where(F.col(text) != "").groupBy(F.col(block).alias("block"), F.col(text).alias("text"))
+        .agg(F.min(ident).alias("id") if ident else F.lit(None).cast("string").alias("id"),
+             F.max(changed).alias("changed") if changed else F.lit(True).alias("changed"))
+        .withColumn("codes", trigram_codes(F.col("text"))), "texts")
+
+
+def _prefix_entries(texts: DataFrame, tenths: int, *more: str) -> DataFrame:
+    """A row for each of the rarest trigrams of which similar texts share one.
+
+    Class and code are one number: sorting it sorts by rarity, and equal numbers
+    are equal trigrams.
+    """
+    classes = F.lit(_rarity_classes(texts))
+
+    def ranked(code: Column) -> Column:
+        rarity = F.ascii(F.substring(classes, code + 1, F.lit(1)).cast("string"))
+        return rarity * _SHIFT + code
+
+    n = F.coalesce(F.size("gs"), F.lit(0))  # never NULL: no filter repeats the sort
+    kept = ("block", "text", "id", "changed", *more)
+    return (texts.select(*kept, F.array_sort(F.transform("codes", ranked)).alias("gs"))
+            .select(*kept, "gs", n.alias("n"),
+                    F.posexplode_outer(F.slice("gs", F.lit(1), n - F.floor(n * tenths / 10).cast("int")))
+                    .alias("pos", "g"))
+            .where(F.col("g").isNotNull()))
+
+
+def _pair_condition(tenths: int) -> tuple[Column, Column]:
+    """Shared trigrams of ``l`` and ``r``, and the test of two entries with one trigram.
+
+    A pair passes at its first shared trigram only, so it passes once.
+    """
+    ln, rn = F.col("l.n"), F.col("r.n")
+    common = F.array_intersect("l.gs", "r.gs")
+    # this trigram and everything after it on the shorter remainder
+    reachable = F.least(ln - F.col("l.pos"), rn - F.col("r.pos"))
+    return common, (
+        (F.col("l.text") != F.col("r.text"))
+        & ((F.col("l.text") < F.col("r.text")) | ~F.col("r.changed"))
+        & (10 * F.least(ln, rn) > tenths * F.greatest(ln, rn))
+        & ((10 + tenths) * reachable > tenths * (ln + rn))
+        & (F.get(common, F.lit(0)) == F.col("l.g"))
+        & ((10 + tenths) * F.size(common) > tenths * (ln + rn)))
+
+
 def similar_pairs(items: DataFrame, block: str, text: str, ident: str | None = None,
                   changed: str | None = None, tenths: int = SIMILARITY_TENTHS,
                   slice_rows: int = 20_000) -> DataFrame:
@@ -66,26 +116,8 @@ def similar_pairs(items: DataFrame, block: str, text: str, ident: str | None = N
       of all other keys stay single.
     """
     use_skew_settings(items.sparkSession)
-    texts = stage(
-        items.where(F.col(text) != "").groupBy(F.col(block).alias("block"), F.col(text).alias("text"))
-        .agg(F.min(ident).alias("id") if ident else F.lit(None).cast("string").alias("id"),
-             F.max(changed).alias("changed") if changed else F.lit(True).alias("changed"))
-        .withColumn("codes", trigram_codes(F.col("text"))), "texts")
-    # class and code in one number: sorting it sorts by rarity, and equal
-    # numbers are equal trigrams
-    classes = F.lit(_rarity_classes(texts))
-
-    def ranked(code: Column) -> Column:
-        rarity = F.ascii(F.substring(classes, code + 1, F.lit(1)).cast("string"))
-        return rarity * _SHIFT + code
-
-    n = F.coalesce(F.size("gs"), F.lit(0))  # never NULL: no filter repeats the sort
-    entries = (
-        texts.select("block", "text", "id", "changed", F.array_sort(F.transform("codes", ranked)).alias("gs"))
-        .select("block", "text", "id", "changed", "gs", n.alias("n"),
-                F.posexplode_outer(F.slice("gs", F.lit(1), n - F.floor(n * tenths / 10).cast("int")))
-                .alias("pos", "g"))
-        .where(F.col("g").isNotNull()))
+    texts = _distinct_texts(items, block, text, ident, changed)
+    entries = _prefix_entries(texts, tenths)
     heavy = (entries.groupBy("block", "g").agg(F.count("*").alias("rows")).where(F.col("rows") > slice_rows)
              .select("block", "g", F.ceil(F.col("rows") / slice_rows).cast("int").alias("slices")))
     entries = entries.join(heavy, ["block", "g"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
@@ -93,18 +125,9 @@ def similar_pairs(items: DataFrame, block: str, text: str, ident: str | None = N
             .withColumn("slice", F.pmod(F.xxhash64("text"), F.col("slices")).cast("int")).alias("l"))
     right = entries.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).alias("r")
     ln, rn = F.col("l.n"), F.col("r.n")
-    common = F.array_intersect("l.gs", "r.gs")
-    # this trigram and everything after it on the shorter remainder
-    reachable = F.least(ln - F.col("l.pos"), rn - F.col("r.pos"))
-    condition = (
-        (F.col("l.block") == F.col("r.block")) & (F.col("l.g") == F.col("r.g"))
-        & (F.col("l.slice") == F.col("r.slice"))
-        & (F.col("l.text") != F.col("r.text"))
-        & ((F.col("l.text") < F.col("r.text")) | ~F.col("r.changed"))
-        & (10 * F.least(ln, rn) > tenths * F.greatest(ln, rn))
-        & ((10 + tenths) * reachable > tenths * (ln + rn))
-        & (F.get(common, F.lit(0)) == F.col("l.g"))
-        & ((10 + tenths) * F.size(common) > tenths * (ln + rn)))
+    common, test = _pair_condition(tenths)
+    condition = ((F.col("l.block") == F.col("r.block")) & (F.col("l.g") == F.col("r.g"))
+                 & (F.col("l.slice") == F.col("r.slice")) & test)
     # sizes are estimated from the stored texts, which the explode multiplies:
     # a broadcast chosen on that estimate could not be trusted
     first = F.col("l.text") < F.col("r.text")
@@ -114,3 +137,88 @@ def similar_pairs(items: DataFrame, block: str, text: str, ident: str | None = N
             .select(F.col("l.block").alias("block"), F.least("l.text", "r.text").alias("text_a"),
                     F.greatest("l.text", "r.text").alias("text_b"), *ids, F.size(common).alias("shared"),
                     (ln + rn - F.size(common)).alias("total")))
+
+
+# Texts of one (block, trigram) key up to which groups are told apart by a plain test.
+PLAIN_ROWS = 64
+# Bits of a group's hash by which texts of a frequent key are told apart.
+GROUP_BITS = 12
+# Smallest hashes of a text's trigrams by which it finds hubs, besides its rarest trigrams.
+HUB_HASHES = 4
+
+
+def _hub_links(texts: DataFrame, tenths: int) -> DataFrame:
+    """``u, v``: texts tied to a similar hub, never text to text.
+
+    A text meets the hub of each of its keys: its rarest trigrams and a few
+    smallest hashes of its trigrams, on which near-equal texts agree. The hub is
+    the smallest changed text of the key, so there are as many tests as keys.
+    """
+    smallest = [F.array_min(F.transform("codes", lambda c, i=i: F.xxhash64(c, F.lit(i)))) for i in range(HUB_HASHES)]
+    rare = _prefix_entries(texts, tenths).select("block", "text", "id", "changed", "gs", F.col("g").cast("long").alias("key"),
+                                                 F.lit(-1).alias("kind"))
+    hashed = (texts.where(F.size("codes") > 0)
+              .select("block", "text", "id", "changed", F.col("codes").alias("gs"), F.posexplode(F.array(*smallest)).alias("kind", "key"))
+              .select("block", "text", "id", "changed", "gs", "key", "kind"))
+    links = []
+    for rows in (rare, hashed):
+        hubs = (rows.where("changed").groupBy("block", "key", "kind")
+                .agg(F.min(F.struct("text", "id", "gs")).alias("hub")))
+        shared = F.size(F.array_intersect("gs", "hub.gs"))
+        near = (10 + tenths) * shared > tenths * (F.size("gs") + F.size("hub.gs"))
+        links.append(rows.join(hubs.hint("merge"), ["block", "key", "kind"])
+                     .where((F.col("text") != F.col("hub.text")) & near)
+                     .select(F.col("id").alias("u"), F.col("hub.id").alias("v")))
+    return links[0].unionByName(links[1]).distinct()
+
+
+def spanning_edges(items: DataFrame, block: str, text: str, ident: str, changed: str | None = None,
+                   tenths: int = SIMILARITY_TENTHS, slice_rows: int = 20_000, plain_rows: int = PLAIN_ROWS) -> DataFrame:
+    """Edges ``u, v`` (identifiers) with the connected components of ``similar_pairs``.
+
+    ``n`` near-equal texts need no ``n * n`` edges to be one component:
+
+    1. Every text is tied to the hubs it is similar to. Texts with a common hub
+       are in one group; a hub tied to a smaller hub passes its group on.
+    2. Only texts of different groups are compared. Two groups differ in some
+       first bit of their hashes: at a frequent trigram, texts whose group has
+       the bit set meet those whose group has not, level by level, so that
+       texts of one group never meet at all.
+    3. Of all similar pairs between two groups one edge is kept.
+
+    ``ident`` must be unique per block and text. ``changed`` as in ``similar_pairs``.
+    """
+    use_skew_settings(items.sparkSession)
+    texts = _distinct_texts(items, block, text, ident, changed)
+    links = stage(_hub_links(texts, tenths), "hub-links")
+    first = links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("up"))
+    first = first.select("id", F.least("id", "up").alias("up"))
+    above = first.select(F.col("id").alias("up"), F.col("up").alias("top"))
+    groups = first.join(above, "up", "left").select("id", F.coalesce("top", "up").alias("team"))
+    texts = texts.join(groups, "id", "left").withColumn("team", F.coalesce("team", "id"))
+    entries = stage(_prefix_entries(texts, tenths, "team"), "entries")
+    mixed = (entries.groupBy("block", "g").agg(F.count("*").alias("rows"), F.min("team").alias("a"), F.max("team").alias("b"))
+             .where(F.col("a") != F.col("b")).select("block", "g", "rows"))
+    team_hash = F.xxhash64("team")
+    level = F.when(F.col("rows") > plain_rows, F.sequence(F.lit(0), F.lit(GROUP_BITS))).otherwise(F.array(F.lit(GROUP_BITS)))
+    # frequent keys: agree on the bits below the level, differ in the level's bit; the last level holds what agrees on all
+    agreed = F.when(F.col("rows") > plain_rows, F.pmod(team_hash, F.pow(F.lit(2), F.col("level")).cast("long"))).otherwise(F.lit(0))
+    bit = F.when(F.col("level") < GROUP_BITS, F.getbit(team_hash, F.col("level")).cast("int")).otherwise(F.lit(-1))
+    entries = (entries.join(mixed.hint("merge"), ["block", "g"]).withColumn("level", F.explode(level))
+               .withColumn("agreed", agreed).withColumn("bit", bit))
+    key = ["block", "g", "level", "agreed", "bit"]
+    heavy = (entries.groupBy(*key).agg(F.count("*").alias("m")).where(F.col("m") > slice_rows)
+             .select(*key, F.ceil(F.col("m") / slice_rows).cast("int").alias("slices")))
+    # a row visits the slices of the side it meets
+    met = F.when(F.col("bit") < 0, F.col("bit")).otherwise(1 - F.col("bit"))
+    left = (entries.where("changed").withColumn("bit", met)
+            .join(heavy, key, "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).alias("l"))
+    right = (entries.join(heavy, key, "left")
+             .withColumn("slice", F.pmod(F.xxhash64("text"), F.coalesce("slices", F.lit(1))).cast("int")).alias("r"))
+    _, test = _pair_condition(tenths)
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (*key, "slice")]
+    condition = reduce(lambda a, b: a & b, same) & (F.col("l.team") != F.col("r.team")) & test
+    between = (left.join(right.hint("merge"), condition)
+               .groupBy(F.least("l.team", "r.team").alias("a"), F.greatest("l.team", "r.team").alias("b"))
+               .agg(F.min(F.struct(F.col("l.id").alias("u"), F.col("r.id").alias("v"))).alias("e")))
+    return links.unionByName(between.select("e.u", "e.v"))

@@ -13,7 +13,8 @@ from rolegrid.functions.text import html_to_text, search_form
 from rolegrid.operators import audit, dedup, search, stats, upsert
 from rolegrid.operators.normalize import normalize_postings
 from rolegrid.operators.replay import replay
-from rolegrid.operators.similarity import pair_similarity, similar_pairs
+from rolegrid.operators.components import connected_components
+from rolegrid.operators.similarity import pair_similarity, similar_pairs, spanning_edges
 from rolegrid.operators.tagging import dictionary_tags
 from rolegrid.plans.feed import AS_OF, BASE_URL, page_dump, posting_feed, source_table, table
 from rolegrid.plans.ingest import Run, ingest, run_feed
@@ -462,6 +463,16 @@ def part_near_duplicates(spark, sf_dir):
         F.col("total").cast("long").alias("total"))
 
 
+@query
+def part_name_groups(spark, sf_dir):
+    """Part names of one brand that any chain of similar names links, with the group's first name."""
+    name = title_key(F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string")))
+    parts = (table(spark, sf_dir, "part").select("p_brand", name.alias("name"))
+             .withColumn("node", F.concat_ws("/", "p_brand", "name")))
+    groups = connected_components(spanning_edges(parts, "p_brand", "name", "node"))
+    return groups.select("node", "component")
+
+
 @query
 def duplicate_groups(spark, sf_dir):
     """Duplicate groups over exact and similar titles, one row per key."""

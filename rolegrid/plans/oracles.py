@@ -364,6 +364,11 @@ s AS (SELECT *, len(list_intersect(ga, gb)) AS shared FROM g)
 SELECT p_partkey, a, b, shared, len(ga) + len(gb) - shared AS total, shared / (len(ga) + len(gb) - shared) AS similarity FROM s""",
     "near_duplicates": NORM + "," + similar("norm", "company_normalized", "title_normalized") + " SELECT * FROM near",
     "part_near_duplicates": "WITH " + _PART_NAMES + "," + similar("names", "p_brand", "name") + " SELECT * FROM near",
+    "part_name_groups": "WITH RECURSIVE " + _PART_NAMES + "," + similar("names", "p_brand", "name") + """,
+edges AS (SELECT block || '/' || text_a AS u, block || '/' || text_b AS v FROM near
+   UNION SELECT block || '/' || text_b, block || '/' || text_a FROM near),
+reach AS (SELECT u, u AS v FROM edges UNION SELECT r.u, e.v FROM reach r JOIN edges e ON r.v = e.u)
+SELECT u AS node, min(v) AS component FROM reach GROUP BY 1""",
     "duplicate_groups": GROUPS + " SELECT DISTINCT fingerprint, title_normalized, members, component, canonical_id FROM elected",
     "canonical_pointers": GROUPS + " SELECT source_url AS id, nullif(canonical_id, source_url) AS canonical_id FROM elected",
     "reparented": POST + """ SELECT d.source_url AS id, CASE WHEN c.source_id = 2 THEN c.source_url || '#new' ELSE c.source_url END AS canonical_job_id

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rolegrid.operators import dedup
 from rolegrid.operators.components import connected_components
 from rolegrid.operators.replay import replay
-from rolegrid.operators.similarity import similar_pairs
+from rolegrid.operators.similarity import similar_pairs, spanning_edges
 
 DAY = dt.datetime(2026, 1, 1)
 SCHEMA = ("id string, fingerprint string, company_id string, title_normalized string, "
@@ -219,3 +219,42 @@ def test_changed_side_finds_the_pairs_of_changed_texts(spark):
     assert {(r.block, r.text_a, r.text_b) for r in got} == {
         p for p in everything if (p[0], p[1]) in new or (p[0], p[2]) in new}
     assert all((r.id_a, r.id_b) == (f"{r.block}-{r.text_a}", f"{r.block}-{r.text_b}") for r in got) and got
+
+
+def component_sets(edges):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+    for a, b in edges:
+        parent[find(a)] = find(b)
+    groups = {}
+    for x in parent:
+        groups.setdefault(find(x), set()).add(x)
+    return sorted(map(sorted, (g for g in groups.values() if len(g) > 1)))
+
+
+@pytest.mark.parametrize("sizes, share", [({}, 1), ({"slice_rows": 2, "plain_rows": 2}, .3)])
+def test_spanning_edges_have_the_components_of_all_pairs(spark, sizes, share):
+    rnd = random.Random(13)
+    words = ["data", "engineer", "backend", "senior", "platform", "qa", "x", "payments", "payment", "1", "23"]
+    items = {("hot" if rnd.random() < .6 else rnd.choice("abc"), "".join(rnd.choices(words, k=rnd.randint(0, 5))))
+             for _ in range(250)} | {("hot", f"platformengineerpayments{i}") for i in range(60)}
+    rows = [(b, t, rnd.random() < share, f"{b}-{t}") for b, t in items]
+    df = spark.createDataFrame(rows, "c string, t string, changed boolean, id string")
+    want = [(p[3], q[3]) for p in rows for q in rows
+            if p[0] == q[0] and p[1] < q[1] and (p[2] or q[2]) and similar(p[1], q[1])]
+    got = [tuple(r) for r in spanning_edges(df, "c", "t", "id", changed="changed", **sizes).collect()]
+    assert {tuple(sorted(e)) for e in got} <= {tuple(sorted(e)) for e in want}
+    assert component_sets(got) == component_sets(want) and len(want) > 60
+
+
+def test_near_equal_titles_need_few_edges(spark):
+    """One company with 3000 titles that are all similar: some edges a title, not a thousand."""
+    items = spark.range(3000).select(F.lit("hot").alias("c"), F.concat(
+        F.lit("seniorbackendplatformengineerpaymentsteam"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("t"))
+    edges = spanning_edges(items, "c", "t", "t").collect()
+    assert len(edges) < 12 * 3000
+    assert [len(g) for g in component_sets([tuple(e) for e in edges])] == [3000]
