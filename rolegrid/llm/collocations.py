@@ -12,6 +12,7 @@ begin with it, so all counts are sums of window weights over a prefix.
   that a pair's windows stand together, while a frequent first word may spread
   over many ranges. They are drawn from the blocks' first keys (from a sample of
   ``BORDER_SAMPLE`` keys beyond that many; borders only decide who sums what).
+* Very many ranges are reached in steps, over wider ranges whose blocks are united.
 * A range unites its automata, sums the weights, and sums again over prefixes.
   What is left is one automaton per range from phrases to counts. Phrases below
   ``least`` cannot be a candidate or a part of one and are left out.
@@ -42,11 +43,13 @@ from pyspark.sql import functions as F
 from rolegrid.llm.common import map_rows, mix, raw_texts, values, write_once
 from rolegrid.session import use_skew_settings
 
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 # Bytes of one text worked on at once.
 PART_BYTES = 1 << 21
 BLOCK_WINDOWS = 1 << 16
-RANGE_WINDOWS = 1_000_000
+RANGE_WINDOWS = 300_000
+# Ranges a block is dealt to at once; more are reached in several steps.
+FAN = 256
 BORDER_SAMPLE = 20_000
 SALTS = 64
 
@@ -271,13 +274,7 @@ def blocks(docs: DataFrame, shard_words: int = SHARD_WORDS, block_windows: int =
             yield from emit(lang, shard.windows())
 
     def emit(lang: str, found: Automaton) -> Iterator[pa.RecordBatch]:
-        starts = found.pair_starts()
-        at = 0
-        while at < len(found.paths):
-            next_pair = np.searchsorted(starts, at + block_windows)
-            stop = int(starts[next_pair]) if next_pair < len(starts) else len(found.paths)
-            yield _block_row(lang, found.part(at, stop))
-            at = stop
+        return _block_rows(lang, found, block_windows)
 
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string"))
     return map_rows(docs, count, BLOCK)
@@ -286,6 +283,16 @@ def blocks(docs: DataFrame, shard_words: int = SHARD_WORDS, block_windows: int =
 BLOCK = ("lang string, first1 binary, first2 binary, last1 binary, last2 binary, windows long, total long, block binary")
 
 
+def _block_rows(lang: str, found: Automaton, block_windows: int) -> Iterator[pa.RecordBatch]:
+    """An automaton cut into blocks between word pairs."""
+    starts, at = found.pair_starts(), 0
+    while at < len(found.paths):
+        next_pair = np.searchsorted(starts, at + block_windows)
+        stop = int(starts[next_pair]) if next_pair < len(starts) else len(found.paths)
+        yield _block_row(lang, found.part(at, stop))
+        at = stop
+
+
 def _block_row(lang: str, a: Automaton) -> pa.RecordBatch:
     first, last = a.key(0), a.key(-1)
     row = [lang, *first, *last, len(a.paths), int(a.weights.sum()), a.to_bytes()]
@@ -335,6 +342,32 @@ def to_ranges(table: DataFrame, cuts: list[tuple]) -> DataFrame:
     return map_rows(table, split, "range int, lang string, block binary")
 
 
+def deal(table: DataFrame, cuts: list[tuple], range_windows: int = RANGE_WINDOWS, fan: int = FAN) -> DataFrame:
+    """``range, lang, block`` for any number of ranges.
+
+    Cutting every shard's blocks at every border would leave pieces of a few
+    windows when there are many shards and ranges. Blocks are first dealt to at
+    most ``fan`` wide ranges; inside one, bundles of about ``range_windows`` windows
+    are united and cut into blocks anew, which then reach over few borders.
+    """
+    stride = 1
+    while len(cuts) // stride >= fan:
+        stride *= fan
+    while stride > 1:
+        wide = cuts[stride - 1::stride]
+        total = table.agg(F.sum("windows")).first()[0] or 0
+        bundles = max(1, -(-total // (range_windows * (len(wide) + 1))))
+
+        def gather(key, blocks_of):
+            held = unite([Automaton.from_bytes(b.as_py()) for b in blocks_of.column("block")])
+            return pa.Table.from_batches(_block_rows(key[1].as_py(), held, BLOCK_WINDOWS))
+
+        dealt = to_ranges(table, wide).withColumn("bundle", F.pmod(F.xxhash64("block"), F.lit(bundles)))
+        table = write_once(dealt.groupBy("range", "lang", "bundle").applyInArrow(gather, BLOCK), "window-bundles")
+        stride //= fan
+    return to_ranges(table, cuts)
+
+
 def unite(parts: list[Automaton]) -> Automaton:
     """One automaton with the weights of all added up."""
     words = sorted(set().union(*(a.words for a in parts)))
@@ -436,7 +469,7 @@ def part_counts(counts: DataFrame, asked: DataFrame, cuts: list[tuple]) -> DataF
 
 def collocations(docs: DataFrame, least: int = 10, percent: int = 50, top: int = 2000,
                  shard_words: int = SHARD_WORDS, block_windows: int = BLOCK_WINDOWS,
-                 range_windows: int = RANGE_WINDOWS) -> DataFrame:
+                 range_windows: int = RANGE_WINDOWS, fan: int = FAN) -> DataFrame:
     """The best ``top`` phrases of every language: ``lang, rank, phrase, a, l, r, n, score``.
 
     A phrase occurs ``least`` times or more. One whose words stand inside a longer
@@ -445,7 +478,7 @@ def collocations(docs: DataFrame, least: int = 10, percent: int = 50, top: int =
     use_skew_settings(docs.sparkSession)
     table = write_once(blocks(docs, shard_words, block_windows), "window-blocks")
     cuts = borders(table, range_windows)
-    counts = write_once(phrase_counts(to_ranges(table, cuts), cuts, least), "phrase-counts")
+    counts = write_once(phrase_counts(deal(table, cuts, range_windows, fan), cuts, least), "phrase-counts")
     found = write_once(candidates(counts, least, percent), "candidates")
     w = _words("phrase")
     part = lambda start, n: F.array_join(F.slice("w", start, n), " ")

@@ -50,7 +50,8 @@ def run(spark, docs, **options):
     return sorted(tuple(r) for r in co.collocations(df, **options).collect())
 
 
-@pytest.mark.parametrize("sizes", [{}, {"shard_words": 700, "block_windows": 60, "range_windows": 400}])
+@pytest.mark.parametrize("sizes", [{}, {"shard_words": 700, "block_windows": 60, "range_windows": 400},
+                                   {"shard_words": 500, "block_windows": 40, "range_windows": 300, "fan": 3}])
 def test_equals_plain_counts(spark, sizes):
     docs = texts(1, 500) + brute.odd_docs()
     want = plain(docs)
