@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rolegrid.functions import patterns as P
 from rolegrid.functions.patterns import jvm
+from rolegrid.functions.reuse import spelled_once
 from rolegrid.functions.text import bind, trim_white
 
 
@@ -42,42 +43,52 @@ def with_salary(df: DataFrame, raw: str = "salary_raw", prefix: str = "salary")
     A side the text does not state is NULL. A range wins over a single figure;
     a range with a malformed figure falls back to the single figure.
     """
+    *steps, helpers = _salary_columns(raw, prefix)
+    for columns in steps:
+        df = df.withColumns(columns)
+    return df.drop(*helpers)
+
+
+@spelled_once
+def _salary_columns(raw: str, prefix: str) -> tuple:
+    """The columns of ``with_salary`` step by step, and the names of the helping ones."""
     t, m = f"__{prefix}_text", f"__{prefix}_match"
     text = trim_white(F.coalesce(F.col(raw), F.lit("")))
     vague = F.rlike(text, F.lit(jvm(P.SALARY_VAGUE))) | F.rlike(text, F.lit(jvm(P.SALARY_FOREIGN)))
     bare = F.regexp_replace(F.regexp_replace(text, jvm(P.SALARY_CURRENCY), ""),
                             jvm(P.SALARY_PERIOD), "")
-    df = df.withColumn(t, F.when(~vague & F.rlike(text, F.lit("[0-9]")), bare).otherwise(""))
+    figures = {t: F.when(~vague & F.rlike(text, F.lit("[0-9]")), bare).otherwise("")}
 
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(F.col(t), jvm(pattern), group)
 
     before = F.regexp_extract(F.col(t), "(?s)^([^0-9]*)", 1)
-    df = df.withColumn(m, F.struct(
+    match = {m: F.struct(
         part(P.SALARY_RANGE, 1).alias("n1"), part(P.SALARY_RANGE, 2).alias("u1"),
         part(P.SALARY_RANGE, 3).alias("n2"), part(P.SALARY_RANGE, 4).alias("u2"),
         part(P.SALARY_SINGLE, 1).alias("n"), part(P.SALARY_SINGLE, 2).alias("u"),
         F.when(F.rlike(before, F.lit(jvm(P.SALARY_MAX_WORD))), "max")
          .when(F.rlike(before, F.lit(jvm(P.SALARY_MIN_WORD))), "min")
-         .otherwise("both").alias("side")))
+         .otherwise("both").alias("side"))}
 
     u1, u2 = F.col(f"{m}.u1"), F.col(f"{m}.u2")
     shared1 = F.when(u1 == "", u2).otherwise(u1)
     shared2 = F.when(u2 == "", u1).otherwise(u2)
     a, b, n = f"__{prefix}_a", f"__{prefix}_b", f"__{prefix}_n"
-    df = df.withColumns({
+    amounts = {
         a: _amount(F.col(f"{m}.n1"), shared1),
         b: _amount(F.col(f"{m}.n2"), shared2),
         n: _amount(F.col(f"{m}.n"), F.col(f"{m}.u")),
-    })
+    }
     ranged = F.col(a).isNotNull() & F.col(b).isNotNull()
     side, single = F.col(f"{m}.side"), F.col(n)
-    return df.withColumns({
+    bounds = {
         f"{prefix}_min": F.when(ranged, F.least(a, b)).when(side != "max", single),
         f"{prefix}_max": F.when(ranged, F.greatest(a, b)).when(side != "min", single),
         f"{prefix}_conf": (F.when(ranged, "range").when(single.isNull(), "unknown")
                            .when(side == "both", "exact").otherwise("estimated")),
-    }).drop(t, m, a, b, n)
+    }
+    return figures, match, amounts, bounds, (t, m, a, b, n)
 
 
 def stored_bounds(low: Column, high: Column, conf: Column) -> tuple[Column, Column]:

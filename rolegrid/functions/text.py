@@ -64,8 +64,9 @@ def decode_entities(col: Column) -> Column:
     # the most frequent names first: map lookup is a linear scan
     common = ["amp", "nbsp", "lt", "gt", "quot", "copy", "middot"]
     names = common + [n for n in name2codepoint if n not in common]
-    table = F.create_map(*[F.lit(x) for n in names for x in (n, chr(name2codepoint[n]))],
-                         F.lit("apos"), F.lit("'"))
+    # one literal, split into a map when the plan is made
+    table = F.str_to_map(F.lit("\u0002".join([*(f"{n}\u0001{chr(name2codepoint[n])}" for n in names), "apos\u0001'"])),
+                         F.lit("\u0002"), F.lit("\u0001"))
     decoded = F.zip_with(
         F.split(col, _ENTITY, -1), F.regexp_extract_all(col, F.lit(_ENTITY), F.lit(1)),
         lambda piece, name: F.concat(

@@ -40,7 +40,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v",
     current = cut(edges.select(F.col(u).alias("u"), F.col(v).alias("v"))
                   .where(F.col("u") != F.col("v")).distinct())
     digest = None
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if current.take(1) else 0):
         current = cut(_small_star(_large_star(current)))
         row = current.agg(F.count("*").alias("n"),
                           F.bit_xor(F.xxhash64("u", "v")).alias("h"),
@@ -49,6 +49,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v",
             break
         digest = tuple(row)
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if current.take(1):
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

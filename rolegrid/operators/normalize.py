@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rolegrid.functions.keys import company_key, fingerprint, row_key, title_key
 from rolegrid.functions.labels import city, experience_level, work_mode
+from rolegrid.functions.reuse import spelled_once
 from rolegrid.functions.salary import stored_bounds, with_salary
 from rolegrid.functions.tags import DEFAULT_DICTIONARY, Alias, text_tags
 from rolegrid.functions.text import blank_to_null, html_to_text, search_text, trim_white
@@ -20,10 +21,15 @@ def normalize_postings(raw: DataFrame,
     would be pushed below it and repeat the text work, so callers that filter
     write the result first (``session.stage``).
     """
-    df = raw.withColumn("description", html_to_text(F.col("description")))
-    df = with_salary(df)
+    cleaned, structured, stored = _columns(dictionary)
+    return with_salary(raw.withColumns(cleaned)).withColumns(structured).select(*stored)
+
+
+@spelled_once
+def _columns(dictionary: tuple[Alias, ...]) -> tuple:
+    """The steps of ``normalize_postings``: columns before and after the salary, and the result's."""
     low, high = stored_bounds(F.col("salary_min"), F.col("salary_max"), F.col("salary_conf"))
-    df = df.withColumns({
+    structured = {
         "title_normalized": title_key(F.col("title")),
         "company_normalized": company_key(F.col("company")),
         "stack": text_tags(F.col("title"), F.col("description"), dictionary),
@@ -31,8 +37,8 @@ def normalize_postings(raw: DataFrame,
         "level": experience_level(F.col("title"), F.col("description")),
         "location_city": city(F.col("location")),
         "salary_min": low, "salary_max": high,
-    })
-    return df.select(
+    }
+    return {"description": html_to_text(F.col("description"))}, structured, (
         "ingest_seq", "source_id", "source_url",
         row_key(F.col("source_id"), F.col("source_url")).alias("id"),
         trim_white(F.col("title")).alias("title"), "title_normalized",

@@ -105,18 +105,16 @@ def search_by_tokens(tokens: DataFrame, all_of=(), any_of=(), none_of=(),
             .select("doc_id", "pos", F.explode(cast).alias("v"))
             .select("doc_id", F.col("v.term").alias("term"), (F.col("pos") - F.col("v.at")).alias("start"), "v.at"))
     sizes = F.element_at(F.array(*[F.lit(len(t)) for t in terms]), F.col("term") + 1)
-    bit = lambda name: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(name))
-    places = (rows.groupBy("doc_id", "term", "start").agg(F.bit_count(F.bit_or(bit("at"))).alias("n"))
+    # sets of numbers below the size of a term and the number of terms
+    places = (rows.groupBy("doc_id", "term", "start").agg(F.size(F.collect_set("at")).alias("n"))
               .where(F.col("n") == sizes))
-    hits = places.groupBy("doc_id").agg(F.bit_or(bit("term")).alias("hit"))
-    has = lambda i: F.col("hit").bitwiseAND(1 << i) != 0
-    test = F.lit(True)
-    for i in range(need):
-        test = test & has(i)
+    hits = places.groupBy("doc_id").agg(F.collect_set("term").alias("hit"))
+    held = lambda numbers: F.array(*[F.lit(i) for i in numbers])
+    test = F.size(F.array_intersect("hit", held(range(need)))) == len(set(range(need))) if need else F.lit(True)
     if any_of:
-        test = test & (F.col("hit").bitwiseAND(sum(1 << i for i in range(need, either))) != 0)
-    for i in range(either, len(terms)):
-        test = test & ~has(i)
+        test = test & F.arrays_overlap("hit", held(range(need, either)))
+    if none_of:
+        test = test & ~F.arrays_overlap("hit", held(range(either, len(terms))))
     return hits.where(test).select("doc_id")
 
 

@@ -16,6 +16,7 @@ from rolegrid.operators.replay import replay
 from rolegrid.operators.components import connected_components
 from rolegrid.operators.similarity import pair_similarity, similar_pairs, spanning_edges
 from rolegrid.operators.tagging import dictionary_tags
+from rolegrid.operators.token_index import current_tokens, token_changes, with_markers
 from rolegrid.plans.feed import AS_OF, BASE_URL, page_dump, posting_feed, source_table, table
 from rolegrid.plans.ingest import Run, ingest, run_feed
 from rolegrid.schemas import POSTING_CONTENT, RAW_POSTINGS
@@ -383,6 +384,25 @@ def token_terms(spark, sf_dir):
                                    none_of=["license", "and of the"])
 
 
+@query
+def token_index_search(spark, sf_dir):
+    """Terms and a phrase by a token table that two changes kept current.
+
+    First every seventh document gets another sentence, then every eleventh
+    goes and some come back to what they were.
+    """
+    number = F.col("doc_id")
+    forms = lambda df, text: df.select("doc_id", search_form(text).alias("form"))
+    docs = table(spark, sf_dir, "documents")
+    longer = F.concat_ws(" ", "text", F.lit("Seen again at"), "source")
+    first = forms(docs, F.col("text"))
+    second = forms(docs, F.when(number % 7 == 0, longer).otherwise(F.col("text")))
+    third = forms(docs.where(number % 11 != 0), F.when((number % 7 == 0) & (number % 3 != 0), longer).otherwise(F.col("text")))
+    tokens = current_tokens(stage(with_markers(first), "tokens"), stage(token_changes(first, second), "tokens"),
+                            stage(token_changes(second, third, whole=True), "tokens"))
+    return search.search_by_tokens(tokens, all_of=["the"], any_of=["again at src1", "that"], none_of=["again at src2"])
+
+
 @query
 def posting_lookup(spark, sf_dir):
     """Posting by key in any state, and its source by slug."""

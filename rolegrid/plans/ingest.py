@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from rolegrid.functions.tags import DEFAULT_DICTIONARY
 from rolegrid.operators import dedup, upsert
 from rolegrid.operators.normalize import normalize_postings
+from rolegrid.operators.token_index import token_changes
 from rolegrid.schemas import (DEFAULT_STALE_DAYS, POSTING_CONTENT, POSTINGS, RAW_POSTINGS,
                               RUN_ERRORS, SCRAPE_RUNS, SOURCES)
 from rolegrid.session import stage, staging, use_skew_settings
@@ -45,7 +46,8 @@ class Run:
 @dataclass(frozen=True)
 class Outcome:
     """State of the tables after a run; ``was_touched`` of companies tells the
-    rows that differ from before, jobs come as ``changed`` and ``unchanged``."""
+    rows that differ from before, jobs come as ``changed`` and ``unchanged``,
+    ``tokens`` are the changes of the search token table."""
 
     companies: DataFrame
     changed: DataFrame
@@ -53,6 +55,7 @@ class Outcome:
     sources: DataFrame
     run: DataFrame
     errors: DataFrame
+    tokens: DataFrame
 
     @property
     def jobs(self) -> DataFrame:
@@ -118,6 +121,11 @@ def ingest(events: DataFrame, companies: DataFrame, jobs: DataFrame, sources: Da
     counters = _counters(run, normalized, bad, new, changes)
     ledger = _ledger(run, counters)
     ran = events.sparkSession.createDataFrame([(run.source_id,)], "source_id int")
+    touched = (changes.where("was_touched").select("id", *upsert.KEY)
+               .join(batch.select(*upsert.KEY, F.col("search_text").alias("form")), list(upsert.KEY))
+               .select(F.col("id").alias("doc_id"), "form"))
+    stored = (jobs.join(changes.where("was_touched").select("id"), "id", "left_semi")
+              .select(F.col("id").alias("doc_id"), F.col("search_text").alias("form")))
     return Outcome(
         companies=companies_now,
         changed=upsert.changed_postings(jobs, batch, changes),
@@ -125,6 +133,7 @@ def ingest(events: DataFrame, companies: DataFrame, jobs: DataFrame, sources: Da
         sources=upsert.stamp_sources(sources, ran, as_of).select(SOURCES.fieldNames()),
         run=ledger,
         errors=bad.withColumn("run_id", F.lit(run.run_id)).select(RUN_ERRORS.fieldNames()),
+        tokens=token_changes(stored, touched),
     )
 
 
@@ -189,7 +198,7 @@ def run_into_store(store: SnapshotStore, events: DataFrame, run: Run,
         store.commit(
             write={"sources": out.sources},
             add={"run_errors": out.errors, "companies": out.companies.where("was_touched"),
-                 "jobs": out.changed, "scrape_runs": out.run})
+                 "jobs": out.changed, "search_tokens": out.tokens, "scrape_runs": out.run})
     return True
 
 

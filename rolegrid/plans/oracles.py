@@ -345,6 +345,9 @@ UNION ALL SELECT 'tag', tag, count(*) FROM (SELECT unnest(stack) AS tag FROM liv
     "token_terms": f"""SELECT doc_id FROM (SELECT doc_id, {form('text')} AS f FROM documents) WHERE contains(f, ' the ')
  AND contains(f, ' of the ') AND (contains(f, ' that ') OR contains(f, ' with the ')) AND NOT contains(f, ' license ')
  AND NOT contains(f, ' and of the ')""",
+    "token_index_search": f"""SELECT doc_id FROM (SELECT doc_id, {form("CASE WHEN doc_id % 7 = 0 AND doc_id % 3 <> 0 THEN concat_ws(' ', text, 'Seen again at', source) ELSE text END")} AS f
+ FROM documents WHERE doc_id % 11 <> 0) WHERE contains(f, ' the ') AND (contains(f, ' again at src1 ') OR contains(f, ' that '))
+ AND NOT contains(f, ' again at src2 ')""",
     "posting_lookup": POST + f""" SELECT source_url, title, p.is_active, slug FROM posts p JOIN srcs s ON s.id = p.source_id
  WHERE source_url = '{BASE_URL}/jobs/54' AND slug = 'nation_0'""",
     "company_lookup": POST + """ SELECT name, name_normalized FROM firms WHERE name_normalized IN

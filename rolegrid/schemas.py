@@ -88,6 +88,9 @@ RUN_ERRORS = _struct(
     ("error", _str, False),
 )
 
+# pos 0 without a token marks a document whose rows these are
+SEARCH_TOKENS = _struct(("doc_id", _str, False), ("pos", _int, False), ("token", _str, True))
+
 ALERTS = _struct(
     ("id", _str, False), ("email", _str, False),
     ("filter_stack", T.ArrayType(_str, False), True), ("filter_salary_min", _long, True),

@@ -11,14 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rolegrid import schemas
+from rolegrid.operators.token_index import IS_MARKER
 
 TABLES: dict[str, T.StructType] = {
     "sources": schemas.SOURCES, "companies": schemas.COMPANIES, "jobs": schemas.POSTINGS,
     "scrape_runs": schemas.SCRAPE_RUNS, "run_errors": schemas.RUN_ERRORS,
-    "alerts": schemas.ALERTS,
+    "alerts": schemas.ALERTS, "search_tokens": schemas.SEARCH_TOKENS,
 }
 # rows of these tables change; a change replaces the row with the same key
-KEYED = {"jobs": ("id",), "companies": ("id",), "scrape_runs": ("id",), "run_errors": ("run_id", "ingest_seq")}
+KEYED = {"search_tokens": ("doc_id",), "jobs": ("id",), "companies": ("id",), "scrape_runs": ("id",), "run_errors": ("run_id", "ingest_seq")}
+# a key may have many rows, but one of this kind in each change
+MARKED = {"search_tokens": IS_MARKER}
+# rows are sorted in ranges by these, so that files can be skipped
+SORTED = {"search_tokens": ("token", "doc_id")}
 # jobs are read by "active and canonical" nearly always
 PARTITIONS = {"jobs": ["is_active"]}
 
@@ -76,7 +81,10 @@ class SnapshotStore:
 
     def _save(self, table: str, df: DataFrame) -> str:
         folder = f"{self.root}/{table}/v-{uuid.uuid4().hex}"
-        writer = df.select(TABLES[table].fieldNames()).write.mode("errorifexists")
+        df = df.select(TABLES[table].fieldNames())
+        if table in SORTED:
+            df = df.repartitionByRange(*SORTED[table]).sortWithinPartitions(*SORTED[table])
+        writer = df.write.mode("errorifexists")
         if table in PARTITIONS:
             writer = writer.partitionBy(*PARTITIONS[table])
         writer.parquet(folder)
@@ -101,7 +109,8 @@ class SnapshotStore:
         versions = reduce(lambda a, b: a.unionAll(b), [
             self._load(table, f).withColumn("__v", F.lit(i)) for i, f in enumerate(changes)])
         # only keys and numbers are aggregated; the rows follow by key and number
-        last = versions.groupBy(*key).agg(F.max("__v").alias("__v"))
+        marks = versions.where(MARKED[table]) if table in MARKED else versions
+        last = marks.groupBy(*key).agg(F.max("__v").alias("__v"))
         latest = versions.join(last, [*key, "__v"], "left_semi").select(names)
         kept = self._load(table, base).join(last.select(*key), list(key), "left_anti").select(names)
         return kept.unionByName(latest)

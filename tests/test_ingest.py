@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolegrid import schemas
+from rolegrid.operators import search
 from rolegrid.plans.ingest import NO_SOURCE, NO_URL, Run, run_feed, run_into_store
 from rolegrid.sources.feeds import FeedRegistry, UnknownFeed
 from rolegrid.sources.tables import SnapshotStore
@@ -216,3 +217,26 @@ def test_stream(spark, store, tmp_path):
     assert pointers(store) == {"a": None, "b": None, "c": "a"}
     runs = store.read("scrape_runs")
     assert runs.agg(F.sum("jobs_found"), F.sum("jobs_new"), F.sum("jobs_duplicate")).first()[:] == (4, 2, 2)
+
+
+def test_token_table_after_runs_equals_a_rebuild(spark, store):
+    go(spark, store, [raw(1, "u1", "Data Engineer", description="Kafka and streams"), raw(2, "u2", "Designer", "Widgets"),
+                      raw(3, "u3", "QA Analyst", "Other", description="")])
+    go(spark, store, [raw(4, "u1", "Data Engineer", description="Batch work"), raw(5, "u4", "Data Analyst", "New")], "r2",
+       "2026-03-03 00:00:00")
+    go(spark, store, [raw(6, "u1", "Data Engineer", description="Kafka again"), raw(7, "u2", "Designer", "Widgets")], "r3",
+       "2026-03-04 00:00:00")
+    jobs = store.read("jobs")
+    rebuilt = search.search_tokens(jobs, "id", F.col("search_text"))
+    kept = store.read("search_tokens")
+    tokens = lambda df: sorted((r.doc_id, r.pos, r.token) for r in df.where("token IS NOT NULL").collect())
+    assert tokens(kept) == tokens(rebuilt)
+    urls = {r.id: r.source_url for r in jobs.collect()}
+    found = lambda *a, **q: sorted(urls[r.doc_id] for r in search.search_by_tokens(kept, *a, **q).collect())
+    assert found(["kafka"]) == ["u1"] and found(["batch"]) == [] and found(["data"]) == ["u1", "u4"]
+    # a refresh without a new text adds no rows
+    last = spark.read.parquet(store.state()[1]["search_tokens"][-1])
+    assert {urls[r.doc_id] for r in last.collect()} == {"u1"}
+    # the asked tokens are filtered in the scans
+    plan = kept.where("token = 'kafka'")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EqualTo(token,kafka)") >= 2

@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolegrid import schemas
-from rolegrid.operators import audit, search, stats, upsert
+from rolegrid.operators import audit, search, stats, token_index, upsert
 from rolegrid.functions.salary import stored_bounds
 from rolegrid.functions.text import search_form, search_text
+from rolegrid.session import stage
 
 DAY = dt.datetime(2026, 1, 1)
 
@@ -175,3 +176,25 @@ def test_exclusions_alone_by_tokens_find_every_other_document(spark):
         assert sorted(r.doc_id for r in search.search_by_tokens(tokens, none_of=out, documents=docs).collect()) == want
     with pytest.raises(ValueError):
         search.search_by_tokens(tokens, none_of=["engineer"])
+
+
+def test_phrases_and_term_lists_of_any_length(spark):
+    words = [f"w{i}" for i in range(90)]
+    df = spark.createDataFrame([("a", " ".join(words)), ("b", " ".join(words[:64] + words[65:])), ("c", "w1 w0")], "id string, t string")
+    tokens = search.search_tokens(df, "id", search_form(F.col("t")))
+    found = lambda *a, **q: sorted(r.doc_id for r in search.search_by_tokens(tokens, *a, **q).collect())
+    assert found([" ".join(words[:65])]) == ["a"] and found([" ".join(words[:64])]) == ["a", "b"]
+    assert found(words[:80]) == ["a"] and found(words[:64]) == ["a", "b"]
+    assert found(["w0"], none_of=words[64:70] + ["w1 w2"]) == ["c"]
+    assert found(any_of=words[3:75]) == ["a", "b"]
+
+
+def test_tokens_after_changes(spark):
+    forms = lambda rows: spark.createDataFrame(rows, "doc_id long, form string")
+    states = [[(1, " a b "), (2, " c "), (3, None), (4, " a ")], [(1, " a b "), (2, " c d "), (3, " e "), (4, None)],
+              [(1, " b "), (3, None), (4, " a "), (5, " f ")]]
+    changes = [stage(token_index.token_changes(forms(a), forms(b), whole=True), "change") for a, b in zip(states, states[1:])]
+    got = token_index.current_tokens(token_index.with_markers(forms(states[0])), *changes)
+    want = {(i, p, t) for i, f in states[-1] for p, t in enumerate((f or "").split(), 1)}
+    assert {tuple(r) for r in got.collect()} == want
+    assert {r.doc_id for r in changes[0].collect()} == {2, 3, 4}
