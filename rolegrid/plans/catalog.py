@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolegrid.functions.keys import company_key, fingerprint, title_key
-from rolegrid.functions.tags import text_tags
+from rolegrid.functions.tags import DEFAULT_DICTIONARY, text_tags
 from rolegrid.functions.text import html_to_text, search_form
 from rolegrid.operators import audit, dedup, search, stats, upsert
 from rolegrid.operators.normalize import normalize_postings
@@ -137,6 +137,15 @@ def user_dictionary_tags(spark, sf_dir):
     return tags.select("p_partkey", F.array_join("tags", ",").alias("tags"))
 
 
+@query
+def dictionary_rows_tags(spark, sf_dir):
+    """Tags of every posting event by the curated dictionary given as rows, guards included."""
+    rows = spark.createDataFrame([(a.tag, a.alias, a.kind, a.not_after, a.not_before) for a in DEFAULT_DICTIONARY],
+                                 "tag string, alias string, kind string, not_after string, not_before string")
+    texts = stage(normalized(spark, sf_dir).select("ingest_seq", F.concat_ws("\n", "title", "description").alias("text")), "texts")
+    return dictionary_tags(texts, "ingest_seq", "text", rows).select("ingest_seq", F.array_join("tags", ",").alias("tags"))
+
+
 @query
 def posting_tags(spark, sf_dir):
     """Long form: one row per posting event and tag."""

@@ -272,6 +272,7 @@ SELECT count(*) AS n_pages, CAST(sum(strlen(html)) AS BIGINT) AS bytes_in, CAST(
 t AS (SELECT p_partkey, unnest(regexp_split_to_array(lower(p_name), '[^0-9a-z_]+')) AS alias FROM part),
 h AS (SELECT p_partkey, string_agg(DISTINCT upper(alias), ',' ORDER BY upper(alias)) AS tags FROM t JOIN words USING (alias) GROUP BY 1)
 SELECT p_partkey, coalesce(tags, '') AS tags FROM part LEFT JOIN h USING (p_partkey)""",
+    "dictionary_rows_tags": NORM + " SELECT ingest_seq, array_to_string(stack, ',') AS tags FROM norm",
     "posting_tags": NORM + " SELECT ingest_seq, unnest(stack) AS tag FROM norm",
     "mode_counts": NORM + " SELECT mode, count(*) AS n FROM norm GROUP BY 1",
     "level_counts": NORM + " SELECT level, count(*) AS n FROM norm GROUP BY 1",

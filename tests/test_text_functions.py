@@ -1,11 +1,13 @@
 """Golden vectors of our own for the text columns."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from rolegrid.functions import keys, labels
 from rolegrid.functions.salary import with_salary
-from rolegrid.functions.tags import Alias, text_tags
+from rolegrid.functions.tags import DEFAULT_DICTIONARY, Alias, text_tags
 from rolegrid.functions.text import html_to_text, search_form, trim_white
 from rolegrid.functions.trigram import similarity, trigrams
 from rolegrid.operators.tagging import dictionary_tags
@@ -250,6 +252,23 @@ def test_dictionary_table(spark):
         assert got == {1: ["Tools", "Zed", "Zig"], 2: [], 3: [], 4: ["Tools", "Zed"]}
 
 
+def test_dictionary_rows_equal_the_literal_dictionary(spark):
+    rnd = random.Random(8)
+    odd = (Alias("A", "a_b"), Alias("Sign", "+"), Alias("Quote", "x\\\\ey"), Alias("Re", ".*"), Alias("Dot", "q.", not_after="("),
+           Alias("Two", "Big Data", "cap", not_before="lake"), Alias("Acc", "café"), *DEFAULT_DICTIONARY)
+    bits = ["go", "Go", "GO", "gO", "react", "React", "native", "Native", "js", ".js", "node", "vue", "c++", "c#", "abc", ".net", "asp",
+            "work", "x\\\\EY", ".*", "a_b", "xa_b", "+", "q.", "(q.", "Big data", "big data", "BIG DATA", "lake", "café", "CAFÉ", "É", "spring boot",
+            "\u212aafka", "sql server", "Rails", "ruby on rails", "İ", "_go_", "go_", "Go-", "K8S"]
+    rows = [(i, "".join(rnd.choice(bits) + rnd.choice([" ", " ", "-", "", ".", "\n", ", "]) for _ in range(rnd.randrange(9)))) for i in range(1500)]
+    texts = spark.createDataFrame([*rows, (5000, None), (5001, "")], "i int, t string")
+    words = spark.createDataFrame([(a.tag, a.alias, a.kind, a.not_after, a.not_before) for a in odd],
+                                  "tag string, alias string, kind string, not_after string, not_before string")
+    want = {r.i: r.tags for r in texts.select("i", text_tags(F.lit(""), F.col("t"), odd).alias("tags")).collect()}
+    assert sum(map(bool, want.values())) > 800 and {t for tags in want.values() for t in tags} >= {"A", "Sign", "Quote", "Re", "Dot", "Two", "Acc"}
+    for limit in (1000, 0):
+        assert {r.i: r.tags for r in dictionary_tags(texts, "i", "t", words, limit).collect()} == want
+
+
 def test_trigrams(spark):
     assert sorted(column(spark, ["cat"], ["a"], trigrams(F.col("a")))[0]) == ["  c", " ca", "at ", "cat"]
     pairs = [("seniorbackend", "seniorbackend"), ("", ""), ("abc", "xyz"), ("word", "words")]
