@@ -43,10 +43,10 @@ from pyspark.sql import functions as F
 from rolegrid.llm.common import map_rows, mix, raw_texts, values, write_once
 from rolegrid.session import use_skew_settings
 
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 600_000
 # Bytes of one text worked on at once.
 PART_BYTES = 1 << 21
-BLOCK_WINDOWS = 1 << 16
+BLOCK_WINDOWS = 1 << 13
 RANGE_WINDOWS = 300_000
 # Ranges a block is dealt to at once; more are reached in several steps.
 FAN = 256
