@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,10 @@ from rolegrid.operators.tagging import dictionary_tags
 from rolegrid.operators.token_index import current_tokens, token_changes, with_markers
 from rolegrid.plans.feed import AS_OF, BASE_URL, page_dump, posting_feed, source_table, table
 from rolegrid.plans.ingest import Run, ingest, run_feed
-from rolegrid.schemas import POSTING_CONTENT, RAW_POSTINGS
+from rolegrid.schemas import POSTING_CONTENT, RAW_POSTINGS, seed_sources
 from rolegrid.session import checkpoint_root, stage
 from rolegrid.sources import pages as page_source
-from rolegrid.sources.feeds import FeedRegistry, arrival_order, union_feeds
+from rolegrid.sources.feeds import FeedRegistry, arrival_order, error_text, union_feeds
 from rolegrid.sources.tables import TABLES, SnapshotStore
 from rolegrid.streaming.ingest import raw_posting_stream, start_ingest
 
@@ -275,6 +276,29 @@ def feed_union(spark, sf_dir):
         "error")
 
 
+@query
+def feed_errors(spark, sf_dir):
+    """The errors of all feeds as one text; a feed per nation, every fifth of which fails."""
+    def feed(key):
+        def read():
+            if key % 5 == 3:
+                raise OSError(f"nation {key} does not answer")
+            return table(spark, sf_dir, "supplier").where(F.col("s_nationkey") == key).select(F.col("s_name").alias("title"))
+        return read
+
+    keys = [r.n_nationkey for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()]  # one row per feed
+    rows, errors = union_feeds(spark, {f"n{k:02d}": feed(k) for k in keys})
+    return error_text(errors).withColumn("n_rows", F.lit(rows.count()))
+
+
+@query
+def seeded_sources(spark, sf_dir):
+    """The seed rows beside the sources there are; a seed whose id is taken does not replace it."""
+    have = source_table(spark, sf_dir).where(F.col("id") != 1).select("id", "slug")
+    seeds = seed_sources(spark, dt.datetime(2024, 1, 1)).select("id", "slug")
+    return have.unionByName(seeds.join(have, "id", "left_anti"))
+
+
 # --- listing -------------------------------------------------------------------
 
 @query
@@ -314,6 +338,23 @@ def stats_bundle(spark, sf_dir):
             .unionAll(parts["by_tag"].select(F.lit("tag"), "tag", "job_count")))
 
 
+@query
+def kept_stats(spark, sf_dir):
+    """The statistics after a change, from counts kept before and the changed postings alone.
+
+    Every fourth posting is closed or opened, every sixth moves to the next source.
+    """
+    rows, seq = postings(spark, sf_dir), F.col("first_seq")
+    was = rows.where((seq % 4 == 1) | (seq % 6 == 2))
+    now = was.withColumns({"is_active": F.when(seq % 4 == 1, ~F.col("is_active")).otherwise(F.col("is_active")),
+                           "source_id": F.when(seq % 6 == 2, F.col("source_id") % 25 + 1).otherwise(F.col("source_id"))})
+    counts = stage(stats.add_changes(stats.stat_changes(rows.limit(0), rows)), "counts")
+    kept = stats.kept_bundle(source_table(spark, sf_dir), stats.add_changes(counts, stats.stat_changes(was, now)))
+    return (kept["total"].select(F.lit("total").alias("part"), F.lit("").alias("name"), F.col("active_jobs").alias("n"))
+            .unionAll(kept["by_source"].select(F.lit("source"), "slug", "active_jobs"))
+            .unionAll(kept["by_tag"].select(F.lit("tag"), "tag", "job_count")))
+
+
 _SHOWN = ("source_id", "source_url", "title", "salary_max", "mode", "level", "location_city",
           "posted_at")
 
@@ -368,6 +409,19 @@ def page_boundaries(spark, sf_dir):
     return search.page_boundaries(_orders(spark, sf_dir), 20, "posted_at", "o_orderkey")
 
 
+@query
+def next_cursors(spark, sf_dir):
+    """For pages of 20 of the orders of each day in one week: the cursor behind the first page, if it is full."""
+    found = []
+    for day in range(1, 8):
+        date = f"1997-03-{day:02d}"
+        rows = _orders(spark, sf_dir).where(F.to_date("posted_at") == date)
+        page = search.keyset_page(rows, 20, None, "posted_at", "o_orderkey")
+        cursor = search.next_cursor(page, 20, "posted_at", "o_orderkey")
+        found.append((date, None if cursor is None else cursor[1]))
+    return spark.createDataFrame(found, "day string, last_key long")
+
+
 @query
 def text_search(spark, sf_dir):
     """Documents by terms, alternatives, exclusions and a phrase."""
@@ -528,6 +582,29 @@ def reparented(spark, sf_dir):
         "id", "canonical_job_id")
 
 
+@query
+def settled_moves(spark, sf_dir):
+    """Followers of moved customers: chains of up to 49 moves; in every seventh fifty they go round.
+
+    Orders are postings that point at customers, the last of each fifty is where a chain ends.
+    """
+    key = F.col("c_custkey")
+    moves = (table(spark, sf_dir, "customer").where((key % 50 != 0) | (F.floor((key - 1) / 50) % 7 == 0))
+             .select(key.alias("old_id"), F.when(key % 50 == 0, key - 49).otherwise(key + 1).alias("new_id")))
+    settled, _ = dedup.settle_moves(moves)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("canonical_job_id"))
+    return dedup.reparent(orders, settled).select("id", "canonical_job_id")
+
+
+@query
+def rejected_moves(spark, sf_dir):
+    """Moves of the same kind that run into a cycle."""
+    key = F.col("p_partkey")
+    moves = (table(spark, sf_dir, "part").where((key % 20 != 0) | (F.floor((key - 1) / 20) % 3 == 0))
+             .select(key.alias("old_id"), F.when(key % 20 == 0, key - 13).otherwise(key + 1).alias("new_id")))
+    return dedup.settle_moves(moves)[1]
+
+
 @query
 def manual_merges(spark, sf_dir):
     """Hand-made merges: accepted pointers, the last one per posting, and rejected ones."""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolegrid.functions.tags import DEFAULT_DICTIONARY
-from rolegrid.operators import dedup, upsert
+from rolegrid.operators import dedup, stats, upsert
 from rolegrid.operators.normalize import normalize_postings
 from rolegrid.operators.token_index import token_changes
 from rolegrid.schemas import (DEFAULT_STALE_DAYS, POSTING_CONTENT, POSTINGS, RAW_POSTINGS,
@@ -47,7 +47,8 @@ class Run:
 class Outcome:
     """State of the tables after a run; ``was_touched`` of companies tells the
     rows that differ from before, jobs come as ``changed`` and ``unchanged``,
-    ``tokens`` are the changes of the search token table."""
+    ``tokens`` and ``counts`` are the changes of the search token table and of
+    the statistics."""
 
     companies: DataFrame
     changed: DataFrame
@@ -56,6 +57,7 @@ class Outcome:
     run: DataFrame
     errors: DataFrame
     tokens: DataFrame
+    counts: DataFrame
 
     @property
     def jobs(self) -> DataFrame:
@@ -126,14 +128,17 @@ def ingest(events: DataFrame, companies: DataFrame, jobs: DataFrame, sources: Da
                .select(F.col("id").alias("doc_id"), "form"))
     stored = (jobs.join(changes.where("was_touched").select("id"), "id", "left_semi")
               .select(F.col("id").alias("doc_id"), F.col("search_text").alias("form")))
+    changed = upsert.changed_postings(jobs, batch, changes)
+    was = jobs.join(changes.select("id"), "id", "left_semi").select(*stats.COUNTED)
     return Outcome(
         companies=companies_now,
-        changed=upsert.changed_postings(jobs, batch, changes),
+        changed=changed,
         unchanged=jobs.join(changes.select("id"), "id", "left_anti").select(POSTINGS.fieldNames()),
         sources=upsert.stamp_sources(sources, ran, as_of).select(SOURCES.fieldNames()),
         run=ledger,
         errors=bad.withColumn("run_id", F.lit(run.run_id)).select(RUN_ERRORS.fieldNames()),
         tokens=token_changes(stored, touched),
+        counts=stats.stat_changes(was, changed.select(*stats.COUNTED)),
     )
 
 
@@ -196,7 +201,8 @@ def run_into_store(store: SnapshotStore, events: DataFrame, run: Run,
     with staging(store.spark):
         out = ingest(events, store.read("companies"), store.read("jobs"), sources, run, dictionary)
         store.commit(
-            write={"sources": out.sources},
+            write={"sources": out.sources,
+                   "posting_counts": stats.add_changes(store.read("posting_counts"), out.counts)},
             add={"run_errors": out.errors, "companies": out.companies.where("was_touched"),
                  "jobs": out.changed, "search_tokens": out.tokens, "scrape_runs": out.run})
     return True

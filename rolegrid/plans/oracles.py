@@ -328,6 +328,33 @@ UNION ALL SELECT 'broken', 0, 0, 'feed "broken": connection reset'""",
     "stats_bundle": POST + """ SELECT 'total' AS part, '' AS name, count(*) AS n FROM live
 UNION ALL SELECT 'source', s.slug, count(live.source_url) FROM srcs s LEFT JOIN live ON live.source_id = s.id GROUP BY 2
 UNION ALL SELECT 'tag', tag, count(*) FROM (SELECT unnest(stack) AS tag FROM live) GROUP BY 2""",
+    "kept_stats": POST + """, after AS (SELECT * REPLACE (CASE WHEN first_seq % 4 = 1 THEN NOT is_active ELSE is_active END AS is_active,
+   CASE WHEN first_seq % 6 = 2 THEN source_id % 25 + 1 ELSE source_id END AS source_id) FROM posts),
+open AS (SELECT * FROM after WHERE canonical_url IS NULL AND is_active)
+SELECT 'total' AS part, '' AS name, count(*) AS n FROM open
+UNION ALL SELECT 'source', s.slug, count(open.source_url) FROM srcs s LEFT JOIN open ON open.source_id = s.id GROUP BY 2
+UNION ALL SELECT 'tag', tag, count(*) FROM (SELECT unnest(stack) AS tag FROM open) GROUP BY 2""",
+    "settled_moves": """WITH RECURSIVE moves AS (SELECT c_custkey AS old_id, CASE WHEN c_custkey % 50 = 0 THEN c_custkey - 49 ELSE c_custkey + 1 END AS new_id
+   FROM customer WHERE c_custkey % 50 <> 0 OR CAST(floor((c_custkey - 1) / 50) AS BIGINT) % 7 = 0),
+walk AS (SELECT old_id, new_id, 1 AS step FROM moves
+   UNION ALL SELECT w.old_id, m.new_id, step + 1 FROM walk w JOIN moves m ON w.new_id = m.old_id WHERE step < 60),
+ends AS (SELECT old_id, new_id FROM walk WHERE new_id NOT IN (SELECT old_id FROM moves))
+SELECT o_orderkey AS id, coalesce(new_id, o_custkey) AS canonical_job_id FROM orders LEFT JOIN ends ON o_custkey = old_id""",
+    "rejected_moves": """WITH RECURSIVE moves AS (SELECT p_partkey AS old_id, CASE WHEN p_partkey % 20 = 0 THEN p_partkey - 13 ELSE p_partkey + 1 END AS new_id
+   FROM part WHERE p_partkey % 20 <> 0 OR CAST(floor((p_partkey - 1) / 20) AS BIGINT) % 3 = 0),
+walk AS (SELECT old_id, new_id, 1 AS step FROM moves
+   UNION ALL SELECT w.old_id, m.new_id, step + 1 FROM walk w JOIN moves m ON w.new_id = m.old_id WHERE step < 40)
+SELECT old_id, new_id, 'the moves lead back to where they came from' AS error FROM moves
+ WHERE old_id NOT IN (SELECT old_id FROM walk WHERE new_id NOT IN (SELECT old_id FROM moves))""",
+    "next_cursors": f"""WITH days AS (SELECT '1997-03-' || lpad(CAST(i AS VARCHAR), 2, '0') AS day FROM range(1, 8) t(i)),
+rows_ AS (SELECT day, o_orderkey, row_number() OVER (PARTITION BY day ORDER BY posted_at DESC, o_orderkey DESC) AS rn
+   FROM days LEFT JOIN {ORDERS} ON CAST(CAST(posted_at AS DATE) AS VARCHAR) = day)
+SELECT day, max(CASE WHEN rn = 20 THEN o_orderkey END) AS last_key FROM rows_ GROUP BY 1""",
+    "feed_errors": """SELECT string_agg(CASE WHEN n_nationkey % 5 = 3 THEN 'feed "n' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || '": nation '
+   || n_nationkey || ' does not answer' END, chr(10) ORDER BY n_nationkey) AS error,
+ CAST((SELECT count(*) FROM supplier WHERE s_nationkey % 5 <> 3) AS INT) AS n_rows FROM nation""",
+    "seeded_sources": f"""WITH srcs AS ({SOURCES}) SELECT id, slug FROM srcs WHERE id <> 1
+ UNION ALL SELECT id, slug FROM (VALUES (1, 'dealls'), (2, 'kalibrr')) s(id, slug) WHERE id NOT IN (SELECT id FROM srcs WHERE id <> 1)""",
     "list_filters": POST + f""" SELECT {_LIST} FROM live WHERE list_has_any(stack, ['Go', 'Python', 'React'])
  AND salary_max >= 5000000 AND mode = 'remote' AND location_city ILIKE '%a_arta'""",
     "list_page": POST + f""" SELECT {_LIST} FROM (SELECT *, {_POST_FORM} AS f FROM live) WHERE level = 'senior'

@@ -91,6 +91,8 @@ RUN_ERRORS = _struct(
 # pos 0 without a token marks a document whose rows these are
 SEARCH_TOKENS = _struct(("doc_id", _str, False), ("pos", _int, False), ("token", _str, True))
 
+POSTING_COUNTS = _struct(("part", _str, False), ("name", _str, False), ("n", _long, False))
+
 ALERTS = _struct(
     ("id", _str, False), ("email", _str, False),
     ("filter_stack", T.ArrayType(_str, False), True), ("filter_salary_min", _long, True),

@@ -17,6 +17,7 @@ TABLES: dict[str, T.StructType] = {
     "sources": schemas.SOURCES, "companies": schemas.COMPANIES, "jobs": schemas.POSTINGS,
     "scrape_runs": schemas.SCRAPE_RUNS, "run_errors": schemas.RUN_ERRORS,
     "alerts": schemas.ALERTS, "search_tokens": schemas.SEARCH_TOKENS,
+    "posting_counts": schemas.POSTING_COUNTS,
 }
 # rows of these tables change; a change replaces the row with the same key
 KEYED = {"search_tokens": ("doc_id",), "jobs": ("id",), "companies": ("id",), "scrape_runs": ("id",), "run_errors": ("run_id", "ingest_seq")}

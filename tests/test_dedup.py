@@ -258,3 +258,15 @@ def test_near_equal_titles_need_few_edges(spark):
     edges = spanning_edges(items, "c", "t", "t").collect()
     assert len(edges) < 12 * 3000
     assert [len(g) for g in component_sets([tuple(e) for e in edges])] == [3000]
+
+
+def test_moves_that_follow_each_other(spark):
+    chain = [(f"a{i:02d}", f"a{i + 1:02d}") for i in range(50)]
+    ring = [("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("into", "r2"), ("self", "self")]
+    odd = [("two", "z"), ("two", "a49"), (None, "x"), ("x", None)]
+    settled, rejected = dedup.settle_moves(spark.createDataFrame(chain + ring + odd, "old_id string, new_id string"))
+    assert {tuple(r) for r in settled.collect()} == {(a, "a50") for a, _ in chain} | {("two", "a50")}
+    assert {(r.old_id, r.new_id) for r in rejected.collect()} == set(ring)
+    assert {r.error for r in rejected.collect()} == {dedup.MOVE_IN_CYCLE}
+    none = spark.createDataFrame([], "old_id string, new_id string")
+    assert [df.count() for df in dedup.settle_moves(none)] == [0, 0]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolegrid import schemas
-from rolegrid.operators import search
+from rolegrid.operators import search, stats
 from rolegrid.plans.ingest import NO_SOURCE, NO_URL, Run, run_feed, run_into_store
 from rolegrid.sources.feeds import FeedRegistry, UnknownFeed
 from rolegrid.sources.tables import SnapshotStore
@@ -234,6 +234,11 @@ def test_token_table_after_runs_equals_a_rebuild(spark, store):
     urls = {r.id: r.source_url for r in jobs.collect()}
     found = lambda *a, **q: sorted(urls[r.doc_id] for r in search.search_by_tokens(kept, *a, **q).collect())
     assert found(["kafka"]) == ["u1"] and found(["batch"]) == [] and found(["data"]) == ["u1", "u4"]
+    # the statistics were kept by the same changes
+    sources = store.read("sources")
+    kept_parts, parts = stats.kept_bundle(sources, store.read("posting_counts")), stats.stats_bundle(sources, jobs)
+    for part in parts:
+        assert kept_parts[part].collect() == parts[part].collect()
     # a refresh without a new text adds no rows
     last = spark.read.parquet(store.state()[1]["search_tokens"][-1])
     assert {urls[r.doc_id] for r in last.collect()} == {"u1"}
