@@ -40,14 +40,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolegrid.llm.common import map_rows, mix, raw_texts, values, write_once
+from rolegrid.llm.common import forget, map_rows, mix, raw_texts, values, write_once
 from rolegrid.session import use_skew_settings
 
-SHARD_WORDS = 600_000
+SHARD_WORDS = 1_000_000
 # Bytes of one text worked on at once.
 PART_BYTES = 1 << 21
 BLOCK_WINDOWS = 1 << 13
-RANGE_WINDOWS = 300_000
+RANGE_WINDOWS = 500_000
 # Ranges a block is dealt to at once; more are reached in several steps.
 FAN = 256
 BORDER_SAMPLE = 20_000
@@ -348,7 +348,8 @@ def deal(table: DataFrame, cuts: list[tuple], range_windows: int = RANGE_WINDOWS
     Cutting every shard's blocks at every border would leave pieces of a few
     windows when there are many shards and ranges. Blocks are first dealt to at
     most ``fan`` wide ranges; inside one, bundles of about ``range_windows`` windows
-    are united and cut into blocks anew, which then reach over few borders.
+    are united and cut into blocks anew, which then reach over few borders. The
+    blocks of ``table`` are removed once bundles are written.
     """
     stride = 1
     while len(cuts) // stride >= fan:
@@ -363,7 +364,9 @@ def deal(table: DataFrame, cuts: list[tuple], range_windows: int = RANGE_WINDOWS
             return pa.Table.from_batches(_block_rows(key[1].as_py(), held, BLOCK_WINDOWS))
 
         dealt = to_ranges(table, wide).withColumn("bundle", F.pmod(F.xxhash64("block"), F.lit(bundles)))
-        table = write_once(dealt.groupBy("range", "lang", "bundle").applyInArrow(gather, BLOCK), "window-bundles")
+        bundled = write_once(dealt.groupBy("range", "lang", "bundle").applyInArrow(gather, BLOCK), "window-bundles")
+        forget(table)
+        table = bundled
         stride //= fan
     return to_ranges(table, cuts)
 
@@ -477,6 +480,7 @@ def collocations(docs: DataFrame, least: int = 10, percent: int = 50, top: int =
     """
     use_skew_settings(docs.sparkSession)
     table = write_once(blocks(docs, shard_words, block_windows), "window-blocks")
+    totals = write_once(table.groupBy("lang").agg(F.sum("total").alias("n")), "words-per-language")
     cuts = borders(table, range_windows)
     counts = write_once(phrase_counts(deal(table, cuts, range_windows, fan), cuts, least), "phrase-counts")
     found = write_once(candidates(counts, least, percent), "candidates")
@@ -499,5 +503,4 @@ def collocations(docs: DataFrame, least: int = 10, percent: int = 50, top: int =
     salted = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*order)
     best = scored.withColumn("rank", F.row_number().over(salted)).where(F.col("rank") <= top)
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
-    totals = table.groupBy("lang").agg(F.sum("total").alias("n"))
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

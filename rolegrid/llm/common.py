@@ -26,6 +26,17 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     return stage(df, f"llm-{name}")
 
 
+def forget(df: DataFrame) -> None:
+    """Remove a table of ``write_once`` whose last reader has been written."""
+    files = df.inputFiles()
+    if files:
+        jvm = df.sparkSession.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        if not folder.getName().startswith("llm-"):
+            raise ValueError(f"{folder} is not a table written by write_once")
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def map_rows(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with batches small enough for very long texts."""
     conf = df.sparkSession.conf
