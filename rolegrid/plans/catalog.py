@@ -23,6 +23,7 @@ from rolegrid.plans.ingest import Run, ingest, run_feed
 from rolegrid.schemas import POSTING_CONTENT, RAW_POSTINGS, seed_sources
 from rolegrid.session import checkpoint_root, stage
 from rolegrid.sources import pages as page_source
+from rolegrid.sources.archive import read_archive
 from rolegrid.sources.feeds import FeedRegistry, arrival_order, error_text, union_feeds
 from rolegrid.sources.tables import TABLES, SnapshotStore
 from rolegrid.streaming.ingest import raw_posting_stream, start_ingest
@@ -291,6 +292,23 @@ def feed_errors(spark, sf_dir):
     return error_text(errors).withColumn("n_rows", F.lit(rows.count()))
 
 
+@query
+def archived_pages(spark, sf_dir):
+    """Pages archived in eight files, one of which is cut off in the middle: rows kept and errors per file."""
+    root = f"{checkpoint_root(spark)}/archive-{uuid.uuid4().hex}"
+    number = F.col("page_id")
+    line = F.to_json(F.struct("page_id", "url", "html"))
+    broken = F.when(number % 8 == 3, F.when(number < 83, line).when(number == 83, F.substring(line, 1, 40))).otherwise(line)
+    (table(spark, sf_dir, "pages").select((number % 8).alias("part"), "page_id", broken.alias("value")).where("value IS NOT NULL")
+     .repartition(8, "part").sortWithinPartitions("part", "page_id").select("part", "value")
+     .write.partitionBy("part").text(root))
+    rows, errors = read_archive(spark, root, "page_id long, url string, html string")
+    kept = rows.groupBy((number % 8).alias("part")).agg(
+        F.count("*").alias("n"), F.max("page_id").alias("last_page"), F.sum(F.length("html")).alias("chars"))
+    failed = errors.count()  # at most one per file
+    return kept.select("part", "n", "last_page", "chars", F.lit(failed).cast("long").alias("n_errors"))
+
+
 @query
 def seeded_sources(spark, sf_dir):
     """The seed rows beside the sources there are; a seed whose id is taken does not replace it."""

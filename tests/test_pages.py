@@ -1,12 +1,15 @@
 """Page dumps: decoding, flattening, page runs, country audit."""
 
 import datetime as dt
+import gzip
 import json
 
 from pyspark.sql import functions as F
 
+from rolegrid import schemas
 from rolegrid.sources import pages as P
-from rolegrid.sources.feeds import error_text, union_feeds
+from rolegrid.sources.archive import read_archive
+from rolegrid.sources.feeds import FeedRegistry, error_text, union_feeds
 
 BASE = "https://board.example"
 
@@ -122,3 +125,35 @@ def test_one_failing_feed_keeps_the_others(spark):
     assert error_text(both.limit(0)).first().error is None
     rows, errors = union_feeds(spark, {"b": broken})
     assert rows.count() == 0 and errors.count() == 1
+
+
+def test_an_archive_keeps_what_it_could_read(spark, tmp_path):
+    lines = [json.dumps({"id": i, "title": f"Tïtle {i}", "more": [1]}) for i in range(600)]
+    (tmp_path / "good.json").write_text("\n".join(lines) + "\n\n", encoding="utf-8")
+    (tmp_path / "broken.json").write_text("\n".join([*lines[:300], "{\"id\": 1", *lines[301:]]), encoding="utf-8")
+    (tmp_path / "typed.json").write_text("\n".join([lines[0], "{}", "{\"id\": \"x\"}", lines[1]]), encoding="utf-8")
+    packed = gzip.compress("\n".join(lines).encode())
+    (tmp_path / "cut.json.gz").write_bytes(packed[:len(packed) // 2])
+    (tmp_path / "bytes.json").write_bytes(lines[0].encode() + b"\n\xff\xfe\n")
+    (tmp_path / "list.json").write_text("[1]")
+    (tmp_path / "empty.json").write_text("")
+    rows, errors = read_archive(spark, str(tmp_path), "id long, title string")
+    kept = {}
+    for r in rows.collect():
+        kept.setdefault(r.part, []).append((r.line, r.id, r.title))
+    assert kept["good.json"] == [(i + 1, i, f"Tïtle {i}") for i in range(600)]
+    assert [k[1] for k in kept["broken.json"]] == list(range(300))
+    assert kept["typed.json"] == [(1, 0, "Tïtle 0"), (2, None, None)]
+    assert 0 < len(kept["cut.json.gz"]) < 600
+    failed = {r.feed: r.error for r in errors.collect()}
+    assert set(failed) == {"broken.json", "typed.json", "cut.json.gz", "bytes.json", "list.json"}
+    assert failed["broken.json"].startswith("broken.json, line 301: JSONDecodeError")
+
+
+def test_a_feed_that_breaks_keeps_its_good_part(spark, tmp_path):
+    (tmp_path / "a.json").write_text("\n".join(json.dumps({"source_url": f"u{i}", "title": "T"}) for i in range(5)) + "\n{")
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.RAW_POSTINGS.fields if f.name not in (
+        "ingest_seq", "source_id", "posted_at"))
+    registry = FeedRegistry({"board": lambda s, pages: read_archive(s, str(tmp_path), columns)})
+    rows, error = registry.collect(spark, "board")
+    assert rows.count() == 5 and error.startswith("a.json, line ")
