@@ -26,7 +26,7 @@ from rolegrid.sources import pages as page_source
 from rolegrid.sources.archive import read_archive
 from rolegrid.sources.feeds import FeedRegistry, arrival_order, error_text, union_feeds
 from rolegrid.sources.tables import TABLES, SnapshotStore
-from rolegrid.streaming.ingest import raw_posting_stream, start_ingest
+from rolegrid.streaming.ingest import raw_posting_stream, start_ingest, without_repeats
 
 FIRST_RUN = "2024-01-22 00:00:00"  # ten days before AS_OF
 QUERIES = {}
@@ -874,24 +874,39 @@ def pages_ingest(spark, sf_dir):
 
 @query
 def stream_ingest(spark, sf_dir):
-    """The feed as a folder of files, ingested by a stream in several batches."""
+    """The feed as a folder of files, ingested by a stream in two runs over one checkpoint."""
     root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
     feed = posting_feed(spark, sf_dir)
     raw = feed.select(*[F.col(f.name).cast(f.dataType) for f in RAW_POSTINGS])
     # first everything, then the latest version of some postings again: a refresh
     # leaves content, pointers and groups as they are
     again = raw.where(F.col("ingest_seq") % 10 == 9).withColumn("ingest_seq", F.col("ingest_seq") + 1_000_000_000)
-    for part in (raw, again):
-        part.coalesce(1).write.mode("append").parquet(f"{root}/raw")
     store = SnapshotStore(spark, f"{root}/store")
     store.write("sources", _sources(spark, sf_dir))
-    start_ingest(raw_posting_stream(spark, f"{root}/raw", files_per_batch=1), store, 1, f"feed-{uuid.uuid4().hex}",
-                 lambda: AS_OF).awaitTermination()
+    name = f"feed-{uuid.uuid4().hex}"
+    for part in (raw, again):  # the stream goes on from its checkpoint
+        part.write.mode("append").parquet(f"{root}/raw")
+        start_ingest(raw_posting_stream(spark, f"{root}/raw"), store, 1, name, lambda: AS_OF).awaitTermination()
     jobs = store.read("jobs")
     to = jobs.select(F.col("id").alias("canonical_job_id"), F.col("source_url").alias("canonical_url"))
     return jobs.join(to, "canonical_job_id", "left").select("source_id", "source_url", "title", "canonical_url")
 
 
+@query
+def stream_repeats(spark, sf_dir):
+    """Deliveries per source that pass a stream which drops repeats: some come again at once, some with another title."""
+    root = f"{checkpoint_root(spark)}/repeats-{uuid.uuid4().hex}"
+    raw = posting_feed(spark, sf_dir).select(*[F.col(f.name).cast(f.dataType) for f in RAW_POSTINGS])
+    seq = F.col("ingest_seq")
+    again = raw.where(seq % 3 == 0)
+    renamed = raw.where(seq % 5 == 0).withColumn("title", F.concat("title", F.lit(" II")))
+    for part in (raw, again.unionAll(renamed)):
+        part.write.mode("append").parquet(f"{root}/raw")
+        (without_repeats(spark, f"{root}/raw").writeStream.format("parquet").option("path", f"{root}/out")
+         .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(f"{root}/out").groupBy("source_id").agg(F.count("*").alias("n"))
+
+
 @query
 def replay_pointers(spark, sf_dir):
     """Pointers that the whole feed leaves when taken one event after the other."""

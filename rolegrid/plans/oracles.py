@@ -353,6 +353,9 @@ SELECT day, max(CASE WHEN rn = 20 THEN o_orderkey END) AS last_key FROM rows_ GR
     "feed_errors": """SELECT string_agg(CASE WHEN n_nationkey % 5 = 3 THEN 'feed "n' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || '": nation '
    || n_nationkey || ' does not answer' END, chr(10) ORDER BY n_nationkey) AS error,
  CAST((SELECT count(*) FROM supplier WHERE s_nationkey % 5 <> 3) AS INT) AS n_rows FROM nation""",
+    "stream_repeats": f"""WITH feed AS ({FEED}), sent AS (SELECT source_id, source_url, title, company, salary_raw, location, description, source_job_id, posted_at FROM feed
+   UNION SELECT source_id, source_url, title || ' II', company, salary_raw, location, description, source_job_id, posted_at FROM feed WHERE ingest_seq % 5 = 0)
+SELECT source_id, count(*) AS n FROM sent GROUP BY 1""",
     "archived_pages": """SELECT page_id % 8 AS part, count(*) AS n, max(page_id) AS last_page, CAST(sum(length(html)) AS BIGINT) AS chars,
  CAST((SELECT count(*) FROM pages WHERE page_id = 83) AS BIGINT) AS n_errors
  FROM pages WHERE page_id % 8 <> 3 OR page_id < 83 GROUP BY 1""",

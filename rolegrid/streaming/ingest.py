@@ -7,6 +7,7 @@ import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rolegrid.plans.ingest import Run, run_into_store
@@ -26,6 +27,47 @@ def raw_posting_stream(spark: SparkSession, folder: str,
     return reader.parquet(folder)
 
 
+CONTENT = ("title", "company", "salary_raw", "location", "description", "source_job_id", "posted_at")
+
+
+def without_repeats(spark: SparkSession, folder: str, minutes: float = 60, files_per_batch: int | None = None) -> DataFrame:
+    """The stream of a folder without deliveries of what was just delivered.
+
+    A crawler that retries writes the same posting twice within a short time. The
+    stream keeps, as state by source, address and content, when a delivery last
+    passed; arrival is the time its file was written. A delivery passes if that is
+    ``minutes`` or longer ago, or never was: another content passes, and the same
+    content later on is a refresh, which keeps the posting alive. (Spark's own
+    ``dropDuplicatesWithinWatermark`` would also drop a refresh that comes in the
+    batch in which its state is due to go.) A file that is ``minutes`` older than
+    the newest one of the batches before is late; its rows are not in the stream.
+    """
+    content = F.xxhash64(*CONTENT)
+    rows = (raw_posting_stream(spark, folder, files_per_batch)
+            .select("*", F.col("_metadata.file_modification_time").alias("arrived"))
+            .withColumns({"content": content, "ms": F.unix_millis("arrived")}))
+    span = int(minutes * 60_000)
+    names = RAW_POSTINGS.fieldNames()
+
+    def first_of_each_span(_key, parts, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        for rows in parts:
+            rows = rows.sort_values(["ms", "ingest_seq"])
+            keep = []
+            for ms in rows["ms"].tolist():
+                keep.append(last is None or ms - last >= span)
+                last = ms if keep[-1] else last
+            yield rows.loc[keep, names]
+        state.update((last,))
+        state.setTimeoutTimestamp(last + span)
+
+    return (rows.withWatermark("arrived", f"{span} milliseconds").groupBy("source_id", "source_url", "content")
+            .applyInPandasWithState(first_of_each_span, RAW_POSTINGS, "last long", "append", "EventTimeTimeout"))
+
+
 def checkpoint_folder(store: SnapshotStore, name: str) -> str:
     """The stream's own state lies beside the tables it feeds, and goes with them."""
     return f"{store.root}/_streams/{name}"
@@ -45,8 +87,8 @@ def start_ingest(stream: DataFrame, store: SnapshotStore, source_id: int, name:
     then in the ledger and the batch is skipped, or it is not and the keyed
     upserts make the repetition harmless. A stream that lost its checkpoint
     has a new id: it reads all files again as new runs, and no batch is taken
-    for one that was stored before. Dropping repeats inside the stream would
-    lose refreshes, so it is not done.
+    for one that was stored before. ``without_repeats`` gives a stream that drops
+    repeated deliveries but keeps refreshes.
     """
     spark = stream.sparkSession
     checkpoint = checkpoint_folder(store, name)

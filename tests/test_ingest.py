@@ -1,6 +1,7 @@
 """Runs end to end: counters, partial failure, sweep, duplicates, stream."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from rolegrid.operators import search, stats
 from rolegrid.plans.ingest import NO_SOURCE, NO_URL, Run, run_feed, run_into_store
 from rolegrid.sources.feeds import FeedRegistry, UnknownFeed
 from rolegrid.sources.tables import SnapshotStore
-from rolegrid.streaming.ingest import checkpoint_folder, raw_posting_stream, start_ingest
+from rolegrid.streaming.ingest import checkpoint_folder, raw_posting_stream, start_ingest, without_repeats
 
 DAY = dt.datetime(2026, 3, 1)
 
@@ -245,3 +246,25 @@ def test_token_table_after_runs_equals_a_rebuild(spark, store):
     # the asked tokens are filtered in the scans
     plan = kept.where("token = 'kafka'")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("EqualTo(token,kafka)") >= 2
+
+
+def test_a_stream_drops_repeats_and_keeps_refreshes(spark, store, tmp_path):
+    folder, state, out = (str(tmp_path / n) for n in ("raw", "state", "out"))
+
+    def deliver(hour, *rows):
+        before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+        spark.createDataFrame(rows, schemas.RAW_POSTINGS).coalesce(1).write.mode("append").parquet(folder)
+        for name in set(os.listdir(folder)) - before:
+            os.utime(f"{folder}/{name}", (hour * 3600, hour * 3600))
+        (without_repeats(spark, folder).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination())
+        return sorted(r.ingest_seq for r in spark.read.parquet(out).collect())
+
+    assert deliver(1000, raw(1, "u1"), raw(2, "u1"), raw(3, "u2")) in ([1, 3], [2, 3])
+    # half an hour later: u1 again, u2 with another text
+    assert len(deliver(1000.5, raw(4, "u1"), raw(5, "u2", description="New text."))) == 3
+    # five hours later the same contents are refreshes
+    assert {6, 7} <= set(deliver(1005, raw(6, "u1"), raw(7, "u2", description="New text.")))
+    # a file from before that time is late
+    assert 8 not in deliver(1001, raw(8, "u9"))
+    assert 9 in deliver(1005.5, raw(9, "u9"))
