@@ -34,7 +34,7 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "1"))
-    seconds = float(os.environ.get("BENCH_SECONDS", "900"))
+    seconds = float(os.environ.get("BENCH_SECONDS", "1300"))
     names = sys.argv[1:] or [*HEADLINE, *(n for n in QUERIES if n not in HEADLINE)]
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
