@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolegrid.session import cut
+from rolegrid.session import remove_folder, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,14 +34,18 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v",
     Kiveris et al., "Connected Components in MapReduce and Beyond" (2014).
     Minima are partial aggregates, so a hub is reduced before it is shuffled;
     the joins attach one row per node, which AQE may split on the hub's side.
-    Each round ends in a reliable checkpoint, and the stop test is one
-    aggregate row. Rounds grow with the logarithm of the longest chain.
+    Each round ends in a reliable checkpoint that replaces the one before, and
+    the stop test is one aggregate row. Rounds grow with the logarithm of the
+    longest chain.
     """
-    current = cut(edges.select(F.col(u).alias("u"), F.col(v).alias("v"))
-                  .where(F.col("u") != F.col("v")).distinct())
+    spark = edges.sparkSession
+    current, folder = staged(edges.select(F.col(u).alias("u"), F.col(v).alias("v"))
+                             .where(F.col("u") != F.col("v")).distinct(), "edges")
     digest = None
     for _ in range(max_rounds if current.take(1) else 0):
-        current = cut(_small_star(_large_star(current)))
+        before = folder
+        current, folder = staged(_small_star(_large_star(current)), "edges")
+        remove_folder(spark, before)
         row = current.agg(F.count("*").alias("n"),
                           F.bit_xor(F.xxhash64("u", "v")).alias("h"),
                           F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s")).first()

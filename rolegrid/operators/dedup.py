@@ -13,12 +13,14 @@ and nothing is capped.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolegrid.operators.components import connected_components
 from rolegrid.operators.similarity import spanning_edges
-from rolegrid.session import cut, use_skew_settings
+from rolegrid.session import cut, stage, use_skew_settings
 
 NODE = ("fingerprint", "company_id", "title_normalized")
 
@@ -67,9 +69,9 @@ def duplicate_groups(postings: DataFrame) -> DataFrame:
     """
     use_skew_settings(postings.sparkSession)
     marks = [F.max("changed").alias("changed")] if "changed" in postings.columns else []
-    nodes = (postings.groupBy(*NODE)
-             .agg(F.min("id").alias("node"), F.min(preference()).alias("best"),
-                  F.count("*").alias("members"), *marks))
+    nodes = stage(postings.groupBy(*NODE)
+                  .agg(F.min("id").alias("node"), F.min(preference()).alias("best"),
+                       F.count("*").alias("members"), *marks), "nodes")
     components = connected_components(match_edges(nodes))
     labelled = (nodes.join(components, "node", "left")
                 .withColumn("component", F.coalesce("component", "node")).drop("node", "changed"))
@@ -78,11 +80,22 @@ def duplicate_groups(postings: DataFrame) -> DataFrame:
     return labelled.drop("best").join(winners, "component")
 
 
+def groups_by_print(groups: DataFrame) -> DataFrame:
+    """``fingerprint, component, canonical_id`` of ``duplicate_groups``.
+
+    Keys with the same fingerprint are in one group, so the fingerprint alone
+    leads a posting to its group.
+    """
+    return groups.groupBy("fingerprint").agg(F.min("component").alias("component"),
+                                             F.min("canonical_id").alias("canonical_id"))
+
+
 def resolve(postings: DataFrame) -> DataFrame:
     """``id, canonical_id`` of every posting without a pointer, NULL if canonical."""
     open_rows = postings.where(F.col("canonical_job_id").isNull())
-    groups = duplicate_groups(open_rows).select(*NODE, "canonical_id")
-    return (open_rows.select("id", *NODE).join(groups, list(NODE))
+    groups = groups_by_print(duplicate_groups(open_rows)).drop("component")
+    return (open_rows.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in NODE]))
+            .select("id", "fingerprint").join(groups, "fingerprint")
             .select("id", F.when(F.col("id") != F.col("canonical_id"), F.col("canonical_id"))
                     .alias("canonical_id")))
 

@@ -13,16 +13,17 @@ from rolegrid.functions.tags import DEFAULT_DICTIONARY, Alias, text_tags
 from rolegrid.functions.text import blank_to_null, html_to_text, search_text, trim_white
 
 
-def normalize_postings(raw: DataFrame,
-                       dictionary: tuple[Alias, ...] = DEFAULT_DICTIONARY) -> DataFrame:
+def normalize_postings(raw: DataFrame, dictionary: tuple[Alias, ...] = DEFAULT_DICTIONARY,
+                       more: tuple[str, ...] = ()) -> DataFrame:
     """Structure every text column of a raw posting table.
 
     A pure projection: no shuffle, no Python rows. Filters over its columns
     would be pushed below it and repeat the text work, so callers that filter
-    write the result first (``session.stage``).
+    write the result first (``session.stage``). ``more``: other columns of
+    ``raw`` that stay.
     """
     cleaned, structured, stored = _columns(dictionary)
-    return with_salary(raw.withColumns(cleaned)).withColumns(structured).select(*stored)
+    return with_salary(raw.withColumns(cleaned)).withColumns(structured).select(*stored, *more)
 
 
 @spelled_once

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolegrid.functions.text import bind
 from rolegrid.functions.trigram import N_CODES, SIMILARITY_TENTHS, trigram_codes, trigrams
 from rolegrid.session import stage, use_skew_settings
 
@@ -41,12 +42,15 @@ def _rarity_classes(texts: DataFrame) -> bytes:
 
 
 def _distinct_texts(items: DataFrame, block: str, text: str, ident: str | None, changed: str | None) -> DataFrame:
-    """``block, text, id, changed, codes``: one written row per distinct text of a block."""
+    """``block, text, id, changed``: one written row per distinct text of a block."""
     return stage(
         items.where(F.col(text) != "").groupBy(F.col(block).alias("block"), F.col(text).alias("text"))
         .agg(F.min(ident).alias("id") if ident else F.lit(None).cast("string").alias("id"),
-             F.max(changed).alias("changed") if changed else F.lit(True).alias("changed"))
-        .withColumn("codes", trigram_codes(F.col("text"))), "texts")
+             F.max(changed).alias("changed") if changed else F.lit(True).alias("changed")), "texts")
+
+
+def _with_codes(texts: DataFrame) -> DataFrame:
+    return stage(texts.withColumn("codes", trigram_codes(F.col("text"))), "codes")
 
 
 def _prefix_entries(texts: DataFrame, tenths: int, *more: str) -> DataFrame:
@@ -116,7 +120,7 @@ def similar_pairs(items: DataFrame, block: str, text: str, ident: str | None = N
       of all other keys stay single.
     """
     use_skew_settings(items.sparkSession)
-    texts = _distinct_texts(items, block, text, ident, changed)
+    texts = _with_codes(_distinct_texts(items, block, text, ident, changed))
     entries = _prefix_entries(texts, tenths)
     heavy = (entries.groupBy("block", "g").agg(F.count("*").alias("rows")).where(F.col("rows") > slice_rows)
              .select("block", "g", F.ceil(F.col("rows") / slice_rows).cast("int").alias("slices")))
@@ -139,6 +143,8 @@ def similar_pairs(items: DataFrame, block: str, text: str, ident: str | None = N
                     (ln + rn - F.size(common)).alias("total")))
 
 
+# Distinct texts of a block up to which its pairs are tested in its one row.
+BLOCK_ROWS = 128
 # Texts of one (block, trigram) key up to which groups are told apart by a plain test.
 PLAIN_ROWS = 64
 # Bits of a group's hash by which texts of a frequent key are told apart.
@@ -172,11 +178,53 @@ def _hub_links(texts: DataFrame, tenths: int) -> DataFrame:
     return links[0].unionByName(links[1]).distinct()
 
 
+def _small_block_edges(texts: DataFrame, tenths: int) -> DataFrame:
+    """``u, v``: similar texts of small blocks, as many as their components need.
+
+    A block is one row, so a text is shuffled once. The texts are taken one
+    after the other: one is tied to the first text it is similar to of every
+    component that the texts before it form, and makes one component of them.
+    """
+    blocks = (texts.groupBy("block").agg(F.collect_list(F.struct("text", "id", "changed")).alias("rows"))
+              .where(F.size("rows") > 1)
+              .select("rows", F.transform("rows", lambda r: trigram_codes(r["text"])).alias("codes")))
+    n = F.size("rows")
+
+    def similar(i: Column, j: Column) -> Column:
+        a, b = F.get("codes", i), F.get("codes", j)
+        na, nb = F.size(a), F.size(b)
+        return ((F.get("rows", i)["changed"] | F.get("rows", j)["changed"])
+                & (10 * F.least(na, nb) > tenths * F.greatest(na, nb))
+                & ((10 + tenths) * F.size(F.array_intersect(a, b)) > tenths * (na + nb)))
+
+    def take(state: Column, i: Column) -> Column:
+        near = F.filter(F.sequence(F.lit(0), i - 1), lambda j: similar(i, j))
+        known = F.transform(near, lambda j: F.get(state["labels"], j))
+        return bind(F.struct(near.alias("near"), known.alias("known")),
+                    lambda x: F.when(F.size(x["near"]) == 0, state).otherwise(tied(state, i, x["near"], x["known"])))
+
+    def tied(state: Column, i: Column, near: Column, known: Column) -> Column:
+        # one tie per component: to the first text with its label
+        ties = F.filter(near, lambda j, at: F.array_position(known, F.get(known, at)) == at + 1)
+        labels = F.transform(state["labels"], lambda label, j: F.when(
+            (j == i) | F.array_contains(known, label), F.array_min(known)).otherwise(label))
+        edges = F.transform(ties, lambda j: F.struct(i.alias("u"), j.alias("v")))
+        return F.struct(labels.alias("labels"), F.concat(state["edges"], edges).alias("edges"))
+
+    start = F.struct(F.sequence(F.lit(0), n - 1).alias("labels"), F.array().cast("array<struct<u:int,v:int>>").alias("edges"))
+    edges = F.aggregate(F.sequence(F.lit(1), n - 1), start, take, lambda state: state["edges"])
+    return (blocks.select("rows", F.explode(edges).alias("e"))
+            .select(F.get("rows", F.col("e.u"))["id"].alias("u"), F.get("rows", F.col("e.v"))["id"].alias("v")))
+
+
 def spanning_edges(items: DataFrame, block: str, text: str, ident: str, changed: str | None = None,
-                   tenths: int = SIMILARITY_TENTHS, slice_rows: int = 20_000, plain_rows: int = PLAIN_ROWS) -> DataFrame:
+                   tenths: int = SIMILARITY_TENTHS, slice_rows: int = 20_000, plain_rows: int = PLAIN_ROWS,
+                   block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Edges ``u, v`` (identifiers) with the connected components of ``similar_pairs``.
 
-    ``n`` near-equal texts need no ``n * n`` edges to be one component:
+    Blocks of at most ``block_rows`` distinct texts are settled whole, a row per
+    block; that is linear in the texts. In larger blocks ``n`` near-equal texts
+    need no ``n * n`` edges to be one component:
 
     1. Every text is tied to the hubs it is similar to. Texts with a common hub
        are in one group; a hub tied to a smaller hub passes its group on.
@@ -190,6 +238,16 @@ def spanning_edges(items: DataFrame, block: str, text: str, ident: str, changed:
     """
     use_skew_settings(items.sparkSession)
     texts = _distinct_texts(items, block, text, ident, changed)
+    large = stage(texts.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > block_rows).select("block"), "large-blocks")
+    small = _small_block_edges(texts.join(large, "block", "left_anti"), tenths)
+    if not large.take(1):
+        return small
+    return small.unionByName(_large_block_edges(texts.join(large, "block", "left_semi"), tenths, slice_rows, plain_rows))
+
+
+def _large_block_edges(texts: DataFrame, tenths: int, slice_rows: int, plain_rows: int) -> DataFrame:
+    """The three steps of ``spanning_edges``."""
+    texts = _with_codes(texts)
     links = stage(_hub_links(texts, tenths), "hub-links")
     first = links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("up"))
     first = first.select("id", F.least("id", "up").alias("up"))

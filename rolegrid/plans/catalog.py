@@ -46,15 +46,27 @@ def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_postings(posting_feed(spark, sf_dir))
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest version per key with an exact-copy canonical; every ninth inactive.
+_SEQS = ("first_seq", "last_seq", "deliveries")
+_ELECTED_BY = ("id", *upsert.KEY, "fingerprint", "posted_at")
+
+
+def latest(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Latest version per key: ``columns`` (default: all) and those that elections read.
 
     Made from the tables by every query that asks for it, and written on the
-    way, so that filters on derived text are filters on stored columns.
+    way, so that filters on derived text are filters on stored columns. A query
+    names the columns it reads; the text behind the others is left alone.
     """
-    rows = stage(upsert.latest_per_key(normalized(spark, sf_dir), upsert.KEY, "ingest_seq",
-                                       "id", "company_name", "company_normalized", *POSTING_CONTENT), "latest")
-    seen = rows.withColumn("first_seen_at", _as_of() - F.make_dt_interval(F.col("first_seq") % 30))
+    last = upsert.latest_events(posting_feed(spark, sf_dir), upsert.KEY, "ingest_seq")
+    wanted = {*_ELECTED_BY, *(columns or ("company_name", "company_normalized", *POSTING_CONTENT))}
+    rows = normalize_postings(last, more=_SEQS)
+    rows = stage(rows.select(*[c for c in rows.columns if c in wanted], *_SEQS), "latest")
+    return rows.withColumn("first_seen_at", _as_of() - F.make_dt_interval(F.col("first_seq") % 30))
+
+
+def postings(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """``latest`` with an exact-copy canonical; every ninth inactive."""
+    seen = latest(spark, sf_dir, *columns)
     winners = dedup.elect_canonical(seen, "fingerprint").drop("members")
     return (seen.join(winners, "fingerprint")
             .withColumns({
@@ -186,7 +198,7 @@ def title_keys(spark, sf_dir):
 @query
 def fingerprint_groups(spark, sf_dir):
     """Exact-copy groups with their canonical posting."""
-    rows = postings(spark, sf_dir)
+    rows = latest(spark, sf_dir, *_ELECTED_BY)
     return (dedup.elect_canonical(rows, "fingerprint").where(F.col("members") > 1)
             .join(rows.select(F.col("id").alias("canonical_id"), "source_url"), "canonical_id")
             .select("fingerprint", "members", F.col("source_url").alias("canonical_url")))
@@ -322,18 +334,18 @@ def seeded_sources(spark, sf_dir):
 @query
 def tag_stats(spark, sf_dir):
     """Active canonical postings per technology, most common first."""
-    return stats.tag_stats(postings(spark, sf_dir))
+    return stats.tag_stats(postings(spark, sf_dir, "stack"))
 
 
 @query
 def active_count(spark, sf_dir):
-    return stats.active_count(postings(spark, sf_dir))
+    return stats.active_count(postings(spark, sf_dir, *_ELECTED_BY))
 
 
 @query
 def source_stats(spark, sf_dir):
     """Active canonical postings per source, sources without any included."""
-    return stats.source_stats(source_table(spark, sf_dir), postings(spark, sf_dir))
+    return stats.source_stats(source_table(spark, sf_dir), postings(spark, sf_dir, *_ELECTED_BY))
 
 
 @query
@@ -349,7 +361,7 @@ def supplier_stats(spark, sf_dir):
 @query
 def stats_bundle(spark, sf_dir):
     """Total, per-source and per-tag counts as one long table."""
-    parts = stats.stats_bundle(source_table(spark, sf_dir), postings(spark, sf_dir))
+    parts = stats.stats_bundle(source_table(spark, sf_dir), postings(spark, sf_dir, "stack"))
     return (parts["total"].select(F.lit("total").alias("part"), F.lit("").alias("name"),
                                   F.col("active_jobs").alias("n"))
             .unionAll(parts["by_source"].select(F.lit("source"), "slug", "active_jobs"))
@@ -362,7 +374,7 @@ def kept_stats(spark, sf_dir):
 
     Every fourth posting is closed or opened, every sixth moves to the next source.
     """
-    rows, seq = postings(spark, sf_dir), F.col("first_seq")
+    rows, seq = postings(spark, sf_dir, "stack"), F.col("first_seq")
     was = rows.where((seq % 4 == 1) | (seq % 6 == 2))
     now = was.withColumns({"is_active": F.when(seq % 4 == 1, ~F.col("is_active")).otherwise(F.col("is_active")),
                            "source_id": F.when(seq % 6 == 2, F.col("source_id") % 25 + 1).otherwise(F.col("source_id"))})
@@ -382,7 +394,7 @@ def list_filters(spark, sf_dir):
     """All postings passing every listing filter at once."""
     tests = search.listing_filters(stack=["Go", "Python", "React"], salary_min=5_000_000,
                                    mode="remote", city="%a_arta")
-    rows = postings(spark, sf_dir).where(search.active_canonical())
+    rows = postings(spark, sf_dir, *_SHOWN, "stack").where(search.active_canonical())
     for test in tests:
         rows = rows.where(test)
     return rows.select(*_SHOWN, _tags())
@@ -392,7 +404,7 @@ def list_filters(spark, sf_dir):
 def list_page(spark, sf_dir):
     """First page of the senior postings that mention a phrase."""
     page = search.list_postings(
-        postings(spark, sf_dir).withColumn("id", F.col("source_url")), limit=50, level="senior",
+        postings(spark, sf_dir, *_SHOWN, "stack", "search_text").withColumn("id", F.col("source_url")), limit=50, level="senior",
         text={"all_of": ["tools", "build r d"], "any_of": ["java", "data platform"],
               "none_of": ["kafka"]})
     return page.select(*_SHOWN, _tags())
@@ -487,7 +499,7 @@ def token_index_search(spark, sf_dir):
 @query
 def posting_lookup(spark, sf_dir):
     """Posting by key in any state, and its source by slug."""
-    rows = search.by_id(postings(spark, sf_dir), f"{BASE_URL}/jobs/54", "source_url")
+    rows = search.by_id(postings(spark, sf_dir, "title"), f"{BASE_URL}/jobs/54", "source_url")
     src = search.by_id(source_table(spark, sf_dir), "nation_0", "slug")
     slugs = src.select(F.col("id").alias("source_id"), "slug")
     return rows.join(slugs, "source_id").select("source_url", "title", "is_active", "slug")
@@ -496,7 +508,7 @@ def posting_lookup(spark, sf_dir):
 @query
 def company_lookup(spark, sf_dir):
     """Companies of the active remote postings (membership join)."""
-    ids = (postings(spark, sf_dir).where(search.active_canonical() & (F.col("mode") == "remote"))
+    ids = (postings(spark, sf_dir, "mode", "company_id").where(search.active_canonical() & (F.col("mode") == "remote"))
            .select(F.col("company_id").alias("id")))
     return search.by_ids(companies(spark, sf_dir), ids).select("name", "name_normalized")
 
@@ -504,14 +516,14 @@ def company_lookup(spark, sf_dir):
 @query
 def posting_companies(spark, sf_dir):
     """Display name of every active canonical posting."""
-    rows = postings(spark, sf_dir).where(search.active_canonical())
+    rows = postings(spark, sf_dir, "company_id").where(search.active_canonical())
     return search.with_company(rows, companies(spark, sf_dir)).select("source_id", "source_url", "company")
 
 
 @query
 def posting_json(spark, sf_dir):
     """Public JSON of every active canonical posting."""
-    rows = postings(spark, sf_dir).where(search.active_canonical())
+    rows = postings(spark, sf_dir, *(c for c in POSTING_CONTENT if c != "search_text")).where(search.active_canonical())
     named = search.with_company(rows, companies(spark, sf_dir)).withColumn("id", F.col("source_url"))
     return search.public_json(named)
 
@@ -519,7 +531,7 @@ def posting_json(spark, sf_dir):
 @query
 def posting_detail(spark, sf_dir):
     """Every fiftieth posting asked for, with the listings merged into it."""
-    rows = _by_url(postings(spark, sf_dir))
+    rows = _by_url(postings(spark, sf_dir, "title", "company_id"))
     asked = rows.where(F.col("first_seq") % 50 == 4).select("id")
     return search.details(rows, companies(spark, sf_dir), asked).select(
         "asked_id", "role", "source_url", "title", "company", "first_seq")
@@ -528,7 +540,7 @@ def posting_detail(spark, sf_dir):
 @query
 def canonical_duplicates(spark, sf_dir):
     """Every duplicate next to its canonical posting."""
-    rows = postings(spark, sf_dir)
+    rows = postings(spark, sf_dir, "title")
     urls = rows.select(F.col("id").alias("canonical_id"), F.col("source_url").alias("canonical_url"))
     return (dedup.duplicates_of(rows).join(urls, "canonical_id")
             .select("canonical_url", "canonical_title", "source_url", "title"))
@@ -578,14 +590,14 @@ def part_name_groups(spark, sf_dir):
 def duplicate_groups(spark, sf_dir):
     """Duplicate groups over exact and similar titles, one row per key."""
     groups = dedup.duplicate_groups(
-        postings(spark, sf_dir).withColumn("id", F.col("source_url")))
+        latest(spark, sf_dir, *dedup.NODE).withColumn("id", F.col("source_url")))
     return groups.select("fingerprint", "title_normalized", "members", "component", "canonical_id")
 
 
 @query
 def canonical_pointers(spark, sf_dir):
     """Resolved pointer of every posting, NULL for canonical ones."""
-    rows = (postings(spark, sf_dir).withColumn("canonical_job_id", F.lit(None).cast("string"))
+    rows = (latest(spark, sf_dir, *dedup.NODE).withColumn("canonical_job_id", F.lit(None).cast("string"))
             .withColumn("id", F.col("source_url")))
     return dedup.resolve(rows)
 
@@ -593,7 +605,7 @@ def canonical_pointers(spark, sf_dir):
 @query
 def reparented(spark, sf_dir):
     """Pointers after every canonical of one source moved to a new one."""
-    flat = _by_url(postings(spark, sf_dir))
+    flat = _by_url(postings(spark, sf_dir, *_ELECTED_BY))
     moved = (flat.where(F.col("canonical_job_id").isNull() & (F.col("source_id") == 2))
              .select(F.col("id").alias("old_id"), F.concat(F.col("id"), F.lit("#new")).alias("new_id")))
     return dedup.reparent(flat, moved).where(F.col("canonical_job_id").isNotNull()).select(
@@ -626,7 +638,7 @@ def rejected_moves(spark, sf_dir):
 @query
 def manual_merges(spark, sf_dir):
     """Hand-made merges: accepted pointers, the last one per posting, and rejected ones."""
-    rows = (postings(spark, sf_dir).withColumn("canonical_job_id", F.lit(None).cast("string"))
+    rows = (latest(spark, sf_dir, *_ELECTED_BY).withColumn("canonical_job_id", F.lit(None).cast("string"))
             .withColumn("id", F.col("source_url")))
     first = F.col("first_seq") - F.col("first_seq") % 50
     url = lambda n: F.concat(F.lit(f"{BASE_URL}/jobs/"), n.cast("string"))

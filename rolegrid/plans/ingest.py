@@ -95,11 +95,16 @@ def ingest(events: DataFrame, companies: DataFrame, jobs: DataFrame, sources: Da
     ids = companies_now.select(F.col("name_normalized").alias("company_normalized"),
                                F.col("id").alias("company_id"))
 
-    content = tuple(c for c in POSTING_CONTENT if c != "company_id")
+    # narrow columns decide what changes; whole rows are read for changes alone
+    good = good.withColumn("version", F.xxhash64(*good.columns))
+    content = tuple(c for c in upsert.STATE if c in POSTING_CONTENT and c != "company_id")
     batch = stage(
-        upsert.latest_per_key(good, upsert.KEY, "ingest_seq", "id", "company_normalized", *content)
+        upsert.latest_per_key(good, upsert.KEY, "ingest_seq", "version", "id", "company_normalized", *content)
         .join(ids, "company_normalized"), "batch")
-    # narrow columns decide what changes; whole rows are read for changes alone
+    version = [*upsert.KEY, "ingest_seq", "version"]
+    whole = (good.drop("company_id")  # a row delivered twice is one row
+             .join(batch.select(*upsert.KEY, F.col("last_seq").alias("ingest_seq"), "version", "company_id"), version)
+             .dropDuplicates(version))
     states = upsert.posting_states(jobs, batch, as_of)
 
     # stored canonicals were compared with each other when they came: only the
@@ -109,8 +114,7 @@ def ingest(events: DataFrame, companies: DataFrame, jobs: DataFrame, sources: Da
         .select("id", *dedup.NODE, "posted_at", "first_seen_at", "first_seq",
                 "was_added", F.col("was_touched").alias("changed")), batch), "open")
     groups = stage(dedup.duplicate_groups(open_rows), "groups")
-    members = open_rows.join(
-        groups.select(*dedup.NODE, "component", "canonical_id"), list(dedup.NODE))
+    members = open_rows.join(dedup.groups_by_print(groups), "fingerprint")
     pointers = members.select("id", F.when(F.col("id") != F.col("canonical_id"), F.col("canonical_id"))
                               .alias("canonical_id"))
     moved = upsert.sweep(dedup.apply_pointers(states, pointers), as_of, run.stale_days)
@@ -124,11 +128,11 @@ def ingest(events: DataFrame, companies: DataFrame, jobs: DataFrame, sources: Da
     ledger = _ledger(run, counters)
     ran = events.sparkSession.createDataFrame([(run.source_id,)], "source_id int")
     touched = (changes.where("was_touched").select("id", *upsert.KEY)
-               .join(batch.select(*upsert.KEY, F.col("search_text").alias("form")), list(upsert.KEY))
+               .join(whole.select(*upsert.KEY, F.col("search_text").alias("form")), list(upsert.KEY))
                .select(F.col("id").alias("doc_id"), "form"))
     stored = (jobs.join(changes.where("was_touched").select("id"), "id", "left_semi")
               .select(F.col("id").alias("doc_id"), F.col("search_text").alias("form")))
-    changed = upsert.changed_postings(jobs, batch, changes)
+    changed = upsert.changed_postings(jobs, whole, changes)
     was = jobs.join(changes.select("id"), "id", "left_semi").select(*stats.COUNTED)
     return Outcome(
         companies=companies_now,

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from rolegrid import schemas
 from rolegrid.operators.token_index import IS_MARKER
+from rolegrid.session import freed_shuffles
 
 TABLES: dict[str, T.StructType] = {
     "sources": schemas.SOURCES, "companies": schemas.COMPANIES, "jobs": schemas.POSTINGS,
@@ -85,10 +86,11 @@ class SnapshotStore:
         df = df.select(TABLES[table].fieldNames())
         if table in SORTED:
             df = df.repartitionByRange(*SORTED[table]).sortWithinPartitions(*SORTED[table])
-        writer = df.write.mode("errorifexists")
+        writer = df.write.mode("errorifexists").option("compression", "zstd")
         if table in PARTITIONS:
             writer = writer.partitionBy(*PARTITIONS[table])
-        writer.parquet(folder)
+        with freed_shuffles(self.spark):
+            writer.parquet(folder)
         return folder
 
     def _load(self, table: str, *folders: str) -> DataFrame:
