@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from rolegrid.operators.components import connected_components
 from rolegrid.operators.similarity import spanning_edges
-from rolegrid.session import cut, stage, use_skew_settings
+from rolegrid.session import remove_folder, stage, staged, use_skew_settings
 
 NODE = ("fingerprint", "company_id", "title_normalized")
 
@@ -107,22 +107,27 @@ def settle_moves(moved: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Final targets of chained moves ``old_id -> new_id``, and the moves without one.
 
     Pointer jumping: every round doubles how far each move reaches, so a chain of
-    n moves takes log2(n) rounds, each written in the shared folder. Moves still
+    n moves takes log2(n) rounds, each written in the shared folder in place of
+    the one before. Moves still
     open after as many rounds as there can be run into a cycle; they are returned
     with an ``error``. A posting moved to several is moved to the smallest id.
     """
     moves = (moved.where(F.col("old_id").isNotNull() & F.col("new_id").isNotNull())
              .groupBy("old_id").agg(F.min("new_id").alias("first_id")).withColumn("new_id", F.col("first_id")))
-    now = cut(moves)
+    spark = moved.sparkSession
+    now, folder = staged(moves.withColumn("jumped", F.lit(True)), "moves")
     rounds = max(1, now.count()).bit_length() + 1
     for _ in range(rounds):
-        ahead = now.select(F.col("old_id").alias("__at"), F.col("new_id").alias("__to"))
-        jumped = now.join(ahead, now["new_id"] == F.col("__at"), "left")
-        # one aggregate row tells whether any move can still jump
-        if not jumped.where(F.col("__at").isNotNull()).take(1):
+        # both sides grow with the moves: none of them goes through the driver
+        ahead = now.select(F.col("old_id").alias("__at"), F.col("new_id").alias("__to")).hint("merge")
+        ahead_of = now.join(ahead, now["new_id"] == F.col("__at"), "left")
+        before = folder
+        now, folder = staged(ahead_of.select("old_id", "first_id", F.coalesce("__to", "new_id").alias("new_id"),
+                                             F.col("__at").isNotNull().alias("jumped")), "moves")
+        remove_folder(spark, before)
+        if not now.where("jumped").take(1):
             break
-        now = cut(jumped.withColumn("new_id", F.coalesce("__to", "new_id")).drop("__at", "__to"))
-    open_ends = now.select(F.col("old_id").alias("__at")).distinct()
+    open_ends = now.select(F.col("old_id").alias("__at")).distinct().hint("merge")
     done = now.join(open_ends, now["new_id"] == F.col("__at"), "left")
     return (done.where(F.col("__at").isNull()).select("old_id", "new_id"),
             done.where(F.col("__at").isNotNull()).select("old_id", F.col("first_id").alias("new_id"),
@@ -135,7 +140,7 @@ def reparent(postings: DataFrame, moved: DataFrame) -> DataFrame:
     ``moved`` maps to final winners; moves that follow each other go through
     ``settle_moves`` first. A posting moved to several is moved to the smallest id.
     """
-    m = moved.groupBy(F.col("old_id").alias("__old")).agg(F.min("new_id").alias("__new"))
+    m = moved.groupBy(F.col("old_id").alias("__old")).agg(F.min("new_id").alias("__new")).hint("merge")
     return (postings.join(m, postings["canonical_job_id"] == F.col("__old"), "left")
             .withColumn("canonical_job_id", F.coalesce("__new", "canonical_job_id"))
             .drop("__old", "__new"))

@@ -683,17 +683,16 @@ def latest_events(spark, sf_dir):
 def posting_upsert(spark, sf_dir):
     """Postings after the second half of the feed met a table of the first half."""
     rows = normalized(spark, sf_dir)
-    columns = ("id", *POSTING_CONTENT)
     half = F.col("ingest_seq") % 10 != 9
-    first = upsert.latest_per_key(rows.where(half), upsert.KEY, "ingest_seq", *columns)
+    first = upsert.latest_events(rows.where(half), upsert.KEY, "ingest_seq")
     old_time = _as_of() - F.make_dt_interval(F.lit(30))
     target = first.withColumns({
         "salary_currency": F.lit("IDR"), "canonical_job_id": F.when(F.col("first_seq") % 5 == 0, F.lit("kept")),
         "first_seen_at": old_time, "last_seen_at": old_time, "is_active": F.lit(False)})
-    batch = upsert.latest_per_key(
+    batch = upsert.latest_events(
         rows.where(~half).unionByName(rows.where(half & (F.col("ingest_seq") % 50 == 0))
                                       .withColumn("source_url", F.concat("source_url", F.lit("/b")))),
-        upsert.KEY, "ingest_seq", *columns)
+        upsert.KEY, "ingest_seq")
     out = upsert.upsert_postings(target, batch, _as_of())
     return out.select("source_id", "source_url", "title", "salary_max", "posted_at", "canonical_job_id",
                       "first_seen_at", "last_seen_at", "is_active", "first_seq")

@@ -84,3 +84,15 @@ def test_a_run_writes_texts_once(spark):
     assert catalog.ingest_ledger(spark, SF_DIR).count() == 1
     (folder,) = written(spark, "batch") - before
     assert not {"description", "search_text", "title"} & set(spark.read.parquet(folder).columns)
+
+
+def test_moves_send_no_table_through_the_driver(spark):
+    moves = spark.range(1, 300).select(F.col("id").alias("old_id"), (F.col("id") + 1).alias("new_id"))
+    before = written(spark, "moves")
+    settled, rejected = dedup.settle_moves(moves)
+    postings = spark.range(300).select("id", F.col("id").alias("canonical_job_id"))
+    pointers = dedup.reparent(postings, settled)
+    for df in (settled, rejected, pointers):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.canonical_job_id for r in pointers.where("id > 0").collect()} == {300} and rejected.count() == 0
+    assert len(written(spark, "moves") - before) == 1
