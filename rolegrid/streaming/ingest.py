@@ -6,6 +6,7 @@ import datetime as dt
 import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,6 +28,9 @@ def raw_posting_stream(spark: SparkSession, folder: str,
     return reader.parquet(folder)
 
 
+# States per source of ``without_repeats``; fixed for a checkpoint.
+BUCKETS = 2048
+_STATE = "urls array<string>, contents array<long>, times array<long>"
 CONTENT = ("title", "company", "salary_raw", "location", "description", "source_job_id", "posted_at")
 
 
@@ -34,8 +38,10 @@ def without_repeats(spark: SparkSession, folder: str, minutes: float = 60, files
     """The stream of a folder without deliveries of what was just delivered.
 
     A crawler that retries writes the same posting twice within a short time. The
-    stream keeps, as state by source, address and content, when a delivery last
-    passed; arrival is the time its file was written. A delivery passes if that is
+    stream keeps, by source, address and content, when a delivery last passed.
+    Many of them share one of ``BUCKETS`` states per source, so that a call into
+    Python takes thousands of rows and not one; what is ``minutes`` older than the
+    watermark leaves its bucket. Arrival is the time its file was written. A delivery passes if that is
     ``minutes`` or longer ago, or never was: another content passes, and the same
     content later on is a refresh, which keeps the posting alive. (Spark's own
     ``dropDuplicatesWithinWatermark`` would also drop a refresh that comes in the
@@ -45,7 +51,8 @@ def without_repeats(spark: SparkSession, folder: str, minutes: float = 60, files
     content = F.xxhash64(*CONTENT)
     rows = (raw_posting_stream(spark, folder, files_per_batch)
             .select("*", F.col("_metadata.file_modification_time").alias("arrived"))
-            .withColumns({"content": content, "ms": F.unix_millis("arrived")}))
+            .withColumns({"content": content, "ms": F.unix_millis("arrived"),
+                          "bucket": F.pmod(F.xxhash64("source_url", content), F.lit(BUCKETS))}))
     span = int(minutes * 60_000)
     names = RAW_POSTINGS.fieldNames()
 
@@ -53,19 +60,28 @@ def without_repeats(spark: SparkSession, folder: str, minutes: float = 60, files
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
-        for rows in parts:
-            rows = rows.sort_values(["ms", "ingest_seq"])
-            keep = []
-            for ms in rows["ms"].tolist():
-                keep.append(last is None or ms - last >= span)
-                last = ms if keep[-1] else last
-            yield rows.loc[keep, names]
-        state.update((last,))
-        state.setTimeoutTimestamp(last + span)
-
-    return (rows.withWatermark("arrived", f"{span} milliseconds").groupBy("source_id", "source_url", "content")
-            .applyInPandasWithState(first_of_each_span, RAW_POSTINGS, "last long", "append", "EventTimeTimeout"))
+        last = {}
+        if state.exists:
+            urls, contents, times = state.get
+            last = dict(zip(zip(urls, contents), times))
+        rows = pd.concat(list(parts)).sort_values(["ms", "ingest_seq"])
+        keep = []
+        for url, content, ms in zip(rows["source_url"].tolist(), rows["content"].tolist(), rows["ms"].tolist()):
+            before = last.get((url, content))
+            keep.append(before is None or ms - before >= span)
+            if keep[-1]:
+                last[url, content] = ms
+        yield rows[names][keep]
+        due = state.getCurrentWatermarkMs() - span
+        kept = [(url, content, ms) for (url, content), ms in last.items() if ms > due]
+        if kept:
+            state.update(tuple(map(list, zip(*kept))))
+            state.setTimeoutTimestamp(max(ms for _, _, ms in kept) + span)
+        elif state.exists:
+            state.remove()
+
+    return (rows.withWatermark("arrived", f"{span} milliseconds").groupBy("source_id", "bucket")
+            .applyInPandasWithState(first_of_each_span, RAW_POSTINGS, _STATE, "append", "EventTimeTimeout"))
 
 
 def checkpoint_folder(store: SnapshotStore, name: str) -> str:
