@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolegrid.functions.keys import company_key, fingerprint, row_key, title_key
@@ -57,3 +57,22 @@ def _columns(dictionary: tuple[Alias, ...]) -> tuple:
         "posted_at",
         search_text(F.col("title"), F.col("stack"), F.col("description")).alias("search_text"),
     )
+
+
+def remade() -> dict[str, tuple[tuple[str, ...], Column]]:
+    """Columns that others of a normalized posting give: what they are made of, and how.
+
+    Written tables leave them out and readers make them again: hashes take more
+    room than what they are made of, and the search text repeats the texts.
+    """
+    c = F.col
+    return {"id": (("source_id", "source_url"), row_key(c("source_id"), c("source_url"))),
+            "company_id": (("company_normalized",), row_key(c("company_normalized"))),
+            "fingerprint": (("company_normalized", "title_normalized"), fingerprint(c("company_normalized"), c("title_normalized"))),
+            "search_text": (("title", "stack", "description"), search_text(c("title"), c("stack"), c("description")))}
+
+
+def with_remade(rows: DataFrame, *names: str) -> DataFrame:
+    """``rows`` with the columns ``names`` of ``remade``."""
+    made = remade()
+    return rows.withColumns({name: made[name][1] for name in names})

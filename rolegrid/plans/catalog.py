@@ -12,7 +12,7 @@ from rolegrid.functions.keys import company_key, fingerprint, title_key
 from rolegrid.functions.tags import DEFAULT_DICTIONARY, text_tags
 from rolegrid.functions.text import html_to_text, search_form
 from rolegrid.operators import audit, dedup, search, stats, upsert
-from rolegrid.operators.normalize import normalize_postings
+from rolegrid.operators.normalize import normalize_postings, remade, with_remade
 from rolegrid.operators.replay import replay
 from rolegrid.operators.components import connected_components
 from rolegrid.operators.similarity import pair_similarity, similar_pairs, spanning_edges
@@ -59,9 +59,14 @@ def latest(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """
     last = upsert.latest_events(posting_feed(spark, sf_dir), upsert.KEY, "ingest_seq")
     wanted = {*_ELECTED_BY, *(columns or ("company_name", "company_normalized", *POSTING_CONTENT))}
+    # the search text takes a pattern over the whole text: it is read more often than it is written
+    again = {c: parts for c, (parts, _) in remade().items() if c in wanted and c != "search_text"}
+    stored = (wanted - set(again)).union(*again.values())
     rows = normalize_postings(last, more=_SEQS)
-    rows = stage(rows.select(*[c for c in rows.columns if c in wanted], *_SEQS), "latest")
-    return rows.withColumn("first_seen_at", _as_of() - F.make_dt_interval(F.col("first_seq") % 30))
+    names = [c for c in rows.columns if c in wanted]
+    rows = stage(rows.select(*[c for c in rows.columns if c in stored], *_SEQS), "latest")
+    return with_remade(rows, *again).select(*names, *_SEQS).withColumn(
+        "first_seen_at", _as_of() - F.make_dt_interval(F.col("first_seq") % 30))
 
 
 def postings(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

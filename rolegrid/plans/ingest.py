@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rolegrid.functions.tags import DEFAULT_DICTIONARY
 from rolegrid.operators import dedup, stats, upsert
-from rolegrid.operators.normalize import normalize_postings
+from rolegrid.operators.normalize import normalize_postings, remade, with_remade
 from rolegrid.operators.token_index import token_changes
 from rolegrid.schemas import (DEFAULT_STALE_DAYS, POSTING_CONTENT, POSTINGS, RAW_POSTINGS,
                               RUN_ERRORS, SCRAPE_RUNS, SOURCES)
@@ -86,25 +86,25 @@ def ingest(events: DataFrame, companies: DataFrame, jobs: DataFrame, sources: Da
     use_skew_settings(events.sparkSession)
     as_of = run.clock()
     raw = events.select(*[F.col(f.name).cast(f.dataType) for f in RAW_POSTINGS])
-    normalized = stage(normalize_postings(raw, dictionary), "normalized")
+    normalized = stage(normalize_postings(raw, dictionary).drop(*remade()), "normalized")
     good, bad = split_bad_rows(normalized, sources)
 
     # a company is kept even if its posting fails
-    named = normalized.where(~_has_null_char("company_name"))
+    named = with_remade(normalized.where(~_has_null_char("company_name")), "company_id")
     companies_now = upsert.upsert_companies(companies, named, as_of)
     ids = companies_now.select(F.col("name_normalized").alias("company_normalized"),
                                F.col("id").alias("company_id"))
 
     # narrow columns decide what changes; whole rows are read for changes alone
     good = good.withColumn("version", F.xxhash64(*good.columns))
-    content = tuple(c for c in upsert.STATE if c in POSTING_CONTENT and c != "company_id")
-    batch = stage(
-        upsert.latest_per_key(good, upsert.KEY, "ingest_seq", "version", "id", "company_normalized", *content)
-        .join(ids, "company_normalized"), "batch")
+    content = tuple(c for c in upsert.STATE if c in POSTING_CONTENT and c not in remade())
+    batch = with_remade(stage(
+        upsert.latest_per_key(good, upsert.KEY, "ingest_seq", "version", "company_normalized", *content)
+        .join(ids, "company_normalized"), "batch"), "id", "fingerprint")
     version = [*upsert.KEY, "ingest_seq", "version"]
-    whole = (good.drop("company_id")  # a row delivered twice is one row
-             .join(batch.select(*upsert.KEY, F.col("last_seq").alias("ingest_seq"), "version", "company_id"), version)
-             .dropDuplicates(version))
+    whole = with_remade(good  # a row delivered twice is one row
+                        .join(batch.select(*upsert.KEY, F.col("last_seq").alias("ingest_seq"), "version", "company_id"), version)
+                        .dropDuplicates(version), "id", "fingerprint", "search_text")
     states = upsert.posting_states(jobs, batch, as_of)
 
     # stored canonicals were compared with each other when they came: only the

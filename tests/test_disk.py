@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rolegrid.operators import dedup, upsert
 from rolegrid.operators.components import connected_components
+from rolegrid.operators.normalize import with_remade
 from rolegrid.operators.similarity import similar_pairs, spanning_edges
 from rolegrid.plans import catalog
 from rolegrid.session import checkpoint_root, stage
@@ -96,3 +97,45 @@ def test_moves_send_no_table_through_the_driver(spark):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert {r.canonical_job_id for r in pointers.where("id > 0").collect()} == {300} and rejected.count() == 0
     assert len(written(spark, "moves") - before) == 1
+
+
+def test_packed_keys_come_back_and_differ(spark):
+    sha = "0f" * 32
+    texts = ["", "a", sha, sha.upper(), sha[:-1], sha + "\n", "\x01" + sha, bytes.fromhex("41" * 32).decode(), "é", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("p", dedup._packed(F.col("t")))
+    got = rows.select("t", "p", dedup._unpacked(F.col("p")).alias("back")).collect()
+    assert [r.back for r in got] == texts and len({r.p and bytes(r.p) for r in got}) == len(texts)
+    assert {r.t: len(r.p) for r in got if r.t}[sha] == 33
+
+
+def test_groups_store_keys_in_half_their_length(spark):
+    rows = spark.createDataFrame([(f"u{i}", f"c{i % 7}", f"title{i % 5}", i) for i in range(60)], "id string, c string, title_normalized string, first_seq long")
+    rows = rows.select("id", F.sha2(F.concat("c", "title_normalized"), 256).alias("fingerprint"), F.sha2("c", 256).alias("company_id"),
+                       "title_normalized", F.lit(None).cast("timestamp").alias("posted_at"), F.lit(None).cast("timestamp").alias("first_seen_at"), "first_seq")
+    before = written(spark, "nodes")
+    groups = dedup.duplicate_groups(rows).collect()
+    (folder,) = written(spark, "nodes") - before
+    kinds = dict(spark.read.parquet(folder).dtypes)
+    assert kinds["fingerprint"] == kinds["company_id"] == "binary"
+    assert {r.fingerprint for r in groups} == {r.fingerprint for r in rows.collect()}
+    firsts = {(min((f"u{i + 35 * j}" for j in range(2) if i + 35 * j < 60)), f"u{i}") for i in range(35)}
+    assert sum(r.members for r in groups) == 60 and {(r.component, r.canonical_id) for r in groups} == firsts
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+def test_hashes_are_made_again_not_stored(spark):
+    before = written(spark, "latest"), written(spark, "normalized")
+    rows = catalog.latest(spark, SF_DIR, "company_id")
+    want = catalog.normalized(spark, SF_DIR).select("id", "fingerprint", "company_id").distinct()
+    assert rows.select("id", "fingerprint", "company_id").exceptAll(want).isEmpty()
+    assert catalog.ingest_jobs(spark, SF_DIR).count() > 0
+    for name, old in zip(("latest", "normalized"), before, strict=True):
+        (folder,) = written(spark, name) - old
+        assert not {"id", "fingerprint", "company_id"} & set(spark.read.parquet(folder).columns)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+def test_search_text_made_again_is_the_same(spark):
+    rows = catalog.normalized(spark, SF_DIR).select("title", "stack", "description", "search_text")
+    again = with_remade(rows.withColumnRenamed("search_text", "was"), "search_text")
+    assert again.where("NOT (was <=> search_text)").isEmpty()
