@@ -9,6 +9,8 @@ from rolegrid.functions.text import bind
 
 # Dictionary rows up to this many are sent to every task.
 BROADCAST_ALIASES = 200_000
+# Keys up to this many are named in the plan, so that only words and seams among them leave a text.
+NAMED_KEYS = 1000
 
 _WORD = "[^0-9a-z_]+"
 _WORD_ANY_CASE = "[^0-9A-Za-z_]+"
@@ -53,7 +55,7 @@ def prepared_dictionary(dictionary: DataFrame) -> DataFrame:
 
 
 def dictionary_tags(texts: DataFrame, ident: str, text: str, dictionary: DataFrame,
-                    limit: int = BROADCAST_ALIASES) -> DataFrame:
+                    limit: int = BROADCAST_ALIASES, named_keys: int = NAMED_KEYS) -> DataFrame:
     """``ident, tags``: sorted tags of the dictionary rows that match in each text.
 
     ``dictionary``: tag, alias, and if wanted kind, not_after, not_before, with the
@@ -64,7 +66,8 @@ def dictionary_tags(texts: DataFrame, ident: str, text: str, dictionary: DataFra
 
     What a text holds (its distinct words and seams between words and signs) meets
     the dictionary's keys in a join, by broadcast if the dictionary has at most
-    ``limit`` rows, else by shuffle. A whole word in any case is settled by that;
+    ``limit`` rows, else by shuffle; up to ``named_keys`` keys are
+    known to the texts beforehand, which then give out nothing else. A whole word in any case is settled by that;
     for the others the few rows that met go back to the text, which is read once
     more to test them there. Texts without a match, null texts among them, have
     an empty array. ``ident`` must be unique.
@@ -72,12 +75,20 @@ def dictionary_tags(texts: DataFrame, ident: str, text: str, dictionary: DataFra
     rows = prepared_dictionary(dictionary)
     few = rows.limit(limit + 1).count() <= limit
     kinds = {r[0] for r in rows.select(F.substring("key", 1, 1)).distinct().collect()}  # at most three
+    known = [r.key for r in rows.select("key").distinct().limit(named_keys + 1).collect()]
     named = lambda kind, items: F.transform(items, lambda x: F.concat(F.lit(f"{kind}:"), x))
     whole, lowered = F.coalesce(F.col(text), F.lit("")), F.lower(F.coalesce(F.col(text), F.lit("")))
-    holds = {"w": named("w", F.array_distinct(F.split(lowered, _WORD))),
-             "c": named("c", F.array_distinct(F.transform(F.split(whole, _WORD_ANY_CASE), F.lower))),
-             "s": named("s", F.array_distinct(F.concat(F.regexp_extract_all(lowered, F.lit(_SEAMS), F.lit(1)),
-                                                       F.regexp_extract_all(lowered, F.lit(_SIGNS), F.lit(1)))))}
+    if len(known) <= named_keys:
+        wanted = lambda kind: F.array(*[F.lit(k[2:]) for k in known if k.startswith(f"{kind}:")]).cast("array<string>")
+        words = lambda items, kind: F.array_intersect(items, wanted(kind))
+        seams = bind(lowered, lambda low: F.filter(wanted("s"), lambda k: F.contains(low, k)))
+    else:
+        words = lambda items, kind: F.array_distinct(items)
+        seams = F.array_distinct(F.concat(F.regexp_extract_all(lowered, F.lit(_SEAMS), F.lit(1)),
+                                          F.regexp_extract_all(lowered, F.lit(_SIGNS), F.lit(1))))
+    holds = {"w": named("w", words(F.split(lowered, _WORD), "w")),
+             "c": named("c", words(F.transform(F.split(whole, _WORD_ANY_CASE), F.lower), "c")),
+             "s": named("s", seams)}
     keys = F.concat(F.array().cast("array<string>"), *[holds[k] for k in sorted(kinds)])
     met = (texts.select(ident, F.explode(keys).alias("key"))
            .join(F.broadcast(rows) if few else rows.hint("merge"), "key")

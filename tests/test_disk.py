@@ -11,6 +11,7 @@ from rolegrid.operators import dedup, upsert
 from rolegrid.operators.components import connected_components
 from rolegrid.operators.normalize import with_remade
 from rolegrid.operators.similarity import similar_pairs, spanning_edges
+from rolegrid.operators.tagging import dictionary_tags
 from rolegrid.plans import catalog
 from rolegrid.session import checkpoint_root, stage
 
@@ -139,3 +140,13 @@ def test_search_text_made_again_is_the_same(spark):
     rows = catalog.normalized(spark, SF_DIR).select("title", "stack", "description", "search_text")
     again = with_remade(rows.withColumnRenamed("search_text", "was"), "search_text")
     assert again.where("NOT (was <=> search_text)").isEmpty()
+
+
+def test_texts_give_out_only_words_of_a_short_dictionary(spark):
+    texts = spark.createDataFrame([(1, "Zig, zed c++ a.b"), (2, "nothing"), (3, None), (4, "ZED zed_ zigzag")], "i int, t string")
+    words = spark.createDataFrame([("Zig", "zig"), ("Zed", "ZED"), ("Sign", "+"), ("Dot", "a.b"), ("X", None)], "tag string, alias string")
+    got = [dictionary_tags(texts, "i", "t", words, limit, named) for limit, named in ((100, 100), (0, 100), (100, 0), (0, 0))]
+    want = {1: ["Dot", "Sign", "Zed", "Zig"], 2: [], 3: [], 4: ["Zed"]}
+    assert [{r.i: r.tags for r in df.collect()} for df in got] == [want] * 4
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in got]
+    assert ["array_intersect" in p for p in plans] == [True, True, False, False]
