@@ -67,6 +67,24 @@ def duplicate_groups(postings: DataFrame) -> DataFrame:
     is not settled yet; without it all are compared with all. Columns: the NODE columns, ``members`` (postings of the key), ``component``
     (smallest posting id of the group), ``canonical_id``.
     """
+    groups, texts = _groups(postings)
+    return groups.select("component", *[_unpacked(F.col(c)).alias(c) if c in texts else F.col(c) for c in NODE], "members", "canonical_id")
+
+
+def shared_prints(postings: DataFrame) -> DataFrame:
+    """``fingerprint, canonical_id`` of the groups that hold several postings.
+
+    A posting of any other fingerprint is alone in its group. Groups have
+    different canonical postings, so ``canonical_id`` also names the group.
+    """
+    groups, texts = _groups(postings)
+    prints = (groups.where((F.col("members") > 1) | F.col("tied"))
+              .groupBy("fingerprint").agg(F.min("canonical_id").alias("canonical_id")))
+    return prints.withColumn("fingerprint", _unpacked(F.col("fingerprint"))) if "fingerprint" in texts else prints
+
+
+def _groups(postings: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The duplicate keys with their group, and the key columns held as bytes; ``tied``: to another key."""
     use_skew_settings(postings.sparkSession)
     marks = [F.max("changed").alias("changed")] if "changed" in postings.columns else []
     texts = [c for c, kind in postings.select("fingerprint", "company_id").dtypes if kind == "string"]
@@ -79,10 +97,11 @@ def duplicate_groups(postings: DataFrame) -> DataFrame:
     winners = tied.groupBy("component").agg(F.min("best")["id"].alias("canonical_id"))
     labels = tied.select("node", "component").join(winners, "component")
     alone = F.col("component").isNull()
-    return (nodes.where(F.col("node").isNotNull()).join(labels, "node", "left")
-            .withColumn("canonical_id", F.when(alone, F.col("best")["id"]).otherwise(F.col("canonical_id")))
-            .withColumn("component", F.coalesce("component", "node"))
-            .select("component", *[_unpacked(F.col(c)).alias(c) if c in texts else F.col(c) for c in NODE], "members", "canonical_id"))
+    groups = (nodes.where(F.col("node").isNotNull()).join(labels, "node", "left")
+              .withColumn("tied", ~alone)
+              .withColumn("canonical_id", F.when(alone, F.col("best")["id"]).otherwise(F.col("canonical_id")))
+              .withColumn("component", F.coalesce("component", "node")))
+    return groups, texts
 
 
 _HEX = "\\A[0-9a-f]{64}\\z"

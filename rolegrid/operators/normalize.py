@@ -76,3 +76,17 @@ def with_remade(rows: DataFrame, *names: str) -> DataFrame:
     """``rows`` with the columns ``names`` of ``remade``."""
     made = remade()
     return rows.withColumns({name: made[name][1] for name in names})
+
+
+def left_out(rows: DataFrame, *names: str) -> DataFrame:
+    """The columns ``names`` of ``remade``, NULL where they are what they would be made of.
+
+    Rows stored before may hold other ids: those stay. ``put_back`` is the way back.
+    """
+    made = remade()
+    return rows.withColumns({name: F.nullif(F.col(name), made[name][1]) for name in names})
+
+
+def put_back(rows: DataFrame, *names: str) -> DataFrame:
+    made = remade()
+    return rows.withColumns({name: F.coalesce(F.col(name), made[name][1]) for name in names})

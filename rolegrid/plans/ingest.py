@@ -7,14 +7,14 @@ stamp -> stale sweep. A bad row is recorded and never stops the run.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolegrid.functions.tags import DEFAULT_DICTIONARY
 from rolegrid.operators import dedup, stats, upsert
-from rolegrid.operators.normalize import normalize_postings, remade, with_remade
+from rolegrid.operators.normalize import left_out, normalize_postings, put_back, remade, with_remade
 from rolegrid.operators.token_index import token_changes
 from rolegrid.schemas import (DEFAULT_STALE_DAYS, POSTING_CONTENT, POSTINGS, RAW_POSTINGS,
                               RUN_ERRORS, SCRAPE_RUNS, SOURCES)
@@ -43,27 +43,6 @@ class Run:
         return F.lit(self.as_of).cast("timestamp")
 
 
-@dataclass(frozen=True)
-class Outcome:
-    """State of the tables after a run; ``was_touched`` of companies tells the
-    rows that differ from before, jobs come as ``changed`` and ``unchanged``,
-    ``tokens`` and ``counts`` are the changes of the search token table and of
-    the statistics."""
-
-    companies: DataFrame
-    changed: DataFrame
-    unchanged: DataFrame
-    sources: DataFrame
-    run: DataFrame
-    errors: DataFrame
-    tokens: DataFrame
-    counts: DataFrame
-
-    @property
-    def jobs(self) -> DataFrame:
-        return self.unchanged.unionByName(self.changed)
-
-
 def _has_null_char(name: str) -> Column:
     return F.coalesce(F.contains(F.col(name), F.lit("\x00")), F.lit(False))
 
@@ -80,85 +59,153 @@ def split_bad_rows(normalized: DataFrame, sources: DataFrame) -> tuple[DataFrame
             checked.where(F.col("error").isNotNull()).select("ingest_seq", "source_url", "error"))
 
 
+class Outcome:
+    """State of the tables after a run, each part made when it is first asked for.
+
+    ``was_touched`` of companies tells the rows that differ from before, jobs
+    come as ``changed`` and ``unchanged``, ``tokens`` and ``counts`` are the
+    changes of the search token table and of the statistics. What a part does
+    not need is not made for it: the errors stand once the batch is normalized.
+    Hashes are not staged where their parts are (``normalize.left_out``).
+    """
+
+    def __init__(self, events: DataFrame, companies: DataFrame, jobs: DataFrame, sources: DataFrame,
+                 run: Run, dictionary):
+        self._events, self._companies, self._jobs, self._sources = events, companies, jobs, sources
+        self._run, self._dictionary, self._as_of = run, dictionary, run.clock()
+
+    @cached_property
+    def _normalized(self) -> DataFrame:
+        raw = self._events.select(*[F.col(f.name).cast(f.dataType) for f in RAW_POSTINGS])
+        return stage(normalize_postings(raw, self._dictionary).drop(*remade()), "normalized")
+
+    @cached_property
+    def _split(self) -> tuple[DataFrame, DataFrame]:
+        good, bad = split_bad_rows(self._normalized, self._sources)
+        return good.withColumn("version", F.xxhash64(*good.columns)), bad
+
+    @cached_property
+    def companies(self) -> DataFrame:
+        # a company is kept even if its posting fails
+        named = with_remade(self._normalized.where(~_has_null_char("company_name")), "company_id")
+        return upsert.upsert_companies(self._companies, named, self._as_of)
+
+    @cached_property
+    def _batch(self) -> DataFrame:
+        # narrow columns decide what changes; whole rows are read for changes alone
+        ids = self.companies.select(F.col("name_normalized").alias("company_normalized"), F.col("id").alias("company_id"))
+        content = tuple(c for c in upsert.STATE if c in POSTING_CONTENT and c not in remade())
+        rows = upsert.latest_per_key(self._split[0], upsert.KEY, "ingest_seq", "version", "company_normalized", *content)
+        rows = stage(left_out(rows.join(ids, "company_normalized"), "company_id"), "batch")
+        return with_remade(put_back(rows, "company_id"), "id", "fingerprint")
+
+    @cached_property
+    def _states(self) -> DataFrame:
+        return upsert.posting_states(self._jobs, self._batch, self._as_of, ("company_normalized", "last_seq", "version"))
+
+    @cached_property
+    def _open(self) -> DataFrame:
+        # stored canonicals were compared with each other when they came: only the
+        # touched ones are compared again, with all open postings of their company
+        rows = dedup.related(
+            self._states.where(F.col("canonical_job_id").isNull())
+            .select("id", *upsert.KEY, *dedup.NODE, "company_normalized", "posted_at", "first_seen_at", "first_seq",
+                    "was_added", F.col("was_touched").alias("changed")), self._batch)
+        hashes = ("id", "fingerprint", "company_id")
+        return put_back(stage(left_out(rows, *hashes), "open"), *hashes)
+
+    @cached_property
+    def _members(self) -> DataFrame:
+        """The open postings that share a group with others."""
+        rows = self._open  # outlives the block, unlike what the groups take on the way
+        with staging(rows.sparkSession):
+            groups = stage(dedup.shared_prints(rows.drop(*upsert.KEY, "company_normalized")), "groups", outer=True)
+        return rows.join(groups, "fingerprint")
+
+    @cached_property
+    def _changes(self) -> DataFrame:
+        pointers = self._members.select("id", F.when(F.col("id") != F.col("canonical_id"), F.col("canonical_id"))
+                                        .alias("canonical_id"))
+        moved = upsert.sweep(dedup.apply_pointers(self._states, pointers), self._as_of, self._run.stale_days)
+        changes = moved.where("was_touched or was_moved or was_stale")
+        # the other hashes of a touched posting are those of its batch row, of the others those stored
+        rows = stage(left_out(changes, "id", "company_id").drop("fingerprint", "title_normalized", "posted_at", "company_normalized"), "changes")
+        return put_back(rows, "id")
+
+    @cached_property
+    def _touched(self) -> DataFrame:
+        """Whole rows of the postings that the batch holds: their state beside the text of the last delivery."""
+        version = [*upsert.KEY, "ingest_seq", "version"]
+        states = self._changes.where("was_touched").withColumnRenamed("last_seq", "ingest_seq")
+        rows = self._split[0].join(states, version).dropDuplicates(version)  # a row delivered twice is one row
+        return with_remade(put_back(rows, "company_id"), "fingerprint", "search_text")
+
+    @cached_property
+    def changed(self) -> DataFrame:
+        return upsert.changed_postings(self._jobs, self._touched, self._changes)
+
+    @cached_property
+    def unchanged(self) -> DataFrame:
+        return self._jobs.join(self._changes.select("id"), "id", "left_anti").select(POSTINGS.fieldNames())
+
+    @property
+    def jobs(self) -> DataFrame:
+        return self.unchanged.unionByName(self.changed)
+
+    @cached_property
+    def sources(self) -> DataFrame:
+        ran = self._events.sparkSession.createDataFrame([(self._run.source_id,)], "source_id int")
+        return upsert.stamp_sources(self._sources, ran, self._as_of).select(SOURCES.fieldNames())
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        return self._split[1].withColumn("run_id", F.lit(self._run.run_id)).select(RUN_ERRORS.fieldNames())
+
+    @cached_property
+    def run(self) -> DataFrame:
+        arrivals = self._members.withColumn("component", F.col("canonical_id")).withColumn(
+            "arrival", F.when(F.col("was_added"), F.col("first_seq") + 1).otherwise(F.lit(0)))
+        late = dedup.duplicate_on_arrival(arrivals).where(F.col("was_added") & F.col("arrived_duplicate"))
+        added = self._open.where(F.col("was_added") & F.col("title_normalized").isNotNull())
+        return _ledger(self._run, _counters(self._run, self._normalized, self._split[1], added, late, self._changes))
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        touched = self._touched.select(F.col("id").alias("doc_id"), F.col("search_text").alias("form"))
+        stored = (self._jobs.join(self._changes.where("was_touched").select("id"), "id", "left_semi")
+                  .select(F.col("id").alias("doc_id"), F.col("search_text").alias("form")))
+        return token_changes(stored, touched)
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        was = self._jobs.join(self._changes.select("id"), "id", "left_semi").select(*stats.COUNTED)
+        return stats.stat_changes(was, self.changed.select(*stats.COUNTED))
+
+
 def ingest(events: DataFrame, companies: DataFrame, jobs: DataFrame, sources: DataFrame,
            run: Run, dictionary=DEFAULT_DICTIONARY) -> Outcome:
     """New state of every table after one run; nothing is written but intermediates."""
     use_skew_settings(events.sparkSession)
-    as_of = run.clock()
-    raw = events.select(*[F.col(f.name).cast(f.dataType) for f in RAW_POSTINGS])
-    normalized = stage(normalize_postings(raw, dictionary).drop(*remade()), "normalized")
-    good, bad = split_bad_rows(normalized, sources)
-
-    # a company is kept even if its posting fails
-    named = with_remade(normalized.where(~_has_null_char("company_name")), "company_id")
-    companies_now = upsert.upsert_companies(companies, named, as_of)
-    ids = companies_now.select(F.col("name_normalized").alias("company_normalized"),
-                               F.col("id").alias("company_id"))
-
-    # narrow columns decide what changes; whole rows are read for changes alone
-    good = good.withColumn("version", F.xxhash64(*good.columns))
-    content = tuple(c for c in upsert.STATE if c in POSTING_CONTENT and c not in remade())
-    batch = with_remade(stage(
-        upsert.latest_per_key(good, upsert.KEY, "ingest_seq", "version", "company_normalized", *content)
-        .join(ids, "company_normalized"), "batch"), "id", "fingerprint")
-    version = [*upsert.KEY, "ingest_seq", "version"]
-    whole = with_remade(good  # a row delivered twice is one row
-                        .join(batch.select(*upsert.KEY, F.col("last_seq").alias("ingest_seq"), "version", "company_id"), version)
-                        .dropDuplicates(version), "id", "fingerprint", "search_text")
-    states = upsert.posting_states(jobs, batch, as_of)
-
-    # stored canonicals were compared with each other when they came: only the
-    # touched ones are compared again, with all open postings of their company
-    open_rows = stage(dedup.related(
-        states.where(F.col("canonical_job_id").isNull())
-        .select("id", *dedup.NODE, "posted_at", "first_seen_at", "first_seq",
-                "was_added", F.col("was_touched").alias("changed")), batch), "open")
-    groups = stage(dedup.duplicate_groups(open_rows), "groups")
-    members = open_rows.join(dedup.groups_by_print(groups), "fingerprint")
-    pointers = members.select("id", F.when(F.col("id") != F.col("canonical_id"), F.col("canonical_id"))
-                              .alias("canonical_id"))
-    moved = upsert.sweep(dedup.apply_pointers(states, pointers), as_of, run.stale_days)
-    changes = stage(moved.where("was_touched or was_moved or was_stale"), "changes")
-
-    arrivals = members.withColumn(
-        "arrival", F.when(F.col("was_added"), F.col("first_seq") + 1).otherwise(F.lit(0)))
-    new = (dedup.duplicate_on_arrival(arrivals)
-           .where(F.col("was_added") & ~F.col("arrived_duplicate")))
-    counters = _counters(run, normalized, bad, new, changes)
-    ledger = _ledger(run, counters)
-    ran = events.sparkSession.createDataFrame([(run.source_id,)], "source_id int")
-    touched = (changes.where("was_touched").select("id", *upsert.KEY)
-               .join(whole.select(*upsert.KEY, F.col("search_text").alias("form")), list(upsert.KEY))
-               .select(F.col("id").alias("doc_id"), "form"))
-    stored = (jobs.join(changes.where("was_touched").select("id"), "id", "left_semi")
-              .select(F.col("id").alias("doc_id"), F.col("search_text").alias("form")))
-    changed = upsert.changed_postings(jobs, whole, changes)
-    was = jobs.join(changes.select("id"), "id", "left_semi").select(*stats.COUNTED)
-    return Outcome(
-        companies=companies_now,
-        changed=changed,
-        unchanged=jobs.join(changes.select("id"), "id", "left_anti").select(POSTINGS.fieldNames()),
-        sources=upsert.stamp_sources(sources, ran, as_of).select(SOURCES.fieldNames()),
-        run=ledger,
-        errors=bad.withColumn("run_id", F.lit(run.run_id)).select(RUN_ERRORS.fieldNames()),
-        tokens=token_changes(stored, touched),
-        counts=stats.stat_changes(was, changed.select(*stats.COUNTED)),
-    )
+    return Outcome(events, companies, jobs, sources, run, dictionary)
 
 
 _KINDS = {"null_text": NULL_TEXT, "no_url": NO_URL, "no_source": NO_SOURCE}
 
 
-def _counters(run: Run, events: DataFrame, bad: DataFrame, new: DataFrame,
+def _counters(run: Run, events: DataFrame, bad: DataFrame, added: DataFrame, late: DataFrame,
               swept: DataFrame) -> DataFrame:
-    """One row of counters: every part is counted on its own and then summed."""
-    parts = {"jobs_found": events, "jobs_failed": bad, "jobs_new": new,
+    """One row of counters: every part is counted on its own and then summed.
+
+    New are the added postings but those that came after a preferred one of their group.
+    """
+    parts = {"jobs_found": events, "jobs_failed": bad, "added": added, "late": late,
              "deactivated": swept.where(F.col("was_stale")),
              **{part: bad.where(F.col("error") == text) for part, text in _KINDS.items()}}
     long = reduce(lambda a, b: a.unionByName(b), [
         df.agg(F.count("*").alias("n")).withColumn("part", F.lit(name)) for name, df in parts.items()])
     return long.groupBy(F.lit(run.run_id).alias("id")).agg(*[
-        F.sum(F.when(F.col("part") == p, F.col("n")).otherwise(0)).alias(p) for p in parts])
+        F.sum(F.when(F.col("part") == p, F.col("n")).otherwise(0)).alias(p) for p in parts]
+    ).withColumn("jobs_new", F.col("added") - F.col("late"))
 
 
 def _ledger(run: Run, counters: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rolegrid.operators import dedup, upsert
 from rolegrid.operators.components import connected_components
-from rolegrid.operators.normalize import with_remade
+from rolegrid.operators.normalize import left_out, put_back, with_remade
 from rolegrid.operators.similarity import similar_pairs, spanning_edges
 from rolegrid.operators.tagging import dictionary_tags
 from rolegrid.plans import catalog
@@ -150,3 +150,44 @@ def test_texts_give_out_only_words_of_a_short_dictionary(spark):
     assert [{r.i: r.tags for r in df.collect()} for df in got] == [want] * 4
     plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in got]
     assert ["array_intersect" in p for p in plans] == [True, True, False, False]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+def test_the_errors_of_a_run_need_no_groups(spark):
+    before = {name: written(spark, name) for name in ("normalized", "batch", "open", "nodes", "changes")}
+    assert catalog.ingest_errors(spark, SF_DIR).count() > 0
+    new = {name: len(written(spark, name) - old) for name, old in before.items()}
+    assert new == {"normalized": 1, "batch": 0, "open": 0, "nodes": 0, "changes": 0}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+def test_a_run_stages_no_hash_it_can_make_again(spark):
+    before = {name: written(spark, name) for name in ("open", "changes", "nodes", "groups")}
+    assert catalog.ingest_ledger(spark, SF_DIR).count() == 1
+    new = {name: list(written(spark, name) - old) for name, old in before.items()}
+    assert len(new["groups"]) == 1 and not new["nodes"]  # what the groups were made from is gone
+    rows = spark.read.parquet(*new["open"])
+    assert rows.count() > 0 and rows.where("coalesce(id, fingerprint, company_id) IS NOT NULL").isEmpty()
+    rows = spark.read.parquet(*new["changes"])
+    assert rows.count() > 0 and rows.where("coalesce(id, company_id) IS NOT NULL").isEmpty()
+
+
+def test_hashes_left_out_come_back_and_others_stay(spark):
+    rows = spark.createDataFrame([(1, "u", "c", "t"), (2, "v", None, "t"), (3, "w", "c", "x")],
+                                 "source_id int, source_url string, company_normalized string, title_normalized string")
+    rows = with_remade(rows, "id", "fingerprint", "company_id")
+    rows = rows.withColumns({"id": F.when(F.col("source_id") == 3, "own").otherwise(F.col("id")),
+                             "fingerprint": F.coalesce("fingerprint", F.lit("kept"))})
+    out = left_out(rows, "id", "fingerprint", "company_id")
+    assert [(r.id, r.fingerprint, r.company_id) for r in out.orderBy("source_id").collect()] == [
+        (None, None, None), (None, "kept", None), ("own", None, None)]
+    assert sorted(map(str, put_back(out, "id", "fingerprint", "company_id").collect())) == sorted(map(str, rows.collect()))
+
+
+def test_prints_of_groups_with_several_postings(spark):
+    rows = [("a", "f1", "c", "backendengineer"), ("b", "f1", "c", "backendengineer"), ("c", "f2", "c", "backendengineers"),
+            ("d", "f3", "c", "qaanalyst"), ("e", "f4", "d", "backendengineer"), ("f", None, "d", None)]
+    df = spark.createDataFrame(rows, "id string, fingerprint string, company_id string, title_normalized string").withColumns(
+        {"posted_at": F.lit(None).cast("timestamp"), "first_seen_at": F.lit(None).cast("timestamp"), "first_seq": F.lit(1)})
+    groups = {(r.fingerprint, r.canonical_id) for r in dedup.duplicate_groups(df).collect() if r.component == "a"}
+    assert {tuple(r) for r in dedup.shared_prints(df).select("fingerprint", "canonical_id").collect()} == groups == {("f1", "a"), ("f2", "a")}
