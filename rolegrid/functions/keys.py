@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from rolegrid.functions import patterns as P
 from rolegrid.functions.patterns import jvm
-from rolegrid.functions.text import trim_white
+from rolegrid.functions.text import bind, trim_white
 
 
 def company_key(name: Column) -> Column:
     """Company name without legal form, listing suffix, punctuation and case."""
-    s = F.lower(name)
-    s = F.regexp_replace(s, jvm(P.PERSERO), " ")
-    s = F.regexp_replace(s, jvm(P.TBK), " ")
-    s = F.regexp_replace(s, jvm(P.COMPANY_PUNCT), "")
+    # the patterns of rare words run only where the word occurs at all
+    s = bind(F.lower(name), lambda x: F.when(F.contains(x, F.lit("persero")), F.regexp_replace(x, jvm(P.PERSERO), " ")).otherwise(x))
+    s = bind(s, lambda x: F.when(F.contains(x, F.lit("tbk")), F.regexp_replace(x, jvm(P.TBK), " ")).otherwise(x))
+    s = F.translate(s, ".,", "")
     s = F.regexp_replace(s, jvm(P.LEGAL_FORM), "")
     s = F.regexp_replace(s, jvm(P.BLANKS), " ")
     return trim_white(s)

@@ -112,9 +112,18 @@ def _strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _by_token(tokens: Column, tags_of: dict[str, set[str]]) -> Column:
-    """Tags of the tokens that are dictionary words, by one set intersection."""
-    hits = F.array_intersect(tokens, _strings(tags_of))
+def _any_word(words) -> str:
+    """A pattern of any of the whole words; words with the same first character share its test."""
+    by_first: dict[str, list[str]] = defaultdict(list)
+    for word in sorted(words):
+        by_first[word[0]].append(word[1:])
+    arms = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_first.items())
+    return f"(?<![0-9a-z_])(?:{arms})(?![0-9a-z_])"
+
+
+def _by_token(lowered: Column, tags_of: dict[str, set[str]]) -> Column:
+    """Tags of the whole words of a text that are dictionary words, found in one pass."""
+    hits = F.array_distinct(F.regexp_extract_all(lowered, F.lit(_any_word(tags_of)), F.lit(0)))
     table = F.create_map(*[x for word, tags in tags_of.items()
                            for x in (F.lit(word), _strings(sorted(tags)))])
     return F.flatten(F.transform(hits, lambda hit: F.element_at(table, hit)))
@@ -142,8 +151,7 @@ def text_tags(title: Column, description: Column,
     """Sorted tags of title and description; empty array if none.
 
     A row is tagged where it lies, without explode, join or shuffle: whole-word
-    aliases are one set intersection between the row's tokens and the
-    dictionary, substring aliases are ``contains``, and the few conditional
+    aliases are found by one pattern, substring aliases are ``contains``, and the few conditional
     aliases run their regex only on rows that hold the word at all.
     """
     words: dict[str, set[str]] = defaultdict(set)
@@ -159,7 +167,7 @@ def text_tags(title: Column, description: Column,
     def found(text: Column, lowered: Column) -> Column:
         parts = [F.array().cast("array<string>")]
         if words:
-            parts.append(_by_token(F.split(lowered, "[^0-9a-z_]+"), words))
+            parts.append(_by_token(lowered, words))
         if tests:
             fired = [F.when(reduce(lambda a, b: a | b, [t(text, lowered) for t in any_of]), F.lit(tag))
                      for tag, any_of in tests.items()]

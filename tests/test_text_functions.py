@@ -1,11 +1,13 @@
 """Golden vectors of our own for the text columns."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from rolegrid.functions import keys, labels
+from rolegrid.functions import patterns as P
 from rolegrid.functions.salary import with_salary
 from rolegrid.functions.tags import DEFAULT_DICTIONARY, Alias, text_tags
 from rolegrid.functions.text import html_to_text, search_form, trim_white
@@ -279,3 +281,30 @@ def test_trigrams(spark):
 def test_search_form_and_trim(spark):
     assert column(spark, ["  Node.js, Éclair!"], ["a"], search_form(F.col("a"))) == [" node js éclair "]
     assert column(spark, ["　\t a b  \n"], ["a"], trim_white(F.col("a"))) == ["a b"]
+
+
+def test_words_of_the_dictionary_are_found_whole_and_in_one_pass(spark):
+    rnd = random.Random(11)
+    plain = [a for a in DEFAULT_DICTIONARY if a.kind == "word" and a.alias.isalnum() and not a.not_after and not a.not_before]
+    parts = [a.alias for a in plain] + ["script", "9", "x", "_", "é", "K", " ", " ", ",", "\n", "-", "Ünder"]
+    texts = ["".join(rnd.choices(parts, k=12)).title() if i % 2 else "".join(rnd.choices(parts, k=12)) for i in range(300)]
+    words = {}
+    for a in plain:
+        words.setdefault(a.alias.lower(), set()).add(a.tag)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(2)
+    df = df.select("i", F.lower("t").alias("low"), text_tags(F.lit(""), F.col("t"), tuple(plain)).alias("tags"))
+    for row in df.collect():
+        want = {tag for token in re.split("[^0-9a-z_]+", row.low) for tag in words.get(token, ())}
+        assert row.tags == sorted(want)
+    assert "array_intersect" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_company_key_patterns_run_only_where_their_word_is(spark):
+    names = ["PT. Mega Karya, Tbk.", "Mega  Karya (Persero)", "Persero Jaya", "CV Tbkx", "x (PERSERO) tbk", None, "", "( persero )", "A.B,C"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    plain = F.lower("n")
+    for pattern, by in ((P.PERSERO, " "), (P.TBK, " "), (P.COMPANY_PUNCT, ""), (P.LEGAL_FORM, ""), (P.BLANKS, " ")):
+        plain = F.regexp_replace(plain, P.jvm(pattern), by)
+    got = df.select(keys.company_key(F.col("n")).alias("got"), trim_white(plain).alias("want"))
+    assert all(r.got == r.want for r in got.collect())
+    assert "contains" in got.select("got")._jdf.queryExecution().optimizedPlan().toString().lower()
