@@ -68,19 +68,25 @@ def duplicate_groups(postings: DataFrame) -> DataFrame:
     (smallest posting id of the group), ``canonical_id``.
     """
     groups, texts = _groups(postings)
-    return groups.select("component", *[_unpacked(F.col(c)).alias(c) if c in texts else F.col(c) for c in NODE], "members", "canonical_id")
+    return groups.select("component", *[unpack(F.col(c)).alias(c) if c in texts else F.col(c) for c in NODE], "members", "canonical_id")
 
 
-def shared_prints(postings: DataFrame) -> DataFrame:
+def shared_prints(postings: DataFrame, packed: bool = False) -> DataFrame:
     """``fingerprint, canonical_id`` of the groups that hold several postings.
 
     A posting of any other fingerprint is alone in its group. Groups have
-    different canonical postings, so ``canonical_id`` also names the group.
+    different canonical postings, so ``canonical_id`` also names the group. Ids
+    are compared as bytes on the way: of postings alike in all else, one whose id
+    is no sha256 is preferred to one whose id is. ``packed``: both columns, then
+    ``print, canonical_id``, stay bytes; they must be strings.
     """
-    groups, texts = _groups(postings)
+    texts = [c for c, kind in postings.select("id", "fingerprint").dtypes if kind == "string"]
+    groups, _ = _groups(postings.withColumn("id", pack(F.col("id"))) if "id" in texts else postings)
     prints = (groups.where((F.col("members") > 1) | F.col("tied"))
               .groupBy("fingerprint").agg(F.min("canonical_id").alias("canonical_id")))
-    return prints.withColumn("fingerprint", _unpacked(F.col("fingerprint"))) if "fingerprint" in texts else prints
+    if packed:
+        return prints.withColumnRenamed("fingerprint", "print")
+    return prints.withColumns({c: unpack(F.col(c)) for c, of in (("fingerprint", "fingerprint"), ("canonical_id", "id")) if of in texts})
 
 
 def _groups(postings: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -88,7 +94,7 @@ def _groups(postings: DataFrame) -> tuple[DataFrame, list[str]]:
     use_skew_settings(postings.sparkSession)
     marks = [F.max("changed").alias("changed")] if "changed" in postings.columns else []
     texts = [c for c, kind in postings.select("fingerprint", "company_id").dtypes if kind == "string"]
-    nodes = stage(postings.withColumns({c: _packed(F.col(c)) for c in texts}).groupBy(*NODE)
+    nodes = stage(postings.withColumns({c: pack(F.col(c)) for c in texts}).groupBy(*NODE)
                   .agg(F.min("id").alias("node"), F.min(preference()).alias("best"),
                        F.count("*").alias("members"), *marks), "nodes")
     components = connected_components(match_edges(nodes))
@@ -107,13 +113,13 @@ def _groups(postings: DataFrame) -> tuple[DataFrame, list[str]]:
 _HEX = "\\A[0-9a-f]{64}\\z"
 
 
-def _packed(text: Column) -> Column:
+def pack(text: Column) -> Column:
     """A string as bytes, a sha256 in hex in half its length; equal only where the strings are."""
     return (F.when(F.rlike(text, F.lit(_HEX)), F.concat(F.lit(b"\x01"), F.unhex(text)))
             .otherwise(F.concat(F.lit(b"\x00"), text.cast("binary"))))
 
 
-def _unpacked(packed: Column) -> Column:
+def unpack(packed: Column) -> Column:
     rest = F.substring(packed, 2, 2**31 - 1)
     return F.when(F.substring(packed, 1, 1) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
 
@@ -184,20 +190,21 @@ def reparent(postings: DataFrame, moved: DataFrame) -> DataFrame:
             .drop("__old", "__new"))
 
 
-def apply_pointers(postings: DataFrame, pointers: DataFrame) -> DataFrame:
+def apply_pointers(postings: DataFrame, pointers: DataFrame, ids: Column | None = None) -> DataFrame:
     """Store resolved pointers and repoint the followers of the losers.
 
-    ``pointers``: id, canonical_id. Both steps are one lookup: a posting moves
-    by its own id if it is canonical so far, else by the id it points at.
+    ``pointers``: id, canonical_id (strings). Both steps are one lookup: a posting
+    moves by its own id if it is canonical so far, else by the id it points at.
+    ``ids`` gives the postings' ids where the column ``id`` leaves them out.
     Adds ``was_moved``.
     """
     p = (pointers.where(F.col("canonical_id").isNotNull())
-         .groupBy(F.col("id").alias("__id")).agg(F.min("canonical_id").alias("__to")))
-    anchor = F.coalesce(postings["canonical_job_id"], postings["id"])
-    return (postings.join(p, anchor == F.col("__id"), "left")
+         .groupBy(pack(F.col("id")).alias("__id")).agg(F.min("canonical_id").alias("__to")))
+    anchor = F.coalesce(F.col("canonical_job_id"), F.col("id") if ids is None else ids)
+    return (postings.withColumn("__anchor", pack(anchor)).join(p, F.col("__anchor") == F.col("__id"), "left")
             .withColumns({"canonical_job_id": F.coalesce("__to", "canonical_job_id"),
                           "was_moved": F.col("__to").isNotNull()})
-            .drop("__id", "__to"))
+            .drop("__anchor", "__id", "__to"))
 
 
 SELF_MERGE = "a posting cannot be a duplicate of itself"

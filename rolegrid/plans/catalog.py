@@ -12,7 +12,7 @@ from rolegrid.functions.keys import company_key, fingerprint, title_key
 from rolegrid.functions.tags import DEFAULT_DICTIONARY, text_tags
 from rolegrid.functions.text import html_to_text, search_form
 from rolegrid.operators import audit, dedup, search, stats, upsert
-from rolegrid.operators.normalize import normalize_postings, remade, with_remade
+from rolegrid.operators.normalize import left_out, normalize_postings, put_back, remade, with_remade
 from rolegrid.operators.replay import replay
 from rolegrid.operators.components import connected_components
 from rolegrid.operators.similarity import pair_similarity, similar_pairs, spanning_edges
@@ -21,7 +21,7 @@ from rolegrid.operators.token_index import current_tokens, token_changes, with_m
 from rolegrid.plans.feed import AS_OF, BASE_URL, page_dump, posting_feed, source_table, table
 from rolegrid.plans.ingest import Run, ingest, run_feed
 from rolegrid.schemas import POSTING_CONTENT, RAW_POSTINGS, seed_sources
-from rolegrid.session import checkpoint_root, stage
+from rolegrid.session import checkpoint_root, stage, staging
 from rolegrid.sources import pages as page_source
 from rolegrid.sources.archive import read_archive
 from rolegrid.sources.feeds import FeedRegistry, arrival_order, error_text, union_feeds
@@ -807,12 +807,26 @@ def _ingested(spark, sf_dir):
                   _sources(spark, sf_dir), Run("feed", 1, AS_OF))
 
 
+def _run_jobs(spark, outcome, *columns: str) -> DataFrame:
+    """``columns`` of the jobs a run leaves, with the address of their canonical posting.
+
+    They are written once, what the run staged behind its normalized batch
+    goes, and only postings with a canonical one look it up.
+    """
+    _ = outcome.errors  # read from the normalized batch, which stays
+    with staging(spark):
+        jobs = outcome.jobs.select("id", *upsert.KEY, "canonical_job_id", *columns)
+        jobs = stage(left_out(jobs, "id"), "jobs", outer=True)
+    to = put_back(jobs, "id").select(dedup.pack(F.col("id")).alias("__to"), F.col("source_url").alias("canonical_url"))
+    moved = F.col("canonical_job_id").isNotNull()
+    found = jobs.where(moved).withColumn("__to", dedup.pack(F.col("canonical_job_id"))).join(to, "__to", "left").drop("__to")
+    return found.unionByName(jobs.where(~moved).withColumn("canonical_url", F.lit(None).cast("string"))).drop("id", "canonical_job_id")
+
+
 @query
 def ingest_jobs(spark, sf_dir):
     """Stored postings after a run, with the address of their canonical posting."""
-    jobs = _ingested(spark, sf_dir).jobs
-    to = jobs.select(F.col("id").alias("canonical_job_id"), F.col("source_url").alias("canonical_url"))
-    return jobs.join(to, "canonical_job_id", "left").select(
+    return _run_jobs(spark, _ingested(spark, sf_dir), "title", "salary_min", "first_seq", "is_active").select(
         "source_id", "source_url", "title", "canonical_url", "salary_min", "first_seq", "is_active")
 
 
@@ -857,9 +871,7 @@ def _second_run(spark, sf_dir):
 @query
 def ingest_second_run(spark, sf_dir):
     """Stored postings after a second run: refreshes, displaced canonicals, reopened and stale postings."""
-    jobs = _second_run(spark, sf_dir).jobs
-    to = jobs.select(F.col("id").alias("canonical_job_id"), F.col("source_url").alias("canonical_url"))
-    return jobs.join(to, "canonical_job_id", "left").select(
+    return _run_jobs(spark, _second_run(spark, sf_dir), "title", "first_seq", "is_active").select(
         "source_id", "source_url", "title", "canonical_url", "first_seq", "is_active")
 
 

@@ -27,6 +27,7 @@ NO_URL = "posting has no address"
 NO_SOURCE = "source does not exist"
 _STORED_TEXT = ("title", "description", "salary_raw", "location", "location_city",
                 "source_url", "source_job_id", "company_name")
+_HASHES = ("id", "fingerprint", "company_id")
 
 
 @dataclass(frozen=True)
@@ -97,48 +98,66 @@ class Outcome:
         content = tuple(c for c in upsert.STATE if c in POSTING_CONTENT and c not in remade())
         rows = upsert.latest_per_key(self._split[0], upsert.KEY, "ingest_seq", "version", "company_normalized", *content)
         rows = stage(left_out(rows.join(ids, "company_normalized"), "company_id"), "batch")
-        return with_remade(put_back(rows, "company_id"), "id", "fingerprint")
+        return rows.withColumns({c: F.lit(None).cast("string") for c in ("id", "fingerprint")})
 
     @cached_property
     def _states(self) -> DataFrame:
-        return upsert.posting_states(self._jobs, self._batch, self._as_of, ("company_normalized", "last_seq", "version"))
+        """Every posting after the batch, its hashes left out: they are put back behind the shuffles."""
+        return upsert.posting_states(left_out(self._jobs, "id"), self._batch, self._as_of, ("company_normalized", "last_seq", "version"))
 
     @cached_property
-    def _open(self) -> DataFrame:
+    def _open_rows(self) -> DataFrame:
         # stored canonicals were compared with each other when they came: only the
         # touched ones are compared again, with all open postings of their company
-        rows = dedup.related(
+        rows = put_back(
             self._states.where(F.col("canonical_job_id").isNull())
             .select("id", *upsert.KEY, *dedup.NODE, "company_normalized", "posted_at", "first_seen_at", "first_seq",
-                    "was_added", F.col("was_touched").alias("changed")), self._batch)
-        hashes = ("id", "fingerprint", "company_id")
-        return put_back(stage(left_out(rows, *hashes), "open"), *hashes)
+                    "was_added", F.col("was_touched").alias("changed")), *_HASHES)
+        found = rows.where("changed")  # a touched posting has its company in the batch
+        if self._jobs.take(1):
+            found = found.unionByName(dedup.related(rows.where(~F.col("changed")), put_back(self._batch, *_HASHES)))
+        return stage(left_out(found, *_HASHES), "open")
+
+    @property
+    def _open(self) -> DataFrame:
+        return put_back(self._open_rows, *_HASHES)
 
     @cached_property
     def _members(self) -> DataFrame:
         """The open postings that share a group with others."""
-        rows = self._open  # outlives the block, unlike what the groups take on the way
+        rows = self._open_rows  # outlives the block, unlike what the groups take on the way
         with staging(rows.sparkSession):
-            groups = stage(dedup.shared_prints(rows.drop(*upsert.KEY, "company_normalized")), "groups", outer=True)
-        return rows.join(groups, "fingerprint")
+            groups = stage(dedup.shared_prints(self._open.drop(*upsert.KEY, "company_normalized"), packed=True), "groups", outer=True)
+        prints = rows.withColumn("print", dedup.pack(F.coalesce("fingerprint", remade()["fingerprint"][1])))
+        met = put_back(prints.join(groups, "print").drop("print"), *_HASHES)
+        return met.withColumn("canonical_id", dedup.unpack(F.col("canonical_id")))
 
     @cached_property
-    def _changes(self) -> DataFrame:
+    def _changes_left(self) -> DataFrame:
         pointers = self._members.select("id", F.when(F.col("id") != F.col("canonical_id"), F.col("canonical_id"))
                                         .alias("canonical_id"))
-        moved = upsert.sweep(dedup.apply_pointers(self._states, pointers), self._as_of, self._run.stale_days)
+        pointed = dedup.apply_pointers(self._states, pointers, F.coalesce("id", remade()["id"][1]))
+        moved = upsert.sweep(pointed, self._as_of, self._run.stale_days)
         changes = moved.where("was_touched or was_moved or was_stale")
         # the other hashes of a touched posting are those of its batch row, of the others those stored
-        rows = stage(left_out(changes, "id", "company_id").drop("fingerprint", "title_normalized", "posted_at", "company_normalized"), "changes")
-        return put_back(rows, "id")
+        return stage(changes.drop("fingerprint", "title_normalized", "posted_at", "company_normalized"), "changes")
+
+    @property
+    def _changes(self) -> DataFrame:
+        return put_back(self._changes_left, "id")
+
+    @property
+    def _known(self) -> DataFrame:
+        """The changes of postings that were stored before."""
+        return self._changes.where(~F.col("was_added"))
 
     @cached_property
     def _touched(self) -> DataFrame:
         """Whole rows of the postings that the batch holds: their state beside the text of the last delivery."""
         version = [*upsert.KEY, "ingest_seq", "version"]
-        states = self._changes.where("was_touched").withColumnRenamed("last_seq", "ingest_seq")
+        states = self._changes_left.where("was_touched").withColumnRenamed("last_seq", "ingest_seq")
         rows = self._split[0].join(states, version).dropDuplicates(version)  # a row delivered twice is one row
-        return with_remade(put_back(rows, "company_id"), "fingerprint", "search_text")
+        return with_remade(put_back(rows, "id", "company_id"), "fingerprint", "search_text")
 
     @cached_property
     def changed(self) -> DataFrame:
@@ -146,7 +165,7 @@ class Outcome:
 
     @cached_property
     def unchanged(self) -> DataFrame:
-        return self._jobs.join(self._changes.select("id"), "id", "left_anti").select(POSTINGS.fieldNames())
+        return self._jobs.join(self._known.select("id"), "id", "left_anti").select(POSTINGS.fieldNames())
 
     @property
     def jobs(self) -> DataFrame:
@@ -172,13 +191,13 @@ class Outcome:
     @cached_property
     def tokens(self) -> DataFrame:
         touched = self._touched.select(F.col("id").alias("doc_id"), F.col("search_text").alias("form"))
-        stored = (self._jobs.join(self._changes.where("was_touched").select("id"), "id", "left_semi")
+        stored = (self._jobs.join(self._known.where("was_touched").select("id"), "id", "left_semi")
                   .select(F.col("id").alias("doc_id"), F.col("search_text").alias("form")))
         return token_changes(stored, touched)
 
     @cached_property
     def counts(self) -> DataFrame:
-        was = self._jobs.join(self._changes.select("id"), "id", "left_semi").select(*stats.COUNTED)
+        was = self._jobs.join(self._known.select("id"), "id", "left_semi").select(*stats.COUNTED)
         return stats.stat_changes(was, self.changed.select(*stats.COUNTED))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rolegrid.operators import dedup, upsert
 from rolegrid.operators.components import connected_components
-from rolegrid.operators.normalize import left_out, put_back, with_remade
+from rolegrid.operators.normalize import left_out, put_back, remade, with_remade
 from rolegrid.operators.similarity import similar_pairs, spanning_edges
 from rolegrid.operators.tagging import dictionary_tags
 from rolegrid.plans import catalog
@@ -172,6 +172,28 @@ def test_a_run_stages_no_hash_it_can_make_again(spark):
     assert rows.count() > 0 and rows.where("coalesce(id, company_id) IS NOT NULL").isEmpty()
 
 
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+def test_jobs_of_a_run_are_written_once_and_its_parts_go(spark):
+    parts = ("batch", "open", "nodes", "groups", "changes")
+    before = {name: written(spark, name) for name in ("jobs", *parts)}
+    assert catalog.ingest_jobs(spark, SF_DIR).where("canonical_url IS NOT NULL").count() > 0
+    new = {name: len(written(spark, name) - old) for name, old in before.items()}
+    assert new == {"jobs": 1, **dict.fromkeys(parts, 0)}
+    (folder,) = written(spark, "jobs") - before["jobs"]
+    assert spark.read.parquet(folder).where("id IS NOT NULL").isEmpty()
+
+
+def test_pointers_find_postings_whose_ids_are_left_out(spark):
+    rows = spark.createDataFrame([(1, "u", None), (2, "v", None), (3, "w", "own")], "source_id int, source_url string, canonical_job_id string")
+    rows = with_remade(rows, "id")
+    ids = {r.source_url: r.id for r in rows.collect()}
+    pointers = spark.createDataFrame([(ids["v"], ids["u"]), ("own", ids["u"]), (ids["u"], None)], "id string, canonical_id string")
+    want = {"u": (None, False), "v": (ids["u"], True), "w": (ids["u"], True)}
+    for df, made in ((rows, None), (left_out(rows, "id"), F.coalesce("id", remade()["id"][1]))):
+        got = dedup.apply_pointers(df, pointers, made).collect()
+        assert {r.source_url: (r.canonical_job_id, r.was_moved) for r in got} == want
+
+
 def test_hashes_left_out_come_back_and_others_stay(spark):
     rows = spark.createDataFrame([(1, "u", "c", "t"), (2, "v", None, "t"), (3, "w", "c", "x")],
                                  "source_id int, source_url string, company_normalized string, title_normalized string")
