@@ -32,12 +32,13 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 H = 0.75
 STEPS = 3
-TAIL = 1 - 1e-9
+TAIL = 1 - 1e-5
 MIN_GROUP = 50
 DIM = 5
 # Smallest standard deviation of each statistic, in thousandths of its
-# transformed unit: below these, differences say nothing about quality.
-FLOOR = (700, 150, 700, 900, 900)
+# transformed unit: below these, differences say nothing about quality. The
+# largest value of each share still passes the quantile alone.
+FLOOR = (700, 150, 700, 1200, 1200)
 POOLED = "\x00"  # stands for all small sources of a language
 
 _BLANK = " \t\n\x0b\f\r"
@@ -128,10 +129,15 @@ def _row_key() -> Column:
 
 
 def _vector() -> list[Column]:
-    """Transformed statistics in thousandths."""
+    """Transformed statistics in thousandths.
+
+    The two shares are log odds of percents, repeated words as a share of what
+    the bounds allow: they stretch near the top, so each can reject alone.
+    """
     n, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
+    odds = lambda percent: F.log1p(percent) + math.log(101) - F.log1p(F.greatest(100 - percent, F.lit(0)))
     parts = [F.log1p(n), F.log1p(F.col("word_chars") / n), F.log1p(F.col("n_symbols") * 1000 / n),
-             F.log1p(F.col("n_dup_lines") * 100 / lines), F.log1p(F.col("n_repeat_words") * 100 / n)]
+             odds(F.col("n_dup_lines") * 100 / lines), odds(F.col("n_repeat_words") * (10_000 / MAX_REPEAT_PERCENT) / n)]
     return [F.round(p * 1000).cast("long") for p in parts]
 
 

@@ -34,6 +34,23 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert all(rows[d[0]].kept for d in scattered) and not any(rows[d[0]].kept for d in lost)  # small sources together
 
 
+def test_each_share_can_reject_alone(spark):
+    """Lines that nearly all repeat, and words of which half repeat, in a group where nothing does."""
+    rng = random.Random(5)
+    docs = [clean(rng, i) for i in range(100)]
+    few = [f"word{c}" for c in "abcdefghijkl"]
+    triples = [(a, b, c) for a in few for b in few for c in few]
+    lines, seen = few[:2], set()
+    while len(lines) < 220:  # twelve lines in an order in which no three neighbours come again
+        lines.append(next(c for a, b, c in rng.sample(triples, len(triples)) if (a, b) == tuple(lines[-2:]) and (a, b, c) not in seen))
+        seen.add(tuple(lines[-3:]))
+    words = [f"w{rng.randrange(10**5)}x{i}" for i in range(165)]
+    odd = [brute.doc(900, "\n".join(lines), "en", "s0"), brute.doc(901, " ".join(words + words[:52]), "en", "s0")]
+    rows = {r.doc_id: r for r in q.judge(spark.createDataFrame(docs + odd, brute.DOCS)).collect()}
+    assert (rows[900].n_repeat_words, rows[901].n_dup_lines) == (0, 0) and rows[900].n_dup_lines > 190 and rows[901].n_repeat_words == 104
+    assert all(rows[d[0]].kept for d in docs) and not any(rows[i].kept or rows[i].base_failed for i in (900, 901))
+
+
 def test_distance_is_that_of_the_covariance(spark):
     """Cholesky columns against numpy on the same moments."""
     rng = random.Random(6)
