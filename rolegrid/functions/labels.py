@@ -65,11 +65,10 @@ def level_of_years(years: Column) -> Column:
 
 def experience_level(title: Column, description: Column) -> Column:
     """Seniority word of the title, else the band of the stated years."""
-    by_title = reduce(
-        lambda acc, item: acc.when(F.rlike(_text(title), F.lit(jvm(item[1]))), item[0]),
-        P.LEVEL_PATTERNS[1:],
-        F.when(F.rlike(_text(title), F.lit(jvm(P.LEVEL_PATTERNS[0][1]))),
-               P.LEVEL_PATTERNS[0][0]))
+    lowered = F.lower(_text(title))
+    arms = [(name, _mentions(lowered, P.LEVEL_NEEDLES[name]) & F.rlike(_text(title), F.lit(jvm(pattern))))
+            for name, pattern in P.LEVEL_PATTERNS]
+    by_title = reduce(lambda acc, arm: acc.when(arm[1], arm[0]), arms[1:], F.when(arms[0][1], arms[0][0]))
     # looking at the years is left to the rows whose title says nothing
     by_years = bind(years_of_experience(_text(description)), level_of_years)
     return F.coalesce(by_title, by_years)

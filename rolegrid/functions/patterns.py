@@ -7,6 +7,8 @@ for ``java.util.regex``, whose ``\\b`` follows Unicode letters instead.
 
 from __future__ import annotations
 
+import re
+
 # --- fixed values -----------------------------------------------------------
 # keys
 PERSERO = r"(?i)\(\s*persero\s*\)"
@@ -76,14 +78,24 @@ MODE_NEEDLES = {
                "kerja dari rumah", "kerja jarak jauh"),
     "onsite": ("site", "wfo", "work from office", "kerja di kantor"),
 }
+LEVEL_NEEDLES = {"lead": ("lead",), "senior": ("senior",), "junior": ("junior",), "intern": ("intern", "magang")}
+VAGUE_NEEDLES = ("nego", "competitive", "kompetitif", "undisclosed", "confidential", "tbd")
+FOREIGN_NEEDLES = ("$", "\u20ac", "\u00a3", "usd", "sgd", "myr", "eur", "gbp")
 YEARS_NEEDLES = ("year",) * 6 + ("tahun",) * 4
 
 _BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+_BEGIN, _END = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 _SPACE = r"\t\n\f\r "
 
 
 def jvm(pattern: str) -> str:
-    """The RE2 pattern in java.util.regex spelling, with ASCII boundaries."""
+    """The RE2 pattern in java.util.regex spelling, with ASCII boundaries.
+
+    A boundary beside a letter, or beside a group whose words all begin or end
+    with one there, looks at its other side alone.
+    """
+    pattern = re.sub(r"\\b(?=\(?[a-z])", lambda _: _BEGIN, pattern)
+    pattern = re.sub(r"(?<=[a-z)])\\b", lambda _: _END, pattern)
     return (pattern.replace(r"[\s", "[" + _SPACE)
             .replace(r"\s", "[" + _SPACE + "]")
             .replace(r"\b", _BOUNDARY))

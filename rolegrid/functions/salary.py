@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,13 +56,19 @@ def _salary_columns(raw: str, prefix: str) -> tuple:
     """The columns of ``with_salary`` step by step, and the names of the helping ones."""
     t, m = f"__{prefix}_text", f"__{prefix}_match"
     text = trim_white(F.coalesce(F.col(raw), F.lit("")))
-    vague = F.rlike(text, F.lit(jvm(P.SALARY_VAGUE))) | F.rlike(text, F.lit(jvm(P.SALARY_FOREIGN)))
+    # a pattern runs only where one of its words occurs at all
+    vague = reduce(lambda a, b: a | b, [
+        reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(w)) for w in needles]) & F.rlike(text, F.lit(jvm(pattern)))
+        for needles, pattern in ((P.VAGUE_NEEDLES, P.SALARY_VAGUE), (P.FOREIGN_NEEDLES, P.SALARY_FOREIGN))])
     bare = F.regexp_replace(F.regexp_replace(text, jvm(P.SALARY_CURRENCY), ""),
                             jvm(P.SALARY_PERIOD), "")
     figures = {t: F.when(~vague & F.rlike(text, F.lit("[0-9]")), bare).otherwise("")}
 
+    whole = F.regexp_extract(F.col(t), jvm(P.SALARY_RANGE), 0)
+
     def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(F.col(t), jvm(pattern), group)
+        found = F.regexp_extract(F.col(t), jvm(pattern), group)
+        return F.when(whole != "", found).otherwise("") if pattern == P.SALARY_RANGE else found
 
     before = F.regexp_extract(F.col(t), "(?s)^([^0-9]*)", 1)
     match = {m: F.struct(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Unicode white space as a character class body (with and without the newline).
 _WIDE = "\\x85\\xA0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WHITE = "\\t-\\r " + _WIDE
+_ASCII_WHITE = "\t\n\x0b\f\r "
 _WHITE_IN_LINE = "\\t\\x0B\\f\\r " + _WIDE
 
 # A tag becomes OPEN + its name, if it moves a line, + CLOSE, so that text nodes
@@ -17,12 +18,13 @@ _WHITE_IN_LINE = "\\t\\x0B\\f\\r " + _WIDE
 _OPEN, _CLOSE = "\u0003", "\u0004"
 
 _REST = r"""(?:[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*|[^>]*)>"""
-_TAG = (r"(?is)<!--.*?(?:-->|\z)"
-        r"|<script(?=[\s/>])" + _REST + r".*?(?:</script[^>]*>|\z)"
-        r"|<style(?=[\s/>])" + _REST + r".*?(?:</style[^>]*>|\z)"
-        r"|<(/?(?:li|br|p|div|ul|ol|h[1-6]))(?=[\s/>])" + _REST
-        + r"|</?[a-z]" + _REST
-        + r"|<[!?][^>]*>|</[^a-z>][^>]*>")
+# the "<" stands before the alternatives: at any other character one test fails, not seven
+_TAG = (r"(?is)<(?:!--.*?(?:-->|\z)"
+        r"|script(?=[\s/>])" + _REST + r".*?(?:</script[^>]*>|\z)"
+        r"|style(?=[\s/>])" + _REST + r".*?(?:</style[^>]*>|\z)"
+        r"|(/?(?:li|br|p|div|ul|ol|h[1-6]))(?=[\s/>])" + _REST
+        + r"|/?[a-z]" + _REST
+        + r"|[!?][^>]*>|/[^a-z>][^>]*>)")
 _ITEM = f"(?i){_OPEN}li{_CLOSE}"
 _LINE = f"(?i){_OPEN}(?:br|/?(?:p|div|h[1-6])|ul|ol){_CLOSE}"
 _INLINE = f"{_OPEN}[^{_CLOSE}]*{_CLOSE}"
@@ -34,9 +36,14 @@ def bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _is_ascii(col: Column) -> Column:
+    return F.octet_length(col) == F.char_length(col)
+
+
 def trim_white(col: Column) -> Column:
     """Trim every kind of Unicode white space (``trim`` drops only U+0020)."""
-    return F.regexp_replace(col, f"^[{WHITE}]+|[{WHITE}]+\\z", "")
+    wide = F.regexp_replace(col, f"^[{WHITE}]+|[{WHITE}]+\\z", "")
+    return F.when(_is_ascii(col), F.btrim(col, F.lit(_ASCII_WHITE))).otherwise(wide)
 
 
 def blank_to_null(col: Column) -> Column:
@@ -71,11 +78,10 @@ def decode_entities(col: Column) -> Column:
         F.split(col, _ENTITY, -1), F.regexp_extract_all(col, F.lit(_ENTITY), F.lit(1)),
         lambda piece, name: F.concat(
             piece, F.when(name.isNull(), F.lit("")).otherwise(_entity_text(name, table))))
-    return F.when(F.contains(col, F.lit("&")), F.array_join(decoded, "")).otherwise(col)
-
-
-def _is_ascii(col: Column) -> Column:
-    return F.octet_length(col) == F.char_length(col)
+    # most texts refer to "&" alone, if to anything
+    others = F.contains(F.replace(col, F.lit("&amp;"), F.lit("")), F.lit("&"))
+    return (F.when(~F.contains(col, F.lit("&")), col).when(others, F.array_join(decoded, ""))
+            .otherwise(F.replace(col, F.lit("&amp;"), F.lit("&"))))
 
 
 def _settle_nodes(s: Column) -> Column:
@@ -109,8 +115,9 @@ def html_to_text(html: Column) -> Column:
     s = F.coalesce(html, F.lit(""))
     for space in ("&nbsp;", "&#160;", "&#xa0;", "&#xA0;", "\u00a0"):
         s = F.replace(s, F.lit(space), F.lit(" "))
-    # a lone blank is left alone, which is most of them
-    s = F.regexp_replace(s, "[\\t-\\r ][\\t-\\r ]+|[\\t-\\r]", " ")
+    for space in _ASCII_WHITE[:-1]:
+        s = F.replace(s, F.lit(space), F.lit(" "))
+    s = bind(s, lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " {2,}", " ")).otherwise(x))
     s = F.regexp_replace(s, _TAG, f"{_OPEN}$1{_CLOSE}")
     s = bind(s, lambda x: _settle_nodes(x))
     s = bind(s, lambda x: decode_entities(x))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,18 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(per_word))
 
 
+_WORD = re.compile("[0-9a-z]+")
+
+
+def text_trigrams(lowered: str) -> set[str]:
+    """``trigrams`` of one text in lower case."""
+    grams = set()
+    for word in _WORD.findall(lowered):
+        padded = f"  {word} "
+        grams.update([padded[i:i + 3] for i in range(len(word) + 1)])
+    return grams
+
+
 # Trigrams of lower-case words are drawn from the blank, 0-9 and a-z.
 BASE = 37
 N_CODES = BASE ** 3

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolegrid.functions.text import bind
-from rolegrid.functions.trigram import N_CODES, SIMILARITY_TENTHS, trigram_codes, trigrams
+from rolegrid.functions.trigram import N_CODES, SIMILARITY_TENTHS, text_trigrams, trigram_codes, trigrams
 from rolegrid.session import stage, use_skew_settings
 
 _SHIFT = 65536  # above every trigram code
@@ -178,43 +179,85 @@ def _hub_links(texts: DataFrame, tenths: int) -> DataFrame:
     return links[0].unionByName(links[1]).distinct()
 
 
+def _block_ties(words: list[str], changed: list[bool], tenths: int) -> tuple[list[int], list[int]]:
+    """Places ``u, v`` of similar texts of one block: a spanning forest of its similar pairs.
+
+    ``words``: the texts in lower case. Shared trigrams of all pairs are one product of the
+    0/1 matrix of texts and trigrams with itself; a walk over similar texts keeps a tie to each
+    text it has not seen.
+    """
+    n, columns, rows, at = len(words), {}, [], []
+    for i, text in enumerate(words):
+        for gram in text_trigrams(text):
+            rows.append(i)
+            at.append(columns.setdefault(gram, len(columns)))
+    has = np.zeros((n, len(columns)), np.float32)
+    has[rows, at] = 1
+    sizes = has.sum(axis=1)
+    new = np.array(changed, bool)
+    near = []  # per text the similar ones as bits
+    for low in range(0, n, BLOCK_ROWS):
+        part = slice(low, low + BLOCK_ROWS)
+        similar = (10 + tenths) * (has[part] @ has.T) > tenths * (sizes[part, None] + sizes)
+        similar &= new[part, None] | new
+        near += [int.from_bytes(bits, "little") for bits in map(bytes, np.packbits(similar, axis=1, bitorder="little"))]
+    us, vs, unseen = [], [], (1 << n) - 1
+    while unseen:
+        first = unseen & -unseen
+        unseen ^= first
+        walk = [first.bit_length() - 1]
+        while walk:
+            u = walk.pop()
+            found = near[u] & unseen
+            unseen ^= found
+            while found:
+                bit = found & -found
+                found ^= bit
+                walk.append(bit.bit_length() - 1)
+                us.append(u)
+                vs.append(walk[-1])
+    return us, vs
+
+
 def _small_block_edges(texts: DataFrame, tenths: int) -> DataFrame:
     """``u, v``: similar texts of small blocks, as many as their components need.
 
-    A block is one row, so a text is shuffled once. The texts are taken one
-    after the other: one is tied to the first text it is similar to of every
-    component that the texts before it form, and makes one component of them.
+    The texts of a block come one after the other to one task, which holds one
+    block at a time; a text is shuffled once. The tasks are as many as the shuffle's
+    partitions: few bytes of titles are much work.
     """
-    blocks = (texts.groupBy("block").agg(F.collect_list(F.struct("text", "id", "changed")).alias("rows"))
-              .where(F.size("rows") > 1)
-              .select("rows", F.transform("rows", lambda r: trigram_codes(r["text"])).alias("codes")))
-    n = F.size("rows")
-
-    def similar(i: Column, j: Column) -> Column:
-        a, b = F.get("codes", i), F.get("codes", j)
-        na, nb = F.size(a), F.size(b)
-        return ((F.get("rows", i)["changed"] | F.get("rows", j)["changed"])
-                & (10 * F.least(na, nb) > tenths * F.greatest(na, nb))
-                & ((10 + tenths) * F.size(F.array_intersect(a, b)) > tenths * (na + nb)))
-
-    def take(state: Column, i: Column) -> Column:
-        near = F.filter(F.sequence(F.lit(0), i - 1), lambda j: similar(i, j))
-        known = F.transform(near, lambda j: F.get(state["labels"], j))
-        return bind(F.struct(near.alias("near"), known.alias("known")),
-                    lambda x: F.when(F.size(x["near"]) == 0, state).otherwise(tied(state, i, x["near"], x["known"])))
-
-    def tied(state: Column, i: Column, near: Column, known: Column) -> Column:
-        # one tie per component: to the first text with its label
-        ties = F.filter(near, lambda j, at: F.array_position(known, F.get(known, at)) == at + 1)
-        labels = F.transform(state["labels"], lambda label, j: F.when(
-            (j == i) | F.array_contains(known, label), F.array_min(known)).otherwise(label))
-        edges = F.transform(ties, lambda j: F.struct(i.alias("u"), j.alias("v")))
-        return F.struct(labels.alias("labels"), F.concat(state["edges"], edges).alias("edges"))
-
-    start = F.struct(F.sequence(F.lit(0), n - 1).alias("labels"), F.array().cast("array<struct<u:int,v:int>>").alias("edges"))
-    edges = F.aggregate(F.sequence(F.lit(1), n - 1), start, take, lambda state: state["edges"])
-    return (blocks.select("rows", F.explode(edges).alias("e"))
-            .select(F.get("rows", F.col("e.u"))["id"].alias("u"), F.get("rows", F.col("e.v"))["id"].alias("v")))
+    def settle(it):
+        held = None  # the last block so far, which the next batch may go on with
+        for batch in it:
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, table]) if held is not None else table
+            blocks = held.column("block").to_pylist()
+            last = next((i for i in range(len(blocks) - 1, 0, -1) if blocks[i] != blocks[i - 1]), 0)
+            if last:
+                yield from ties(held.slice(0, last), blocks[:last])
+                held = held.slice(last)
+        if held is not None:
+            yield from ties(held, held.column("block").to_pylist())
+
+    def ties(table, blocks):
+        words, changed = table.column("words").to_pylist(), table.column("changed").to_pylist()
+        us, vs, low = [], [], 0
+        for high in range(1, len(blocks) + 1):
+            if high < len(blocks) and blocks[high] == blocks[low]:
+                continue
+            if high - low > 1:
+                u, v = _block_ties(words[low:high], changed[low:high], tenths)
+                us += [low + i for i in u]
+                vs += [low + i for i in v]
+            low = high
+        ids = table.column("id").combine_chunks()
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(x, pa.int64())) for x in (us, vs)], ["u", "v"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = (texts.select("block", F.lower("text").alias("words"), "id", "changed")
+            .repartition(tasks, "block").sortWithinPartitions("block"))
+    return rows.mapInArrow(settle, f"u {kind}, v {kind}")
 
 
 def spanning_edges(items: DataFrame, block: str, text: str, ident: str, changed: str | None = None,
