@@ -124,6 +124,9 @@ def unpack(packed: Column) -> Column:
     return F.when(F.substring(packed, 1, 1) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
 
 
+_packed, _unpacked = pack, unpack
+
+
 def groups_by_print(groups: DataFrame) -> DataFrame:
     """``fingerprint, component, canonical_id`` of ``duplicate_groups``.
 

@@ -7,11 +7,11 @@ moment*; the preferred one stays, the others point at it, and their followers
 move along. A posting with a pointer is refreshed but never matched again.
 
 Order matters only within a connected component of matches, so components are
-replayed in parallel, each streamed through a task that holds nothing but the
+found once for all events and replayed in parallel, each streamed through a task that holds nothing but the
 component's canonical postings. What one task may have to stream is bounded by
-cutting the events into slices of ``slice_rows`` in arrival order: a slice sees
+cutting the events of components with more than ``slice_rows`` of them into slices in arrival order: a slice sees
 the canonical postings left by the slices before it, so the result does not
-depend on the cut. The price is one round per slice; ``dedup.resolve`` is the
+depend on the cut. The price is one round per slice of the large components; ``dedup.resolve`` is the
 way for whole tables.
 """
 
@@ -39,6 +39,9 @@ def _grams(title: str) -> frozenset:
     return frozenset(padded[i:i + 3] for i in range(len(title) + 1)) if title else frozenset()
 
 
+KNOWN_PAIRS = 1_000_000  # compared titles that a component remembers
+
+
 class _Component:
     """Canonical postings of one component while its events pass by."""
 
@@ -46,15 +49,23 @@ class _Component:
         self.canonical: dict[str, tuple] = {}  # id -> preference, fingerprint, company, title
         self.winner_of: dict[str, str] = {}
         self.grams: dict[str, frozenset] = {}
-
-    def _same(self, company, title, other_company, other_title) -> bool:
-        if company != other_company:
-            return False
+        self.near: dict[str, dict[str, bool]] = {}  # title -> the titles it was compared with
+        self.pairs = 0
+
+    def _same(self, near: dict[str, bool], title, other_title) -> bool:
+        """Titles of one company are similar; ``near`` is what is known of ``title``."""
+        if self.pairs >= KNOWN_PAIRS:
+            self.pairs = 0
+            self.near.clear()
+            self.grams.clear()
+            near.clear()
         for t in (title, other_title):
             if t not in self.grams:
                 self.grams[t] = _grams(t)
         a, b = self.grams[title], self.grams[other_title]
-        return (10 + SIMILARITY_TENTHS) * len(a & b) > SIMILARITY_TENTHS * (len(a) + len(b))
+        near[other_title] = found = (10 + SIMILARITY_TENTHS) * len(a & b) > SIMILARITY_TENTHS * (len(a) + len(b))
+        self.pairs += 1
+        return found
 
     def take(self, seq, key, print_, company, title, preference):
         """Outcome ``(was_inserted, is_duplicate)`` of an event; stored rows have seq -1."""
@@ -66,9 +77,10 @@ class _Component:
         self.canonical[key] = (preference, print_, company, title)
         if seq < 0:
             return None
+        near = self.near.setdefault(title, {})
         matches = [key] + [
             k for k, (_, p, c, t) in self.canonical.items()
-            if k != key and (p == print_ or self._same(company, title, c, t))]
+            if k != key and (p == print_ or (c == company and (near[t] if t in near else self._same(near, title, t))))]
         best = min(matches, key=lambda k: self.canonical[k][0])
         for loser in matches:
             if loser != best:
@@ -108,10 +120,8 @@ def replay_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield frame(list(state.pointers()))
 
 
-def _slice(events: DataFrame, stored: DataFrame) -> DataFrame:
-    """Outcomes and pointers of one slice against the canonical postings."""
-    rows = (stored.select(F.lit(-1).cast("long").alias("seq"), *EVENT)
-            .unionByName(events.select("seq", *EVENT)))
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows(seq, EVENT...)`` with their connected component of matches."""
     rows = cut(rows.withColumn("node", row_key(*[F.col(c) for c in NODE])))
     nodes = rows.select("node", *NODE).distinct()
     # versions of one posting belong together, whatever they match
@@ -119,14 +129,19 @@ def _slice(events: DataFrame, stored: DataFrame) -> DataFrame:
     versions = (rows.select("id", F.col("node").alias("u")).join(low, "id")
                 .where(F.col("u") != F.col("v")).select("u", "v"))
     components = connected_components(match_edges(nodes).unionByName(versions))
-    placed = rows.join(components, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
+    return cut(rows.join(components, "node", "left")
+               .withColumn("component", F.coalesce("component", "node")).drop("node"))
+
+
+def _streamed(placed: DataFrame) -> DataFrame:
+    """Outcomes and pointers of rows that have their component."""
     micros = lambda c: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(0))
+    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (placed
                .withColumns({"unknown": F.col("posted_at").isNull(), "posted": micros("posted_at"),
                              "seen": micros("first_seen_at")})
                .select(*_ORDERED)
-               .repartition("component").sortWithinPartitions("component", "seq"))
+               .repartition(tasks, "component").sortWithinPartitions("component", "seq"))
     return cut(ordered.mapInPandas(replay_rows, _RESULT))
 
 
@@ -141,6 +156,11 @@ def _slices(events: DataFrame, slice_rows: int) -> list:
     return [*sorted(set(bounds)), None]
 
 
+def _parted(result: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (result.where(F.col("seq").isNotNull()).select("id", "seq", "was_inserted", "is_duplicate"),
+            result.where(F.col("seq").isNull()).select("id", F.col("winner").alias("canonical_id")))
+
+
 def replay(events: DataFrame, stored: DataFrame | None = None,
            slice_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """``(outcomes, pointers)`` of the events in order of ``seq``.
@@ -152,8 +172,27 @@ def replay(events: DataFrame, stored: DataFrame | None = None,
     Events of postings stored with a pointer must be left out by the caller:
     they are duplicates by definition.
     """
-    events = cut(events.select("seq", *EVENT))
-    canonical = events.select(*EVENT).limit(0) if stored is None else stored.select(*EVENT)
+    events = events.select("seq", *EVENT)
+    if stored is not None:
+        events = cut(events)
+        canonical, ids = stored.select(*EVENT), events.select("id").distinct()
+        near = related(canonical.join(ids, "id", "left_anti"), events)
+        events = events.unionByName(canonical.join(ids, "id", "left_semi").unionByName(near)
+                                    .withColumn("seq", F.lit(-1).cast("long")))
+    placed = _placed(events)
+    large = cut(placed.where("seq >= 0").groupBy("component").agg(F.count("*").alias("n"))
+                .where(F.col("n") > slice_rows).select("component"))
+    if not large.take(1):
+        return _parted(_streamed(placed))
+    outcomes, pointers = _parted(_streamed(placed.join(large, "component", "left_anti")))
+    more = _sliced(cut(placed.join(large, "component", "left_semi")), slice_rows)
+    return outcomes.unionByName(more[0]), pointers.unionByName(more[1])
+
+
+def _sliced(placed: DataFrame, slice_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Outcomes and pointers of large components, slice after slice."""
+    stored, events = placed.where("seq < 0"), placed.where("seq >= 0")
+    canonical = stored.drop("seq")
     outcomes = pointers = None
     lower = None
     for upper in _slices(events, slice_rows):
@@ -170,11 +209,7 @@ def replay(events: DataFrame, stored: DataFrame | None = None,
             outcomes = outcomes.unionByName(known.select(
                 "id", "seq", F.lit(False).alias("was_inserted"), F.lit(True).alias("is_duplicate")))
             part = part.join(lost, "id", "left_anti")
-        own = canonical.join(part.select("id").distinct(), "id", "left_semi")
-        near = related(canonical.join(part.select("id").distinct(), "id", "left_anti"), part)
-        result = _slice(part, own.unionByName(near))
-        done = result.where(F.col("seq").isNotNull()).select("id", "seq", "was_inserted", "is_duplicate")
-        moved = result.where(F.col("seq").isNull()).select("id", F.col("winner").alias("canonical_id"))
+        done, moved = _parted(_streamed(canonical.withColumn("seq", F.lit(-1).cast("long")).unionByName(part)))
         outcomes = done if outcomes is None else outcomes.unionByName(done)
         if pointers is None:
             pointers = moved
@@ -183,7 +218,8 @@ def replay(events: DataFrame, stored: DataFrame | None = None,
             pointers = cut(pointers.join(to, "canonical_id", "left")
                            .select("id", F.coalesce("__to", "canonical_id").alias("canonical_id"))
                            .unionByName(moved))
-        canonical = cut(_canonical_after(canonical, part, moved))
+        if upper is not None:
+            canonical = cut(_canonical_after(canonical, part, moved))
     return outcomes, pointers
 
 
@@ -195,8 +231,8 @@ def _canonical_after(canonical: DataFrame, part: DataFrame, moved: DataFrame) ->
     first = F.min(F.struct("seq", "first_seen_at", "first_seq")).alias("f")
     last = F.max(F.struct("seq", *content)).alias("l")
     return (versions.join(moved.select("id"), "id", "left_anti")
-            .groupBy("id").agg(first, last)
+            .groupBy("id").agg(first, last, F.min("component").alias("component"))
             .select("id", *[F.col(f"l.{c}").alias(c) for c in content],
                     F.col("f.first_seen_at").alias("first_seen_at"),
-                    F.col("f.first_seq").alias("first_seq"))
-            .select(*EVENT))
+                    F.col("f.first_seq").alias("first_seq"), "component")
+            .select(*EVENT, "component"))
