@@ -265,8 +265,8 @@ def spanning_edges(items: DataFrame, block: str, text: str, ident: str, changed:
                    block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Edges ``u, v`` (identifiers) with the connected components of ``similar_pairs``.
 
-    Blocks of at most ``block_rows`` distinct texts are settled whole, a row per
-    block; that is linear in the texts. In larger blocks ``n`` near-equal texts
+    Blocks of at most ``block_rows`` distinct texts are settled whole, a block
+    at a time; that is linear in the texts. In larger blocks ``n`` near-equal texts
     need no ``n * n`` edges to be one component:
 
     1. Every text is tied to the hubs it is similar to. Texts with a common hub
